@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import topk
+from . import near_dedup, topk
 
-QUERIES = {"op4_topk": topk.op4_topk}
-SQL = {"op4_topk": topk.SQL}
+QUERIES = {"op4_topk": topk.op4_topk, "op5_near_dedup": near_dedup.op5_near_dedup}
+SQL = {"op4_topk": topk.SQL, "op5_near_dedup": near_dedup.SQL}
