@@ -1,6 +1,19 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import near_dedup, topk, url_filter, warc
+from . import chat, near_dedup, quality, topk, url_filter, warc
 
-QUERIES = {"op2_warc": warc.op2_warc, "op4_topk": topk.op4_topk, "op5_near_dedup": near_dedup.op5_near_dedup, "op8_url_filter": url_filter.op8_url_filter}
-SQL = {"op2_warc": warc.SQL, "op4_topk": topk.SQL, "op5_near_dedup": near_dedup.SQL, "op8_url_filter": url_filter.SQL}
+QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op4_topk": topk.op4_topk,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_quality": quality.op7_quality,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op9_chat": chat.op9_chat,
+}
+SQL = {
+    "op2_warc": warc.SQL,
+    "op4_topk": topk.SQL,
+    "op5_near_dedup": near_dedup.SQL,
+    "op8_url_filter": url_filter.SQL,
+    "op9_chat": chat.SQL,
+}
