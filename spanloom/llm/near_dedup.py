@@ -290,6 +290,6 @@ r AS (
   WITH RECURSIVE reach(doc_id, seen) AS (SELECT a, a FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.seen)
   SELECT doc_id, min(seen) AS least FROM reach GROUP BY doc_id
 )
-SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(least, s.doc_id) AS component_id, coalesce(least, s.doc_id) = s.doc_id AS kept
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(least, s.doc_id) AS component_id, coalesce(coalesce(least, s.doc_id) = s.doc_id, true) AS kept
 FROM s LEFT JOIN r USING (doc_id)
 """

@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import chat, near_dedup, quality, topk, url_filter, warc
+from . import chat, near_dedup, quality, secrets, topk, url_filter, warc
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_warc": warc.op2_warc,
     "op4_topk": topk.op4_topk,
     "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -11,6 +12,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
 }
 SQL = {
+    "op1_secrets": secrets.SQL,
     "op2_warc": warc.SQL,
     "op4_topk": topk.SQL,
     "op5_near_dedup": near_dedup.SQL,
