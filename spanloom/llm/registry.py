@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import chat, near_dedup, quality, secrets, topk, url_filter, warc
+from . import chat, decontaminate, near_dedup, quality, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_warc": warc.op2_warc,
     "op4_topk": topk.op4_topk,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_chat": chat.op9_chat,
@@ -16,6 +17,7 @@ SQL = {
     "op2_warc": warc.SQL,
     "op4_topk": topk.SQL,
     "op5_near_dedup": near_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_chat": chat.SQL,
 }
