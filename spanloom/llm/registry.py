@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import chat, decontaminate, near_dedup, quality, secrets, topk, url_filter, warc
+from . import chat, decontaminate, near_dedup, pii, quality, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_chat": chat.op9_chat,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op1_secrets": secrets.SQL,
