@@ -2,18 +2,19 @@
 
 Steps, each written to the shared folder:
 
-1. One Arrow pass over the texts: the set of shingles, its fingerprint, 128
-   universal-hash minima, their 32 band keys of 4, and a byte of each minimum.
+1. One Arrow pass over the texts: the set of shingles, its fingerprint, and 336
+   universal-hash minima as 56 band keys of 6.
 2. Documents with equal sets are one class, named by its smallest id.
 3. Band buckets of two or more classes.  A pair of similarity 0.75 shares no bucket
-   with probability (1 - 0.75^4)^32 = 5e-6.
+   with probability (1 - 0.75^6)^56 = 1.7e-5, one of 0.8 with 4e-8.
 4. Each class is compared with the bucket pivot it shares most bands with, then, for
    some rounds, with other pivots of buckets that still hold several components.
    So a large group is joined by stars, never by all its pairs.
 5. Buckets that hold several components even then: all pairs across components,
    less those that sizes or the triangle inequality of the Jaccard distance to the
-   pivot rule out, pass the signature check and are compared too.  No bucket and no
-   candidate is capped or dropped.
+   pivot rule out, are verified by signatures of 2048 bits, made for these documents
+   only, and survivors are compared too, each pair in the first bucket it shares.
+   No bucket and no candidate is capped or dropped.
 6. Links are confirmed on full sets; components come from large-star/small-star.
 """
 
@@ -31,20 +32,22 @@ from .common import Scratch, pin, read
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.75
-BANDS, ROWS = 32, 4
-MINIMA = BANDS * ROWS
-#: Similarity below which a signature of 128 bytes rules a pair out; for pairs of 0.75 it does so once in 10^10.
-SIGNATURE_FLOOR = 0.45
-STAR_ROUNDS = 4
+BANDS, ROWS = 56, 6
+#: One bit of each of so many further minima; equal with probability (1 + similarity) / 2.
+BITS = 2048
+#: Estimated similarity below which a signature rules a pair out: 0.75 less 4.8 standard deviations, so one pair of 0.75 in 10^6.
+SIGNATURE_FLOOR = 0.68
+STAR_ROUNDS = 1
 #: Ids up to this many are sent to every task when texts are picked (8 bytes each); beyond it the pick is a shuffled join.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240517)
-_MUL = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_odd = lambda *shape: _rng.integers(0, 2**31, shape, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BANDED = (_odd(BANDS * ROWS), _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32))
+_SIGNED = (_odd(BITS), _rng.integers(0, 2**32, BITS, dtype=np.uint32))
 _MIX = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-FEATURES = "doc_id long, n long, fp binary, bands array<long>, sig binary"
+FEATURES = "doc_id long, n long, fp binary, bands array<long>"
 
 
 class WordHashes(dict):
@@ -76,38 +79,45 @@ def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.nda
     return np.unique(out)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    out = np.full(MINIMA, np.uint64(2**64 - 1))
-    for a in range(0, len(found), 1024):
-        np.minimum(out, (_MUL[:, None] * found[None, a : a + 1024] + _ADD[:, None]).min(axis=1), out=out)
+def minima(found: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least a*x+b mod 2^32 over the shingles x, for each a, b of the family."""
+    mul, add = family
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(mul), np.uint32(2**32 - 1))
+    block = 32 if len(mul) > 1000 else 128
+    for a in range(0, len(x), block):
+        np.minimum(out, (x[a : a + block, None] * mul[None] + add[None]).min(axis=0), out=out)
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        n, fps, sigs, lows = [], [], [], []
+        n, fps, lows = [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py(), hashes)
             n.append(len(found))
+            fps.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             if len(found):
-                low = minima(found)
-                fps.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sigs.append(low.astype(np.uint8).tobytes())
-                lows.append(low)
-            else:
-                fps.append(None)
-                sigs.append(None)
+                lows.append(minima(found, _BANDED))
         some = np.array(n, dtype=np.int64) > 0
         keys = np.empty(0, dtype=np.int64)
         if lows:
-            rows = np.stack(lows).reshape(len(lows), BANDS, ROWS)
-            keys = _mixed((rows * _MIX).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64).ravel()
+            rows = np.stack(lows).astype(np.uint64).reshape(len(lows), BANDS, ROWS)
+            keys = _mixed((_mixed(rows) * _MIX).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64).ravel()
         offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n", "fp", "bands", "sig"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["doc_id", "n", "fp", "bands"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        out = np.zeros((len(batch), BITS // 64), dtype=np.int64)
+        for i, text in enumerate(batch.column("text")):
+            low = minima(shingles(text.as_py(), hashes), _SIGNED)
+            out[i] = np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(bool)).view(np.int64)
+        offsets = np.arange(len(batch) + 1, dtype=np.int32) * (BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], names=["doc_id", "sig"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +140,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Links:
     """Compared pairs and components so far, as tables in the scratch folder."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, signatures: DataFrame):
-        self.docs, self.scratch, self.signatures = docs, scratch, signatures
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        self.docs, self.scratch = docs, scratch
         self.components: DataFrame | None = None
         self.distances: DataFrame | None = None
 
@@ -142,17 +152,21 @@ class _Links:
         known = self.components.select(F.col("id").alias(column), "component")
         return rows.join(known, column, "left").withColumn("comp", F.coalesce("component", column)).drop("component")
 
+    def texts(self, ids: DataFrame) -> DataFrame | None:
+        """Documents of these distinct ids; None for no ids."""
+        ids = self.scratch.table(ids)
+        count = ids.count()
+        ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+        return self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text") if count else None
+
     def compare(self, pairs: DataFrame) -> None:
         """Confirm pairs (a, b) of classes on full sets, and join the components of those that are linked."""
         if self.distances is not None:
             pairs = pairs.join(self.distances.select("a", "b"), ["a", "b"], "left_anti")
         pairs = self.scratch.table(pairs.select("a", "b"))
-        ids = self.scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        count = ids.count()
-        if not count:
+        texts = self.texts(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"))
+        if texts is None:
             return
-        ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-        texts = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
         sides = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         both = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "text_a", "text_b")
         found = both.mapInArrow(_compared, "a long, b long, common long, total long").groupBy("a", "b").agg(F.max_by("common", F.col("common") / F.col("total")).alias("common"), F.max_by("total", F.col("common") / F.col("total")).alias("total"))
@@ -202,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = classes.filter("doc_id <> rep").select("doc_id").join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_anti")
     reps = members.join(copies, "doc_id", "left_anti")
 
-    links = _Links(docs.filter("doc_id is not null"), scratch, reps.select("doc_id", "sig"))
+    links = _Links(docs.filter("doc_id is not null"), scratch)
     several = classes.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("rep").alias("u"), F.max("rep").alias("v")).filter("c > 1")
     if several.limit(1).count():  # one id with several texts joins their classes
         links.join(several.select("doc_id").join(classes, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
@@ -226,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links.compare(_ordered(tried.groupBy("comp", F.col("p.id").alias("pivot")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))))
     mixed = _mixed_buckets(links, mixed, scratch)
     if mixed.limit(1).count():
-        links.compare(_across(links, mixed, scratch))
+        links.compare(_across(links, mixed, reps.select(F.col("doc_id").alias("id"), "bands"), scratch))
 
     known = features.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     final = known.withColumn("id", F.coalesce("rep", "doc_id"))
@@ -243,12 +257,12 @@ def _mixed_buckets(links: _Links, rows: DataFrame, scratch: Scratch) -> DataFram
     return scratch.table(rows.join(several, "key"))
 
 
-def _across(links: _Links, mixed: DataFrame, scratch: Scratch) -> DataFrame:
+def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs of a bucket's different components that could be linked.
 
-    Rows of the pivot's component are first compared with the pivot, as are all
-    others: distances then rule pairs out.  Near copies of the pivot drop out
-    whole, however many they are, where the others are far from it.
+    All rows are first compared with their pivot: distances then rule pairs out.
+    Near copies of the pivot drop out whole, however many they are, where the others
+    are far from it.
     """
     links.compare(_ordered(mixed.filter("id <> pivot")))
     mixed = _mixed_buckets(links, mixed, scratch)
@@ -258,15 +272,22 @@ def _across(links: _Links, mixed: DataFrame, scratch: Scratch) -> DataFrame:
     ends = links.labelled(ends.withColumnRenamed("comp", "own"), "pivot").withColumnRenamed("comp", "pivot_comp")
     slack = 1 - SIMILARITY + 1e-9
     nearest = ends.filter("own <> pivot_comp").groupBy("key").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
-    ends = ends.join(nearest, "key").filter((F.col("own") != F.col("pivot_comp")) | (F.col("d") >= F.col("nearest") - slack))
+    ends = ends.join(nearest, "key").filter((F.col("own") != F.col("pivot_comp")) | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - slack))
     ends = scratch.table(ends.select("key", "id", "n", "own", "d"))
-    x, y = (ends.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "d"))) for s in "xy")
-    pairs = x.join(y, "key").filter("id_x > id_y and own_x <> own_y").filter(_fits("n_x", "n_y")).filter(F.abs(F.col("d_x") - F.col("d_y")) <= slack)
-    pairs = scratch.table(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
-    sig = links.signatures
-    both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.hex("sig").alias("sx")), "a").join(sig.select(F.col("doc_id").alias("b"), F.hex("sig").alias("sy")), "b")
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(MINIMA - 1)), F.lit(0), lambda n, i: n + F.when(F.substring("sx", i * 2 + 1, F.lit(2)) == F.substring("sy", i * 2 + 1, F.lit(2)), 1).otherwise(0))
-    return both.filter((same / MINIMA - 1 / 256) * 256 / 255 >= SIGNATURE_FLOOR).select("a", "b").distinct()
+    texts = links.texts(ends.select(F.col("id").alias("doc_id")).distinct())
+    if texts is None:
+        return ends.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    signed = texts.mapInArrow(_signed, "doc_id long, sig array<long>").withColumnRenamed("doc_id", "id")
+    signed = scratch.table(signed.join(bands, "id").select("id", "sig", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("bands")))
+    ends = ends.join(signed, "id").withColumn("band", F.array_position("bands", F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")).cast("int"))
+    x, y = (ends.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "d", "sig", "bands"))) for s in "xy")
+    apart = sum((F.bit_count(F.col("sig_x")[i].bitwiseXOR(F.col("sig_y")[i])) for i in range(BITS // 64)), F.lit(0))
+    before = lambda c: F.slice(c, F.lit(1), F.col("band") - 1)
+    earlier = F.exists(F.zip_with(before("bands_x"), before("bands_y"), lambda p, q: p == q), lambda e: e)
+    pairs = x.join(y.drop("band"), "key").filter("id_x > id_y and own_x <> own_y").filter(_fits("n_x", "n_y"))
+    pairs = pairs.filter(F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= slack, F.lit(True)))
+    pairs = pairs.filter(apart <= int((1 - SIGNATURE_FLOOR) / 2 * BITS)).filter(~earlier)
+    return pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
