@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import chat, decontaminate, near_dedup, pii, quality, secrets, topk, url_filter, warc
+from . import chat, decontaminate, near_dedup, pieces, pii, quality, secrets, topk, url_filter, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_warc": warc.op2_warc,
+    "op3_pieces": pieces.op3_pieces,
     "op4_topk": topk.op4_topk,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
