@@ -19,7 +19,7 @@ from .common import Scratch, pin, read
 WINDOW, SHINGLE = 13, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows (about 400 bytes each) up to which candidates are checked beside their scan; beyond it they are joined by a shuffle.
 BLOCK = 50_000
 #: Distinct shingles (8 bytes each) that are sent to every task at once.  With more, rarity is counted by a shuffled join, and candidates are sought in blocks.
@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("doc_id", "key", spans.alias("spans"), F.sort_array(F.transform(F.array_distinct(F.flatten("found.items")), lambda i: i.cast("string"))).alias("item_ids"))
     hits = pin(scratch.table(found.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), merged["hit"].alias("hit"), "item_ids")))
     scratch.close()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAK_ANY_CASE), "")).cast("long").alias("n_words"))
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
