@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ SPACE = "▁"
 N_BEST = 4
 UNKNOWN_COST = 10.0
 LONG = 96  # chunks above this length go through the search one by one
-CACHE = 500_000
+CACHE = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 EDITS = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("edits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])))]))
 
@@ -64,6 +65,9 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.table[piece] = (model.get_score(i), i)
                 self.surface[i] = piece.replace(SPACE, " ").encode()
+        self.widths = np.array([len(x) for x in self.surface], dtype=np.int32)
+        self.places = np.cumsum(self.widths, dtype=np.int64) - self.widths
+        self.pool = np.frombuffer(b"".join(self.surface), dtype=np.uint8)
         self.longest = max(map(len, self.table))
         self.unknown = min(s for s, _ in self.table.values() if s > -1e8) - UNKNOWN_COST
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.table)
@@ -251,8 +255,23 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.surface[i] for i in ids])
-        return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """Texts of rows of ids, by gathering the bytes of all their pieces at once; null for null."""
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(rows), 0))
+        sizes = self.widths[ids].astype(np.int64)
+        ends = np.cumsum(sizes)
+        flat = self.pool[np.repeat(self.places[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        raw = flat.tobytes()
+        out = []
+        for a, b, some in zip(starts.tolist(), stops.tolist(), rows.is_valid().to_pylist()):
+            a += raw[a : a + 1] == b" " and b > a  # the space that encoding put in front
+            out.append(raw[a:b].decode("utf-8", "replace") if some else None)
+        return pa.array(out, pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -342,9 +361,9 @@ def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST, text: str = "te
         kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
         for whole in batches:
             a = 0
-            while a < len(whole):  # parts of about four million characters
+            while a < len(whole):  # parts of about two million characters
                 b, held = a, 0
-                while b < len(whole) and (b == a or held < 4_000_000):
+                while b < len(whole) and (b == a or held < 2_000_000):
                     held += len(whole.column(text)[b].as_py() or "")
                     b += 1
                 batch = whole.slice(a, b - a)
@@ -362,7 +381,8 @@ def decoded(tokens: Column, path: str = MODEL) -> Column:
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         table = pieces(path)
-        return pa.array([None if x is None else table.decode(x) for x in (y.as_py() for y in ids)], pa.string())
+        parts = [table.decode_all(ids.slice(a, 512)) for a in range(0, len(ids), 512)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode(tokens)
 
