@@ -55,7 +55,7 @@ def greedy_matches(pairs: DataFrame, left: str, right: str, order: list) -> Data
         first = rest.withColumns({"__l": F.row_number().over(w(left)), "__r": F.row_number().over(w(right))})
         now = cut(first.filter("__l = 1 and __r = 1").drop("__l", "__r"))
         taken = now if taken is None else taken.union(now)
-        rest = cut(rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
+        rest = cut(rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(*pairs.columns))
     return pairs.limit(0) if taken is None else taken
 
 
