@@ -47,14 +47,13 @@ def expanded(start: Column, end: Column, least: float, limit: Column) -> Column:
     return F.struct(F.when(short, a).otherwise(start).alias("start"), F.when(short, b).otherwise(end).alias("end"))
 
 
-def to_scenes(clips: DataFrame, scenes: DataFrame, keys: list[str], id_col: str, longest: float, shortest: float, reach: float = 2.0) -> DataFrame:
+def to_scenes(clips: DataFrame, scenes: DataFrame, keys: list[str], id_col: str, longest: float, shortest: float, reach: float = 2.0, width: float = 60.0) -> DataFrame:
     """Edges moved outward to scene changes less than ``reach`` away, unless the clip gets too long; too short clips go.
 
     ``scenes`` has the keys and ``scene``; sources with fewer than two distinct scenes stay as they are.
     """
     counts = scenes.filter("scene >= 0").groupBy(*keys).agg(F.count_distinct("scene").alias("__n")).filter("__n >= 2")
     points = scenes.join(counts.select(*keys), keys, "left_semi").filter("scene >= 0").distinct()
-    width = 60.0
     pairs = intervals.points_within(clips.select(*keys, id_col, (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), F.col("start").alias("s"), F.col("end").alias("e")), points, keys, "scene", width)
     edges = pairs.groupBy(*keys, id_col).agg(
         F.max(F.when((F.col("scene") <= F.col("s")) & (F.col("s") - F.col("scene") < reach), F.col("scene"))).alias("__a"), F.min(F.when((F.col("scene") >= F.col("e")) & (F.col("scene") - F.col("e") < reach), F.col("scene"))).alias("__b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import coerce, scoring, text, timecode
 from spanloom.operators import feedback, folds, performance, similarity
 from spanloom.plans import queries
+from spanloom.plans import reports  # noqa: F401
 
 
 def one(spark, *columns):
