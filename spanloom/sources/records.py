@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import coerce, text, timecode
 
+# The names that review exports, result caches and profile packs use.
 REVIEW_COLUMNS = (
     "clip_id", "editorial_key", "label", "decision", "review_status", "action", "duration_sec", "short_duration", "clip_duration", "duration", "format_id", "format", "visual_format", "editorial_family", "family", "hook_family", "hook",
     "headline_sanitized", "headline", "artwork_text", "title", "opening_pattern", "has_qa_bridge", "rejection_reason", "topic",

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import timecode
 
+# The columns of a run export.
 RUN_COLUMNS = ("live_id", "mode", "run_id", "candidates_n", "approved_n", "approval_rate", "edit_heavy_n", "rejected_favorability_n", "rejected_context_n", "seed_kept_n", "seeds_shown_n", "coice_confirmed_n", "coice_false_n", "time_to_review_min", "headline_accept_n", "notes")
 
 
