@@ -59,3 +59,29 @@ def possible_overlap(segments: DataFrame, key: str, slack: float) -> DataFrame:
     w = Window.partitionBy(key).orderBy("start", "turn")
     rows = segments.withColumn("__hit", F.coalesce(F.col("start") < F.lag("end").over(w) - slack, F.lit(False)))
     return rows.groupBy(key).agg(F.bool_or("__hit").alias("possible_overlap"))
+
+
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), "([^/]+)/*$", 1)
+
+
+def path_matches(files: DataFrame, names: DataFrame, path: str, name: str) -> DataFrame:
+    """Files whose path is a given name, or ends with a slash and that name; joined by the last part."""
+    x, y = files.withColumn("__b", base_name(F.col(path))), names.withColumn("__b", base_name(F.col(name)))
+    full = (F.col(path) == F.col(name)) | F.endswith(F.col(path), F.concat(F.lit("/"), F.col(name)))
+    return x.join(y, "__b").filter(full).drop("__b")
+
+
+def term_matches(rows: DataFrame, terms: DataFrame, column: str, term: str) -> DataFrame:
+    """Pairs where the folded text holds the term's words in a row: they meet by the term's first word, then the whole term decides."""
+    x = rows.withColumn("__t", text.collapsed(text.folded(F.col(column)))).withColumn("__w", F.explode(F.array_distinct(text.words(F.col("__t")))))
+    y = terms.withColumn("__k", text.collapsed(text.folded(F.col(term)))).filter("__k <> ''").withColumn("__w", F.get(text.words(F.col("__k")), F.lit(0)))
+    whole = F.contains(F.concat(F.lit(" "), F.col("__t"), F.lit(" ")), F.concat(F.lit(" "), F.col("__k"), F.lit(" ")))
+    return x.join(y, "__w").filter(whole).drop("__w", "__t", "__k")
+
+
+def supported(claim: Column, source: Column, least: int = 2, stem: int = 5) -> Column:
+    """Whether a generated line rests on its source: all its numbers are there, and two stems of its words."""
+    numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), 1))
+    stems = lambda c: F.array_distinct(F.transform(text.tokens(c, least=4), lambda t: F.left(t, F.lit(stem))))
+    return (F.size(F.array_except(numbers(claim), numbers(source))) == 0) & (F.size(F.array_intersect(stems(claim), stems(source))) >= least)

@@ -10,27 +10,30 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> Dat
     """``left, right, similarity`` of all distinct rows of similarity ``threshold`` or more, left < right.
 
     Tokens are ordered by how rare they are in the table.  Two sets that similar share
-    one of the first n - ceil(threshold * n) + 1 of them, so only these meet, and the
-    pair is taken where its first common token is; then the full sets decide.  Rows with
-    equal sets are joined as one class: ``jaccard_classes`` lists them, and their pairs
-    are not expanded here.  Empty sets match nothing.
+    one of the first n - ceil(threshold * n) + 1 of them, so only these meet; what
+    follows the first one they share must leave room enough, and then the full sets
+    decide.  Rows with equal sets are joined as one class: ``jaccard_classes`` lists
+    them, and their pairs are not expanded here.  Empty sets match nothing.
     """
     classes = jaccard_classes(df, key, tokens).select(F.col("class_id").alias(key), "set").distinct()
     long = classes.select(key, F.explode("set").alias("token"))
     rarity = long.groupBy("token").agg(F.count("*").alias("n"))
     ranked = long.join(rarity, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
     size = F.size("o")
-    ordered = ranked.select(key, F.col("o.token").alias("t"), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int").alias("prefix"))
-    heads = ordered.select(F.col(key).alias("id"), F.posexplode(F.slice("t", 1, F.col("prefix"))).alias("pos", "token"), F.size("t").alias("n"), "t")
-    sides = [heads.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "pos", "n", "t"))) for s in "xy"]
+    prefix = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+    heads = ranked.select(F.col(key).alias("id"), size.alias("n"), F.posexplode(F.slice("o.token", F.lit(1), prefix)).alias("pos", "token"))
+    sides = [heads.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "pos", "n"))) for s in "xy"]
     fits = (F.col("id_x") < F.col("id_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-9)
-    # the rest after the token bounds what both can have in common
+    # the tokens after a first common one bound what both can have in common
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     need = F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)
-    first = ~F.arrays_overlap(F.slice("t_x", F.lit(1), F.col("pos_x")), F.slice("t_y", F.lit(1), F.col("pos_y")))
-    pairs = sides[0].join(sides[1], "token").filter(fits & (room >= need)).filter(first)
-    common = F.size(F.array_intersect("t_x", "t_y"))
-    out = pairs.withColumn("similarity", common / (F.col("n_x") + F.col("n_y") - common))
+    met = sides[0].join(sides[1], "token").filter(fits).groupBy("id_x", "id_y").agg(F.min(F.struct("pos_x", room.alias("room"), need.alias("need"))).alias("first"))
+    # sets join only the pairs that are left
+    sets = classes.select(F.col(key).alias("id"), "set")
+    pairs = met.filter("first.room >= first.need").select("id_x", "id_y")
+    both = pairs.join(sets.select(F.col("id").alias("id_x"), F.col("set").alias("x")), "id_x").join(sets.select(F.col("id").alias("id_y"), F.col("set").alias("y")), "id_y")
+    common = F.size(F.array_intersect("x", "y"))
+    out = both.withColumn("similarity", common / (F.size("x") + F.size("y") - common))
     return out.filter(F.col("similarity") >= threshold - 1e-12).select(F.col("id_x").alias("left"), F.col("id_y").alias("right"), "similarity")
 
 

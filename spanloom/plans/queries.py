@@ -394,9 +394,15 @@ def fingerprint_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(met, "p_id", "left_anti").select(F.col("p_id").alias("event_id"))
 
 
-@query()
+@query(PAIRS + """, e AS (SELECT p_id, r_id, round(common / (greatest(p_end, r_end) - least(p_start, r_start)), 6) AS iou FROM pairs WHERE round(common / (greatest(p_end, r_end) - least(p_start, r_start)), 6) >= 0.1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY iou DESC, p_id, r_id) AS rn FROM e),
+walk AS (
+  WITH RECURSIVE w(n, used, took) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+    UNION ALL SELECT rn, CASE WHEN list_contains(used, 'p' || p_id) OR list_contains(used, 'r' || r_id) THEN used ELSE list_concat(used, ['p' || p_id, 'r' || r_id]) END, NOT (list_contains(used, 'p' || p_id) OR list_contains(used, 'r' || r_id)) FROM w JOIN o ON rn = n + 1)
+  SELECT n FROM w WHERE took)
+SELECT p_id, r_id, iou FROM o JOIN walk ON n = rn""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matches by IoU; held against a sequential walk in the tests."""
     p, r = _sides(spark, sf_dir)
     pairs = intervals.overlap_join(p, r, ["user_id"], ENDS, MINUTES).select("p_id", "r_id", F.round(intervals.iou(*map(F.col, ENDS)), 6).alias("iou")).filter("iou >= 0.1")
     return greedy.greedy_matches(pairs, "p_id", "r_id", [F.desc("iou"), "p_id", "r_id"])
@@ -557,15 +563,40 @@ def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.greedy_keep(best.withColumn("order", order), pairs, "class_id", "order").filter("kept").drop("kept", "order")
 
 
-@query()
+#: Eligible clips in rank order with the better ranked ones whose texts are near, and the walk that keeps what no kept one is near to.
+KEPT = f"""WITH {CLIPS}, g AS (SELECT *, {TOKENS} AS s FROM clips WHERE len({GATES}) = 0), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rn FROM g),
+t AS (SELECT rn, unnest(s) AS w FROM o), c AS (SELECT x.rn AS worse, y.rn AS better, count(*) AS common FROM t x JOIN t y ON x.w = y.w AND y.rn < x.rn GROUP BY ALL),
+n AS MATERIALIZED (SELECT worse, list(better) AS near FROM c JOIN o a ON a.rn = worse JOIN o b ON b.rn = better WHERE common / (len(a.s) + len(b.s) - common) >= 0.86 GROUP BY worse),
+r AS MATERIALIZED (SELECT o.rn, coalesce(near, CAST([] AS BIGINT[])) AS near FROM o LEFT JOIN n ON worse = o.rn),
+walk AS (
+  WITH RECURSIVE w(n, kept, took) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false
+    UNION ALL SELECT rn, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, rn) ELSE kept END, len(list_intersect(kept, near)) = 0 FROM w JOIN r ON rn = n + 1)
+  SELECT n FROM w WHERE took),
+k AS MATERIALIZED (SELECT o.*, row_number() OVER (ORDER BY o.rn) AS kn FROM o JOIN walk ON walk.n = o.rn)"""
+
+
+@query(KEPT + f", cl AS (SELECT {TOKENS} AS s, min(doc_id) AS class_id FROM g GROUP BY 1) SELECT doc_id, class_id FROM k JOIN cl USING (s)")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a sequential walk in the tests."""
     return eligible(spark, sf_dir).select("doc_id", "class_id")
 
 
-@query()
+@query(KEPT + """, pick AS (
+  WITH RECURSIVE w(n, got, late) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(d BIGINT, s VARCHAR, f VARCHAR)[]), CAST([] AS STRUCT(d BIGINT, s VARCHAR, f VARCHAR)[])
+    UNION ALL SELECT kn,
+      CASE WHEN len(got) < 50 AND len(list_filter(got, lambda x: x.s = source_id)) < 8 AND len(list_filter(got, lambda x: x.f = family)) < 14 THEN list_append(got, {'d': doc_id, 's': source_id, 'f': family}) ELSE got END,
+      CASE WHEN len(got) < 50 AND len(list_filter(got, lambda x: x.s = source_id)) < 8 AND len(list_filter(got, lambda x: x.f = family)) >= 14 THEN list_append(late, {'d': doc_id, 's': source_id, 'f': family}) ELSE late END
+    FROM w JOIN k ON kn = w.n + 1)
+  SELECT got, late FROM w ORDER BY n DESC LIMIT 1),
+relaxed AS (
+  WITH RECURSIVE w(n, got, late) AS (
+    SELECT CAST(0 AS BIGINT), got, CASE WHEN len(got) < 39 THEN late ELSE late[1:0] END FROM pick
+    UNION ALL SELECT n + 1, CASE WHEN len(got) < 50 AND len(list_filter(got, lambda x: x.s = late[n + 1].s)) < 8 THEN list_append(got, late[n + 1]) ELSE got END, late FROM w WHERE n < len(late))
+  SELECT got FROM w ORDER BY n DESC LIMIT 1)
+SELECT doc_id, source_id, family, potential FROM clips WHERE doc_id IN (SELECT unnest(got).d FROM relaxed)""")
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily portfolio: gates, greedy text dedupe, caps; held against a sequential walk in the tests."""
+    """The daily portfolio: gates, greedy text dedupe, caps."""
     rows = eligible(spark, sf_dir)
     # a rank as one number: higher potential, higher context, shorter, smaller id first
     rank = ((100 - F.col("potential")) * 101 + (100 - F.col("context"))) * 1000 + F.col("duration")
@@ -631,17 +662,51 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(s, "conv_id", ["start", "turn"], folds.sentences(), folds.SENTENCE)
 
 
-@query()
-def build_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir)
+#: The same folds as walks over the n-th segment of every conversation at once.
+SAID = f"""WITH {SEGMENTS}, v AS MATERIALIZED (SELECT conv_id, start / 1000 AS a, "end" / 1000 AS b, coalesce(text, '') AS t, trim(coalesce(speaker, '')) AS sp, row_number() OVER (PARTITION BY conv_id ORDER BY start, turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM segments WHERE "end" > start),
+said AS (
+  WITH RECURSIVE w(conv_id, n, a, b, t, k, sp, o) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), '', 0, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(a DOUBLE, b DOUBLE, t VARCHAR, k INTEGER, sp VARCHAR[])[]) FROM v
+    UNION ALL
+    SELECT conv_id, n, CASE WHEN shut THEN NULL ELSE a END, b, CASE WHEN shut THEN '' ELSE t END, CASE WHEN shut THEN 0 ELSE k END, CASE WHEN shut THEN [] ELSE sp END,
+      CASE WHEN (shut OR n = total) AND trim(t, E' \n\t') <> '' THEN list_append(o, {{'a': a, 'b': b, 't': trim(t, E' \n\t'), 'k': k, 'sp': sp}}) ELSE o END
+    FROM (SELECT *, b - a >= 30 OR (regexp_matches(trim(t, E' \n\t'), '[.!?]$') AND len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) >= 5) AS shut FROM (
+      SELECT v.conv_id, v.n, total, CASE WHEN w.k = 0 OR v.a - w.b > 0.8 THEN v.a ELSE w.a END AS a, v.b, CASE WHEN w.k = 0 OR v.a - w.b > 0.8 THEN v.t ELSE w.t || ' ' || v.t END AS t, CASE WHEN w.k = 0 OR v.a - w.b > 0.8 THEN 1 ELSE w.k + 1 END AS k,
+        list_filter(CASE WHEN w.k = 0 OR v.a - w.b > 0.8 THEN [v.sp] WHEN list_contains(w.sp, v.sp) THEN w.sp ELSE list_append(w.sp, v.sp) END, lambda x: x <> '') AS sp,
+        CASE WHEN w.k > 0 AND v.a - w.b > 0.8 AND trim(w.t, E' \n\t') <> '' THEN list_append(w.o, {{'a': w.a, 'b': w.b, 't': trim(w.t, E' \n\t'), 'k': w.k, 'sp': w.sp}}) ELSE w.o END AS o
+      FROM w JOIN v ON v.conv_id = w.conv_id AND v.n = w.n + 1)))
+  SELECT conv_id, unnest(o) AS x FROM w WHERE (conv_id, n) IN (SELECT conv_id, max(n) FROM v GROUP BY conv_id))"""
 
 
-@query()
+@query(SAID + " SELECT conv_id, x.a AS start, x.b AS \"end\", x.t AS text, x.k AS n_segments, array_to_string(x.sp, ',') AS speakers FROM said")
+def build_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("conv_id", "start", "end", "text", "n_segments", F.array_join("speakers", ",").alias("speakers"))
+
+
+@query(SAID + """, s AS MATERIALIZED (SELECT conv_id, x.a AS a, x.b AS b, x.t AS t, row_number() OVER (PARTITION BY conv_id ORDER BY x.a, x.b) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM said),
+made AS (
+  WITH RECURSIVE w(conv_id, n, a, t, k, i, done) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), '', 0, 0, CAST(NULL AS STRUCT(i INTEGER, a DOUBLE, b DOUBLE, k INTEGER, t VARCHAR)) FROM s
+    UNION ALL
+    SELECT conv_id, n, CASE WHEN shut THEN NULL ELSE a END, CASE WHEN shut THEN '' ELSE t END, CASE WHEN shut THEN 0 ELSE k END, CASE WHEN shut THEN i + 1 ELSE i END, CASE WHEN shut THEN {'i': i, 'a': a, 'b': b, 'k': k, 't': t} END
+    FROM (SELECT *, b - a >= 30 OR (b - a >= 18 AND regexp_matches(last, '[.!?]$')) OR n = total AS shut FROM (
+      SELECT s.conv_id, s.n, total, coalesce(w.a, s.a) AS a, s.b, CASE WHEN w.k = 0 THEN s.t ELSE w.t || ' ' || s.t END AS t, w.k + 1 AS k, w.i, s.t AS last FROM w JOIN s ON s.conv_id = w.conv_id AND s.n = w.n + 1)))
+  SELECT conv_id, done FROM w WHERE done IS NOT NULL)
+SELECT conv_id, done.i AS index, done.a AS start, done.b AS "end", done.k AS n_sentences, done.t AS text FROM made""")
 def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(_sentences(spark, sf_dir), "conv_id", ["start", "end"], folds.blocks(), folds.BLOCK)
 
 
-@query()
+@query(f"""WITH {SEGMENTS}, v AS MATERIALIZED (SELECT conv_id, start / 1000 AS a, "end" / 1000 AS b, rtrim(coalesce(text, ''), E' \n\t') AS t, coalesce(speaker, '') AS sp, row_number() OVER w AS n, lead(start / 1000) OVER w AS na, lead(coalesce(speaker, '')) OVER w AS nsp FROM segments WINDOW w AS (PARTITION BY conv_id ORDER BY start, turn)),
+made AS (
+  WITH RECURSIVE w(conv_id, n, first, a, i, done) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), 0, CAST(NULL AS STRUCT(i INTEGER, a DOUBLE, b DOUBLE, x BIGINT, y BIGINT)) FROM v
+    UNION ALL
+    SELECT conv_id, n, CASE WHEN shut THEN n ELSE first END, CASE WHEN shut THEN NULL ELSE a END, CASE WHEN shut THEN i + 1 ELSE i END, CASE WHEN shut AND i < 120 THEN {{'i': i, 'a': a, 'b': b, 'x': first, 'y': n - 1}} END
+    FROM (SELECT *, na IS NULL OR greatest(0, na - b) >= 8 OR b - a >= 180 OR (b - a >= 85 AND (regexp_matches(t, '[.!?]$') OR greatest(0, na - b) >= 1 OR (sp <> '' AND nsp <> '' AND sp <> nsp))) AS shut FROM (
+      SELECT v.conv_id, v.n, w.first, coalesce(w.a, v.a) AS a, v.b, w.i, t, sp, na, nsp FROM w JOIN v ON v.conv_id = w.conv_id AND v.n = w.n + 1)))
+  SELECT conv_id, done FROM w WHERE done IS NOT NULL)
+SELECT conv_id, done.i AS index, done.a AS start, done.b AS "end", CAST(done.x AS INTEGER) AS segment_start, CAST(done.y AS INTEGER) AS segment_end, false AS has_qa_bridge FROM made""")
 def build_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.segments(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
     return folds.fold(s, "conv_id", ["start", "turn"], folds.chapters(), folds.CHAPTER)

@@ -170,3 +170,39 @@ def tolerant_json(raw: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), "[“”]", '"')
     inside = F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_replace(inside, r",\s*([\]}])", "$1")))
+
+
+def api_items(spark: SparkSession, path: str, list_path: str = "$.items", cursor: str = "$.next_max_id") -> DataFrame:
+    """``file, cursor, item_id, taken_at, caption, likes, comments, views`` of paged JSON answers; an item is kept once, from the first file that has it."""
+    pages = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    rows = pages.select("file", F.try_variant_get("v", cursor, "string").alias("cursor"), F.explode(F.try_variant_get("v", list_path, "array<variant>")).alias("i"))
+    get = lambda kind, *paths: F.coalesce(*(F.try_variant_get("i", p, kind) for p in paths))
+    out = rows.select(
+        "file", "cursor", get("string", "$.code", "$.shortcode", "$.id").alias("item_id"), F.timestamp_seconds(get("bigint", "$.taken_at", "$.taken_at_timestamp")).alias("taken_at"), get("string", "$.caption.text", "$.caption").alias("caption"),
+        get("bigint", "$.like_count", "$.likes.count").alias("likes"), get("bigint", "$.comment_count", "$.comments.count").alias("comments"), get("bigint", "$.play_count", "$.view_count", "$.video_view_count").alias("views"),
+    )
+    rest = [c for c in out.columns if c != "item_id"]
+    return out.filter("item_id is not null").groupBy("item_id").agg(F.min_by(F.struct(*rest), "file").alias("r")).select("item_id", "r.*")
+
+
+def replicated(priors: DataFrame, count: str, most: int = 20) -> DataFrame:
+    """Aggregate priors as single observations: each row as often as its count says, once at least and ``most`` times at most."""
+    n = F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(F.col(count).cast("int"), F.lit(1))))
+    return priors.withColumn("observation", F.explode(F.sequence(F.lit(1), n)))
+
+
+def highlights(value: Column, most: int = 20) -> Column:
+    """Valid intervals of an array of (start, end, label), in order, the first ``most``."""
+    return F.slice(F.filter(value, lambda h: (h["start"] >= 0) & (h["end"] > h["start"])), 1, most)
+
+
+def source_key(value: Column) -> Column:
+    """The 11-character video id of a link, else the text in lower case."""
+    found = F.regexp_extract(F.coalesce(value, F.lit("")), r"(?:v=|youtu\.be/|shorts/|live/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lower(F.trim(F.coalesce(value, F.lit("")))))
+
+
+def preview_url(url: Column, start: Column) -> Column:
+    """A link with its start in whole seconds as t=, where it has a video id."""
+    key = source_key(url)
+    return F.when(F.length(key) == 11, F.concat(F.lit("https://www.youtube.com/watch?v="), key, F.lit("&t="), F.floor(start).cast("string"), F.lit("s"))).otherwise(url)

@@ -115,3 +115,20 @@ def test_subtitles_and_runs(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "runs"), header=True).first()["candidates_n"] == "2"
     sinks.write_texts(sinks.timestamped_lines(rows, "id"), "id", str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).count() == 2
+
+
+def test_api_paths_terms_and_support(spark, tmp_path):
+    from spanloom.operators import reports
+
+    (tmp_path / "1.json").write_text(json.dumps({"items": [{"code": "a", "taken_at": 0, "caption": {"text": "hi"}, "like_count": 3}, {"code": "b", "caption": "yo", "play_count": 9}], "next_max_id": "n"}))
+    (tmp_path / "2.json").write_text(json.dumps({"items": [{"code": "a", "like_count": 7}]}))
+    out = {r["item_id"]: (r["likes"], r["caption"], r["views"], r["cursor"]) for r in records.api_items(spark, str(tmp_path)).collect()}
+    assert out == {"a": (3, "hi", None, "n"), "b": (None, "yo", 9, "n")}
+    assert records.replicated(spark.createDataFrame([(3,), (99,), (None,)], "n long"), "n").count() == 24
+    row = spark.range(1)
+    assert row.select(records.source_key(F.lit("https://youtu.be/abcdefghijk?x")), records.source_key(F.lit(" Some Name ")), records.preview_url(F.lit("https://www.youtube.com/watch?v=abcdefghijk"), F.lit(12.9))).first()[0:3] == ("abcdefghijk", "some name", "https://www.youtube.com/watch?v=abcdefghijk&t=12s")
+    files = spark.createDataFrame([("/x/a.mp4",), ("a.mp4",), ("/x/ba.mp4",)], "path string")
+    assert reports.path_matches(files, spark.createDataFrame([("a.mp4",)], "name string"), "path", "name").count() == 2
+    found = reports.term_matches(spark.createDataFrame([(1, "Ação social now"), (2, "acao x social")], "id long, t string"), spark.createDataFrame([("acao SOCIAL",), ("",)], "k string"), "t", "k")
+    assert [r["id"] for r in found.collect()] == [1]
+    assert row.select(reports.supported(F.lit("School budget fell 50"), F.lit("The school budgets fell by 50 percent")), reports.supported(F.lit("School budget fell 60"), F.lit("The school budgets fell by 50"))).first()[0:2] == (True, False)
