@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from .common import read
 #: At most so many labelled documents are fetched to fit the model: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
 #: Preference pairs drawn for each labelled document of the rarer label, and in all.
-PAIRS_EACH, MAX_PAIRS = 40, 200_000
+PAIRS_EACH, MAX_PAIRS = 40, 40_000
 KNOTS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)
 THRESHOLD = 0.3
 
@@ -86,15 +86,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40) -> np.ndarray:
-    """Weights of least logistic loss with a ridge penalty, by Newton's steps."""
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(x.shape[1])
+def _logistic(z: np.ndarray, better: np.ndarray, worse: np.ndarray, penalty: float, steps: int = 25, block: int = 4096) -> np.ndarray:
+    """Weights of least logistic loss over pairs of rows of z, with a ridge penalty, by Newton's steps; differences are made a block at a time."""
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - penalty * w)
+        slope, curve = -penalty * w, penalty * np.eye(z.shape[1])
+        for a in range(0, len(better), block):
+            x = z[better[a : a + block]] - z[worse[a : a + block]]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (1 - p)
+            curve += (x * (p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(curve, slope)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -115,9 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     z = model.bent(x)
     rng = np.random.default_rng(seed)
     count = min(MAX_PAIRS, PAIRS_EACH * min(len(good), len(bad)))
-    i, j = rng.choice(good, count), rng.choice(bad, count)
-    sign = np.where(np.arange(count) % 2 == 0, 1.0, -1.0)
-    model.weights = _logistic((z[i] - z[j]) * sign[:, None], (sign > 0).astype(float), penalty=0.002 * count)
+    model.weights = _logistic(z, rng.choice(good, count), rng.choice(bad, count), penalty=0.002 * count)
     s = model.strength(x)
     model.cut = float(np.quantile(s, len(bad) / (len(good) + len(bad))))
     model.slope = 1.0
@@ -134,12 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).join(F.broadcast(known), "doc_id")  # at most TRAIN_ROWS ids
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
+            x = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), x], names=["doc_id", "quality", "x"])
 
-    found = texts.mapInPandas(measured, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", "x").toPandas()
-    return fit(np.array(found["x"].tolist(), dtype=float), found["quality"].to_numpy())
+    found = texts.select("doc_id", "quality", "text").mapInArrow(measured, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", "x").toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0)
+    return fit(x, found.column("quality").to_numpy())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,10 +153,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(model)  # 600 numbers
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts]).reshape(-1, len(NAMES))
-        return pd.Series(model.value.score(x))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [np.empty(0)]
+        for a in range(0, len(texts), 1000):
+            x = np.array([features(t.as_py()) for t in texts.slice(a, 1000)])
+            out.append(model.value.score(x.reshape(-1, len(NAMES))))
+        return pa.array(np.concatenate(out))
 
     return docs.withColumn("score", score(F.col("`text`"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
