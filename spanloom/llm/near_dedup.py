@@ -54,7 +54,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for repeated ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -90,9 +90,15 @@ def minima(found: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in _parts(batches):
         n, fps, lows = [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py(), hashes)
@@ -111,7 +117,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in _parts(batches):
         out = np.zeros((len(batch), BITS // 64), dtype=np.int64)
         for i, text in enumerate(batch.column("text")):
             low = minima(shingles(text.as_py(), hashes), _SIGNED)
@@ -124,7 +130,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of the full sets of each pair."""
     hashes = WordHashes()
     last_id, last = None, None
-    for batch in batches:
+    for batch in _parts(batches):
         common, total = [], []
         for b, x, y in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
             one = shingles(x.as_py(), hashes)
