@@ -54,10 +54,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, the scores of its best segmentations, and whether the ids decode to its text."""
-    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
-    back = pieces.decoded(F.col("token_ids")) == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), verify=True)
     scores = F.transform("n_best", lambda x: x["score"])
-    return out.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), scores.alias("scores"), back.alias("round_trip"))
+    return out.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), scores.alias("scores"), "round_trip")
 
 
 STAGES = [

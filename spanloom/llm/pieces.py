@@ -38,7 +38,7 @@ SPACE = "▁"
 N_BEST = 4
 UNKNOWN_COST = 10.0
 LONG = 96  # chunks above this length go through the search one by one
-CACHE = 400_000
+CACHE = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 EDITS = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("edits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])))]))
 
@@ -345,31 +345,39 @@ class _Encoder:
         return out
 
 
-def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (the best segmentation) and ``n_best``.
+def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST, text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids`` (the best segmentation) and ``n_best``; to ``verify`` adds ``round_trip``.
+
+    ``round_trip`` says whether the ids decode to the text, with spaces for U+2581.
 
     ``n_best`` has up to n segmentations, the best first: score, and the edits (spans
     of token_ids and what stands there instead) that make it from the best.  A null or
     empty text has no tokens and one empty segmentation of score 0.  All other columns
     pass through; existing ones of these names are replaced.
     """
-    rest = docs.drop("token_ids", "n_best")
-    schema = T.StructType([*rest.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", EDITS)])
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", EDITS), *[T.StructField("round_trip", T.BooleanType())] * verify]
+    rest = docs.drop(*(f.name for f in added))
+    schema = T.StructType([*rest.schema.fields, *added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path, n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
         for whole in batches:
             a = 0
-            while a < len(whole):  # parts of about two million characters
+            while a < len(whole):  # parts of about a million characters
                 b, held = a, 0
-                while b < len(whole) and (b == a or held < 2_000_000):
+                while b < len(whole) and (b == a or held < 1_000_000):
                     held += len(whole.column(text)[b].as_py() or "")
                     b += 1
                 batch = whole.slice(a, b - a)
-                counts, ids, ranked = encoder.encode(batch.column(text).to_pylist())
+                texts = batch.column(text).to_pylist()
+                counts, ids, ranked = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(ranked, kind)], names=[*batch.schema.names, "token_ids", "n_best"])
+                found = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(ranked, kind)]
+                if verify:
+                    back = encoder.pieces.decode_all(found[0])
+                    found.append(pa.array([x.as_py() == (t or "").replace(SPACE, " ") for x, t in zip(back, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[f.name for f in schema])
                 a = b
 
     return rest.mapInArrow(encode, schema)
