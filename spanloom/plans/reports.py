@@ -132,22 +132,45 @@ def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.srt_text(s, "conv_id").select("conv_id", F.sha2("body", 256).alias("body_sha"))
 
 
-@query()
+@query(f"""WITH {intervals_sql("p", "click")}, {intervals_sql("r", "purchase")}, e AS (
+  SELECT p.user_id, p.user_id || '/' || p.event_id AS p_id, r.user_id || '/' || r.event_id AS r_id, round((least(p."end", r."end") - greatest(p.start, r.start)) / (greatest(p."end", r."end") - least(p.start, r.start)), 6) AS iou, abs(p.start - r.start) AS a, abs(p."end" - r."end") AS b
+  FROM p JOIN r ON p.user_id = r.user_id AND p.start < r."end" AND r.start < p."end"),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY iou DESC, p_id, r_id) AS rn FROM e WHERE iou >= 0.1),
+walk AS (
+  WITH RECURSIVE w(n, used, took) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+    UNION ALL SELECT rn, CASE WHEN list_contains(used, 'p' || p_id) OR list_contains(used, 'r' || r_id) THEN used ELSE list_concat(used, ['p' || p_id, 'r' || r_id]) END, NOT (list_contains(used, 'p' || p_id) OR list_contains(used, 'r' || r_id)) FROM w JOIN o ON rn = w.n + 1)
+  SELECT n FROM w WHERE took),
+m AS (SELECT user_id, count(*) AS matched, round(avg(a), 3) AS mean_start_error, round(avg(b), 3) AS mean_end_error, round(median(a), 3) AS median_start_error, round(avg(iou), 6) AS mean_iou, round(avg(CASE WHEN a <= 600000 AND b <= 600000 THEN 1 ELSE 0 END), 6) AS hit_rate FROM o JOIN walk ON walk.n = rn GROUP BY user_id)
+SELECT user_id, x.n AS "references", coalesce(y.n, 0) AS predictions, coalesce(matched, 0) AS matched, mean_start_error, mean_end_error, median_start_error, mean_iou, hit_rate, coalesce(round(coalesce(matched, 0) / y.n, 6), 0.0) AS precision, round(coalesce(matched, 0) / x.n, 6) AS recall
+FROM (SELECT user_id, count(*) AS n FROM r GROUP BY 1) x LEFT JOIN (SELECT user_id, count(*) AS n FROM p GROUP BY 1) y USING (user_id) LEFT JOIN m USING (user_id)""")
 def evaluate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy matching of each user's clicks against purchases; the operator is held against literals in the tests."""
+    """Greedy matching of each user's clicks against purchases."""
     p = views.intervals(spark, sf_dir, "click").withColumnRenamed("event_id", "id")
     r = views.intervals(spark, sf_dir, "purchase").withColumnRenamed("event_id", "id")
     return clips.evaluation(p, r, ["user_id"], threshold=0.1, tolerance=600_000, width=MINUTES)
 
 
-@query()
+@query(f"""WITH {CLIPS}, o AS MATERIALIZED (SELECT doc_id, source_id, start, "end", decision, CAST(potential AS DOUBLE) AS score, list_distinct({WORDS.format(FOLD)}) AS w, row_number() OVER (ORDER BY potential DESC, doc_id) AS rn FROM clips),
+q AS MATERIALIZED (
+  SELECT y.rn AS worse, x.rn AS better, (least(x."end", y."end") - greatest(x.start, y.start)) / least(x."end" - x.start, y."end" - y.start) AS lap, CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0 ELSE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) END * 80.0 AS alike
+  FROM o x JOIN o y ON x.source_id = y.source_id AND x.rn < y.rn AND x.start < y."end" AND y.start < x."end"),
+z AS MATERIALIZED (SELECT worse, better, greatest(lap * 100.0, alike) AS penalty FROM q),
+r AS MATERIALIZED (SELECT rn, coalesce(near, CAST([] AS BIGINT[])) AS near FROM o LEFT JOIN (SELECT worse, list(better) AS near FROM z WHERE penalty >= 70 GROUP BY worse) ON worse = rn),
+walk AS MATERIALIZED (
+  WITH RECURSIVE w(n, kept, took) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false
+    UNION ALL SELECT rn, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, rn) ELSE kept END, len(list_intersect(kept, near)) = 0 FROM w JOIN r ON rn = w.n + 1)
+  SELECT n FROM w WHERE took),
+m AS (SELECT worse, max(penalty) AS penalty FROM z JOIN walk ON walk.n = better GROUP BY worse)
+SELECT doc_id, source_id, CASE WHEN coalesce(penalty, 0) >= 35 THEN greatest(0, floor(score - penalty * 0.12)) ELSE score END AS score, round(coalesce(penalty, 0.0), 6) AS penalty FROM o JOIN walk ON walk.n = rn LEFT JOIN m ON worse = rn""")
 def diversity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of a source thinned by overlap, text and topic; the operator is held against literals in the tests."""
+    """Clips of a source thinned by overlap and text."""
     c = views.clips(spark, sf_dir).withColumn("topic", F.lit(""))
     rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
     rows = rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
     pairs = clips.diversity_pairs(rows, "source_id", "doc_id", ("decision",), width=60.0)
-    return clips.diversified(rows, pairs, "doc_id", "rank", "score").select("doc_id", "source_id", "score", "penalty")
+    return clips.diversified(rows, pairs, "doc_id", "rank", "score").select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
 
 
 @query()
