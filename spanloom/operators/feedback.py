@@ -52,10 +52,10 @@ def review_counts(parents: DataFrame, children: DataFrame, key: str, status: str
 def factor_deltas(reviews: DataFrame, factors: str, decision: str) -> DataFrame:
     """Mean of each factor among approved less among rejected, for factors that all reviews have."""
     long = reviews.filter(F.col(decision).isin("approved", "rejected")).select(decision, F.explode(factors).alias("factor", "value"))
-    totals = reviews.filter(F.col(decision).isin("approved", "rejected")).agg(F.count("*").alias("n_all"))
+    total = reviews.filter(F.col(decision).isin("approved", "rejected")).agg(F.count("*"))
     a, r = F.avg(F.when(F.col(decision) == "approved", F.col("value"))), F.avg(F.when(F.col(decision) == "rejected", F.col("value")))
     out = long.groupBy("factor").agg(F.round(a - r, 2).alias("delta"), F.count("*").alias("n"))
-    return out.join(F.broadcast(totals), F.col("n") == F.col("n_all")).select("factor", "delta", "n")  # one row is sent
+    return out.filter(F.col("n") == total.scalar()).select("factor", "delta", "n")
 
 
 def eligibility(reviews: DataFrame, decision: str, least: int = 12, each: int = 3) -> DataFrame:
@@ -74,10 +74,9 @@ def origin_lift(reviews: DataFrame, origin: str, decision: str) -> DataFrame:
     """Smoothed approval rate of each origin against all, in points within 20; only from four reviews and two of each outcome."""
     rows = reviews.filter(F.col(decision).isin("approved", "rejected"))
     rate = lambda a, n: F.round((a + 1) / (n + 2), 4)
-    overall = rows.agg(rate(F.count_if(F.col(decision) == "approved"), F.count("*")).alias("overall"))
+    overall = rows.agg(rate(F.count_if(F.col(decision) == "approved"), F.count("*")))
     out = rows.groupBy(origin).agg(F.count_if(F.col(decision) == "approved").alias("approved"), F.count_if(F.col(decision) == "rejected").alias("rejected"))
-    out = out.crossJoin(F.broadcast(overall))  # one row
-    out = out.withColumns({"rate": rate(F.col("approved"), F.col("approved") + F.col("rejected")), "enough": (F.col("approved") + F.col("rejected") >= 4) & (F.col("approved") >= 2) & (F.col("rejected") >= 2)})
+    out = out.withColumns({"overall": overall.scalar(), "rate": rate(F.col("approved"), F.col("approved") + F.col("rejected")), "enough": (F.col("approved") + F.col("rejected") >= 4) & (F.col("approved") >= 2) & (F.col("rejected") >= 2)})
     lift = F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (F.col("rate") - F.col("overall")) * 100)), 2)
     return out.withColumn("lift", F.when(F.col("enough"), lift).otherwise(0.0)).drop("overall")
 
@@ -109,8 +108,7 @@ def feature_prior(reviews: DataFrame, decision: str, seconds: str) -> DataFrame:
 def shares(df: DataFrame, name: str, digits: int = 3) -> DataFrame:
     """Each value's share of all rows."""
     counts = df.groupBy(F.coalesce(name, F.lit("unknown")).alias(name)).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select(name, "n", F.round(F.col("n") / F.col("__total"), digits).alias("share"))  # one row
+    return counts.select(name, "n", F.round(F.col("n") / df.agg(F.count("*")).scalar(), digits).alias("share"))
 
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -132,18 +130,18 @@ def family_prior(df: DataFrame, family: str, value: str, confidence: Column | No
 
 def relative_signal(priors: DataFrame, family: str, median: str) -> DataFrame:
     """50 for a family at the median of all, bent by log1p of the ratio, within 42 and 58."""
-    base = priors.filter(F.col(median) > 0).agg(F.median(F.greatest(F.lit(1.0), median)).alias("__base"))
-    ratio = F.greatest(F.lit(1.0), F.col(median)) / F.coalesce("__base", F.lit(1.0))
+    base = priors.filter(F.col(median) > 0).agg(F.median(F.greatest(F.lit(1.0), median)))
+    ratio = F.greatest(F.lit(1.0), F.col(median)) / F.coalesce(base.scalar(), F.lit(1.0))
     signal = F.greatest(F.lit(42.0), F.least(F.lit(58.0), 50.0 + (F.log1p(ratio) - 0.7) * 8.0))
-    return priors.crossJoin(F.broadcast(base)).select(family, F.round(signal, 1).alias("signal"))  # one row
+    return priors.select(family, F.round(signal, 1).alias("signal"))
 
 
 def recommended_format(df: DataFrame, topic: str, kind: str, least_topic: int = 2, least_all: int = 4) -> DataFrame:
     """The most approved format of each topic if it has enough, else the most approved of all."""
-    pick = lambda rows: F.max_by(F.struct(kind, "n"), F.struct("n", F.col(kind))).alias("best")
+    best = F.max_by(F.struct(kind, "n"), F.struct("n", F.col(kind))).alias("best")
     by_topic = df.groupBy(topic, kind).agg(F.count("*").alias("n"))
-    overall = df.groupBy(kind).agg(F.count("*").alias("n")).agg(pick(None)).select(F.col(f"best.{kind}").alias("__all"), F.col("best.n").alias("__n"))
-    best = by_topic.groupBy(topic).agg(pick(None)).crossJoin(F.broadcast(overall))  # one row
+    overall = df.groupBy(kind).agg(F.count("*").alias("n")).agg(best)
+    best = by_topic.groupBy(topic).agg(best).withColumn("__o", overall.scalar()).withColumns({"__all": F.col(f"__o.{kind}"), "__n": F.col("__o.n")})
     chosen = F.when(F.col("best.n") >= least_topic, F.col(f"best.{kind}")).when(F.col("__n") >= least_all, F.col("__all"))
     basis = F.when(F.col("best.n") >= least_topic, "topic").when(F.col("__n") >= least_all, "overall").otherwise("none")
     return best.select(topic, chosen.alias("format"), basis.alias("basis"))

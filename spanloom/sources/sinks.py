@@ -15,8 +15,8 @@ RUN_COLUMNS = ("live_id", "mode", "run_id", "candidates_n", "approved_n", "appro
 def write_features(accepted: DataFrame, counts: DataFrame, errors: DataFrame, folder: str, most_errors: int = 500) -> None:
     """JSON lines of the accepted rows, and one manifest row with counts and the first errors."""
     accepted.write.mode("overwrite").json(f"{folder}/features")
-    first = errors.filter("reason is not null").orderBy("line").limit(most_errors).agg(F.collect_list(F.struct("line", "clip_id", "reason")).alias("errors"))
-    counts.crossJoin(first).write.mode("overwrite").json(f"{folder}/manifest")
+    first = errors.filter("reason is not null").orderBy("line").limit(most_errors).agg(F.collect_list(F.struct("line", "clip_id", "reason")))
+    counts.withColumn("errors", first.scalar()).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def run_row(rows: DataFrame, live_id: str, mode: str, run_id: str) -> DataFrame:
