@@ -55,6 +55,12 @@ def test_archives_round_trip(spark):
     assert found == sorted(expected, key=repr)
 
 
+def test_revisits_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    pages = spark.createDataFrame([(i, "u", "x" * 1200) for i in range(3)], "page_id long, url string, html string")
+    assert {(r["page_id"], r["owner"]) for r in warc.with_revisits(pages).collect()} == {(0, 2), (1, 2), (2, None)}
+
+
 def test_archives_of_nothing(spark):
     scratch = Scratch(spark, "test")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -99,3 +99,9 @@ def test_components(spark, edges, expected):
     out = connected_components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()
     assert {r["id"]: r["component"] for r in out} == expected and len(out) == len(expected)
     scratch.close()
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    rows = mixed_rows(5)[:90]
+    assert found(spark, rows) == brute(rows)
