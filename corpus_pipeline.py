@@ -36,12 +36,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).filter("contaminated")
-    gone = pin(found.select("doc_id", "n_words", "n_hit").distinct())
+    """Contaminated rows go; other rows of their id, or without id as they are, stay if their own text is clean."""
+    found = decontaminate.judged(docs, read(spark, sf_dir, "benchmark")).filter("contaminated")
+    gone = pin(found.select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct())
     few = gone.count() <= near_dedup.BROADCAST_IDS
-    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    same = F.col("`doc_id`").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("`text`") == F.col("__gone_key"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

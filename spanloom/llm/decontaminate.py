@@ -97,7 +97,12 @@ def contained_windows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` for each row of ``doc_id, text``.
+    """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` for each row of ``doc_id, text``; see ``judged``."""
+    return judged(docs, benchmark).drop("key")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with ``key``, xxhash64 of the text: with doc_id it says which of an id's rows are meant.
 
     ``n_hit`` counts words inside any occurrence of a 13-word window of an item (or
     of a shorter item as a whole).  Contaminated: hit, and a twentieth of the words
@@ -119,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,16 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_decontaminate_stage_judges_each_row_by_its_text(spark, monkeypatch):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 13").first()["text"]
+    rows = [(None, item), (None, "clean words without an id"), (None, None), (5, item), (5, "clean words of a repeated id"), (5, "clean words of a repeated id"), (6, item), (6, item), (7, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = sorted((r for r in rows if r[1] != item), key=repr)
+    assert sorted(map(tuple, corpus_pipeline.decontaminate_stage(spark, docs, SF).collect()), key=repr) == clean
+    monkeypatch.setattr(corpus_pipeline.near_dedup, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, corpus_pipeline.decontaminate_stage(spark, docs, SF).collect()), key=repr) == clean
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and set(out.columns) >= {"doc_id", "token_ids", "n_tokens"}
