@@ -118,12 +118,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in _parts(batches):
-        out = np.zeros((len(batch), BITS // 64), dtype=np.int64)
+        fps, out = [], np.zeros((len(batch), BITS // 64), dtype=np.int64)
         for i, text in enumerate(batch.column("text")):
-            low = minima(shingles(text.as_py(), hashes), _SIGNED)
+            found = shingles(text.as_py(), hashes)
+            fps.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            low = minima(found, _SIGNED)
             out[i] = np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(bool)).view(np.int64)
         offsets = np.arange(len(batch) + 1, dtype=np.int32) * (BITS // 64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], names=["doc_id", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], names=["doc_id", "fp", "sig"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links.compare(_ordered(tried.groupBy("comp", F.col("p.id").alias("pivot")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))))
     mixed = _mixed_buckets(links, mixed, scratch)
     if mixed.limit(1).count():
-        links.compare(_across(links, mixed, reps.select(F.col("doc_id").alias("id"), "bands"), scratch))
+        links.compare(_across(links, mixed, reps.select(F.col("doc_id").alias("id"), "fp", "bands"), scratch))
 
     known = features.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     final = known.withColumn("id", F.coalesce("rep", "doc_id"))
@@ -268,13 +270,22 @@ def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch)
 
     All rows are first compared with their pivot: distances then rule pairs out.
     Near copies of the pivot drop out whole, however many they are, where the others
-    are far from it.
+    are far from it.  The least distance over several texts of an id is no metric, so
+    it rules nothing out.
     """
     links.compare(_ordered(mixed.filter("id <> pivot")))
     mixed = _mixed_buckets(links, mixed, scratch)
     far = links.distances.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
     ends = mixed.withColumn("a", F.greatest("id", "pivot")).withColumn("b", F.least("id", "pivot")).join(far, ["a", "b"], "left")
-    ends = links.labelled(ends.withColumn("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("comp"))
+    many = bands.select("id", "fp").distinct().groupBy("id").count().filter("count > 1").select("id")
+    many = scratch.table(many.join(mixed.select("id").distinct(), "id", "left_semi"))
+    if many.limit(1).count():
+        for end in ("id", "pivot"):
+            ends = ends.join(many.select(F.col("id").alias(end), F.lit(True).alias(f"many_{end}")), end, "left")
+        free = F.col("many_id").isNotNull() | F.col("many_pivot").isNotNull()
+    else:
+        free = F.lit(False)
+    ends = links.labelled(ends.withColumn("d", F.when(free, F.lit(None)).when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("comp"))
     ends = links.labelled(ends.withColumnRenamed("comp", "own"), "pivot").withColumnRenamed("comp", "pivot_comp")
     slack = 1 - SIMILARITY + 1e-9
     nearest = ends.filter("own <> pivot_comp").groupBy("key").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
@@ -283,9 +294,9 @@ def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch)
     texts = links.texts(ends.select(F.col("id").alias("doc_id")).distinct())
     if texts is None:
         return ends.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    signed = texts.mapInArrow(_signed, "doc_id long, sig array<long>").withColumnRenamed("doc_id", "id")
-    signed = scratch.table(signed.join(bands, "id").select("id", "sig", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("bands")))
-    ends = ends.join(signed, "id").withColumn("band", F.array_position("bands", F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")).cast("int"))
+    signed = texts.mapInArrow(_signed, "doc_id long, fp binary, sig array<long>").withColumnRenamed("doc_id", "id")
+    signed = scratch.table(signed.join(bands, ["id", "fp"]).select("id", "sig", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("bands")))
+    ends = ends.join(signed, "id").withColumn("band", F.array_position("bands", F.col("key").bitwiseAND(0x7FFFFFFF).cast("int")).cast("int")).filter("band > 0")  # only the texts that are in the bucket
     x, y = (ends.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "d", "sig", "bands"))) for s in "xy")
     apart = sum((F.bit_count(F.col("sig_x")[i].bitwiseXOR(F.col("sig_y")[i])) for i in range(BITS // 64)), F.lit(0))
     before = lambda c: F.slice(c, F.lit(1), F.col("band") - 1)

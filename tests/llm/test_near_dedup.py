@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import near_dedup
@@ -82,6 +84,37 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
     assert [r[2] for r in found(spark, rows)] == [1, 1, 1, 1]
 
 
+def keys_of(*texts):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": list(texts)})
+    return [k for x in near_dedup._features(iter([batch])) for k in x.column("bands").to_pylist()]
+
+
+def test_each_text_of_an_id_links_it_in_mixed_buckets(spark, monkeypatch):
+    """Ids 900 and 901 are linked by a text, and all buckets of both have a pivot that is near to other texts of 900."""
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    rng, n = random.Random(4), itertools.count()
+    fresh = lambda k: [f"n{next(n)}" for _ in range(k)]
+    one = fresh(300)
+    other = one[:267] + fresh(33)
+    hashes, (mul, add) = near_dedup.WordHashes(), near_dedup._BANDED
+    x = np.array([int(near_dedup.shingles(" ".join(one[i : i + 5]), hashes)[0]) >> 32 for i in range(296)], dtype=np.uint32)
+    least = (x[:, None] * mul[None] + add[None]).argmin(axis=0).reshape(near_dedup.BANDS, near_dedup.ROWS)
+    left, right = keys_of(" ".join(one), " ".join(other))
+    rows = [(900, " ".join(one)), (901, " ".join(other))]
+    for band in [i for i in range(near_dedup.BANDS) if left[i] == right[i]]:
+        for _ in range(500):
+            take = {w for q in least[band] for w in range(max(0, q - rng.randrange(24)), min(267, q + 5 + rng.randrange(24)))}
+            pivot = [one[w] for w in sorted(take)]
+            if len(take) <= 165 and keys_of(" ".join(pivot))[0][band] == left[band]:
+                break
+        else:
+            raise AssertionError("no pivot")
+        rows += [(band, " ".join(pivot)), (900, " ".join(pivot + fresh(round(len(pivot) * 0.35))))]
+    expected = brute(rows)
+    assert {r[2] for r in expected if r[0] >= 900} == {900}
+    assert found(spark, rows) == expected
+
+
 def test_extra_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 3, "q"), (2, "a b c d e f", 4, "q")], "doc_id long, text string, n long, component_id string")
     assert sorted(map(tuple, near_dedup.near_duplicates(docs).collect())) == [(1, 2, 1, True), (2, 2, 1, False)]
