@@ -197,6 +197,107 @@ def diversified(rows: DataFrame, pairs: DataFrame, id_col: str, rank: str, score
     return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
 
 
+def topics(rows: DataFrame, id_col: str, kind: Column, least: int = 4, most: int = 3) -> DataFrame:
+    """``rows`` with ``topic``: ``kind:a-b-c`` of the most frequent words of ``least`` letters or more, of equally frequent ones the first of the alphabet."""
+    said = rows.select(id_col, F.explode(text.words(text.folded(F.col("text")))).alias("term")).filter((F.length("term") >= least) & ~F.col("term").rlike(r"^\d+$"))
+    first = Window.partitionBy(id_col).orderBy(F.desc("n"), "term")
+    top = said.groupBy(id_col, "term").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most)
+    terms = top.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list("term")), "-").alias("terms"))
+    return rows.join(terms, id_col, "left").withColumn("topic", F.concat_ws(":", kind, "terms")).drop("terms")
+
+
+def _text_penalty(key: str, signals: tuple[str, ...]) -> Column:
+    """Of rows that overlap by 0.30 at most; a missing source counts as the same."""
+    same = F.coalesce(F.col(key) == F.col(f"o_{key}"), F.lit(True))
+    differs = same & distinct_context(F.col, lambda n: F.col(f"o_{n}"), signals)
+    return F.when(differs, F.least(F.col("similarity") * 80.0, F.lit(64.0))).otherwise(F.col("similarity") * 80.0)
+
+
+def _timed_pairs(rows: DataFrame, key: str, id_col: str, signals: tuple[str, ...], width: float, floor: float) -> DataFrame:
+    """``left, right, penalty`` of one source's overlapping pairs by overlap and text, from ``floor`` on."""
+    slim = rows.select(key, id_col, "start", "end", *signals, "w")
+    pairs = intervals.overlap_join(slim, _aliased(slim, [key]), [key], ENDS, width).filter(F.col(id_col) < F.col(f"o_{id_col}"))
+    overlap = intervals.overlap_of_shorter(*map(F.col, ENDS))
+    like = text.jaccard("w", "o_w") * 80.0
+    differs = distinct_context(F.col, lambda n: F.col(f"o_{n}"), signals) & (overlap <= 0.30)
+    penalty = F.greatest(overlap * 100.0, F.when(differs, F.least(like, F.lit(64.0))).otherwise(like))
+    return pairs.select(F.col(id_col).alias("left"), F.col(f"o_{id_col}").alias("right"), penalty.alias("penalty")).filter(F.col("penalty") >= floor)
+
+
+def _topic_penalties(kept: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``id, penalty`` of 35 or more by the topics of better rows of the same source; a topic is asked for its best row only."""
+    kind = F.substring_index("topic", ":", 1)
+    terms = F.array_sort(F.array_distinct(F.filter(F.split(F.substring(F.col("topic"), F.length(kind) + 2, F.length("topic")), "-"), lambda t: t != "")))
+    rows = kept.filter(F.col(key).isNotNull() & F.col("topic").contains(":")).select(key, F.col(id_col).alias("i"), "r", kind.alias("kind"), terms.alias("terms")).filter("size(terms) > 0")
+    scoped = F.transform("terms", lambda t: F.concat(F.col(key).cast("string"), F.lit("\x1f"), t))
+    rows = rows.select("i", "r", "kind", F.array_join(scoped, "\x1e").alias("ts"), scoped.alias("t"))
+    nodes = greedy.cut(rows.groupBy("ts", "kind").agg(F.min("r").alias("m")))
+    like = similarity.jaccard_pairs(rows.select("ts", "t").distinct(), "ts", "t", 35 / 48 - 0.15).select("left", "right", "similarity")
+    both = like.union(like.select("right", "left", "similarity")).union(rows.select(F.col("ts").alias("left"), F.col("ts").alias("right"), F.lit(1.0).alias("similarity")).distinct())
+    met = rows.join(both, F.col("ts") == F.col("left")).drop("ts").join(nodes.select(F.col("ts").alias("right"), F.col("kind").alias("o_kind"), "m"), "right").filter("m < r")
+    bonus = F.when((F.col("kind") != "") & (F.col("kind") == F.col("o_kind")) & (F.col("similarity") >= 0.34), 0.15).otherwise(0.0)
+    return met.select(F.col("i").alias(id_col), (F.least(F.lit(1.0), F.col("similarity") + bonus) * 48.0).alias("penalty")).filter("penalty >= 35")
+
+
+def diversified_anywhere(rows: DataFrame, key: str, id_col: str, rank: str, score: str, signals: tuple[str, ...], width: float = 60.0) -> DataFrame:
+    """Rows kept by a walk in rank order over the whole rule, with ``penalty`` and the score that it lowers.
+
+    Text counts against every kept row, of whatever source and time: Jaccard*80 (64 at
+    most if source is the same, context differs and overlap is 0.30 at most).  Overlap*100
+    and topic*48 count within a source.  A row goes from 70 on; from 35 on its score falls
+    by 0.12 of the penalty, truncated.  Penalties under 35 are given as 0.  Rows without
+    source overlap none.
+
+    Rows of equal words, source and signals are one group.  Groups conflict, not their
+    rows: in a round each group is asked for its best undecided row, so copies make no
+    pairs.  At most one row of a group stays, and only rows that stay meet from 35 on.
+    """
+    w = F.array_sort(F.array_distinct(text.words(text.folded(F.col("text")))))
+    base = rows.select(key, id_col, F.col(rank).alias("r"), "start", "end", "topic", *signals, w.alias("w"))
+    classes = similarity.jaccard_classes(base, id_col, "w").select(id_col, "class_id")
+    base = base.join(classes, id_col, "left")
+    group = F.when(F.col("class_id").isNotNull(), F.to_json(F.struct("class_id", key, *signals)))
+    base = greedy.cut(base.withColumn("g", group))
+    groups = base.filter("g is not null").select("g", "class_id", key, *signals).distinct()
+    like = similarity.jaccard_pairs(base, id_col, "w", 70 / 80).select("left", "right", "similarity")
+    same = groups.select(F.col("class_id").alias("left"), F.col("class_id").alias("right"), F.lit(1.0).alias("similarity")).distinct()
+    both = like.union(like.select("right", "left", "similarity")).union(same)
+    met = groups.join(both, F.col("class_id") == F.col("left")).drop("class_id").join(_aliased(groups, []), F.col("right") == F.col("o_class_id"))
+    near = greedy.cut(met.filter(_text_penalty(key, signals) >= 70).select("g", F.col("o_g").alias("h")))
+    timed = _timed_pairs(base, key, id_col, signals, width, 70.0).select("left", "right")
+    ranks = base.select(F.col(id_col).alias("i"), "r")
+    ends = timed.join(ranks.toDF("left", "lr"), "left").join(ranks.toDF("right", "rr"), "right")
+    edges = greedy.cut(ends.select(F.when(F.col("lr") < F.col("rr"), F.col("left")).otherwise(F.col("right")).alias("better"), F.when(F.col("lr") < F.col("rr"), F.col("right")).otherwise(F.col("left")).alias("i")))
+
+    rest, stays = base.select(F.col(id_col).alias("i"), "r", "g"), None
+    while rest.limit(1).count():
+        low = near.join(rest.groupBy(F.col("g").alias("h")).agg(F.min("r").alias("m")), "h").groupBy("g").agg(F.min("m").alias("low"))
+        blocked = edges.select("i").distinct()
+        free = greedy.cut(rest.join(low, "g", "left").filter("low is null or r <= low").select("i", "g").join(blocked, "i", "left_anti"))
+        stays = free.select("i") if stays is None else greedy.cut(stays.union(free.select("i")))
+        out = near.join(free.select("g"), "g").select(F.col("h").alias("g")).distinct()
+        gone = edges.join(free.select(F.col("i").alias("better")), "better").select("i").union(free.select("i")).distinct()
+        rest = greedy.cut(rest.join(out, "g", "left_anti").join(gone, "i", "left_anti"))
+        left = rest.select("i")
+        edges = greedy.cut(edges.join(left, "i", "left_semi").join(left.toDF("better"), "better", "left_semi").select("better", "i"))
+    if stays is None:
+        return rows.withColumns({"penalty": F.lit(0.0), score: F.col(score).cast("double")})
+
+    kept = greedy.cut(base.join(stays.toDF(id_col), id_col, "left_semi"))
+    like = similarity.jaccard_pairs(kept, id_col, "w", 35 / 80).select("left", "right", "similarity")
+    same = kept.filter("g is not null").select("class_id").distinct()
+    same = same.join(kept.groupBy("class_id").agg(F.min(id_col).alias("left")), "class_id").select("left", F.col("left").alias("right"), F.lit(1.0).alias("similarity"))
+    members = similarity.jaccard_classes(kept, id_col, "w").select(id_col, F.col("class_id").alias("c")).join(kept.select(id_col, key, "r", *signals), id_col)
+    met = members.join(like.union(like.select("right", "left", "similarity")).union(same), F.col("c") == F.col("left")).drop("c").join(_aliased(members, []), F.col("right") == F.col("o_c")).filter("o_r < r")
+    by_text = met.select(id_col, _text_penalty(key, signals).alias("penalty"))
+    ranks = kept.select(F.col(id_col).alias("i"), "r")
+    ends = _timed_pairs(kept, key, id_col, signals, width, 35.0).join(ranks.toDF("left", "lr"), "left").join(ranks.toDF("right", "rr"), "right")
+    by_time = ends.select(F.when(F.col("lr") < F.col("rr"), F.col("right")).otherwise(F.col("left")).alias(id_col), "penalty")
+    worst = by_text.union(by_time).union(_topic_penalties(kept, key, id_col)).groupBy(id_col).agg(F.max("penalty").alias("penalty")).filter("penalty >= 35")
+    out = rows.join(stays.toDF(id_col), id_col, "left_semi").join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, for pairs that passed cheaper bounds."""

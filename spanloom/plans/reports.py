@@ -173,6 +173,15 @@ def diversity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.diversified(rows, pairs, "doc_id", "rank", "score").select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
 
 
+@query()
+def diversity_rank_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips thinned by the whole rule: text against all sources, overlap and topic within one."""
+    c = clips.topics(views.clips(spark, sf_dir), "doc_id", F.lit("general"))
+    rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
+    rows = rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
+    return clips.diversified_anywhere(rows, "source_id", "doc_id", "rank", "score", ("decision",)).select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
+
+
 @query()
 def chapter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of conversations against their chapters and question-answer bridges."""

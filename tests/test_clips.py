@@ -61,6 +61,45 @@ def test_diversity(spark):
     assert [(r["id"], r["score"]) for r in out] == [(1, 90.0), (3, 64.0), (4, 60.0)]
 
 
+def test_diversity_anywhere(spark):
+    rng = random.Random(6)
+    said = [" ".join(rng.choices("abcdefghijklmnop", k=rng.choice((3, 8, 12)))) for _ in range(25)] + ["", None]
+    rows = []
+    for i in range(140):
+        start, t = float(rng.randrange(400)), rng.choice(said)
+        if t and rng.random() < 0.4:
+            t += " " + rng.choice("qrstu")
+        topic = rng.choice(["", "a", f"{rng.choice('ab')}:{'-'.join(rng.sample('uvwxyz', rng.choice((2, 3))))}"])
+        rows.append((rng.choice("stuv"), i, start, start + rng.choice((8.0, 30.0)), t, topic, float(rng.randrange(20, 100)), rng.choice(("p", "q", None)), rng.choice(("m", "n"))))
+    table = spark.createDataFrame(rows, "k string, id long, start double, end double, text string, topic string, score double, kind string, mode string")
+
+    def terms(topic):
+        return {x for x in topic.partition(":")[2].split("-") if x}
+
+    def penalty(x, y):
+        same = x[0] == y[0]
+        lap = max(0.0, min(x[3], y[3]) - max(x[2], y[2])) / min(x[3] - x[2], y[3] - y[2]) if same else 0.0
+        a, b = set((x[4] or "").split()), set((y[4] or "").split())
+        like = len(a & b) / len(a | b) * 80 if a and b else 0.0
+        if same and lap <= 0.30 and sum(bool(x[c] and y[c] and x[c] != y[c]) for c in (7, 8)) >= 2:
+            like = min(like, 64.0)
+        a, b = terms(x[5]), terms(y[5])
+        topic = len(a & b) / len(a | b) if same and a and b else 0.0
+        topic += 0.15 if topic >= 0.34 and x[5][0] == y[5][0] else 0.0
+        return max(lap * 100, like, min(1.0, topic) * 48)
+
+    kept, expected = [], {}
+    for x in sorted(rows, key=lambda r: (-r[6], r[1])):
+        worst = max((penalty(x, y) for y in kept), default=0.0)
+        if worst < 70:
+            kept.append(x)
+            expected[x[1]] = (round(worst, 6), float(max(0, int(x[6] - worst * 0.12)))) if worst >= 35 else (0.0, x[6])
+    ranked = table.withColumn("rank", F.struct((-F.col("score")).alias("s"), "id"))
+    out = clips.diversified_anywhere(ranked, "k", "id", "rank", "score", ("kind", "mode")).collect()
+    assert {r["id"]: (round(r["penalty"], 6), r["score"]) for r in out} == expected and len(out) == len(expected)
+    assert len({p for p, _ in expected.values()}) > 5 and clips.diversified_anywhere(ranked.limit(0), "k", "id", "rank", "score", ("kind",)).count() == 0
+
+
 def test_sequence_ratio_and_previous(spark):
     pairs = [("abcd efg", "abcd xfg"), ("", "x"), (None, None), ("same", "same")]
     out = spark.createDataFrame(pairs, "a string, b string").select(clips.sequence_ratio("a", "b").alias("r")).collect()
