@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +65,47 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` or a lambda in it refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def emitted(
+    items: Column,
+    start: Column,
+    step: Callable[[Column, Column], tuple[Column, Column | None]],
+    kind: str,
+    between: Callable[[Column, Column], Column] | None = None,
+    last: Callable[[Column], Column] | None = None,
+    block: int = 256,
+) -> Column:
+    """What a fold over ``items`` gives out, as one array of type ``kind``; time is linear in the items.
+
+    ``step(state, item)`` returns the next state and the array given out there, or
+    None where ``between(state, next state)`` gives it (null: nothing).  ``last(state)``
+    is given out at the end.  Items are folded by blocks, as an array that grows by
+    one at each of n steps would be copied n times.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["s"], x)
+        grown = lambda t: F.struct(t.alias("s"), let_out(t).alias("out"))
+        let_out = lambda t: let(out if between is None else between(acc["s"], t), lambda o: F.when(o.isNull(), acc["out"]).otherwise(F.concat(acc["out"], o)))
+        return let(after, grown)
+
+    def whole(arr: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(arr) / block).cast("int") - 1)
+        begin = F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        part = lambda s, i: F.aggregate(F.slice(arr, i * block + 1, F.lit(block)), F.struct(s.alias("s"), none.alias("out")), one)
+        joined = lambda acc, i: let(part(acc["s"], i), lambda p: F.struct(p["s"].alias("s"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+        done = F.aggregate(blocks, begin, joined)
+        final = lambda d: F.flatten(d["out"]) if last is None else F.concat(F.flatten(d["out"]), F.coalesce(last(d["s"]), none))
+        return F.when(F.size(arr) == 0, none).otherwise(let(done, final))
+
+    return let(items, whole)
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as new=old; other columns can't clash then."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

@@ -5,15 +5,21 @@ network, so equal values get equal pseudonyms in every document and no two value
 share one:
 
 * mail     the letters and digits of the part before the @, each within its class
-* phone    the digits after the country code
-* card     Luhn-valid numbers of 13 to 19 digits: all digits but the last, which is
-           computed anew, so the pseudonym is valid too
-* ssn      ddd-dd-dddd, digits
+* phone    + and 8 to 15 digits, or 3-3-4 digits of a North American number: the
+           digits after the country code
+* card     Luhn-valid numbers of 13 to 19 digits, unbroken or in groups of 4-4-4-4,
+           4-6-4 and 4-6-5: all digits but the last, which is computed anew, so the
+           pseudonym is valid too
+* ssn      ddd-dd-dddd with an area, group and serial that can be issued: its number
+           among the 898 * 99 * 9999 that can be
 * ip       dotted quads: two halves of 16 bits
-* date     real days from 1800 to 2199 as year-month-day: the day's number in the
-           400-year cycle of 146,097 = 189 * 773 days
+* date     real days from 1800 to 2199 as year-month-day (with ``-``, ``/`` or ``.``),
+           day.month.year or month/day/year: the day's number in the 400-year cycle of
+           146,097 = 189 * 773 days, so one day has one pseudonym in all orders
 
-Nothing else changes.
+Nothing else changes.  Every pattern either has a bounded length or takes a run of
+characters whole and once (possessive), so time is linear in the text and no pattern
+recurses, however long a run is.
 """
 
 from __future__ import annotations
@@ -21,18 +27,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import let, read
 
 #: For tests and queries; a deployment passes its own secret key.
 KEY = "example key, replace in use"
 ROUNDS = 8
 KINDS = ("mail", "phone", "card", "ssn", "ip", "date")
-MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}"
-GROUPED = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
-NUMBER = r"[0-9]+(?:[-./][0-9]+)*"
+NAME = "[A-Za-z0-9._%+-]"
+#: A run of name characters is tried from its start; within one, after another match, a name has 64 characters at most.
+MAIL = rf"(?:(?<!{NAME}){NAME}++|\G{NAME}{{1,64}}+)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+PHONE = (
+    r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|\+[0-9](?:[ .-]?[0-9]){7,14}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}"
+)
+GROUPED = r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+SLASHED = r"(?<![0-9/])[0-9]{1,4}/[0-9]{1,2}/[0-9]{1,4}(?![0-9/])"
+NUMBER = r"[0-9]++(?:[-.][0-9]++)*+"
 #: Leftmost, and at one place the first of these; what a match is gets decided afterwards.
-FOUND = f"{MAIL}|{PHONE}|{GROUPED}|{NUMBER}"
+FOUND = f"{MAIL}|{PHONE}|{GROUPED}|{SLASHED}|{NUMBER}"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]{2})|)"
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, DAYS, DAY_PARTS = "1800-01-01", 146_097, (189, 773)
@@ -49,15 +64,16 @@ def _number(hexes: Column, at: Column, size: int) -> Column:
 def _shifted(text: Column, mac: Column) -> Column:
     """Each letter or digit moved within its class by a byte of the mac (which repeats past 32 characters)."""
 
-    def moved(c: Column, i: Column) -> Column:
-        by = _number(mac, (i % 32) * 2 + 1, 2)
+    def moved(c: Column, i: Column, by_bytes: Column) -> Column:
+        by = _number(by_bytes, (i % 32) * 2 + 1, 2)
         out = c
         for letters in (DIGITS, LOWER, UPPER):
             n, at = len(letters), F.instr(F.lit(letters), c)
             out = F.when(at > 0, F.substring(F.lit(letters), ((at - 1 + by) % n + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(text, ""), moved), "")
+    # the mac is made once, not once a character
+    return let(mac, lambda m: F.array_join(F.transform(F.split(text, ""), lambda c, i: moved(c, i, m)), ""))
 
 
 def permuted_text(text: Column, key: str, kind: str) -> Column:
@@ -104,40 +120,76 @@ def _refilled(shape: Column, digits: Column) -> Column:
     return F.aggregate(parts, start, step)["out"]
 
 
+def _iso(m: Column) -> Column:
+    """A date as yyyy-MM-dd, whichever of the orders it is in; null for other shapes."""
+    part = lambda at, size: F.substring(m, at, size)
+    return (
+        F.when(m.rlike(r"^[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}$"), F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2)))
+        .when(m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
+    )
+
+
+def _day(m: Column) -> Column:
+    return F.try_to_date(_iso(m), "yyyy-MM-dd")
+
+
 def kind_of(m: Column, before: Column, after: Column) -> Column:
     """What a match is, from itself and the characters around it; null: nothing."""
-    free = ~before.rlike("[A-Za-z0-9_]$") & ~after.rlike("^[A-Za-z0-9_]")
-    digits = _only_digits(m)
-    day = F.try_to_date(m, "yyyy-MM-dd")
+    free_left, free = ~before.rlike("[A-Za-z0-9_]$"), ~before.rlike("[A-Za-z0-9_]$") & ~after.rlike("^[A-Za-z0-9_]")
+    first, last = (F.lit(x).cast("date") for x in (FIRST_DAY, "2199-12-31"))
     return (
         F.when(m.contains("@"), "mail")
-        .when(~m.rlike("^[0-9]") & F.length(digits).between(8, 15) & ~after.rlike("^[A-Za-z0-9_]"), "phone")
+        .when(~m.rlike("^[0-9]") & free & F.length(_only_digits(m)).between(8, 15), "phone")
         .when(~m.rlike("^[0-9]"), None)
-        .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~before.rlike("[A-Za-z0-9_]$") & ~after.rlike("^[A-SU-Za-z0-9_]") & day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), "date")
+        .when(free_left & ~after.rlike("^[A-SU-Za-z0-9_]") & _day(m).between(first, last), "date")
         .when(~free, None)
-        .when(m.rlike("^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$") & (_luhn(digits, 1) % 10 == 0), "card")
-        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        .when(m.rlike("^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$") & (_luhn(_only_digits(m), 1) % 10 == 0), "card")
+        .when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn")
+        .when(m.rlike(r"^[2-9][0-9]{2}([-.])[2-9][0-9]{2}\1[0-9]{4}$"), "phone")
         .when(m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
     )
 
 
+def _new_ssn(m: Column, key: str) -> Column:
+    area, group, serial = (F.substring(m, at, size).cast("long") for at, size in ((1, 3), (5, 2), (8, 4)))
+    index = ((area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1) * SERIALS + serial - 1
+
+    def written(n: Column) -> Column:
+        place = F.floor(n / (GROUPS * SERIALS))
+        parts = (F.when(place >= 665, place + 2).otherwise(place + 1), F.floor(n / SERIALS) % GROUPS + 1, n % SERIALS + 1)
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), size, "0") for x, size in zip(parts, (3, 2, 4))))
+
+    return let(permuted_number(index, AREAS, GROUPS * SERIALS, key, "ssn"), written)
+
+
+def _new_date(m: Column, key: str) -> Column:
+    day = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day, *DAY_PARTS, key, "date").cast("int"))
+
+    def written(d: Column) -> Column:
+        iso = F.date_format(d, "yyyy-MM-dd")
+        return F.when(m.rlike("^[0-9]{4}"), F.replace(iso, F.lit("-"), F.substring(m, 5, 1))).when(F.substring(m, 3, 1) == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+
+    return let(new, written)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     mail = F.concat(permuted_text(local, key, "mail"), F.substring(m, F.length(local) + 1, F.length(m)))
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3}|)", 1)
+    code = F.regexp_extract(m, COUNTRY, 1)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     phone = F.concat(code, _refilled(rest, permuted_text(_only_digits(rest), key, "phone")))
     digits = _only_digits(m)
     body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = ((10 - _luhn(body, 0) % 10) % 10).cast("string")
-    card = _refilled(m, F.concat(body, check))
-    ssn = _refilled(m, permuted_text(digits, key, "ssn"))
+    card = let(body, lambda b: _refilled(m, F.concat(b, ((10 - _luhn(b, 0) % 10) % 10).cast("string"))))
     quad = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + F.try_to_number(x, F.lit("999")).cast("long"))
-    new = permuted_number(quad, 65536, 65536, key, "ip")
-    ip = F.concat_ws(".", *(F.shiftright(new, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
-    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day, *DAY_PARTS, key, "date").cast("int")), "yyyy-MM-dd")
-    return F.when(kind == "mail", mail).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "date", date).otherwise(m)
+    ip = let(permuted_number(quad, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0))))
+    new = {"mail": mail, "phone": phone, "card": card, "ssn": _new_ssn(m, key), "ip": ip, "date": _new_date(m, key)}
+    out = m
+    for name, value in new.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return out
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
