@@ -1,10 +1,15 @@
 """Secret scan in DataFrame functions: patterns, and windows of high entropy.
 
 Three kinds are patterns.  The fourth slides a window of 20 characters over candidate
-strings.  When the window moves, only the counts of the entering and the leaving
+strings, which are runs of base64 characters outside the spans of the three.  The
+fold over a candidate carries the count of each character, 12 counts of 5 bits to a
+long.  When the window moves, only the counts of the entering and the leaving
 character change, and with them the sum of c*log2(c), from which the entropy follows.
 The threshold depends on the narrowest character class that holds the window.  Sums
-are whole millionths, so that a comparison never hangs on rounding.
+are whole millionths, so that a comparison never hangs on rounding.  Overlapping
+windows of high entropy make one span; the allow-list is held against each span.
+
+Every step is linear in the text, whatever it holds: one long candidate, or many.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import emitted, let, read
 
 KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 LINK = r"[\"']?\x20*[:=]\x20*[\"']?"
@@ -30,6 +35,13 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.2, "base64": 3.9}
 UNIT = 10**6
 TERMS = [0] + [round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 1)]
+#: What a character's n-th occurrence in the window adds to the sum.
+GAINS = [0] + [TERMS[c] - TERMS[c - 1] for c in range(1, WINDOW + 1)]
+#: The characters of candidates: digits first, then the other hexadecimal digits.
+ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
+DIGITS, HEXES, PACKED, BITS = 10, 22, 12, 5
+SPAN = "struct<start:int,end:int,match:string>"
+BLANK = "\n"
 
 
 def limit(bits: float) -> int:
@@ -38,45 +50,79 @@ def limit(bits: float) -> int:
 
 
 def _located(text: Column, pattern: str, found: Column) -> Column:
-    """start and end of the matches, in code points, from the lengths of what lies between them."""
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.transform(gaps, F.length).alias("g"))
-    zipped = F.slice(zipped, 1, F.size(found))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    """start, end and match of the matches, in code points, from the lengths of what lies between them."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    zipped = F.slice(F.arrays_zip(found.alias("m"), gaps.alias("g")), 1, F.size(found))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["end"] + x["g"]
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        at = end + x["g"]
         to = at + F.length(x["m"])
-        return F.struct(to.alias("end"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), to.alias("end"), x["m"].alias("match")))).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
-
-
-def _entropy_extent(value: Column) -> Column:
-    """first and last window start (from 0) of windows that reach their class's threshold; -1 where none does."""
-    term = F.array(*(F.lit(t).cast("long") for t in TERMS))
-    count = lambda window, ch: F.length(window) - F.length(F.replace(window, ch, F.lit("")))
-    t = lambda n: F.get(term, n)
-    none = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(acc: Column, i: Column) -> Column:
-        # the window before this step held i-WINDOW .. i-1; what stays is all but its first
-        left = F.greatest(i - WINDOW, F.lit(1))
-        old = F.substring(value, left, F.least(i - 1, F.lit(WINDOW)))
-        stays = F.when(i > WINDOW, F.substring(value, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(old)
-        enters, leaves = F.substring(value, i, F.lit(1)), F.substring(value, left, F.lit(1))
-        gone = F.when(i > WINDOW, t(count(old, leaves)) - t(count(old, leaves) - 1)).otherwise(0)
-        come = t(count(stays, enters) + 1) - t(count(stays, enters))
-        total = acc["sum"] - gone + come
-        window = F.concat(stays, enters)
-        digits = F.translate(window, "0123456789", "") == ""
-        hexes = F.translate(window, "0123456789abcdefABCDEF", "") == ""
-        most = F.when(digits, F.lit(-1)).when(hexes, limit(THRESHOLDS["hex"])).otherwise(limit(THRESHOLDS["base64"]))
-        hit = (i >= WINDOW) & (total <= most)
-        at = i - WINDOW
-        return F.struct(total.alias("sum"), F.when(hit & (acc["first"] < 0), at).otherwise(acc["first"]).alias("first"), F.when(hit, at).otherwise(acc["last"]).alias("last"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), none, step)
+        return to, F.array(F.struct(at.alias("start"), to.alias("end"), x["m"].alias("match")))
+
+    return F.when(F.size(found) > 0, emitted(zipped, F.lit(0), step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _high_entropy(value: Column) -> Column:
+    """``start, end, match`` (from 0) of the unions of overlapping windows that reach their class's threshold."""
+    codes = [(i // PACKED, 1 << (BITS * (i % PACKED))) for i in range(len(ALPHABET))]
+    fields = F.array(*(F.lit(f) for f, _ in codes))
+    units = F.array(*(F.lit(u).cast("long") for _, u in codes))
+    gains = F.array(*(F.lit(t).cast("long") for t in GAINS))
+    nothing = F.lit(None).cast("struct<k:int,f:int,u:bigint>")
+    zeros = F.array(*(F.lit(0).cast("long") for _ in range(codes[-1][0] + 1)))
+    start = F.struct(
+        zeros.alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("hexes"),
+        F.lit(0).alias("at"), F.lit(-1).alias("open"), F.lit(-1).alias("close"),
+    )
+
+    def coded(c: Column) -> Column:
+        k = F.instr(F.lit(ALPHABET), c) - 1
+        return let(k, lambda k: F.struct(k.alias("k"), F.get(fields, k).alias("f"), F.get(units, k).alias("u")))
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("div", F.get(counts, c["f"]), c["u"]).bitwiseAND((1 << BITS) - 1).cast("int")
+
+    def moved(s: Column, x: Column) -> Column:
+        """The window without x.o, which is null until it is full, and with x.i."""
+        into, out = x["i"], x["o"]
+        same = F.coalesce(into["k"] == out["k"], F.lit(False)).cast("int")
+        gone = F.coalesce(F.get(gains, count(s["counts"], out)), F.lit(0).cast("long"))
+        come = F.get(gains, count(s["counts"], into) - same + 1)
+        change = lambda j: F.when(j == into["f"], into["u"]).otherwise(0) - F.when(j == out["f"], out["u"]).otherwise(0)
+        below = lambda n: (into["k"] < n).cast("int") - F.coalesce((out["k"] < n).cast("int"), F.lit(0))
+        return F.struct(
+            F.transform(s["counts"], lambda v, j: v + change(j)).alias("counts"),
+            (s["sum"] - gone + come).alias("sum"), (s["digits"] + below(DIGITS)).alias("digits"), (s["hexes"] + below(HEXES)).alias("hexes"),
+            (s["at"] + 1).alias("at"), s["open"].alias("open"), s["close"].alias("close"),
+        )
+
+    def judged(s: Column) -> Column:
+        most = F.when(s["digits"] == WINDOW, F.lit(-1)).when(s["hexes"] == WINDOW, limit(THRESHOLDS["hex"])).otherwise(limit(THRESHOLDS["base64"]))
+        return F.struct(s.alias("s"), ((s["at"] >= WINDOW) & (s["sum"] <= most)).alias("hit"), ((s["close"] < 0) | (s["at"] - WINDOW > s["close"])).alias("new"))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        after = let(let(moved(s, x), judged), lambda r: F.struct(
+            r["s"]["counts"].alias("counts"), r["s"]["sum"].alias("sum"), r["s"]["digits"].alias("digits"), r["s"]["hexes"].alias("hexes"), r["s"]["at"].alias("at"),
+            F.when(r["hit"] & r["new"], r["s"]["at"] - WINDOW).otherwise(r["s"]["open"]).alias("open"),
+            F.when(r["hit"], r["s"]["at"]).otherwise(r["s"]["close"]).alias("close"),
+        ))
+        return after, None
+
+    def spans(chars: Column) -> Column:
+        coded_chars = F.transform(chars, coded)
+        zipped = let(coded_chars, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(nothing, WINDOW), c), F.lit(1), F.size(c)), lambda i, o: F.struct(i.alias("i"), o.alias("o"))))
+        # a span is given out once a later window starts another, and the last one at the end
+        closed = lambda s, t: F.when((t["open"] != s["open"]) & (s["close"] >= 0), F.array(F.struct(s["open"].alias("start"), s["close"].alias("end"))))
+        found = emitted(zipped, start, step, "struct<start:int,end:int>", closed, lambda s: F.when(s["close"] >= 0, F.array(F.struct(s["open"].alias("start"), s["close"].alias("end")))))
+        return F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.array_join(F.slice(chars, f["start"] + 1, f["end"] - f["start"]), "").alias("match")))
+
+    return let(F.split(value, ""), spans)
+
+
+def _blanked(text: Column, pattern: str, masked: Column) -> Column:
+    """The text with each match replaced by its item of ``masked``."""
+    gaps = F.split(text, pattern, -1)
+    return F.array_join(F.flatten(F.zip_with(gaps, F.concat(masked, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -87,39 +133,35 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``secret_spans``: array of start, order (in KINDS), end, match; by start, then kind.
 
     Positions are code points, ends exclusive.  A null or empty text has none.  Base
-    kinds: see the patterns; ``entropy`` spans reach from the first to the last
-    window that qualifies, in candidates with a digit and a letter, off the
-    allow-list, and clear of all base spans.  Repeated rows are scanned alike; an
-    existing column of this name is replaced, and all others pass through.
+    kinds: see the patterns.  ``entropy`` spans never touch a base span; each holds a
+    digit and a letter, and nothing of the allow-list.  Repeated rows are scanned
+    alike; an existing column of this name is replaced, and all others pass through.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": CANDIDATE}
-    names = {k: f"__found_{k}" for k in KINDS}
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+    names = {k: f"__found_{k}" for k in patterns}
     out = docs.withColumns({names[k]: F.regexp_extract_all(t, F.lit(p), 0) for k, p in patterns.items()})
-    at = {k: _located(t, p, F.col(names[k])) for k, p in patterns.items()}
     value = lambda m: F.regexp_extract(m, "^" + KEYWORD + LINK + "(.*)$", 1)
-    base = F.concat(
-        _kind(F.filter(at["assign"], lambda s: F.length(value(s["match"])) >= 12), "assign"),
-        _kind(F.filter(at["access"], lambda s: F.length(s["match"]) >= 18), "access"),
-        _kind(at["hex"], "hex"),
-    )
-    likely = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & ~s["match"].rlike(ALLOWED)
-    # a candidate is rare: most texts leave at the first test, before their positions are worked out
-    some = F.exists(names["entropy"], lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
-    out = out.withColumns({"__base": base, "__likely": F.when(some, F.filter(at["entropy"], likely)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))})
-    measured = F.transform("__likely", lambda s: F.struct(s.alias("s"), _entropy_extent(s["match"]).alias("e")))
-    hits = F.transform(
-        F.filter(measured, lambda x: x["e"]["first"] >= 0),
-        lambda x: F.struct(
-            (x["s"]["start"] + x["e"]["first"]).alias("start"),
-            F.lit(KINDS.index("entropy")).alias("order"),
-            (x["s"]["start"] + x["e"]["last"] + WINDOW).alias("end"),
-            F.substring(x["s"]["match"], x["e"]["first"] + 1, x["e"]["last"] - x["e"]["first"] + WINDOW).alias("match"),
-        ),
-    )
-    clear = F.filter(hits, lambda h: ~F.exists("__base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    out = out.withColumn("secret_spans", F.array_sort(F.concat("__base", clear)))
-    return out.drop("__base", "__likely", *names.values())
+    taken = {"assign": lambda m: F.length(value(m)) >= 12, "access": lambda m: F.length(m) >= 18, "hex": lambda m: F.lit(True)}
+    at = {k: _located(t, p, F.col(names[k])) for k, p in patterns.items()}
+    accepted = lambda k: F.filter(at[k], lambda s: taken[k](s["match"]))
+    base = F.concat(*(_kind(accepted(k), k) for k in patterns))
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    # a candidate is rare: most texts leave at the first test
+    some = F.exists(F.regexp_extract_all(t, F.lit(CANDIDATE), 0), mixed)
+    out = out.withColumns({"__base": F.array_sort(base), "__some": some})
+    mask = lambda k: F.transform(names[k], lambda m: F.when(taken[k](m), F.repeat(F.lit(BLANK), F.length(m))).otherwise(m))
+    chars = {k: F.split(_blanked(t, p, mask(k)), "") for k, p in patterns.items()}
+    either = lambda x, y: F.zip_with(x, y, lambda a, b: F.when(a == b, a).otherwise(BLANK))
+    # no base span: the text as it is; else every character of one is a blank
+    rest = F.when(F.col("__some"), F.when(F.size("__base") == 0, t).otherwise(F.array_join(either(either(chars["assign"], chars["access"]), chars["hex"]), ""))).otherwise("")
+    out = out.withColumn("__rest", rest).withColumn("__found", F.regexp_extract_all("__rest", F.lit(CANDIDATE), 0))
+    likely = F.filter(_located(F.col("__rest"), CANDIDATE, F.col("__found")), lambda s: mixed(s["match"]))
+    out = out.withColumn("__likely", likely)
+    moved = lambda s: F.transform(_high_entropy(s["match"]), lambda e: F.struct((s["start"] + e["start"]).alias("start"), (s["start"] + e["end"]).alias("end"), e["match"].alias("match")))
+    high = F.filter(F.flatten(F.transform("__likely", moved)), lambda e: mixed(e["match"]) & ~e["match"].rlike(ALLOWED))
+    out = out.withColumn("secret_spans", F.when(F.size("__likely") > 0, F.array_sort(F.concat("__base", _kind(high, "entropy")))).otherwise(F.col("__base")))
+    return out.drop("__base", "__some", "__rest", "__found", "__likely", *names.values())
 
 
 def joined(spans: Column) -> Column:
@@ -152,17 +194,23 @@ s AS MATERIALIZED (
   SELECT n, kind, ord, start, start + length(m) AS stop FROM s
   WHERE kind = 'hex' OR (kind = 'access' AND length(m) >= 18) OR (kind = 'assign' AND length(regexp_extract(m, '^{keyword}{link}(.*)$', 1)) >= 12)
 ), w AS (
-  SELECT n, m, start, i, m[i:i + {WINDOW - 1}] AS win
+  SELECT n, m, start AS place, start + i - 1 AS spot, m[i:i + {WINDOW - 1}] AS win
   FROM s, unnest(range(1, length(m) - {WINDOW - 2})) u(i)
-  WHERE kind = 'entropy' AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOWED}')
-), h AS (
-  SELECT n, start AS place, m, start + min(i) - 1 AS start, start + max(i) - 1 + {WINDOW} AS stop FROM w
+  WHERE kind = 'entropy' AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+), q AS (
+  SELECT n, m, place, spot FROM w
   WHERE list_sum(list_transform(list_distinct(string_split(win, '')), lambda c: ({terms})[length(win) - length(replace(win, c, ''))]))
     <= CASE WHEN NOT regexp_matches(win, '[^0-9]') THEN -1 WHEN NOT regexp_matches(win, '[^0-9a-fA-F]') THEN {hexes} ELSE {limit(THRESHOLDS["base64"])} END
-  GROUP BY n, place, m
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = w.n AND b.start < spot + {WINDOW} AND spot < b.stop)
+), i AS (
+  SELECT *, CASE WHEN spot - lag(spot) OVER (PARTITION BY n, place ORDER BY spot) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM q
+), j AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY n, place ORDER BY spot) AS island FROM i
+), h AS (
+  SELECT n, min(spot) AS start, max(spot) + {WINDOW} AS stop, substring(m, CAST(min(spot) - place + 1 AS BIGINT), CAST(max(spot) - min(spot) + {WINDOW} AS BIGINT)) AS part FROM j GROUP BY n, place, island, m
 ), a AS (
   SELECT * FROM base UNION ALL
-  SELECT n, 'entropy', 3, start, stop FROM h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.n = h.n AND b.start < h.stop AND h.start < b.stop)
+  SELECT n, 'entropy', 3, start, stop FROM h WHERE regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]') AND NOT regexp_matches(part, '{ALLOWED}')
 ), g AS (
   SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'entropy') AS n_entropy,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
