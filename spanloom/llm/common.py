@@ -106,9 +106,39 @@ def emitted(
     return let(items, whole)
 
 
-def renamed(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, as new=old; other columns can't clash then."""
-    return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], few: int, parts: int = 32) -> DataFrame:
+    """``rows`` left-joined to ``table``, whose keys are unique, such that a hot key of ``rows`` is no task of its own.
+
+    A table of at most ``few`` rows is sent to every task.  A larger one is joined by
+    a shuffle on the key and a salt: rows of one key are dealt by a hash of their
+    ``spread`` columns, and the table's row goes to each of the ``parts`` shares.
+    ``table`` is counted, so it should be written or checkpointed already.
+    """
+    if table.count() <= few:
+        return rows.join(F.broadcast(table), on, "left")
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread)), F.lit(parts)))
+    each = table.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return dealt.join(each, [*on, "__share"], "left").drop("__share")
+
+
+def hot_keys(counts: DataFrame, key: str, least: int = 1000, share: int = 1000) -> DataFrame:
+    """Keys of ``key, c`` with a count of at least ``least`` and a ``share``-th of all: at most ``share`` keys."""
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total")).first()["total"]
+    return counts.filter(F.col("c") >= max(least, total // share)).select(key)
+
+
+def joined_by(rows: DataFrame, table: DataFrame, key: str, spread: list[str], hot: DataFrame, parts: int = 64) -> DataFrame:
+    """Inner join on ``key`` in which the rows of the ``hot`` keys are dealt over ``parts`` shares by a hash of ``spread``.
+
+    The table's rows of a hot key go to each share.  ``hot`` is broadcast: it is
+    bounded by ``hot_keys``.
+    """
+    hot = hot.select(key, F.lit(True).alias("__hot"))
+    share = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__share", share).drop("__hot")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("__share", F.explode(shares)).drop("__hot")
+    return left.join(right, [key, "__share"]).drop("__share")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

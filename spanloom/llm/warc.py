@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pin, read
+from .common import Scratch, looked_up, pin, read
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_BYTES = 1000
 SPLIT = 16 << 20
+#: Tasks of a reader at most; beyond it a task scans several ranges.
+READERS = 50_000
 CHUNK = 1 << 18
-#: Repeated payloads up to this many (48 bytes each) are sent to every task; beyond it they are joined by a shuffle.
+#: Repeated payloads up to this many (48 bytes each) are sent to every task; beyond it they are joined by a shuffle on digest and salt.
 BROADCAST_DIGESTS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -42,9 +44,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("`page_id`").cast("long").alias("page_id"), F.col("`url`").alias("url"), F.encode(F.coalesce("`html`", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     owners = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("owner")).filter("n > 1 and owner is not null").select("digest", "owner")
-    owners = pin(owners)
-    few = owners.count() <= BROADCAST_DIGESTS
-    joined = rows.join(F.broadcast(owners) if few else owners, "digest", "left")
+    joined = looked_up(rows, pin(owners), ["digest"], ["page_id", "url"], BROADCAST_DIGESTS)
     return joined.withColumn("owner", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("owner")), F.col("owner")))
 
 
@@ -63,10 +63,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ow
     return member.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + member.flush()
 
 
+def settled(fs: pafs.FileSystem, draft: str, target: str) -> int:
+    """Renames a whole draft to its target, or drops it if another attempt has made the target; the target's size.
+
+    Not every file system replaces an existing target, and none need to.
+    """
+    made = lambda: fs.get_file_info(target).type == pafs.FileType.File
+    if not made():
+        try:
+            fs.move(draft, target)
+        except OSError:
+            if not made():
+                raise
+    if fs.get_file_info(draft).type == pafs.FileType.File:
+        fs.delete_file(draft)
+    return fs.get_file_info(target).size
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes rows of ``with_revisits`` to ``folder`` and returns ``path, bytes, records`` of the archives, lazily.
 
-    A task that runs again writes the same archive under the same name.
+    A task that runs again, or beside another attempt, makes the same records: it
+    keeps an archive that an earlier attempt has already made whole.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,16 +93,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         name = f"part-{context.partitionId():06d}.warc.gz"
         draft = f"{base}/.{name}.{context.taskAttemptId()}"
         fs.create_dir(base, recursive=True)
-        size = count = 0
+        count = 0
         with fs.open_output_stream(draft) as out:
             for batch in batches:
                 for page_id, url, payload, digest, owner in zip(batch["page_id"], batch["url"], batch["payload"], batch["digest"], batch["owner"]):
                     whole = lambda x: None if pd.isna(x) else int(x)
                     data = record(whole(page_id), url, payload, digest, whole(owner))
                     out.write(data)
-                    size += len(data)
                     count += 1
-        fs.move(draft, f"{base}/{name}")
+        size = settled(fs, draft, f"{base}/{name}")
         yield pd.DataFrame({"path": [f"{folder}/{name}"], "bytes": [size], "records": [count]})
 
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("owner").cast("string").alias("owner"))
@@ -154,10 +171,13 @@ def read_archives(archives: DataFrame, split: int = SPLIT, payload: bool = True)
     """The records of ``path, bytes``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     ``payload_bytes`` and the digest are of the full payload for revisits too;
-    their payload is null, as are all without ``payload``.
+    their payload is null, as are all without ``payload``.  ``archives`` is read
+    twice, first to count the ranges, as a stated number of partitions isn't coalesced:
+    each range is a task, up to READERS of them.
     """
+    count = archives.agg(F.coalesce(F.sum(F.ceil(F.greatest("bytes", F.lit(1)) / split)), F.lit(1)).alias("n")).first()["n"]
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))
-    ranges = archives.select("path", F.explode(starts).alias("start")).repartition("path", "start")
+    ranges = archives.select("path", F.explode(starts).alias("start")).repartitionByRange(max(1, min(int(count), READERS)), "path", "start")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
