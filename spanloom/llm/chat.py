@@ -61,10 +61,12 @@ def format_chats(rows: DataFrame, path: str = RANKS) -> DataFrame:
 
     ``rows`` has ``conv_id, turn, role, text``.  Turns stand by turn, then role, then
     text, nulls first; repeated rows are repeated turns.  A null text or role is
-    empty; rows without conv_id make one conversation of their own.  The mask is 1 on
-    the tokens of assistant texts, not on marks.  ``loss_spans`` has their first and
-    end position, which come from prefix sums of the segments' lengths.  No rows give
-    no conversations.
+    empty; rows without conv_id make one conversation of their own.  A conversation is
+    one row of the result, so its tokens must fit a task's memory; that holds for the
+    rows without conv_id too, so filter them out before where they may be many.
+    ``loss_spans`` has the first and end position of each assistant text, without
+    marks: they come from prefix sums of the segments' lengths.  ``loss_mask`` is 1 in
+    these spans and 0 elsewhere.  No rows give no conversations.
     """
     role = F.coalesce("role", F.lit(""))
     turns = rows.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -82,18 +84,28 @@ def format_chats(rows: DataFrame, path: str = RANKS) -> DataFrame:
     before = F.coalesce(F.sum(F.size("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turns = turns.withColumns({"pos": F.row_number().over(order), "start": before + F.size("head")})
     span = F.when(F.col("role") == "assistant", F.struct("start", (F.col("start") + F.size("ids")).alias("end")))
-    mask = F.concat(F.array_repeat(F.lit(0).cast("tinyint"), F.size("head")), F.array_repeat((F.col("role") == "assistant").cast("tinyint"), F.size("ids")), F.array(F.lit(0).cast("tinyint")))
-    parts = F.sort_array(F.collect_list(F.struct("pos", "segment", mask.alias("mask"), span.alias("span"))))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "segment", span.alias("span"))))
     chats = turns.groupBy("conv_id").agg(parts.alias("parts"), F.sum("chars").alias("formatted_chars"))
     spans = F.filter(F.col("parts.span"), lambda s: s.isNotNull())
-    return chats.select("conv_id", F.flatten("parts.segment").alias("token_ids"), spans.alias("loss_spans"), F.flatten("parts.mask").alias("loss_mask"), "formatted_chars")
+    chats = chats.select("conv_id", F.flatten("parts.segment").alias("token_ids"), spans.alias("loss_spans"), "formatted_chars")
+    return chats.select("conv_id", "token_ids", "loss_spans", loss_mask(F.col("loss_spans"), F.size("token_ids")).alias("loss_mask"), "formatted_chars")
+
+
+def loss_mask(spans: Column, size: Column) -> Column:
+    """1 inside the spans, which are in order and apart, and 0 elsewhere, up to ``size``."""
+    many = lambda value, n: F.array_repeat(F.lit(value).cast("tinyint"), n.cast("int"))
+    # each span brings the zeros before it
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(spans, i - 1)["end"])
+    parts = F.transform(spans, lambda s, i: F.concat(many(0, s["start"] - before(i)), many(1, s["end"] - s["start"])))
+    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0).cast("long"))
+    return F.concat(F.flatten(parts), many(0, size - last))
 
 
 def read_chats(chats: DataFrame, path: str = RANKS) -> DataFrame:
-    """``conv_id, turns, loss_text, formatted_chars`` back from token_ids and loss_mask.
+    """``conv_id, turns, loss_text, formatted_chars`` back from token_ids and loss_spans.
 
-    ``turns`` is an array of role and text; ``loss_text`` the unescaped text of all
-    masked tokens.
+    ``turns`` is an array of role and text; ``loss_text`` the unescaped text of the
+    tokens in all spans, one span after the other.
     """
     opens = {IDS[m[0]]: role for role, m in ROLES.items()}
     names = {i: m for m, i in IDS.items()}
@@ -102,7 +114,7 @@ def read_chats(chats: DataFrame, path: str = RANKS) -> DataFrame:
         tokens = encoding(path)
         for batch in batches:
             turns, losses, sizes = [], [], []
-            for ids, mask in zip(batch["token_ids"], batch["loss_mask"]):
+            for ids, spans in zip(batch["token_ids"], batch["loss_spans"]):
                 found, role, held, chars = [], None, [], 0
                 for i in map(int, ids):
                     if i < FIRST_RESERVED:
@@ -118,11 +130,11 @@ def read_chats(chats: DataFrame, path: str = RANKS) -> DataFrame:
                         found.append({"role": role, "text": text})
                     held = []
                 turns.append(found)
-                losses.append(tokens.decode([int(i) for i, m in zip(ids, mask) if m]))
+                losses.append("".join(tokens.decode(ids[s["start"] : s["end"]].tolist()) for s in spans))
                 sizes.append(chars)
             yield pd.DataFrame({"conv_id": batch["conv_id"], "turns": turns, "loss": losses, "formatted_chars": sizes})
 
-    rows = chats.select(F.col("conv_id").cast("string").alias("conv_id"), "token_ids", "loss_mask")
+    rows = chats.select(F.col("conv_id").cast("string").alias("conv_id"), "token_ids", "loss_spans")
     back = rows.mapInPandas(decode, "conv_id string, turns array<struct<role: string, text: string>>, loss string, formatted_chars long")
     plain = F.transform("turns", lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
     return back.select(F.col("conv_id").cast("long").alias("conv_id"), plain.alias("turns"), unescaped(F.col("loss")).alias("loss_text"), "formatted_chars")
