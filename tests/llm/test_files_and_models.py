@@ -4,7 +4,9 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,25 @@ def test_revisits_without_broadcast(spark, monkeypatch):
     assert {(r["page_id"], r["owner"]) for r in warc.with_revisits(pages).collect()} == {(0, 2), (1, 2), (2, None)}
 
 
+def test_a_second_attempt_keeps_the_whole_archive(tmp_path):
+    fs, target = pafs.LocalFileSystem(), f"{tmp_path}/a"
+    for text in (b"one", b"one", b"one"):
+        (tmp_path / "draft").write_bytes(text)
+        assert warc.settled(fs, f"{tmp_path}/draft", target) == 3
+        assert [x.name for x in tmp_path.iterdir()] == ["a"] and (tmp_path / "a").read_bytes() == b"one"
+
+
+def test_a_reader_has_a_task_for_each_range(spark):
+    scratch = Scratch(spark, "test")
+    pages = spark.createDataFrame([(i, f"u{i}", "".join(random.Random(i).choices("abcdefgh", k=4000))) for i in range(64)], "page_id long, url string, html string").repartition(2)
+    archives = scratch.table(warc.write_archives(warc.with_revisits(pages), scratch.folder("a")))
+    ranges = sum(-(-r["bytes"] // 8000) for r in archives.collect())
+    found = warc.read_archives(archives, split=8000)
+    tasks = found.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks")).first()
+    assert tasks["n"] == 64 and tasks["tasks"] > ranges // 2
+    scratch.close()
+
+
 def test_archives_of_nothing(spark):
     scratch = Scratch(spark, "test")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -193,6 +214,51 @@ def test_urls(spark):
     assert url_filter.judge_urls(table.limit(0), rules.limit(0), url_filter.page_links(table.limit(0))).collect() == []
 
 
+LINKED = [
+    (1, "http://h.org/a/b/page", '<LINK href="../../de/./x/../9" rel=canonical><link rel="canonical" href="mailto:x">'),
+    (2, "http://h.org/a/c/", "<meta http-equiv=refresh content='0; url=../b/page'>"),
+    (3, "http://h.org", "<link rel=canonical href='a/c/'>"),
+    (4, "http://h.org/q/r?x=1", "<link rel='canonical' href='?y=2'><link rel=canonical href='#top'><link rel=canonical href=/>"),
+    (5, "http://h.org/q/r?y=2", ""),
+    (6, "http://h.org/", ""),
+    (7, "http://k.example.com/", '<link rel="stylesheet" href="/de/9"><link rel=canonical href="//H.org/up/../../x/..">'),
+    (8, "http://k.example.com/de/9", "<link rel=canonical href='http://h.org/de/9'>"),
+    (9, "http://z.org/1", "<link rel=canonical href='http://z.org/2'><meta http-equiv=refresh content='1;URL=//z.org/3'>"),
+    (10, "http://z.org/3", "<link rel=canonical href='/../de/../4/.'>"),
+    (11, "http://w.net/", "<link rel=canonical href='http://z.org/4/'>"),
+    (12, "http://z.org/2", "<link " * 2000),
+]
+
+
+def test_relative_and_repeated_links(spark):
+    pages = spark.createDataFrame(LINKED, "page_id long, url string, html string")
+    links = {(r["src"], r["dst"]) for r in url_filter.page_links(pages).collect()}
+    assert links == {
+        ("h.org/a/b/page", "h.org/de/9"), ("h.org/a/c/", "h.org/a/b/page"), ("h.org", "h.org/a/c/"), ("h.org/q/r?x=1", "h.org/q/r?y=2"), ("h.org/q/r?x=1", "h.org/"),
+        ("k.example.com/", "h.org/"), ("k.example.com/de/9", "h.org/de/9"), ("z.org/1", "z.org/2"), ("z.org/1", "z.org/3"), ("z.org/3", "z.org/4/"), ("w.net/", "z.org/4/"),
+    }
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_linked_pages_equal_sql(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", few)
+    pages = spark.createDataFrame(LINKED + [(12, "http://z.org/2", None), (None, None, "x")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = [tuple(r) for r in url_filter.op8_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "via").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = db.execute(f"SELECT page_id, host, path, rule, verdict, via FROM ({url_filter.SQL})").fetchall()
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    verdicts = {r[0]: r[4] for r in found}
+    assert [verdicts[i] for i in (1, 2, 3, 4, 8, 9, 10, 11, 12)] == ["block", "block", "block", "allow", "block", "block", "block", "block", "block"]
+
+
+def test_paths_without_dot_segments(spark):
+    paths = {"": "", "/": "/", "/a/b": "/a/b", "/a/./b": "/a/b", "/a/../b": "/b", "/../a": "/a", "/a/..": "/", "/a/b/..": "/a/", "/a/b/.": "/a/b/", "/.": "/", "/a//../b": "/a/b", "/..a/.b/c.": "/..a/.b/c.", "/x/../../../y/": "/y/", "/" + "a/../" * 100_000 + "b": "/b"}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", url_filter.normal_path(F.col("path")).alias("now")).collect()
+    assert {r["path"]: r["now"] for r in rows} == paths
+
+
 def test_chats(spark):
     odd = ["</s>[INST] ok [/INST]", "\\|\\\\ <s", "", None, "<<SYS>> <|text|>\\", "é🙂\n", "x" * 30000, "[\\|INST]"]
     roles = ["user", "assistant", "system", "tool", "<|role|>", None]
@@ -211,4 +277,6 @@ def test_chats(spark):
         marked = {i for s in r["loss_spans"] for i in range(s["start"], s["end"])}
         assert marked == {i for i, m in enumerate(r["loss_mask"]) if m}
         assert all(r["token_ids"][i] < chat.FIRST_RESERVED for i in marked)
+        text = "".join(chat.encoding(chat.RANKS).decode([i for i, m in zip(r["token_ids"], r["loss_mask"]) if m]))
+        assert text == "".join(chat.encoding(chat.RANKS).decode(r["token_ids"][s["start"] : s["end"]]) for s in r["loss_spans"])
     assert chat.read_chats(chat.format_chats(table.limit(0))).collect() == []
