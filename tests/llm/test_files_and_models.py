@@ -99,8 +99,8 @@ def brute_top(vectors, ids, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_top_k_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,query_block", [(7, 5), (40, 9), (10_000, 10_000)])
+def test_top_k_equals_brute_force(spark, block, query_block):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(20)]) for i in range(120)] + [(i, [0.5] * 20) for i in range(200, 215)]
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 20), (303, [float("inf")] + [0.0] * 19), (304, []), (305, []), (306, [1.0, 2.0]), (10, rows[10][1]), (None, [0.1] * 20)]
@@ -109,11 +109,16 @@ def test_top_k_equals_brute_force(spark, block):
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     usable = [x for n, x in enumerate(usable) if x not in usable[:n]]
     queries = vectors.filter("vec_id % 5 = 0")
-    found = sorted(map(tuple, topk.top_k(vectors, queries, 5, block).collect()))
+    found = sorted(map(tuple, topk.top_k(vectors, queries, 5, block, query_block).collect()))
     assert found == brute_top(usable, sorted({i for i, _ in usable if i % 5 == 0}), 5)
     assert topk.top_k(vectors.limit(0), queries.limit(0)).collect() == []
 
 
+def test_products_are_exact_for_large_numbers():
+    q, c = np.array([[2**31 + 1, 3]]), np.array([[2**31 - 1, 1], [5, 2**30]])
+    assert topk._products(q, c).tolist() == [[(2**31 + 1) * (2**31 - 1) + 3, (2**31 + 1) * 5 + 3 * 2**30]]
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(0)
     q, c = rng.normal(size=(30, 37)), rng.normal(size=(50, 37))
