@@ -121,24 +121,24 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str
     return dealt.join(each, [*on, "__share"], "left").drop("__share")
 
 
-def hot_keys(counts: DataFrame, key: str, least: int = 1000, share: int = 1000) -> DataFrame:
-    """Keys of ``key, c`` with a count of at least ``least`` and a ``share``-th of all: at most ``share`` keys."""
+def hot_keys(counts: DataFrame, key: str, least: int = 1000, share: int = 1000) -> list:
+    """Keys of ``key, c`` with a count of at least ``least`` and a ``share``-th of the sum of all: never more than ``share`` keys."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total")).first()["total"]
-    return counts.filter(F.col("c") >= max(least, total // share)).select(key)
+    if total < least:
+        return []
+    return [r[0] for r in counts.filter(F.col("c") >= max(least, total // share)).select(key).collect()]
 
 
-def joined_by(rows: DataFrame, table: DataFrame, key: str, spread: list[str], hot: DataFrame, parts: int = 64) -> DataFrame:
-    """Inner join on ``key`` in which the rows of the ``hot`` keys are dealt over ``parts`` shares by a hash of ``spread``.
+def joined_by(rows: DataFrame, table: DataFrame, key: str, spread: list[str], hot: list, how: str = "inner", parts: int = 64) -> DataFrame:
+    """Join on ``key`` in which the rows of ``hot`` keys are dealt over ``parts`` shares by a hash of ``spread``.
 
-    The table's rows of a hot key go to each share.  ``hot`` is broadcast: it is
-    bounded by ``hot_keys``.
+    The table's rows of a hot key go to each share; ``hot`` is bounded by ``hot_keys``.
     """
-    hot = hot.select(key, F.lit(True).alias("__hot"))
-    share = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
-    shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("__share", share).drop("__hot")
-    right = table.join(F.broadcast(hot), key, "left").withColumn("__share", F.explode(shares)).drop("__hot")
-    return left.join(right, [key, "__share"]).drop("__share")
+    if not hot:
+        return rows.join(table, key, how)
+    share = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    shares = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__share", share).join(table.withColumn("__share", F.explode(shares)), [key, "__share"], how).drop("__share")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

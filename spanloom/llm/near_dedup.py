@@ -14,7 +14,8 @@ Steps, each written to the shared folder:
    less those that sizes or the triangle inequality of the Jaccard distance to the
    pivot rule out, are verified by signatures of 2048 bits, made for these documents
    only, and survivors are compared too, each pair in the first bucket it shares.
-   No bucket and no candidate is capped or dropped.
+   No bucket and no candidate is capped or dropped.  Rows of a hot bucket, and
+   pairs of a hot document, are dealt over many tasks in each join.
 6. Links are confirmed on full sets; components come from large-star/small-star.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pin, read
+from .common import Scratch, hot_keys, joined_by, pin, read
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.75
@@ -152,13 +153,18 @@ class _Links:
         self.docs, self.scratch = docs, scratch
         self.components: DataFrame | None = None
         self.distances: DataFrame | None = None
+        self.hot: list = []  # keys of buckets that hold many rows
 
-    def labelled(self, rows: DataFrame, column: str = "id") -> DataFrame:
-        """With the component of each row's id, which is the id itself where nothing is linked."""
+    def labelled(self, rows: DataFrame, column: str = "id", spread: tuple[str, ...] = (), hot: tuple = ()) -> DataFrame:
+        """With the component of each row's id, which is the id itself where nothing is linked; ``hot`` ids are in many rows."""
         if self.components is None:
             return rows.withColumn("comp", F.col(column))
         known = self.components.select(F.col("id").alias(column), "component")
-        return rows.join(known, column, "left").withColumn("comp", F.coalesce("component", column)).drop("component")
+        return joined_by(rows, known, column, list(spread), list(hot), "left").withColumn("comp", F.coalesce("component", column)).drop("component")
+
+    def bucketed(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """Rows of buckets joined to a table by key."""
+        return joined_by(rows, table, "key", ["id"], self.hot)
 
     def texts(self, ids: DataFrame) -> DataFrame | None:
         """Documents of these distinct ids; None for no ids."""
@@ -176,7 +182,9 @@ class _Links:
         if texts is None:
             return
         sides = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        both = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "text_a", "text_b")
+        hot_a, hot_b = (hot_keys(pairs.groupBy(s).agg(F.count("*").alias("c")), s) for s in "ab")
+        both = joined_by(pairs, next(sides), "a", ["b"], hot_a)
+        both = joined_by(both, next(sides), "b", ["a"], hot_b).select("a", "b", "text_a", "text_b")
         found = both.mapInArrow(_compared, "a long, b long, common long, total long").groupBy("a", "b").agg(F.max_by("common", F.col("common") / F.col("total")).alias("common"), F.max_by("total", F.col("common") / F.col("total")).alias("total"))
         found = self.scratch.table(found)
         self.distances = found if self.distances is None else self.distances.union(found)
@@ -230,10 +238,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links.join(several.select("doc_id").join(classes, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
 
     rows = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot < other").select("key", "pivot")
-    buckets = scratch.table(rows.join(shared, "key").select("key", "id", "n", "pivot"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot < other")
+    shared = scratch.table(shared.select("key", "pivot", "c"))
+    links.hot = hot_keys(shared, "key")
+    buckets = scratch.table(links.bucketed(rows, shared.drop("c")).select("key", "id", "n", "pivot"))
     sizes = buckets.filter("id = pivot").select("key", F.col("n").alias("pivot_n")).groupBy("key").agg(F.min("pivot_n").alias("pivot_n"))
-    stars = buckets.filter("id <> pivot").join(sizes, "key").filter(_fits("n", "pivot_n")).groupBy("id", "pivot").agg(F.count("*").alias("c"))
+    stars = links.bucketed(buckets.filter("id <> pivot"), sizes).filter(_fits("n", "pivot_n")).groupBy("id", "pivot").agg(F.count("*").alias("c"))
     best = stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
     links.compare(_ordered(best))
 
@@ -243,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not mixed.limit(1).count():
             break
         pivots = mixed.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        tried = mixed.join(pivots, "key").filter("comp <> p.comp").filter(_fits("n", "p.n"))
+        tried = links.bucketed(mixed, pivots).filter("comp <> p.comp").filter(_fits("n", "p.n"))
         # a component tries the pivot once, by one of its rows
         links.compare(_ordered(tried.groupBy("comp", F.col("p.id").alias("pivot")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))))
     mixed = _mixed_buckets(links, mixed, scratch)
@@ -262,7 +272,7 @@ def _mixed_buckets(links: _Links, rows: DataFrame, scratch: Scratch) -> DataFram
     """Rows of the buckets that hold several components, with these."""
     rows = links.labelled(rows.select("key", "id", "n", "pivot"))
     several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    return scratch.table(rows.join(several, "key"))
+    return scratch.table(links.bucketed(rows, several))
 
 
 def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -286,10 +296,11 @@ def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch)
     else:
         free = F.lit(False)
     ends = links.labelled(ends.withColumn("d", F.when(free, F.lit(None)).when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("comp"))
-    ends = links.labelled(ends.withColumnRenamed("comp", "own"), "pivot").withColumnRenamed("comp", "pivot_comp")
+    hot = hot_keys(mixed.groupBy("pivot").agg(F.count("*").alias("c")), "pivot")
+    ends = links.labelled(ends.withColumnRenamed("comp", "own"), "pivot", ("id", "key"), hot).withColumnRenamed("comp", "pivot_comp")
     slack = 1 - SIMILARITY + 1e-9
     nearest = ends.filter("own <> pivot_comp").groupBy("key").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
-    ends = ends.join(nearest, "key").filter((F.col("own") != F.col("pivot_comp")) | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - slack))
+    ends = links.bucketed(ends, nearest).filter((F.col("own") != F.col("pivot_comp")) | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - slack))
     ends = scratch.table(ends.select("key", "id", "n", "own", "d"))
     texts = links.texts(ends.select(F.col("id").alias("doc_id")).distinct())
     if texts is None:
@@ -301,7 +312,7 @@ def _across(links: _Links, mixed: DataFrame, bands: DataFrame, scratch: Scratch)
     apart = sum((F.bit_count(F.col("sig_x")[i].bitwiseXOR(F.col("sig_y")[i])) for i in range(BITS // 64)), F.lit(0))
     before = lambda c: F.slice(c, F.lit(1), F.col("band") - 1)
     earlier = F.exists(F.zip_with(before("bands_x"), before("bands_y"), lambda p, q: p == q), lambda e: e)
-    pairs = x.join(y.drop("band"), "key").filter("id_x > id_y and own_x <> own_y").filter(_fits("n_x", "n_y"))
+    pairs = joined_by(x, y.drop("band"), "key", ["id_x"], links.hot).filter("id_x > id_y and own_x <> own_y").filter(_fits("n_x", "n_y"))
     pairs = pairs.filter(F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= slack, F.lit(True)))
     pairs = pairs.filter(apart <= int((1 - SIGNATURE_FLOOR) / 2 * BITS)).filter(~earlier)
     return pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()

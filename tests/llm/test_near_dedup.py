@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import near_dedup
-from spanloom.llm.common import Scratch
+from spanloom.llm.common import Scratch, hot_keys, joined_by
 from spanloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -134,6 +135,30 @@ def test_components(spark, edges, expected):
     scratch.close()
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    hot, asked = near_dedup.hot_keys, []
+
+    def at_once(counts, key):
+        asked.append(hot(counts, key, least=5, share=50))
+        return asked[-1]
+
+    monkeypatch.setattr(near_dedup, "hot_keys", at_once)
+    rows = mixed_rows(3)
+    assert found(spark, rows) == brute(rows)
+    assert sum(map(bool, asked)) > 2 and all(len(keys) <= 50 for keys in asked)
+
+
+def test_hot_keys_are_bounded_and_joined_in_full(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    keys = hot_keys(rows.groupBy("k").agg(F.count("*").alias("c")), "k")
+    table = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert keys == [0]
+    for how in ("inner", "left"):
+        out = joined_by(rows, table, "k", ["id"], keys, how)
+        assert out.count() == 5000 and out.filter("v <> 2 * k").count() == 0
+    assert hot_keys(rows.limit(0).groupBy("k").agg(F.count("*").alias("c")), "k") == []
+
+
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     rows = mixed_rows(5)[:90]
