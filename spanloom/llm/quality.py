@@ -3,8 +3,9 @@
 A text is a vector of surface statistics, each also bent at quantile knots.  A
 document's strength is linear in them; the odds that one document of a pair is the
 better are the logistic function of the difference.  Preference pairs come from a
-bounded sample of labelled documents (one of label 1, one of label 0).  The
-strength at the quantile where the share of label 0 lies becomes the threshold.
+bounded sample of labelled documents (one of label 1, one of label 0).  The threshold
+is the strength at the quantile where the share of label 0 lies, over all labelled
+documents that may be learned from.  Each text is measured once.
 """
 
 from __future__ import annotations
@@ -12,20 +13,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import pin, read
 
 #: At most so many labelled documents are fetched to fit the model: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Preference pairs drawn for each labelled document of the rarer label, and in all.
+#: Preference pairs drawn for each sampled document of the rarer label, and in all.
 PAIRS_EACH, MAX_PAIRS = 40, 40_000
+#: Relative accuracy of the threshold's quantile is one in this many.
+QUANTILE_PARTS = 100_000
+STATISTICS = "__statistics"
 KNOTS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)
 THRESHOLD = 0.3
 
@@ -120,52 +123,75 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     count = min(MAX_PAIRS, PAIRS_EACH * min(len(good), len(bad)))
     model.weights = _logistic(z, rng.choice(good, count), rng.choice(bad, count), penalty=0.002 * count)
-    s = model.strength(x)
-    model.cut = float(np.quantile(s, len(bad) / (len(good) + len(bad))))
-    model.slope = 1.0
+    model.cut = float(np.quantile(model.strength(x), len(bad) / (len(good) + len(bad))))
     return model
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with the statistics of its text, to be written before they are used more than once; null is as an empty text."""
+
+    @F.arrow_udf("array<double>")
+    def measure(texts: pa.Array) -> pa.Array:
+        x = [features(t.as_py()) for t in texts]
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0)))
+
+    return docs.withColumn(STATISTICS, measure(F.col("`text`")))
+
+
+def _strengths(model: Model, rows: DataFrame):
+    """A function of a column of statistics: the strength, or with ``score`` the score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 600 numbers
+
+    def of(statistics: Column, score: bool) -> Column:
+        @F.arrow_udf("double")
+        def strength(batch: pa.Array) -> pa.Array:
+            out = [np.empty(0)]
+            for a in range(0, len(batch), 1000):
+                x = batch.slice(a, 1000).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+                out.append(shared.value.score(x) if score else shared.value.strength(x))
+            return pa.array(np.concatenate(out))
+
+        return strength(statistics)
+
+    return of
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most ``rows`` labelled documents whose fold (crc32 of the id's text mod 5) is not 0.
+    """A model of labelled documents whose fold (crc32 of the id's text mod 5) is not 0; ``docs`` as ``measured`` makes it.
 
-    Labels that are null or not 0 or 1 are left out; an id with both labels counts for both.
+    Weights are fitted on at most ``rows`` of them.  The threshold is from all.
+    Labels that are null or not 0 or 1 are left out; an id with both labels counts
+    for both.
     """
     known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`quality`").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).join(F.broadcast(known), "doc_id")  # at most TRAIN_ROWS ids
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), x], names=["doc_id", "quality", "x"])
-
-    found = texts.select("doc_id", "quality", "text").mapInArrow(measured, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", "x").toArrow()
-    x = found.column("x").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0)
-    return fit(x, found.column("quality").to_numpy())
+    learned = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col(STATISTICS).alias("x")).join(known, "doc_id")
+    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(rows).toArrow()
+    x = sample.column("x").combine_chunks().flatten().to_numpy() if sample.num_rows else np.empty(0)
+    model = fit(x, sample.column("quality").to_numpy())
+    if model.weights.any():
+        strength = _strengths(model, docs)(F.col("x"), False)
+        strengths = pin(learned.select("quality", strength.alias("s")))
+        share = strengths.agg(F.avg(1 - F.col("quality")).alias("share")).first()["share"]
+        at = strengths.agg(F.percentile_approx("s", share, QUANTILE_PARTS).alias("s")).first()["s"]
+        # half-way between the last strength below the cut and the first above it
+        ends = strengths.agg(F.max(F.when(F.col("s") <= at, F.col("s"))).alias("low"), F.min(F.when(F.col("s") > at, F.col("s"))).alias("high")).first()
+        model.cut = (ends["low"] + (ends["low"] if ends["high"] is None else ends["high"])) / 2
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score and predicted, from the text alone; null is as an empty text.
+    """``docs``, as ``measured`` makes it, with score and predicted; these come from the text alone.
 
-    Columns of these names are replaced; all others pass through.
+    Columns of these names are replaced; all others pass through, but for the statistics.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model)  # 600 numbers
-
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        out = [np.empty(0)]
-        for a in range(0, len(texts), 1000):
-            x = np.array([features(t.as_py()) for t in texts.slice(a, 1000)])
-            out.append(model.value.score(x.reshape(-1, len(NAMES))))
-        return pa.array(np.concatenate(out))
-
-    return docs.withColumn("score", score(F.col("`text`"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    score = _strengths(model, docs)(F.col(STATISTICS), True)
+    return docs.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(STATISTICS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = pin(measured(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     out = scored(docs, train(docs, read(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import zlib
 
@@ -194,6 +195,7 @@ def test_quality_held_out(spark):
 
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "word " * 40000, "c"), (1, "again", "d")], "doc_id long, text string, score string")
+    docs = quality.measured(docs)
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 7, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
     rows = quality.scored(docs, model).collect()
@@ -203,20 +205,66 @@ def test_quality_odd_rows(spark):
     assert quality.scored(docs.limit(0), two).count() == 0
 
 
-def test_urls(spark):
-    pages = [
-        (1, "http://a.example.net/en/x", ""), (2, "http://a.example.net/de/x", ""), (3, "https://EXAMPLE.com/de/1?q", ""), (4, "http://xexample.com/de/1", ""), (5, "http://a.org/fr/1", ""), (6, None, None), (7, "nothing", ""),
-        (8, "http://alias.org/1", '<link href="https://example.com/de/9" rel="canonical">'), (9, "http://more.org/2", '<meta http-equiv="refresh" content="0;url=http://alias.org/1#f">'), (10, "http://b.org/fr/2", "<link rel=canonical href=//example.com/de/9>"),
-        (11, "http://far.org/3", '<link rel="canonical" href="/3">'), (12, "http://net", ""), (13, "http://net/", ""), (14, "http://net", ""), (14, "http://net", ""),
+def plain_statistics(text):
+    """quality.NAMES, one by one, by plain counting."""
+    raw = (text or "").encode()
+    n, words, lines = max(1, len(raw)), raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    m = max(1, len(words))
+    share = lambda chars: sum(raw.count(c) for c in {bytes([c]) for c in chars}) / n
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    runs = [len(list(g)) - 1 for _, g in itertools.groupby(words)] or [0]
+    pairs = {(words[i], words[i + 1]) for i in range(len(words) - 1)}
+    return [
+        math.log(1 + len(raw)), math.log(1 + len(words)), mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)), share(b"#$%&*@^~=_<>{}[]\\/+"), share(b"|"), share(b"!"),
+        sum(65 <= c <= 90 for c in raw) / n, sum(48 <= c <= 57 for c in raw) / n, share(b" \t"), sum(c >= 128 for c in raw) / n, share(b".?"), share(b",;:"),
+        len(set(words)) / m, len(set(words)) / m + 0.06 * math.log(m), max([words.count(w) for w in set(words)] or [0]) / m,
+        sum(words[i] == words[i - 1] for i in range(1, len(words))) / m, sum(words[i] == words[i - 2] for i in range(2, len(words))) / m, len(pairs) / max(1, len(words) - 1),
+        sum(x <= 3 for x in sizes) / len(sizes), sum(x <= 1 for x in sizes) / len(sizes), 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + len(raw) / max(1, len(lines))), len(zlib.compress(raw, 1)) / n,
+        sum(w.upper() == w and w.lower() != w for w in words) / m, sum(w[:1].isalpha() and w[:1].isupper() for w in words) / m, sum(x > 12 for x in sizes) / len(sizes), math.log(1 + max(runs)),
     ]
-    table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
-    out = {r["page_id"]: (r["rule"], r["verdict"], r["via"]) for r in url_filter.judge_urls(table, rules, url_filter.page_links(table)).collect()}
-    assert out == {
-        1: ("example.net/en/", "allow", "rule"), 2: ("net/", "block", "rule"), 3: ("example.com/de/", "block", "rule"), 4: (None, "allow", "default"), 5: ("org/fr/", "allow", "rule"), 6: (None, "allow", "default"), 7: (None, "allow", "default"),
-        8: (None, "block", "alias"), 9: (None, "block", "alias"), 10: ("org/fr/", "allow", "rule"), 11: (None, "allow", "default"), 12: (None, "allow", "default"), 13: ("net/", "block", "rule"), 14: (None, "allow", "default"),
-    }
-    assert url_filter.judge_urls(table.limit(0), rules.limit(0), url_filter.page_links(table.limit(0))).collect() == []
+
+
+def test_quality_equals_brute_force(spark):
+    """Statistics by plain counting, weights by gradient descent on the pairwise loss, threshold by sorting."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts, known = dict(map(tuple, docs.collect())), {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    x = {i: plain_statistics(t) for i, t in texts.items()}
+    found = quality.op7_quality(spark, SF).collect()
+    measured = {r["doc_id"]: r[quality.STATISTICS] for r in quality.measured(docs).collect()}
+    assert all(measured[i] == pytest.approx(x[i], abs=1e-12) for i in texts)
+    ids = [i for i in texts if i in known and zlib.crc32(str(i).encode()) % 5]
+    model = quality.train(quality.measured(docs), labels)
+    order = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    raw, y = np.array([x[i] for i in order]), np.array([known[i] for i in order])
+    knots = np.stack([np.quantile(raw, q, axis=0) for q in quality.KNOTS], axis=1)
+
+    def bent(rows):
+        return np.array([list(r) + [max(0.0, v - k) for v, own in zip(r, knots) for k in own] for r in rows])
+
+    z = bent(raw)
+    mean, spread = z.mean(axis=0), z.std(axis=0)
+    scale = lambda rows: np.where(spread > 1e-9, (bent(rows) - mean) / np.where(spread > 1e-9, spread, 1), 0)
+    rng = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    count = min(quality.MAX_PAIRS, quality.PAIRS_EACH * min(len(good), len(bad)))
+    better, worse = rng.choice(good, count), rng.choice(bad, count)
+    d = scale(raw)[better] - scale(raw)[worse]
+    w, momentum = np.zeros(d.shape[1]), np.zeros(d.shape[1])
+    step = 1 / (np.linalg.eigvalsh(d.T @ d)[-1] / 4 + 0.002 * count)
+    for i in range(6000):
+        ahead = w + momentum
+        new = ahead + step * (d.T @ (1 / (1 + np.exp(d @ ahead))) - 0.002 * count * ahead)
+        momentum, w = 0.98 * (new - w), new
+    strengths = np.sort(scale(raw) @ w)
+    cut = (strengths[len(bad) - 1] + strengths[len(bad)]) / 2
+    assert np.allclose(model.weights, w, atol=1e-4) and model.cut == pytest.approx(cut, abs=1e-3)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    for r in found:
+        strength = float((scale(np.array([x[r["doc_id"]]])) @ w)[0])
+        expected = 1 / (1 + math.exp(-(strength - cut) - math.log(0.3 / 0.7)))
+        assert r["score"] == pytest.approx(expected, abs=1e-3) and r["held_out"] == held[r["doc_id"]] and r["predicted"] == (r["score"] >= 0.3)
 
 
 LINKED = [
