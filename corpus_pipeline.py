@@ -16,8 +16,9 @@ from spanloom.llm.common import Scratch, pin, read
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  Fitted on the labelled ones among these documents."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
     columns = docs.columns
+    docs = pin(quality.measured(docs))
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, model).filter("predicted = 1").select(*(f"`{c}`" for c in columns))
 
 
@@ -70,9 +71,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet in the shared folder and read again.
+
+    A stage's input goes once its result is written.  Only the last stage's input
+    stays, as the returned rows are made from it.
+    """
     docs = read(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
+        scratch = Scratch(spark, f"pipeline-{name}")
         docs = scratch.table(stage(spark, docs, sf_dir))
+        if before:
+            before.close()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
