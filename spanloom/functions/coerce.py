@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The words that mean yes and no in the data.
 TRUE_WORDS = ("1", "true", "yes", "sim", "on", "enabled")
 FALSE_WORDS = ("0", "false", "no", "não", "nao", "off", "disabled")
 

@@ -396,34 +396,30 @@ def segment_ranges(segments: DataFrame, key: str, shortest: float, longest: floa
 # Visual decisions
 
 
-FORMATS = (
-    ("fake_tweet", 0.90, ("fake_tweet", "social_post", "tweet_panel")),
-    ("visual_meme", 0.86, ("visual_meme", "meme_art", "composite_art")),
-    ("text_panel", 0.82, ("text_panel", "has_text_panel", "headline_panel")),
-    ("split_screen", 0.78, ("split_screen", "has_split_screen")),
-    ("external_evidence", 0.84, ("external_evidence", "has_external_evidence")),
-    ("institutional", 0.84, ("institutional", "is_institutional")),
-    ("campaign", 0.84, ("campaign", "is_campaign")),
-    ("interview", 0.84, ("interview", "is_interview")),
-    ("podcast", 0.84, ("podcast", "is_podcast")),
-    ("stage", 0.80, ("stage", "is_stage")),
-    ("testimonial", 0.80, ("testimony", "testimonial")),
-)
-
-
-def visual_format(flags: dict[str, Column], declared: Column, faces: Column, confidence: Column) -> Column:
-    """Format and confidence: a declared one, the first group of flags that is set, or what the faces allow."""
-    on = lambda names: F.coalesce(*(F.when(flags[n], True) for n in names if n in flags), F.lit(False))
-    pick = lambda name, sure: F.struct(F.lit(name).alias("format"), F.lit(sure).alias("confidence"))
-    out = F.when(declared.isNotNull() & (declared != ""), F.struct(declared.alias("format"), F.lit(0.96).alias("confidence")))
-    for name, sure, names in FORMATS:
-        if any(n in flags for n in names):
-            out = out.when(on(names), pick(name, sure))
-    graphic = on(("graphic_overlay", "has_graphic_overlay", "chart_overlay", "has_graphic")) if any(n in flags for n in ("graphic_overlay", "has_graphic_overlay", "chart_overlay", "has_graphic")) else F.lit(False)
-    close = on(("close_up", "is_selfie")) if any(n in flags for n in ("close_up", "is_selfie")) else F.lit(False)
-    out = out.when(graphic & (F.coalesce(faces, F.lit(1)) == 1), pick("talking_head_graphic", 0.80)).when(faces > 1, pick("interview", 0.70))
-    sure = (faces == 1) & (confidence.isNull() | (confidence >= 0.75))
-    return out.when(sure & close, pick("close_selfie", 0.72)).when(sure, pick("talking_head", 0.70)).otherwise(pick("unknown", 0.35))
+#: An example of a rule table: name, confidence, flags of which one must be set (none named: any), and which count of faces fits.
+FORMAT_RULES = (("panel", 0.9, ("panel",), None), ("group", 0.6, (), "several"), ("close_up", 0.6, ("close_up",), "one"), ("single", 0.6, (), "one"))
+
+
+def visual_format(
+    flags: dict[str, Column], declared: Column, faces: Column, confidence: Column, rules: tuple = FORMAT_RULES,
+    declared_confidence: float = 1.0, unknown_confidence: float = 0.0, least_confidence: float = 0.75,
+) -> Column:
+    """Format and confidence: a declared one, else the first rule that fits, else unknown.
+
+    A rule with ``one`` face asks for one that is known with ``least_confidence`` (or
+    without any statement), one with ``several`` for more than one.  A flag that is
+    null or not given is not set.
+    """
+    named = lambda name, sure: F.struct(F.lit(name).alias("format"), F.lit(float(sure)).alias("confidence"))
+    count = {"one": (faces == 1) & (confidence.isNull() | (confidence >= least_confidence)), "several": faces > 1, None: F.lit(True)}
+    stated = F.struct(declared.alias("format"), F.lit(float(declared_confidence)).alias("confidence"))
+    out = F.when(F.coalesce(declared, F.lit("")) != "", stated)
+    for name, sure, needed, people in rules:
+        is_set = F.lit(not needed)
+        for flag in needed:
+            is_set = is_set | F.coalesce(flags.get(flag, F.lit(False)), F.lit(False))
+        out = out.when(is_set & F.coalesce(count[people], F.lit(False)), named(name, sure))
+    return out.otherwise(named("unknown", unknown_confidence))
 
 
 def layout(format_name: Column, tracking_sure: Column, faces: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: The reason codes that review data carry, by what they are about.
 REASON_CATEGORIES = {
     "hook": ("good_hook", "weak_hook", "no_hook"),
     "context_payoff": ("excellent_context", "missing_context", "no_payoff"),

@@ -13,6 +13,9 @@ from . import views
 from .queries import FOLD, MINUTES, WORDS, query
 from .views import CLIPS, SEGMENTS, intervals_sql
 
+#: The rules of the two decision queries below, as their SQL has them.
+VISUAL_RULES = (("podcast", 0.84, ("podcast",), None), ("interview", 0.70, (), "several"), ("close_selfie", 0.72, ("close_up",), "one"), ("talking_head", 0.70, (), "one"))
+DOUBTS = {"starts_mid_sentence": 14, "overlap_suspected": 22, "payoff_missing": 12, "speaker_turn_invalid": 18}
 TABLES = ("customer", "orders", "lineitem", "events", "documents", "pages")
 
 
@@ -93,7 +96,7 @@ SELECT doc_id, CASE WHEN total = 0 THEN 'clean' WHEN total < 30 THEN 'review' EL
 def technical_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.clips(spark, sf_dir)
     flags = {"starts_mid_sentence": F.col("doc_id") % 5 == 0, "overlap_suspected": F.col("doc_id") % 7 == 0, "payoff_missing": F.col("context") < 55, "speaker_turn_invalid": F.col("decision") == "rejected"}
-    return c.select("doc_id", scoring.technical_gate(flags).alias("g")).select("doc_id", "g.status", "g.penalty", F.array_join("g.reasons", ",").alias("reasons"))
+    return c.select("doc_id", scoring.technical_gate(flags, DOUBTS).alias("g")).select("doc_id", "g.status", "g.penalty", F.array_join("g.reasons", ",").alias("reasons"))
 
 
 @query(f"""WITH {CLIPS}, b AS (SELECT doc_id, potential * 0.5::DOUBLE + context * 0.3::DOUBLE + complete * 0.2::DOUBLE - CASE WHEN doc_id % 5 = 0 THEN 14 ELSE 0 END AS base, doc_id % 3 = 0 AS review, doc_id % 21 - 10 AS adj FROM clips),
@@ -110,7 +113,7 @@ def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN c_custkey % 11 = 0 THEN 0.96 WHEN c_custkey % 3 = 0 THEN 0.84 WHEN faces > 1 THEN 0.70 WHEN faces = 1 AND c_custkey % 2 = 0 THEN 0.72 WHEN faces = 1 THEN 0.70 ELSE 0.35 END::DOUBLE AS confidence FROM (SELECT c_custkey, c_custkey % 4 AS faces FROM customer)""")
 def visual_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    f = clips.visual_format({"podcast": k % 3 == 0, "close_up": k % 2 == 0}, F.when(k % 11 == 0, "stage"), k % 4, F.lit(None).cast("double"))
+    f = clips.visual_format({"podcast": k % 3 == 0, "close_up": k % 2 == 0}, F.when(k % 11 == 0, "stage"), k % 4, F.lit(None).cast("double"), VISUAL_RULES, 0.96, 0.35)
     return views.table(spark, sf_dir, "customer").select("c_custkey", f.alias("f")).select("c_custkey", "f.format", "f.confidence")
 
 

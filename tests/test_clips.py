@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.plans.reports import VISUAL_RULES
 from spanloom.operators import clips, folds
 
 IV = "k string, id long, start double, end double"
@@ -129,7 +130,7 @@ def test_assembly_and_ranges(spark):
 
 def test_formats_and_tracking(spark):
     rows = spark.createDataFrame([(1, None, None, None, None, None), (2, "stage", True, 1, 0.9, True), (3, None, True, 2, None, False), (4, None, None, 2, None, False), (5, "", False, 1, 0.9, True), (6, None, False, 1, 0.5, False)], "id long, declared string, podcast boolean, faces int, sure double, close boolean")
-    f = clips.visual_format({"podcast": F.col("podcast"), "close_up": F.col("close")}, F.col("declared"), F.col("faces"), F.col("sure"))
+    f = clips.visual_format({"podcast": F.col("podcast"), "close_up": F.col("close")}, F.col("declared"), F.col("faces"), F.col("sure"), VISUAL_RULES)
     out = rows.select("id", f["format"].alias("f")).withColumn("l", clips.layout(F.col("f"), F.lit(True), F.lit(1))).orderBy("id").collect()
     assert [(r["f"], r["l"]) for r in out] == [("unknown", "keep_and_review"), ("stage", "keep_composition"), ("podcast", "keep_all_speakers"), ("interview", "keep_all_speakers"), ("close_selfie", "follow_speaker"), ("unknown", "keep_and_review")]
     points = spark.createDataFrame([(1, 0.0, 10.0, float(t), 0.5 + t * 0.01, 0.5, 0.9, 1) for t in range(10)] + [(2, 0.0, 10.0, float(t), 0.5 + 0.4 * (t % 2), 0.5, 0.9, 1) for t in range(10)] + [(3, 0.0, 10.0, 1.0, 0.5, 0.5, 0.2, 1)], "id long, start double, end double, time double, center_x double, center_y double, confidence double, face_count int")

@@ -54,7 +54,7 @@ def test_scores(spark):
     for seconds, fit in ((5, 55.0), (30, 100.0), (60, 91.0), (120, 76.0), (180, 58.0), (1000, 25.0)):
         assert one(spark, scoring.duration_fit(F.lit(seconds)))[0] == pytest.approx(fit)
     assert one(spark, scoring.from_grades(*map(F.lit, "ABCA")), scoring.grade(F.lit(75)), scoring.search_score(F.lit(0.7), F.lit(1.0), F.lit(0.25))) == (61, "A", 71.5)
-    gate = one(spark, scoring.technical_gate({"overlap_suspected": F.lit(True), "speaker_turn_invalid": F.lit(True), "payoff_missing": F.lit(True), "timing_ambiguous": F.lit(None).cast("boolean")}))[0]
+    gate = one(spark, scoring.technical_gate({"overlap_suspected": F.lit(True), "speaker_turn_invalid": F.lit(True), "payoff_missing": F.lit(True), "timing_ambiguous": F.lit(None).cast("boolean")}, {"overlap_suspected": 22, "timing_ambiguous": 10, "payoff_missing": 12, "speaker_turn_invalid": 18}))[0]
     assert (gate["status"], gate["penalty"], gate["reasons"]) == ("weak", 42, ["overlap_suspected", "payoff_missing", "speaker_turn_invalid"])
     factors = F.create_map(F.lit("hook"), F.lit(100.0), F.lit("flow"), F.lit(90.0))
     lifted = one(spark, scoring.final_score(factors, {"hook": 0.6, "flow": 0.5}, F.lit(0), [(F.lit(True), 78.0)], F.lit(50.0)), scoring.top_factors(factors), scoring.mean_of(factors, ("hook", "none")))
