@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,39 +62,44 @@ def greedy_matches(pairs: DataFrame, left: str, right: str, order: list) -> Data
 def capped_pick(rows: DataFrame, rank: str, source: str, family: str, most: int = 50, per_source: int = 8, per_family: int = 14, target: int = 39) -> DataFrame:
     """Selected rows, in rank order under caps for sources and families; families' overflow comes back if the target is missed.
 
-    Only the first ``per_source`` rows of a (source, family) pair can be taken.  Of these,
-    the bounded walk below needs no more than the best few of every family: once
-    ``most`` rows and every family's overflow are known, later rows change nothing.
+    The walk needs the next ``most`` rows of what isn't full yet, as often as a source or
+    a family gets full: at most ``most / per_source + most / per_family`` times, and in
+    the second pass ``most / per_source`` times.  So Spark finds each such batch by a top-k
+    over all rows, and the driver never sees more than ``most`` rows at once, however many
+    sources and families there are.
     """
-    pair = Window.partitionBy(source, family).orderBy(rank)
-    near = rows.withColumn("__n", F.row_number().over(pair)).filter(F.col("__n") <= per_source)
-    # each pass takes at most ``most`` rows of a family, and passes over as many of full sources
-    by_family = Window.partitionBy(family).orderBy(rank)
-    near = near.withColumn("__f", F.row_number().over(by_family)).filter(F.col("__f") <= 4 * most)
-    order = near.select(F.col(rank).alias("rank"), F.col(source).alias("source"), F.col(family).alias("family")).orderBy("rank")
-    chosen: list[int] = []
-    sources: dict = {}
-    families: dict = {}
-    deferred: list[tuple] = []
-
-    def take(row) -> None:
-        chosen.append(row[0])
-        sources[row[1]] = sources.get(row[1], 0) + 1
-        families[row[2]] = families.get(row[2], 0) + 1
-
-    for row in order.toLocalIterator():
-        if len(chosen) >= most:
-            break
-        if sources.get(row[1], 0) >= per_source:
-            continue
-        if families.get(row[2], 0) >= per_family:
-            deferred.append(tuple(row))
-            continue
-        take(row)
+    slim = cut(rows.select(F.col(rank).alias("rank"), F.col(source).alias("source"), F.col(family).alias("family")))
+    chosen: list = []
+    counts: tuple[dict, dict] = {}, {}
+
+    def full(which: int, cap: int) -> list:
+        return [name for name, n in counts[which].items() if n >= cap]
+
+    def among(column: str, names: list) -> Column:
+        known = [n for n in names if n is not None]
+        found = F.coalesce(F.col(column).isin(known), F.lit(False)) if known else F.lit(False)
+        return found | F.col(column).isNull() if None in names else found
+
+    def walk(pool: DataFrame, families_capped: bool) -> None:
+        last = None
+        while len(chosen) < most:
+            rest = pool.filter(~among("source", full(0, per_source)))
+            rest = rest.filter(~among("family", full(1, per_family))) if families_capped else rest
+            batch = (rest if last is None else rest.filter(F.col("rank") > F.lit(last))).orderBy("rank").limit(most).collect()
+            if not batch:
+                return
+            for row in batch:
+                last = row["rank"]
+                chosen.append(last)
+                for group, name in zip(counts, (row["source"], row["family"])):
+                    group[name] = group.get(name, 0) + 1
+                source_full = counts[0][row["source"]] >= per_source
+                family_full = families_capped and counts[1][row["family"]] >= per_family
+                if source_full or family_full or len(chosen) >= most:
+                    break
+
+    walk(slim, True)
     if len(chosen) < min(target, most):
-        for row in deferred:
-            if len(chosen) >= most:
-                break
-            if sources.get(row[1], 0) < per_source:
-                take(row)
+        over = full(1, per_family)
+        walk(slim.filter(among("family", over) & ~F.col("rank").isin(chosen)), False)
     return rows.filter(F.col(rank).isin(chosen)) if chosen else rows.limit(0)

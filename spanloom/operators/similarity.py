@@ -5,6 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .greedy import cut
+
+
+def _sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``key, set, fp`` of rows with tokens: the sorted set, and 128 bits that stand for it."""
+    rows = df.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set")).filter(F.size("set") > 0)
+    # the count keeps apart what joining could mix up
+    return rows.withColumn("fp", F.unhex(F.md5(F.concat_ws("\x1f", F.size("set").cast("string"), "set"))))
+
+
+def _self_joined(heads: DataFrame, share: int = 1000, least: int = 1000, parts: int = 32) -> DataFrame:
+    """Pairs of rows with a token in common; the rows of a token that many have are dealt over tasks.
+
+    Such a token holds a ``share``-th of all rows or more, so there are never more than
+    ``share`` of them.
+    """
+    counts = cut(heads.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > 1))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
+    hot = [r["token"] for r in counts.filter(F.col("c") >= max(least, total // share)).select("token").collect()] if total >= least else []
+    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
+    rows = heads.join(counts.select("token"), "token", "left_semi")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "pos", "n"))) for s in "xy")
+    x = x.withColumn("part", F.when(is_hot, F.pmod(F.xxhash64("id_x"), F.lit(parts)).cast("int")).otherwise(0))
+    y = y.withColumn("part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return x.join(y, ["token", "part"]).drop("part")
+
 
 def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """``left, right, similarity`` of all distinct rows of similarity ``threshold`` or more, left < right.
@@ -15,23 +41,21 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> Dat
     decide.  Rows with equal sets are joined as one class: ``jaccard_classes`` lists
     them, and their pairs are not expanded here.  Empty sets match nothing.
     """
-    classes = jaccard_classes(df, key, tokens).select(F.col("class_id").alias(key), "set").distinct()
-    long = classes.select(key, F.explode("set").alias("token"))
+    classes = _sets(df, key, tokens).groupBy("fp").agg(F.min(key).alias("id"), F.first("set").alias("set")).select("id", "set")
+    long = classes.select("id", F.explode("set").alias("token"))
     rarity = long.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = long.join(rarity, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
+    ranked = long.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
     size = F.size("o")
     prefix = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
-    heads = ranked.select(F.col(key).alias("id"), size.alias("n"), F.posexplode(F.slice("o.token", F.lit(1), prefix)).alias("pos", "token"))
-    sides = [heads.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "pos", "n"))) for s in "xy"]
+    heads = cut(ranked.select("id", size.alias("n"), F.posexplode(F.slice("o.token", F.lit(1), prefix)).alias("pos", "token")))
     fits = (F.col("id_x") < F.col("id_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-9)
     # the tokens after a first common one bound what both can have in common
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     need = F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)
-    met = sides[0].join(sides[1], "token").filter(fits).groupBy("id_x", "id_y").agg(F.min(F.struct("pos_x", room.alias("room"), need.alias("need"))).alias("first"))
+    met = _self_joined(heads).filter(fits).groupBy("id_x", "id_y").agg(F.min(F.struct("pos_x", room.alias("room"), need.alias("need"))).alias("first"))
     # sets join only the pairs that are left
-    sets = classes.select(F.col(key).alias("id"), "set")
     pairs = met.filter("first.room >= first.need").select("id_x", "id_y")
-    both = pairs.join(sets.select(F.col("id").alias("id_x"), F.col("set").alias("x")), "id_x").join(sets.select(F.col("id").alias("id_y"), F.col("set").alias("y")), "id_y")
+    both = pairs.join(classes.toDF("id_x", "x"), "id_x").join(classes.toDF("id_y", "y"), "id_y")
     common = F.size(F.array_intersect("x", "y"))
     out = both.withColumn("similarity", common / (F.size("x") + F.size("y") - common))
     return out.filter(F.col("similarity") >= threshold - 1e-12).select(F.col("id_x").alias("left"), F.col("id_y").alias("right"), "similarity")
@@ -39,6 +63,5 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> Dat
 
 def jaccard_classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Each row with the smallest key of the rows that have the same, non-empty token set."""
-    rows = df.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set")).filter(F.size("set") > 0)
-    first = rows.groupBy("set").agg(F.min(key).alias("class_id"))
-    return rows.join(first, "set").select(key, "class_id", "set")
+    rows = _sets(df, key, tokens)
+    return rows.join(rows.groupBy("fp").agg(F.min(key).alias("class_id")), "fp").select(key, "class_id", "set")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coerce, scoring, text, timecode
-from ..operators import feedback, folds, greedy, intervals, performance, search, similarity
+from ..operators import feedback, folds, greedy, intervals, performance, search, selection, similarity
 from . import views
 from .views import CLIPS, NORMALIZED, SEGMENTS, SNAPSHOTS, intervals_sql
 
@@ -499,25 +499,17 @@ def four_dim_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.clips(spark, sf_dir).select("doc_id", scoring.four_dimensions(F.col("potential"), F.col("context"), F.col("complete"), F.col("duration")).alias("total"), scoring.grade(F.col("potential")).alias("grade"))
 
 
-def gates(clips: DataFrame, least: float = 62) -> DataFrame:
-    """Rejection reasons of candidates in fixed order; none makes a clip eligible."""
-    found = F.array(
-        F.when(F.col("potential") < least, "score"), F.when(F.col("context") < 55, "context"), F.when(F.col("complete") < 55, "payoff"), F.when(text.collapsed(F.col("text")) == "", "no_transcript")
-    )
-    return clips.withColumn("reasons", F.filter(found, lambda x: x.isNotNull()))
-
-
 GATES = """list_filter([CASE WHEN potential < 62 THEN 'score' END, CASE WHEN context < 55 THEN 'context' END, CASE WHEN complete < 55 THEN 'payoff' END, CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN 'no_transcript' END], lambda x: x IS NOT NULL)"""
 
 
 @query(f"WITH {CLIPS}, g AS (SELECT doc_id, {GATES} AS reasons FROM clips) SELECT doc_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM g")
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates(views.clips(spark, sf_dir)).select("doc_id", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible"))
+    return selection.gates(views.clips(spark, sf_dir)).select("doc_id", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible"))
 
 
 @query(f"WITH {CLIPS}, g AS (SELECT source_id, unnest({GATES}) AS reason FROM clips) SELECT source_id, reason, count(*) AS n FROM g GROUP BY ALL")
 def gate_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates(views.clips(spark, sf_dir)).select("source_id", F.explode("reasons").alias("reason")).groupBy("source_id", "reason").agg(F.count("*").alias("n"))
+    return selection.gates(views.clips(spark, sf_dir)).select("source_id", F.explode("reasons").alias("reason")).groupBy("source_id", "reason").agg(F.count("*").alias("n"))
 
 
 ORDER = "potential DESC, context DESC, duration, doc_id"
@@ -550,17 +542,8 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_classes(rows, "doc_id", "t").select("doc_id", "class_id")
 
 
-def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gated clips in rank order, without those whose text nearly equals a better one's."""
-    rows = gates(views.clips(spark, sf_dir)).filter("size(reasons) = 0").select("doc_id", "source_id", "family", "text", "potential", "context", "duration")
-    words = rows.select("doc_id", text.words(F.lower("text")).alias("t"))
-    classes = similarity.jaccard_classes(words, "doc_id", "t").select("doc_id", "class_id")
-    rows = rows.join(classes, "doc_id")
-    # of equal texts the best ranked stands for all; its rank decides between classes
-    best = rows.withColumn("__n", F.row_number().over(Window.partitionBy("class_id").orderBy(*ordered()))).filter("__n = 1").drop("__n")
-    order = F.struct(-F.col("potential"), -F.col("context"), "duration", "doc_id")
-    pairs = similarity.jaccard_pairs(words, "doc_id", "t", 0.86).select("left", "right")
-    return greedy.greedy_keep(best.withColumn("order", order), pairs, "class_id", "order").filter("kept").drop("kept", "order")
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.clips(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "family", "text", "potential", "context", "complete", "duration")
 
 
 #: Eligible clips in rank order with the better ranked ones whose texts are near, and the walk that keeps what no kept one is near to.
@@ -578,7 +561,8 @@ k AS MATERIALIZED (SELECT o.*, row_number() OVER (ORDER BY o.rn) AS kn FROM o JO
 
 @query(KEPT + f", cl AS (SELECT {TOKENS} AS s, min(doc_id) AS class_id FROM g GROUP BY 1) SELECT doc_id, class_id FROM k JOIN cl USING (s)")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eligible(spark, sf_dir).select("doc_id", "class_id")
+    rows = selection.gates(candidates(spark, sf_dir)).filter("size(reasons) = 0")
+    return selection.without_repetitions(rows).select(F.col("id").alias("doc_id"), "class_id")
 
 
 @query(KEPT + """, pick AS (
@@ -597,11 +581,7 @@ relaxed AS (
 SELECT doc_id, source_id, family, potential FROM clips WHERE doc_id IN (SELECT unnest(got).d FROM relaxed)""")
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily portfolio: gates, greedy text dedupe, caps."""
-    rows = eligible(spark, sf_dir)
-    # a rank as one number: higher potential, higher context, shorter, smaller id first
-    rank = ((100 - F.col("potential")) * 101 + (100 - F.col("context"))) * 1000 + F.col("duration")
-    rows = rows.withColumn("rank", rank.cast("decimal(38,0)") * 10**12 + F.col("doc_id"))
-    return greedy.capped_pick(rows, "rank", "source_id", "family").select("doc_id", "source_id", "family", "potential")
+    return selection.rank_portfolio(candidates(spark, sf_dir)).select(F.col("id").alias("doc_id"), "source_id", "family", "potential")
 
 
 RECORDS = f"""records AS (SELECT doc_id AS place, source AS account, 'u' || (doc_id % 700) AS url, text, n_chars % 50 AS ratio FROM documents),
