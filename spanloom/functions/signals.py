@@ -23,7 +23,7 @@ def _yes(flag: Column) -> Column:
 
 def speaker_boundary(valid: Column, sure: Column, change: Column) -> Column:
     """25 for an invalid turn (null is valid), 45..90 by the confidence if known, else 82 at a change of speakers and 50."""
-    known = F.round(45.0 + clamp(sure, 0.0, 1.0) * 45.0, 1)
+    known = F.when(sure.isNotNull(), F.round(45.0 + clamp(sure, 0.0, 1.0) * 45.0, 1))
     usual = F.when(_yes(change), 82.0).otherwise(50.0)
     return F.when(~F.coalesce(valid, F.lit(True)), 25.0).otherwise(F.coalesce(known, usual))
 
@@ -37,7 +37,7 @@ def qa_boundary(bridge: Column, complete: Column, question: Column, review: Colu
 def hook_proximity(score: Column, seconds: Column) -> Column:
     """50, bent by 0.55 of the hook's distance from 50 as far as it lies within 12 s; 50 without a hook."""
     near = clamp(1.0 - F.greatest(seconds, F.lit(0.0)) / 12.0, 0.0, 1.0)
-    return F.coalesce(F.round(50.0 + (bounded(score) - 50.0) * 0.55 * near, 1), F.lit(50.0))
+    return F.when(score.isNotNull() & seconds.isNotNull(), F.round(50.0 + (bounded(score) - 50.0) * 0.55 * near, 1)).otherwise(50.0)
 
 
 # Feedback
