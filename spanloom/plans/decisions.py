@@ -351,7 +351,7 @@ def relative_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {intervals_sql("p", "purchase")}, pt AS (SELECT user_id, epoch_ms(ts) AS spot, event_id % 10 / 10 AS energy, event_id % 7 / 10 AS onset, event_id % 11 / 10 AS reaction FROM events WHERE event_type = 'click' AND ts IS NOT NULL),
 m AS (SELECT event_id, avg(energy) AS e, max(energy) AS k, avg(onset) AS o, max(least(1.0, reaction)) AS r FROM p JOIN pt ON pt.user_id = p.user_id AND spot >= p.start - 60000 AND spot <= p."end" GROUP BY 1)
-SELECT event_id, e IS NOT NULL AS available, coalesce(round(greatest(0.0, least(100.0, 35.0::DOUBLE + e * 25.0::DOUBLE + k * 20.0::DOUBLE + o * 10.0::DOUBLE + r * 10.0::DOUBLE)), 1), 50.0) AS signal, coalesce(r >= 0.58, true) AS review FROM p LEFT JOIN m USING (event_id)""")
+SELECT event_id, e IS NOT NULL AS available, CASE WHEN e IS NULL THEN 50.0 ELSE round(greatest(0.0, least(100.0, 35.0::DOUBLE + e * 25.0::DOUBLE + k * 20.0::DOUBLE + o * 10.0::DOUBLE + r * 10.0::DOUBLE)), 1) END AS signal, coalesce(r >= 0.58, true) AS review FROM p LEFT JOIN m USING (event_id)""")
 def audio_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events").filter("event_type = 'click' and ts is not null")
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
