@@ -181,10 +181,12 @@ class _Links:
         texts = self.texts(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"))
         if texts is None:
             return
-        sides = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        hot_a, hot_b = (hot_keys(pairs.groupBy(s).agg(F.count("*").alias("c")), s) for s in "ab")
-        both = joined_by(pairs, next(sides), "a", ["b"], hot_a)
-        both = joined_by(both, next(sides), "b", ["a"], hot_b).select("a", "b", "text_a", "text_b")
+        texts_of = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+        sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in "ab"))).alias("end")
+        hot = hot_keys(pairs.select(sides).groupBy("end").agg(F.count("*").alias("c")), "end")
+        hot_a, hot_b = ([e["id"] for e in hot if e["side"] == s] for s in "ab")
+        both = joined_by(pairs, next(texts_of), "a", ["b"], hot_a)
+        both = joined_by(both, next(texts_of), "b", ["a"], hot_b).select("a", "b", "text_a", "text_b")
         found = both.mapInArrow(_compared, "a long, b long, common long, total long").groupBy("a", "b").agg(F.max_by("common", F.col("common") / F.col("total")).alias("common"), F.max_by("total", F.col("common") / F.col("total")).alias("total"))
         found = self.scratch.table(found)
         self.distances = found if self.distances is None else self.distances.union(found)
@@ -227,8 +229,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near-dedup")
     features = scratch.table(docs.mapInArrow(_features, FEATURES))
     members = features.filter("doc_id is not null and fp is not null")
-    named = members.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.table(members.select("doc_id", "fp").join(named, "fp").select("doc_id", "rep").distinct())
+    named = scratch.table(members.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
+    hot_sets = [bytes(fp) for fp in hot_keys(named, "fp")]
+    named = named.drop("c")
+    classes = scratch.table(joined_by(members.select("doc_id", "fp"), named, "fp", ["doc_id"], hot_sets).select("doc_id", "rep").distinct())
     copies = classes.filter("doc_id <> rep").select("doc_id").join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_anti")
     reps = members.join(copies, "doc_id", "left_anti")
 
@@ -260,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if mixed.limit(1).count():
         links.compare(_across(links, mixed, reps.select(F.col("doc_id").alias("id"), "fp", "bands"), scratch))
 
-    known = features.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
+    known = joined_by(features.select("doc_id", F.col("n").alias("n_shingles"), "fp"), named, "fp", ["doc_id"], hot_sets, "left")
     final = known.withColumn("id", F.coalesce("rep", "doc_id"))
     out = links.labelled(final).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     out = pin(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
