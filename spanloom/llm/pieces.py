@@ -20,6 +20,8 @@ bytes.
 from __future__ import annotations
 
 import itertools
+import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,7 @@ N_BEST = 4
 UNKNOWN_COST = 10.0
 LONG = 96  # chunks above this length go through the search one by one
 CACHE = 150_000
+BLOCK = 100_000  # characters that go through the search at once: about 30 bytes for each character and piece length
 _P = np.uint64(0x9E3779B97F4A7C15)
 EDITS = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("edits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])))]))
 
@@ -95,31 +98,35 @@ class Pieces:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def edges(self, text: str) -> list[list[tuple[int, float, int]]]:
-        """For each position: start, score and id of the pieces that end there, the longest first; id -1 is an unknown character."""
-        out: list[list[tuple[int, float, int]]] = [[] for _ in range(len(text) + 1)]
-        table, most = self.table, self.longest
+    def ahead(self, text: str) -> array:
+        """For each position the score of the best path to it: all that the search backward needs, 8 bytes a character."""
+        table, most, unknown = self.table, self.longest, self.unknown
+        best = array("d", [-math.inf]) * (len(text) + 1)
+        best[0] = 0.0
         for i in range(len(text)):
-            single = False
+            here, single = best[i], False
             for j in range(i + 1, min(len(text), i + most) + 1):
                 found = table.get(text[i:j], 0)
                 if found == 0:
                     break
                 if found:
-                    out[j].append((i, *found))
+                    best[j] = max(best[j], here + found[0])
                     single |= j == i + 1
             if not single:
-                out[i + 1].append((i, self.unknown, -1))
-        return out
+                best[i + 1] = max(best[i + 1], here + unknown)
+        return best
+
+    def ending(self, text: str, j: int) -> list[tuple[int, float, int]]:
+        """Start, score and id of the pieces that end at j, the longest first; id -1 is an unknown character."""
+        starts = range(max(0, j - self.longest), j)
+        found = [(i, *hit) for i in starts if (hit := self.table.get(text[i:j]))]
+        return found if found and found[-1][0] == j - 1 else [*found, (j - 1, self.unknown, -1)]
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text, as score and ids, the best first."""
+        """The n best segmentations of a text, as score and ids, the best first; memory is a few numbers a character."""
         if not text:
             return [(0.0, [])]
-        edges = self.edges(text)
-        ahead = [0.0] * (len(text) + 1)
-        for j in range(1, len(text) + 1):
-            ahead[j] = max(ahead[i] + s for i, s, _ in edges[j])
+        ahead = self.ahead(text)
         # open paths: estimated whole score, position, score so far, link to what follows
         opened: list[tuple[float, int, float, tuple | None]] = [(ahead[-1], len(text), 0.0, None)]
         done: list[tuple[float, list[int]]] = []
@@ -132,7 +139,7 @@ class Pieces:
                     ids.extend([i] if i >= 0 else self.fallback(text[start]))
                 done.append((whole, ids))
                 continue
-            for start, s, i in edges[at]:
+            for start, s, i in self.ending(text, at):
                 estimate = ahead[start] + so_far + s
                 if len(opened) >= n - len(done):
                     if estimate <= opened[-1][0]:
@@ -153,7 +160,7 @@ class Pieces:
         lengths = np.array([len(c) for c in chunks])
         for n in np.unique(lengths):
             own = np.flatnonzero(lengths == n)
-            rows = 1 if n > LONG else max(1, 400_000 // int(n))
+            rows = 1 if n > LONG else max(1, BLOCK // int(n))
             for a in range(0, len(own), rows):
                 part = own[a : a + rows]
                 if n > LONG:

@@ -3,10 +3,11 @@
 import random
 import re
 import time
+import tracemalloc
 
 import pytest
 
-from spanloom.llm import pii, secrets
+from spanloom.llm import pieces, pii, secrets
 
 SIZE = 1 << 20
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -41,3 +42,20 @@ def test_secrets_of_long_runs(spark, unit, kind):
         assert [(s["start"], s["end"]) for s in found] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
     assert bool(found) == (kind != "none") and all(s["match"] == text[s["start"] : s["end"]] for s in found[:50] + found[-50:])
     assert time.time() - begun < 120
+
+
+def test_segmentation_of_a_long_unbroken_chunk():
+    table, text = pieces.pieces(pieces.MODEL), random_text()
+    tracemalloc.start()
+    begun = time.time()
+    best = table.n_best(text, 2)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 300 << 20 and time.time() - begun < 120
+    assert best[0][0] >= best[1][0] and all(table.decode(ids) == text for _, ids in best)
+
+
+def test_a_long_chunk_is_encoded_whole(spark):
+    text = random_text(200_000)
+    out = pieces.encoded(spark.createDataFrame([(1, text)], "id long, text string"), verify=True).first()
+    assert out["round_trip"] and len(out["n_best"]) == pieces.N_BEST
