@@ -345,7 +345,7 @@ def fingerprints(clips: DataFrame, adjustments: DataFrame, id_col: str) -> DataF
 ASSEMBLED = "start double, end double, first_block int, last_block int, score double, text string"
 
 
-def assembled(shortest: float = 20.0, target: float = 45.0, longest: float = 180.0, before: float = 2.5) -> Callable[[list[dict]], Iterator[dict]]:
+def assembled(shortest: float = 20.0, target: float = 45.0, longest: float = 180.0, before: float = 2.5) -> Callable[[Iterator[dict]], Iterator[dict]]:
     """For ``folds.fold`` over scored blocks (start, end, text, score, weak, unsafe, speaker): the best first.
 
     A weak opening takes the block before it if both are safe.  A clip grows to a natural
@@ -353,7 +353,8 @@ def assembled(shortest: float = 20.0, target: float = 45.0, longest: float = 180
     claims none.
     """
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(found: Iterator[dict]) -> Iterator[dict]:
+        rows = list(found)  # the best block comes first, so all of a source must be known
         used: set[int] = set()
         stopped = lambda r: r["text"].rstrip()[-1:] in tuple(".!?")
         for k in sorted(range(len(rows)), key=lambda i: -rows[i]["score"]):

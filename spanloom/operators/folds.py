@@ -1,11 +1,13 @@
 """Left folds over one transcript at a time: captions, sentences, blocks, chapters, questions.
 
-Each depends on what it has kept so far, so a source is one group; parallelism is the
-number of sources.  Rows are sorted by Spark before they reach the fold.
+Each depends on what it has kept so far, so a source is folded by one task; parallelism
+is the number of sources.  Spark sorts the rows, and a task streams them through the fold.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,18 +19,35 @@ BLOCK = "index int, start double, end double, n_sentences int, text string"
 CHAPTER = "index int, start double, end double, segment_start int, segment_end int, has_qa_bridge boolean"
 
 
-def fold(df: DataFrame, key: str, order: list[str], step: Callable[[list[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Applies ``step`` to the rows of each key in order; ``schema`` describes what it yields beside the key."""
+def fold(df: DataFrame, key: str, order: list[str], step: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """Applies ``step`` to the rows of each key in order; ``schema`` describes what it yields beside the key.
+
+    Spark deals the keys over partitions and sorts them, spilling where it must.  A task
+    streams its partition, so it holds what the step keeps open and a batch, not a key.
+    """
     kind = dict(df.dtypes)[key]
     names = [x.strip().split()[0] for x in _split(schema)]
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").astype(object)
-        rows = rows.where(rows.notna(), None)
-        found = list(step(rows.to_dict("records")))
-        return pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in ({key: [keys[0]] * len(found)} | {n: [f[n] for f in found] for n in names}).items()})
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for batch in batches:
+            plain = batch.astype(object)
+            yield from plain.where(plain.notna(), None).to_dict("records")
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([f[i] for f in found], dtype=object) for i, n in enumerate([key, *names])})
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for name, rows in itertools.groupby(rows_of(batches), lambda r: r[key]):
+            for made in step(rows):
+                found.append((name, *(made[n] for n in names)))
+                if len(found) >= 5000:
+                    yield frame(found)
+                    found = []
+        yield frame(found)
+
+    dealt = df.repartition(key).sortWithinPartitions(key, *(F.asc_nulls_last(c) for c in order))
+    return dealt.mapInPandas(run, f"{key} {kind}, {schema}")
 
 
 def _split(schema: str) -> list[str]:
@@ -47,7 +66,7 @@ def _stopped(text: str) -> bool:
     return text.rstrip()[-1:] in tuple(".!?")
 
 
-def sentences(pause: float = 0.8, longest: float = 30.0, words: int = 5) -> Callable[[list[dict]], Iterator[dict]]:
+def sentences(pause: float = 0.8, longest: float = 30.0, words: int = 5) -> Callable[[Iterator[dict]], Iterator[dict]]:
     """Closes a sentence at a pause, at a length, or at a stop after enough words."""
 
     def close(held: list[dict]) -> dict:
@@ -56,7 +75,7 @@ def sentences(pause: float = 0.8, longest: float = 30.0, words: int = 5) -> Call
         unsure = any(r.get("timing_confidence") is not None and (r["timing_confidence"] or 1.0) < 0.6 for r in held)
         return {"start": held[0]["start"], "end": held[-1]["end"], "text": " ".join(str(r["text"] or "") for r in held).strip(), "n_segments": len(held), "speakers": speakers, "overlap_suspected": overlap, "timing_ambiguous": overlap or unsure}
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
         held: list[dict] = []
         last = 0.0
         for r in rows:
@@ -78,16 +97,16 @@ def sentences(pause: float = 0.8, longest: float = 30.0, words: int = 5) -> Call
     return step
 
 
-def blocks(longest: float = 30.0, shortest: float = 18.0) -> Callable[[list[dict]], Iterator[dict]]:
+def blocks(longest: float = 30.0, shortest: float = 18.0) -> Callable[[Iterator[dict]], Iterator[dict]]:
     """Closes a block at a length, or earlier at a stop."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
         held: list[dict] = []
         index = 0
-        for k, r in enumerate(rows):
+        for r, after in _with_next(rows):
             held.append(r)
             length = r["end"] - held[0]["start"]
-            if length >= longest or (length >= shortest and _stopped(r["text"])) or k == len(rows) - 1:
+            if length >= longest or (length >= shortest and _stopped(r["text"])) or after is None:
                 yield {"index": index, "start": held[0]["start"], "end": r["end"], "n_sentences": len(held), "text": " ".join(x["text"] for x in held)}
                 held = []
                 index += 1
@@ -95,33 +114,48 @@ def blocks(longest: float = 30.0, shortest: float = 18.0) -> Callable[[list[dict
     return step
 
 
-def chapters(target: float = 85.0, longest: float = 180.0, hard_gap: float = 8.0, soft_gap: float = 1.0, most: int = 120) -> Callable[[list[dict]], Iterator[dict]]:
+def chapters(target: float = 85.0, longest: float = 180.0, hard_gap: float = 8.0, soft_gap: float = 1.0, most: int | None = None) -> Callable[[Iterator[dict]], Iterator[dict]]:
     """Ends a chapter at a long gap, past the target at a natural end, or at the longest length; never inside a bridge.
 
     Rows may carry ``bridges``: the (start, end) of question-answer bridges of the source.
+    All chapters are given, or the first ``most``.
     """
 
-    def step(rows: list[dict]) -> Iterator[dict]:
-        bridges = [] if not rows or rows[0].get("bridges") is None else [(b["start"], b["end"]) for b in rows[0]["bridges"]]
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        bridges: list[tuple] = []
         inside = lambda t: any(a <= t <= b for a, b in bridges)
-        first, index = 0, 0
-        for k, r in enumerate(rows):
-            after = rows[k + 1] if k + 1 < len(rows) else None
+        start, first, index = None, 0, 0
+        for k, (r, after) in enumerate(_with_next(rows)):
+            if k == 0 and r.get("bridges") is not None:
+                bridges = [(b["start"], b["end"]) for b in r["bridges"]]
+            start = r["start"] if start is None else start
             ends = after is None
             if after is not None and not inside(r["end"]) and not inside(after["start"]):
-                gap, length = max(0.0, after["start"] - r["end"]), r["end"] - rows[first]["start"]
+                gap, length = max(0.0, after["start"] - r["end"]), r["end"] - start
                 turn = bool(r.get("speaker")) and bool(after.get("speaker")) and r["speaker"] != after["speaker"]
                 ends = gap >= hard_gap or length >= longest or (length >= target and (_stopped(str(r["text"] or "")) or gap >= soft_gap or turn))
-            if ends and index < most:
-                a, b = rows[first]["start"], r["end"]
-                yield {"index": index, "start": a, "end": b, "segment_start": first, "segment_end": k, "has_qa_bridge": any(x < b and a < y for x, y in bridges)}
-            if ends:
-                first, index = k + 1, index + 1
+            if not ends:
+                continue
+            if most is None or index < most:
+                b = r["end"]
+                yield {"index": index, "start": start, "end": b, "segment_start": first, "segment_end": k, "has_qa_bridge": any(x < b and start < y for x, y in bridges)}
+            start, first, index = None, k + 1, index + 1
 
     return step
 
 
-def rolling_captions(rows: list[dict]) -> Iterator[dict]:
+def _with_next(rows: Iterator[dict]) -> Iterator[tuple[dict, dict | None]]:
+    """Each row with the one after it."""
+    held = None
+    for r in rows:
+        if held is not None:
+            yield held, r
+        held = r
+    if held is not None:
+        yield held, None
+
+
+def rolling_captions(rows: Iterator[dict]) -> Iterator[dict]:
     """Captions that repeat the end of the last kept one keep only their new words; they stretch it where nothing is new.
 
     An overlap is the whole last caption, or three words or more.
@@ -152,32 +186,44 @@ def rolling_captions(rows: list[dict]) -> Iterator[dict]:
 QA = "start double, end double, question_segment int, n_responses int, speaker_boundary boolean, basis string, confidence double"
 
 
-def question_answers(ahead: int = 12, longest: float = 32.0, least: float = 8.0, most: int = 50) -> Callable[[list[dict]], Iterator[dict]]:
-    """For each question the answer that follows: up to a new question after 6 s, a second change of speaker, or a length."""
+def question_answers(ahead: int = 12, longest: float = 32.0, least: float = 8.0, most: int | None = None) -> Callable[[Iterator[dict]], Iterator[dict]]:
+    """For each question the answer that follows: up to a new question after 6 s, a second change of speaker, or a length.
 
-    def step(rows: list[dict]) -> Iterator[dict]:
-        made = 0
-        for k, q in enumerate(rows):
-            if not q["is_question"] or made >= most:
-                continue
-            asker, answerer, basis, found = q.get("speaker") or "", "", "no_speakers", []
-            for r in rows[k + 1 : k + 1 + ahead]:
-                who = r.get("speaker") or ""
-                if r["is_question"] and found and r["start"] - q["start"] >= 6:
-                    break
-                if answerer and who and who != answerer:
-                    basis = "second_change"
-                    break
-                found.append(r)
-                if asker and who and who != asker:
-                    answerer, basis = who, "change_of_speaker"
-                if r["end"] - q["start"] >= longest:
-                    break
-            if not found or found[-1]["end"] - q["start"] < least:
-                continue
-            sure = 0.5 + min(0.16, len(found) * 0.02) + (0.12 if answerer else -0.12)
-            made += 1
-            yield {"start": max(0.0, q["start"] - 2), "end": found[-1]["end"], "question_segment": k, "n_responses": len(found), "speaker_boundary": bool(answerer), "basis": basis, "confidence": round(max(0.2, min(0.98, sure)), 3)}
+    All are given, or the first ``most``.
+    """
+
+    def answer(k: int, q: dict, following: list[dict]) -> dict | None:
+        asker, answerer, basis, found = q.get("speaker") or "", "", "no_speakers", []
+        for r in following:
+            who = r.get("speaker") or ""
+            if r["is_question"] and found and r["start"] - q["start"] >= 6:
+                break
+            if answerer and who and who != answerer:
+                basis = "second_change"
+                break
+            found.append(r)
+            if asker and who and who != asker:
+                answerer, basis = who, "change_of_speaker"
+            if r["end"] - q["start"] >= longest:
+                break
+        if not found or found[-1]["end"] - q["start"] < least:
+            return None
+        sure = 0.5 + min(0.16, len(found) * 0.02) + (0.12 if answerer else -0.12)
+        return {"start": max(0.0, q["start"] - 2), "end": found[-1]["end"], "question_segment": k, "n_responses": len(found), "speaker_boundary": bool(answerer), "basis": basis, "confidence": round(max(0.2, min(0.98, sure)), 3)}
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        held: deque[dict] = deque()
+        made, k, rows = 0, 0, iter(rows)
+        while True:
+            held.extend(itertools.islice(rows, ahead + 1 - len(held)))
+            if not held:
+                return
+            q = held.popleft()
+            found = answer(k, q, list(held)) if q["is_question"] and (most is None or made < most) else None
+            if found:
+                made += 1
+                yield found
+            k += 1
 
     return step
 

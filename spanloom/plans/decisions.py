@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,12 +12,14 @@ from . import views
 from .queries import FOLD, MINUTES, query
 from .views import CLIPS, intervals_sql
 
-ID = F.col("doc_id")
 
+def doc() -> Column:
+    return F.col("doc_id")
 
-def every(n: int, at: int = 0) -> F.Column:
+
+def every(n: int, at: int = 0) -> Column:
     """Every n-th document; null for every 23rd, as a flag can be unknown."""
-    return F.when(ID % 23 != 0, ID % n == at)
+    return F.when(doc() % 23 != 0, doc() % n == at)
 
 
 def every_sql(n: int, at: int = 0) -> str:
@@ -36,13 +38,13 @@ def yes_sql(n: int, at: int = 0) -> str:
 FROM clips""")
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = ~every(5, 1)
-    sure = F.when(ID % 3 == 0, (ID % 11) / 10.0)
-    hook = F.when(ID % 6 != 0, F.col("potential")).cast("double")
+    sure = F.when(doc() % 3 == 0, (doc() % 11) / 10.0)
+    hook = F.when(doc() % 6 != 0, F.col("potential")).cast("double")
     return views.clips(spark, sf_dir).select(
         "doc_id",
         signals.speaker_boundary(valid, sure, every(4)).alias("speaker"),
         signals.qa_boundary(every(7), every(5), every(2), every(3)).alias("qa"),
-        signals.hook_proximity(hook, (ID % 20).cast("double")).alias("hook"),
+        signals.hook_proximity(hook, (doc() % 20).cast("double")).alias("hook"),
         signals.reason_category(every(9), valid, F.col("duration"), every(2), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")).alias("category"),
     )
 
@@ -56,8 +58,8 @@ DELTAS = {"potential": 8.5, "context": -31.0, "complete": 1.5}
 def feedback_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lambda values: F.map_from_arrays(F.array(*map(F.lit, DELTAS)), F.array(*values))
     factors, deltas = pairs([F.col(n).cast("double") for n in DELTAS]), pairs(map(F.lit, DELTAS.values()))
-    sure = F.when(ID % 4 != 0, (ID % 10) / 10.0)
-    score = signals.feedback_adjustment(factors, deltas, (ID % 41 - 20).cast("double"), sure, ~F.coalesce(every(8), F.lit(False)))
+    sure = F.when(doc() % 4 != 0, (doc() % 10) / 10.0)
+    score = signals.feedback_adjustment(factors, deltas, (doc() % 41 - 20).cast("double"), sure, ~F.coalesce(every(8), F.lit(False)))
     return views.clips(spark, sf_dir).select("doc_id", score.alias("adjustment"))
 
 
@@ -65,9 +67,9 @@ def feedback_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (potential + context + complete) / 3.0::DOUBLE + CASE WHEN {yes_sql(7)} THEN 8 ELSE 0 END + least(8, doc_id % 6 * 2) - least(12, doc_id % 5 * 4) + (counter - 50.0::DOUBLE) * 0.12::DOUBLE)), 1) AS signal FROM c)
 SELECT doc_id, counter, signal, potential + CASE WHEN {yes_sql(3, 1)} AND NOT {yes_sql(4)} THEN greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (signal - 50.0::DOUBLE) * 0.04::DOUBLE)) ELSE 0 END::DOUBLE AS selection FROM s""")
 def favorability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counter = signals.counter_response(every(2), every(3), every(5), every(7), ID % 6)
+    counter = signals.counter_response(every(2), every(3), every(5), every(7), doc() % 6)
     c = views.clips(spark, sf_dir).withColumn("counter", counter)
-    c = c.withColumn("signal", signals.favorability([F.col(n) for n in ("potential", "context", "complete")], ID % 5, ID % 6, every(7), F.col("counter")))
+    c = c.withColumn("signal", signals.favorability([F.col(n) for n in ("potential", "context", "complete")], doc() % 5, doc() % 6, every(7), F.col("counter")))
     return c.select("doc_id", "counter", "signal", signals.selection_score(F.col("potential"), every(3, 1), F.col("signal"), every(4)).alias("selection"))
 
 
@@ -109,7 +111,7 @@ SELECT doc_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 40.0::DOUBLE + l
   + CASE WHEN duration < 15 THEN -8 WHEN duration <= 30 THEN 10 WHEN duration <= 60 THEN 7 WHEN duration <= 120 THEN 2 ELSE -1 END + CASE WHEN regexp_matches(raw, '[.!?] *$') THEN 10 ELSE -15 END - 1.5::DOUBLE
   - least(15.0::DOUBLE, len(list_filter(w, lambda x: x = 'so')) / greatest(len(w), 1)::DOUBLE * 150))), 4) AS score FROM t""")
 def block_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = signals.block_score(F.col("text"), F.col("duration"), ID % 30, F.lit(-1.5), (r"\bwhy\b",), ("love", "fear"), ("so",))
+    score = signals.block_score(F.col("text"), F.col("duration"), doc() % 30, F.lit(-1.5), (r"\bwhy\b",), ("love", "fear"), ("so",))
     return views.clips(spark, sf_dir).select("doc_id", F.round(score, 4).alias("score"))
 
 
@@ -121,7 +123,7 @@ def catalog_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.when(F.col("n_chars") % 5 != 0, F.col("n_chars") % 900)
     # every fifth row has plays only, and those that have 0 views fall back to plays of 0
     plays = F.when(F.col("n_chars") % 5 == 0, F.col("n_chars") % 7).otherwise(0)
-    m = signals.catalog_metrics(seen, plays, ID % 40, ID % 9, F.lit(1000), F.col("text"), F.lit(1080), ID % 3 * 960)
+    m = signals.catalog_metrics(seen, plays, doc() % 40, doc() % 9, F.lit(1000), F.col("text"), F.lit(1080), doc() % 3 * 960)
     return d.select("doc_id", m.alias("m")).select("doc_id", "m.*")
 
 
@@ -155,8 +157,8 @@ def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT doc_id, coalesce(NOT complete_context, false) AS lost, mid, ref, coalesce(lower(trim(status)) IN ('review', 'review_required', 'blocked'), false) AS rev, stated FROM d)
 SELECT doc_id, concat_ws(',', CASE WHEN lost THEN 'context_incomplete' END, CASE WHEN lost AND mid THEN 'starts_mid_sentence' END, CASE WHEN lost AND ref THEN 'starts_with_context_reference' END, CASE WHEN rev THEN 'technical_review' END, CASE WHEN rev AND stated IS NOT NULL THEN 'timing' END) AS deferral FROM r""")
 def deferral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(ID % 4 == 0, " Review ").when(ID % 4 == 1, "weak").when(ID % 4 == 2, "blocked")
-    stated = F.when(ID % 8 == 2, F.array(*map(F.lit, ("timing", "technical_review", ""))))
+    status = F.when(doc() % 4 == 0, " Review ").when(doc() % 4 == 1, "weak").when(doc() % 4 == 2, "blocked")
+    stated = F.when(doc() % 8 == 2, F.array(*map(F.lit, ("timing", "technical_review", ""))))
     flags = {"context_complete": every(3), "starts_mid_sentence": every(2), "starts_with_context_reference": every(5), "gate_status": status, "gate_reasons": stated}
     rows = views.clips(spark, sf_dir).withColumns(flags)
     return selection.deferred(rows).select("doc_id", F.array_join("deferral", ",").alias("deferral"))
@@ -185,7 +187,7 @@ def context_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Candidates of each conversation's language-like sources: every third clip is primary, the others are the fallback."""
-    c = views.clips(spark, sf_dir).select(ID.alias("id"), "source_id", "start", "end", "text", "potential", (F.col("context") / 100).alias("confidence"))
+    c = views.clips(spark, sf_dir).select(doc().alias("id"), "source_id", "start", "end", "text", "potential", (F.col("context") / 100).alias("confidence"))
     rows = c.withColumns({"start": F.col("start").cast("double"), "end": F.col("end").cast("double")})
     expected = rows.groupBy("source_id").agg(F.lit(40).alias("expected"))
     return rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0"), expected, rows.filter("id % 17 = 0")
@@ -206,8 +208,8 @@ def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def block_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.clips(spark, sf_dir)
-    blocks = c.filter("doc_id % 2 = 0").select("doc_id", "source_id", "start", "end", "text", F.col("potential").alias("self_contained"), F.when(ID % 6 != 0, F.col("context")).alias("density"))
-    rows = c.filter("doc_id % 2 = 1 and decision = 'approved'").select(F.when(ID % 29 != 0, F.col("source_id")).alias("source_id"), "start", "end")
+    blocks = c.filter("doc_id % 2 = 0").select("doc_id", "source_id", "start", "end", "text", F.col("potential").alias("self_contained"), F.when(doc() % 6 != 0, F.col("context")).alias("density"))
+    rows = c.filter("doc_id % 2 = 1 and decision = 'approved'").select(F.when(doc() % 29 != 0, F.col("source_id")).alias("source_id"), "start", "end")
     return selection.block_seeds(rows, blocks, "source_id", "doc_id").select("source_id", "place", "doc_id", "start", "end")
 
 
@@ -218,12 +220,12 @@ def block_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN doc_id % 31 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS qa_bridge, CASE WHEN doc_id % 31 <> 0 THEN nullif(trim(json_extract_string(raw, '$.closure_type')), '') END AS closure_type, CASE WHEN doc_id % 31 <> 0 AND doc_id >= 50 THEN doc_id - 50 END AS chapter_primary_id,
   CASE WHEN doc_id % 31 <> 0 THEN round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, CAST(json_extract_string(raw, '$.context') AS DOUBLE))), 1) END AS context, CASE WHEN doc_id % 31 <> 0 AND doc_id % 2 = 0 THEN 'pass' END AS gate_status FROM (SELECT doc_id, CASE WHEN doc_id % 31 <> 0 THEN raw END AS raw FROM j)""")
 def allowed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.when(ID % 3 == 0, '"yes"').when(ID % 3 == 1, "false").otherwise('"?"')
+    flag = F.when(doc() % 3 == 0, '"yes"').when(doc() % 3 == 1, "false").otherwise('"?"')
     raw = F.concat(
-        F.lit('{"qa_bridge": '), flag, F.lit(', "closure_type": "  '), F.col("family"), F.lit(' ", "chapter_primary_id": '), (ID - 50).cast("string"),
-        F.lit(', "context": '), (ID % 150 - 20).cast("string"), F.lit('.26, "gate_status": "'), F.when(ID % 2 == 0, "pass").otherwise("other"), F.lit('"}'),
+        F.lit('{"qa_bridge": '), flag, F.lit(', "closure_type": "  '), F.col("family"), F.lit(' ", "chapter_primary_id": '), (doc() - 50).cast("string"),
+        F.lit(', "context": '), (doc() % 150 - 20).cast("string"), F.lit('.26, "gate_status": "'), F.when(doc() % 2 == 0, "pass").otherwise("other"), F.lit('"}'),
     )
-    rows = views.clips(spark, sf_dir).select("doc_id", F.when(ID % 31 == 0, '{"broken').otherwise(raw).alias("raw"))
+    rows = views.clips(spark, sf_dir).select("doc_id", F.when(doc() % 31 == 0, '{"broken').otherwise(raw).alias("raw"))
     out = rows.select("doc_id", review.allowed(F.col("raw"), review.DEDUP_CONTEXT).alias("d"), review.allowed(F.col("raw"), review.SCORECARD).alias("s"))
     return out.select("doc_id", "d.qa_bridge", "d.closure_type", "d.chapter_primary_id", "s.context", "s.gate_status")
 
@@ -232,24 +234,24 @@ def allowed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(CASE WHEN done THEN a ELSE start END AS DOUBLE) AS start, CAST(CASE WHEN done THEN z ELSE "end" END AS DOUBLE) AS "end", CASE WHEN done THEN 'rendered' ELSE 'canonical' END AS status,
   CASE WHEN doc_id % 5 = 0 THEN 'public_subtitle' WHEN doc_id % 5 = 1 THEN 'whisper' WHEN doc_id % 5 = 2 THEN 'manual' ELSE 'unknown' END AS transcript_source, CASE WHEN doc_id % 2 = 0 THEN 'partial' ELSE 'unknown' END AS coverage_status FROM b""")
 def review_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = review.bounds(F.col("start"), F.col("end"), F.col("start") + 1, F.col("start") + ID % 9, F.when(ID % 4 == 0, " Rendered").otherwise("failed"))
-    source = F.when(ID % 5 == 0, "YouTube Subtitles").when(ID % 5 == 1, "whisper-large").when(ID % 5 == 2, "manual_confirmed").when(ID % 5 == 3, "other")
-    p = review.provenance(source, F.when(ID % 2 == 0, "partial").otherwise("odd"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    b = review.bounds(F.col("start"), F.col("end"), F.col("start") + 1, F.col("start") + doc() % 9, F.when(doc() % 4 == 0, " Rendered").otherwise("failed"))
+    source = F.when(doc() % 5 == 0, "YouTube Subtitles").when(doc() % 5 == 1, "whisper-large").when(doc() % 5 == 2, "manual_confirmed").when(doc() % 5 == 3, "other")
+    p = review.provenance(source, F.when(doc() % 2 == 0, "partial").otherwise("odd"), F.lit(None).cast("double"), F.lit(None).cast("string"))
     out = views.clips(spark, sf_dir).select("doc_id", b.alias("b"), p.alias("p"))
     return out.select("doc_id", "b.active.start", "b.active.end", "b.status", "p.transcript_source", "p.coverage_status")
 
 
 @query(f"""WITH {CLIPS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 WHEN doc_id % 3 = 1 THEN true ELSE false END AS available, CASE WHEN doc_id % 3 = 0 THEN potential WHEN doc_id % 3 = 1 THEN context ELSE 50 END::DOUBLE AS signal, doc_id % 3 < 2 AND doc_id % 5 = 0 AS review FROM clips""")
 def favorability_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = ID % 5 == 0
-    nested = F.struct((ID % 2 == 0).alias("available"), F.lit(None).cast("boolean").alias("eligible"), F.col("potential").alias("signal"), flag.alias("review"))
-    d = review.favorability_details(F.when(ID % 3 == 0, nested), F.lit(None).cast("boolean"), F.when(ID % 3 == 1, F.col("context")), flag)
+    flag = doc() % 5 == 0
+    nested = F.struct((doc() % 2 == 0).alias("available"), F.lit(None).cast("boolean").alias("eligible"), F.col("potential").alias("signal"), flag.alias("review"))
+    d = review.favorability_details(F.when(doc() % 3 == 0, nested), F.lit(None).cast("boolean"), F.when(doc() % 3 == 1, F.col("context")), flag)
     return views.clips(spark, sf_dir).select("doc_id", d.alias("d")).select("doc_id", "d.*")
 
 
 @query(f"WITH {CLIPS} SELECT doc_id AS id, duration, potential AS score FROM clips WHERE decision = 'approved'")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.clips(spark, sf_dir).select(ID.alias("id"), "duration", F.col("potential").alias("score"), "start", F.col("decision").alias("review_status"))
+    rows = views.clips(spark, sf_dir).select(doc().alias("id"), "duration", F.col("potential").alias("score"), "start", F.col("decision").alias("review_status"))
     return review.queue(rows, "approved", "duration").select("id", "duration", "score")
 
 
@@ -284,14 +286,14 @@ oc AS (
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.clips(spark, sf_dir)
-    key = lambda n: F.concat(F.lit("k"), (ID % n).cast("string")).alias("editorial_key")
-    stored = c.select(ID.alias("id"), key(500), F.col("source_id").alias("signature"), "start", "end")
-    given = c.select(ID.alias("id"), ID.alias("clip_id"), F.when(F.col("decision") == "pending", "note").otherwise(F.col("decision")).alias("action"), "reason", F.array("reason").alias("tags"), (ID * 1000).alias("at"))
-    reason = F.when(ID % 2 == 0, "weak_hook").otherwise("")
-    action = F.when(ID % 5 == 0, "").when(ID % 5 == 1, "needs_review").when(ID % 5 == 2, "rejected").otherwise("approved")
+    key = lambda n: F.concat(F.lit("k"), (doc() % n).cast("string")).alias("editorial_key")
+    stored = c.select(doc().alias("id"), key(500), F.col("source_id").alias("signature"), "start", "end")
+    given = c.select(doc().alias("id"), doc().alias("clip_id"), F.when(F.col("decision") == "pending", "note").otherwise(F.col("decision")).alias("action"), "reason", F.array("reason").alias("tags"), (doc() * 1000).alias("at"))
+    reason = F.when(doc() % 2 == 0, "weak_hook").otherwise("")
+    action = F.when(doc() % 5 == 0, "").when(doc() % 5 == 1, "needs_review").when(doc() % 5 == 2, "rejected").otherwise("approved")
     records = c.select(
-        ID.alias("pos"), key(700), action.alias("action"), reason.alias("reason"), F.array(reason).alias("tags"), F.when(ID % 13 != 0, ID * 7919 % 1000003).alias("at"),
-        F.when(ID % 4 != 0, F.col("source_id")).otherwise("").alias("signature"), (F.col("start") + ID % 5 * 0.25).alias("start"), (F.col("end") + ID % 3 * 0.25).alias("end"),
+        doc().alias("pos"), key(700), action.alias("action"), reason.alias("reason"), F.array(reason).alias("tags"), F.when(doc() % 13 != 0, doc() * 7919 % 1000003).alias("at"),
+        F.when(doc() % 4 != 0, F.col("source_id")).otherwise("").alias("signature"), (F.col("start") + doc() % 5 * 0.25).alias("start"), (F.col("end") + doc() % 3 * 0.25).alias("end"),
     )
     return review.restored(records, stored, given)
 
@@ -397,7 +399,7 @@ SELECT doc_id, start, "end", 'canonical' AS kind FROM clips UNION ALL SELECT doc
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.clips(spark, sf_dir)
     changes = c.filter("doc_id % 2 = 0").withColumn("at", F.explode(F.array(F.lit(0), F.lit(1))))
-    changes = changes.select("doc_id", "at", (F.col("start") + F.col("at") * (ID % 3)).alias("start"), (F.col("end") - F.col("at") * (ID % 5)).alias("end"))
+    changes = changes.select("doc_id", "at", (F.col("start") + F.col("at") * (doc() % 3)).alias("start"), (F.col("end") - F.col("at") * (doc() % 5)).alias("end"))
     return clips.fingerprints(c.select("doc_id", "start", "end"), changes, "doc_id").select("doc_id", "start", "end", "kind")
 
 

@@ -677,22 +677,49 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(_sentences(spark, sf_dir), "conv_id", ["start", "end"], folds.blocks(), folds.BLOCK)
 
 
-@query(f"""WITH {SEGMENTS}, v AS MATERIALIZED (SELECT conv_id, start / 1000 AS a, "end" / 1000 AS b, rtrim(coalesce(text, ''), E' \n\t') AS t, coalesce(speaker, '') AS sp, row_number() OVER w AS n, lead(start / 1000) OVER w AS na, lead(coalesce(speaker, '')) OVER w AS nsp FROM segments WINDOW w AS (PARTITION BY conv_id ORDER BY start, turn)),
-made AS (
+#: Conversations' segments in seconds, and the answers to their questions, by a walk from each question.
+ANSWERS = f"""{SEGMENTS}, v AS MATERIALIZED (SELECT conv_id, start / 1000 AS a, "end" / 1000 AS b, rtrim(coalesce(text, ''), E' \\n\\t') AS t, coalesce(speaker, '') AS sp, coalesce(speaker = 'user', false) AS asks, row_number() OVER w AS n, lead(start / 1000) OVER w AS na, lead(coalesce(speaker, '')) OVER w AS nsp FROM segments WINDOW w AS (PARTITION BY conv_id ORDER BY start, turn)),
+walked AS (
+  WITH RECURSIVE w(conv_id, k, j, qa, asker, answerer, basis, found, last, shut) AS (
+    SELECT conv_id, n, n, a, sp, '', 'no_speakers', 0, CAST(NULL AS DOUBLE), false FROM v WHERE asks
+    UNION ALL
+    SELECT conv_id, k, j + 1, qa, asker, CASE WHEN NOT ends AND asker <> '' AND sp <> '' AND sp <> asker THEN sp ELSE answerer END,
+      CASE WHEN turns AND NOT asked THEN 'second_change' WHEN NOT ends AND asker <> '' AND sp <> '' AND sp <> asker THEN 'change_of_speaker' ELSE basis END,
+      CASE WHEN ends THEN found ELSE found + 1 END, CASE WHEN ends THEN last ELSE b END, ends OR b - qa >= 32
+    FROM (SELECT *, asked OR turns AS ends FROM (
+      SELECT w.*, v.sp, v.b, v.asks AND found > 0 AND v.a - qa >= 6 AS asked, answerer <> '' AND v.sp <> '' AND v.sp <> answerer AS turns FROM w JOIN v ON v.conv_id = w.conv_id AND v.n = w.j + 1 WHERE NOT shut AND w.j < w.k + 12)))
+  SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY j DESC) = 1),
+answers AS MATERIALIZED (
+  SELECT conv_id, CAST(greatest(0, qa - 2) AS DOUBLE) AS a, last AS b, CAST(k - 1 AS INTEGER) AS question_segment, found AS n_responses, answerer <> '' AS speaker_boundary, basis,
+    round(greatest(0.2::DOUBLE, least(0.98::DOUBLE, 0.5::DOUBLE + least(0.16::DOUBLE, found * 0.02::DOUBLE) + CASE WHEN answerer <> '' THEN 0.12 ELSE -0.12 END)), 3) AS confidence
+  FROM walked WHERE found > 0 AND last - qa >= 8)"""
+CHAPTERS = f"""{ANSWERS}, x AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM answers q WHERE q.conv_id = v.conv_id AND v.b BETWEEN q.a AND q.b) OR coalesce(EXISTS (SELECT 1 FROM answers q WHERE q.conv_id = v.conv_id AND v.na BETWEEN q.a AND q.b), false) AS held FROM v),
+cut AS (
   WITH RECURSIVE w(conv_id, n, first, a, i, done) AS (
-    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), 0, CAST(NULL AS STRUCT(i INTEGER, a DOUBLE, b DOUBLE, x BIGINT, y BIGINT)) FROM v
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), 0, CAST(NULL AS STRUCT(i INTEGER, a DOUBLE, b DOUBLE, x BIGINT, y BIGINT)) FROM x
     UNION ALL
-    SELECT conv_id, n, CASE WHEN shut THEN n ELSE first END, CASE WHEN shut THEN NULL ELSE a END, CASE WHEN shut THEN i + 1 ELSE i END, CASE WHEN shut AND i < 120 THEN {{'i': i, 'a': a, 'b': b, 'x': first, 'y': n - 1}} END
-    FROM (SELECT *, na IS NULL OR greatest(0, na - b) >= 8 OR b - a >= 180 OR (b - a >= 85 AND (regexp_matches(t, '[.!?]$') OR greatest(0, na - b) >= 1 OR (sp <> '' AND nsp <> '' AND sp <> nsp))) AS shut FROM (
-      SELECT v.conv_id, v.n, w.first, coalesce(w.a, v.a) AS a, v.b, w.i, t, sp, na, nsp FROM w JOIN v ON v.conv_id = w.conv_id AND v.n = w.n + 1)))
-  SELECT conv_id, done FROM w WHERE done IS NOT NULL)
-SELECT conv_id, done.i AS index, done.a AS start, done.b AS "end", CAST(done.x AS INTEGER) AS segment_start, CAST(done.y AS INTEGER) AS segment_end, false AS has_qa_bridge FROM made""")
-def build_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.segments(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
-    return folds.fold(s, "conv_id", ["start", "turn"], folds.chapters(), folds.CHAPTER)
+    SELECT conv_id, n, CASE WHEN shut THEN n ELSE first END, CASE WHEN shut THEN NULL ELSE a END, CASE WHEN shut THEN i + 1 ELSE i END, CASE WHEN shut THEN {{'i': i, 'a': a, 'b': b, 'x': first, 'y': n - 1}} END
+    FROM (SELECT *, na IS NULL OR (NOT held AND (greatest(0, na - b) >= 8 OR b - a >= 180 OR (b - a >= 85 AND (regexp_matches(t, '[.!?]$') OR greatest(0, na - b) >= 1 OR (sp <> '' AND nsp <> '' AND sp <> nsp))))) AS shut FROM (
+      SELECT x.conv_id, x.n, w.first, coalesce(w.a, x.a) AS a, x.b, w.i, t, sp, na, nsp, held FROM w JOIN x ON x.conv_id = w.conv_id AND x.n = w.n + 1)))
+  SELECT conv_id, done FROM w WHERE done IS NOT NULL),
+chapters AS MATERIALIZED (
+  SELECT conv_id, done.i AS index, done.a AS a, done.b AS b, CAST(done.x AS INTEGER) AS segment_start, CAST(done.y AS INTEGER) AS segment_end,
+    EXISTS (SELECT 1 FROM answers q WHERE q.conv_id = cut.conv_id AND q.a < done.b AND done.a < q.b) AS has_qa_bridge FROM cut)"""
 
 
-@query()
+def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.segments(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+
+
+@query(f'WITH {ANSWERS} SELECT conv_id, a AS start, b AS "end", question_segment, n_responses, speaker_boundary, basis, confidence FROM answers')
 def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.segments(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "is_question": F.col("speaker") == "user"})
-    return folds.fold(s.fillna(False, ["is_question"]), "conv_id", ["start", "turn"], folds.question_answers(), folds.QA)
+    s = _seconds(spark, sf_dir).withColumn("is_question", F.coalesce(F.col("speaker") == "user", F.lit(False)))
+    return folds.fold(s, "conv_id", ["start", "turn"], folds.question_answers(), folds.QA)
+
+
+@query(f'WITH {CHAPTERS} SELECT conv_id, index, a AS start, b AS "end", segment_start, segment_end, has_qa_bridge FROM chapters')
+def build_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that no question-answer bridge is cut by."""
+    bridges = qa_candidates(spark, sf_dir).groupBy("conv_id").agg(F.collect_list(F.struct("start", "end")).alias("bridges"))
+    s = _seconds(spark, sf_dir).join(bridges, "conv_id", "left")
+    return folds.fold(s, "conv_id", ["start", "turn"], folds.chapters(), folds.CHAPTER)

@@ -10,7 +10,7 @@ from ..operators import clips, intervals, reports
 from ..sources import sinks
 from ..streaming import events as streams
 from . import views
-from .queries import FOLD, MINUTES, WORDS, query
+from .queries import CHAPTERS, FOLD, MINUTES, WORDS, build_chapters, qa_candidates, query
 from .views import CLIPS, SEGMENTS, intervals_sql
 
 #: The rules of the two decision queries below, as their SQL has them.
@@ -185,11 +185,14 @@ def diversity_rank_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.diversified_anywhere(rows, "source_id", "doc_id", "rank", "score", ("decision",)).select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
 
 
-@query()
+@query(f"""WITH {CHAPTERS}, s AS (SELECT conv_id, turn, start / 1000 AS a, "end" / 1000 AS b FROM segments WHERE "end" > start),
+m AS (SELECT s.conv_id, s.turn, s.a, s.b, c.index, least(s.b, c.b) - greatest(s.a, c.a) AS common, c.a - lag(c.b) OVER (PARTITION BY s.conv_id, s.turn ORDER BY c.index) AS gap FROM s JOIN chapters c ON c.conv_id = s.conv_id AND s.a < c.b AND c.a < s.b),
+p AS (SELECT conv_id, turn, string_agg(index, ',' ORDER BY index) AS chapters, count(*) AS n, max(index) - min(index) + 1 AS reach, sum(common) AS covered, bool_or(coalesce(gap > 0.001, false)) AS gaps FROM m GROUP BY 1, 2),
+q AS (SELECT DISTINCT s.conv_id, s.turn, true AS bridge FROM s JOIN answers q ON q.conv_id = s.conv_id AND s.a < q.b AND q.a < s.b WHERE s.a <= q.a + 2.5 AND s.b >= q.b - 2.5 AND (least(s.b, q.b) - greatest(s.a, q.a)) / greatest(0.001, q.b - q.a) >= 0.72)
+SELECT s.conv_id, s.turn, chapters, CAST(least(100.0, CASE WHEN n IS NULL THEN 35.0 WHEN n = 1 THEN 100.0 ELSE CASE WHEN n = reach AND NOT gaps THEN 84.0 ELSE 52.0 END - CASE WHEN covered < greatest(1.0, s.b - s.a) * 0.55 THEN 12.0 ELSE 0.0 END END + CASE WHEN bridge THEN 8.0 ELSE 0.0 END) AS DOUBLE) AS coherence, coalesce(bridge, false) AS qa_bridge
+FROM s LEFT JOIN p USING (conv_id, turn) LEFT JOIN q USING (conv_id, turn)""")
 def chapter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of conversations against their chapters and question-answer bridges."""
-    from .queries import build_chapters, qa_candidates
-
     s = views.segments(spark, sf_dir).select("conv_id", "turn", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end")).filter("end > start")
     chapters = build_chapters(spark, sf_dir).select("conv_id", "index", "start", "end")
     out = clips.with_chapters(s, chapters, qa_candidates(spark, sf_dir), ["conv_id"], "turn")
