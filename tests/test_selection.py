@@ -186,3 +186,31 @@ def test_review_fields_of_odd_values(spark):
     clips = spark.createDataFrame([(0.0, 5.0, "odd", " ", "t", None, "", ["a", " "], None), (3.0, 3.0, None, None, None, None, None, None, None)], "start double, end double, state string, thesis string, title string, reason string, family string, tags array<string>, moments array<struct<kind:string,start:double,end:double,reason:string>>")
     out = review.block_dossier(clips).collect()
     assert len(out) == 1 and out[0]["block"]["state"] == "candidate" and out[0]["block"]["thesis"] == "t" and out[0]["block"]["tags"] == ["a"] and out[0]["block"]["moments"][0]["kind"] == "primary"
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from spanloom.functions import scoring, sql, text
+
+    assert set(sql.register(spark)) == set(sql.FUNCTIONS)
+    rows = spark.createDataFrame([("Été  à la Mer!", 75.0), (None, 49.0), (" a b ", 50.0)], "t string, s double")
+    rows.createOrReplaceTempView("odd_texts")
+    found = spark.sql("SELECT sl_folded(t), sl_collapsed(t), sl_words(t), sl_slug(t, 8), sl_grade(s), sl_jaccard(sl_words(t), array('a', 'b', 'c')), sl_iou(0, 4, 2, 6), sl_overlap(0, 4, 2, 6), sl_bounded(s * 2), sl_search_score(0.7, 1, 0.25) FROM odd_texts").collect()
+    t = F.col("t")
+    columns = (text.folded(t), text.collapsed(t), text.words(t), text.slug(t, 8), scoring.grade(F.col("s")), text.jaccard(text.words(t), F.array(*map(F.lit, "abc"))))
+    expected = rows.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).collect()
+    assert [tuple(r)[:6] for r in found] == [tuple(r) for r in expected]
+    assert tuple(found[0])[6:] == (2 / 6, 0.5, 100.0, 71.5)
+
+
+def test_selected_blocks(spark):
+    from spanloom.operators import answers
+
+    blocks = spark.createDataFrame([("a", i, i * 15.0, i * 15.0 + 15.0, f"t{i}") for i in range(20)] + [("b", 0, 0.0, 5.0, "x")], "k string, index long, start double, end double, text string")
+    good = '```json\n[{"blocks": [2, 1], "hook": "A", "title": “one”,}, {"blocks": [1, 3]}, {"blocks": [3, 3]}, {"blocks": []}, {"blocks": ["x"]}, {"blocks": [19, 20]}, {"blocks": [20, 21]}, {"blocks": [0]}, 7]\n```'
+    loose = 'I chose {"blocks": [4, 5], "flow": "A"} and { broken } and {"blocks": [0,1,2,3,4,5,6,7,8,9,10,11,12,13]}'
+    rows = [("a", good), ("a", loose), ("b", '[{"blocks": [0]}]'), ("c", '[{"blocks": [0]}]'), ("a", None), ("a", "no")]
+    out = answers.selected_blocks(spark.createDataFrame(rows, "k string, answer string"), blocks, "k").collect()
+    assert sorted((r["first"], r["last"], r["start"], r["end"], r["title"], r["score"]) for r in out) == [
+        (0, 13, 0.0, 180.0, "", 55), (1, 2, 15.0, 45.0, "one", 62), (4, 5, 60.0, 90.0, "", 67), (18, 19, 270.0, 300.0, "", 55),
+    ]
+    assert next(r["text"] for r in out if r["first"] == 1) == "t1 t2"
