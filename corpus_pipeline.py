@@ -14,18 +14,14 @@ from spanloom.llm import decontaminate, near_dedup, pieces, pii, quality
 from spanloom.llm.common import Scratch, pin, read
 
 
-#: Tables that a stage's result is still made from.
-HELD: list[Scratch] = []
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  Fitted on the labelled ones among these documents."""
     columns = docs.columns
     scratch = Scratch(spark, "quality")
-    HELD.append(scratch)
-    docs = scratch.table(quality.measured(docs))
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter("predicted = 1").select(*(f"`{c}`" for c in columns))
+    # only the statistics are kept: texts are measured again when they are scored, and not written twice
+    model = quality.train(scratch.table(quality.measured(docs.select("doc_id", "text")).drop("text")), read(spark, sf_dir, "labels"))
+    scratch.close()
+    return quality.scored(quality.measured(docs), model).filter("predicted = 1").select(*(f"`{c}`" for c in columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         scratch = Scratch(spark, f"pipeline-{name}")
         docs = scratch.table(stage(spark, docs, sf_dir))
-        while HELD:
-            HELD.pop().close()
         if before:
             before.close()
         before = scratch
