@@ -141,5 +141,16 @@ def joined_by(rows: DataFrame, table: DataFrame, key: str, spread: list[str], ho
     return rows.withColumn("__share", share).join(table.withColumn("__share", F.explode(shares)), [key, "__share"], how).drop("__share")
 
 
+def apart(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
+    """Inner join to a table with one row for each key: the rows of ``hot`` keys stay where they are, and meet a broadcast of their keys' rows.
+
+    ``hot`` is bounded by ``hot_keys``, and so is that broadcast.
+    """
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(~is_hot).join(table.filter(~is_hot), key).unionByName(rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_keys, joined_by, pin, read
+from .common import Scratch, apart, hot_keys, joined_by, pin, read
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.75
@@ -163,8 +163,8 @@ class _Links:
         return joined_by(rows, known, column, list(spread), list(hot), "left").withColumn("comp", F.coalesce("component", column)).drop("component")
 
     def bucketed(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        """Rows of buckets joined to a table by key."""
-        return joined_by(rows, table, "key", ["id"], self.hot)
+        """Rows of buckets joined to a table with a row for each key."""
+        return apart(rows, table, "key", self.hot)
 
     def texts(self, ids: DataFrame) -> DataFrame | None:
         """Documents of these distinct ids; None for no ids."""
@@ -182,9 +182,7 @@ class _Links:
         if texts is None:
             return
         texts_of = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in "ab"))).alias("end")
-        hot = hot_keys(pairs.select(sides).groupBy("end").agg(F.count("*").alias("c")), "end")
-        hot_a, hot_b = ([e["id"] for e in hot if e["side"] == s] for s in "ab")
+        hot_a, hot_b = (hot_keys(pairs.groupBy(s).agg(F.count("*").alias("c")), s) for s in "ab")
         both = joined_by(pairs, next(texts_of), "a", ["b"], hot_a)
         both = joined_by(both, next(texts_of), "b", ["a"], hot_b).select("a", "b", "text_a", "text_b")
         found = both.mapInArrow(_compared, "a long, b long, common long, total long").groupBy("a", "b").agg(F.max_by("common", F.col("common") / F.col("total")).alias("common"), F.max_by("total", F.col("common") / F.col("total")).alias("total"))
