@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import coerce, scoring, text, timecode
-from spanloom.operators import feedback, folds, performance, similarity
+from spanloom.operators import feedback, folds, performance, selection, similarity
 from spanloom.plans import queries
 from spanloom.plans import reports  # noqa: F401
 
@@ -124,7 +124,7 @@ def test_folds(spark):
 
 def test_portfolio_equals_the_walk(spark):
     sf = "/root/testdata/sf0.01"
-    rows = queries.gates(queries.views.clips(spark, sf)).filter("size(reasons) = 0").select("doc_id", "source_id", "family", "text", "potential", "context", "duration").collect()
+    rows = selection.gates(queries.views.clips(spark, sf)).filter("size(reasons) = 0").select("doc_id", "source_id", "family", "text", "potential", "context", "duration").collect()
     rows.sort(key=lambda r: (-r["potential"], -r["context"], r["duration"], r["doc_id"]))
     kept, seen = [], []
     for r in rows:
