@@ -41,10 +41,10 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, **options: str) -> DataFrame:
         self.count += 1
         path = f"{self.path}/{self.count}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:

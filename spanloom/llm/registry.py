@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import chat, decontaminate, near_dedup, pieces, pii, quality, secrets, topk, url_filter, warc
+from . import chat, collocations, decontaminate, near_dedup, pieces, pii, quality, repair, secrets, token_files, topk, url_filter, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
+    "op11_token_files": token_files.op11_token_files,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_repair": repair.op13_repair,
 }
 SQL = {
     "op1_secrets": secrets.SQL,
@@ -22,4 +25,6 @@ SQL = {
     "op6_decontaminate": decontaminate.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_chat": chat.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_repair": repair.SQL,
 }
