@@ -19,6 +19,7 @@ def segments(spark, raw, duration=None):
     ("1\n00:00:01,000 --> 00:00:03,500\nFirst line\nsecond\n\n2\n00:00:04,000 --> 00:00:05,000\nNext\n", None, [(1.0, 3.5, "First line second"), (4.0, 5.0, "Next")], "srt"),
     ("WEBVTT\n\n00:01.000 --> 00:02.000\n<b>Hi</b> &amp; bye\n", None, [(1.0, 2.0, "Hi & bye")], "vtt"),
     ("Intro 00:05 one thing and 00:12 - another thing", 30.0, [(5.0, 12.0, "one thing and"), (12.0, 14.0, "another thing")], "timestamped"),
+    ("(0:05) one [1:10] two — 75:20 — three <1:02:03.5>: four 1:99 a:00:10 and so on", None, [(5.0, 70.0, "one"), (70.0, 3723.5, "two"), (3723.5, 4520.0, "four 1:99 a:00:10 and so on"), (4520.0, 4522.0, "three")], "timestamped"),
     ("00:00:10.000 Only this", 40.0, [(10.0, 40.0, "Only this")], "tactiq"),
     ("", None, [], None),
     (None, None, [], None),
