@@ -23,6 +23,7 @@ size, under a draft name until it is whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -49,8 +50,9 @@ SHARD_DOCS, SHARD_IDS = 1 << 20, 1 << 28
 RANGE, HELD, READERS = 1 << 13, 8 << 20, 50_000
 #: Rows of the files' table that is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_FILES, TILE = 100_000, 1 << 22
-#: Chunks of text whose ids a task remembers.
-KNOWN = 300_000
+#: Parts of texts whose ids a worker remembers.
+KNOWN = 1_000_000
+WORD_AND_MARKS = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 #: Bits of a block of the upper row, and numbers whose lower bits are packed at once.
 BLOCK, PACK = 512, 1 << 16
 TRAILER = struct.Struct("<8s8Q2I")
@@ -152,38 +154,61 @@ def tokenizer(path: str):
 class Encoder:
     """Ids of whole texts.
 
-    The vocabulary's own splitting rule puts a boundary before a blank between two
-    characters that aren't white space, and merges don't cross it, so a text's ids are
-    those of its chunks between such blanks.  Chunks recur: each is encoded once, as long
-    as KNOWN of them are remembered.  A first chunk has no blank before it.
+    The vocabulary's own splitting rule puts a boundary before a blank, and around a line
+    feed, between two characters that aren't white space, and merges don't cross it.  So a
+    text's ids are those of its parts, cut before such blanks and line feeds.  Parts recur:
+    each is encoded once, as long as KNOWN of them are remembered.
     """
 
     def __init__(self, path: str, width: int):
         self.tokens, self.kind = tokenizer(path), np.dtype(f"<u{width}")
-        # chunks without the blank before them; with it, those that hold blanks or end in white space
+        self.lengths = np.zeros(self.tokens.get_vocab_size(), np.int64)  # bytes of each id: its string has a letter for each
+        for token, i in self.tokens.get_vocab().items():
+            self.lengths[i] = len(token)
+        # parts without the blank before them; with it, those that hold blanks or end in white space; marks by themselves
         self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokens.encode_batch(texts, add_special_tokens=False)]
+        self.marks: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokens.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes parts in one text, which falls into them again; marks after a word are its neighbours, not its end."""
+        ended = [(x, *found.groups()) for x in parts if (found := WORD_AND_MARKS.fullmatch(x))]
+        whole = {x for x in parts if not WORD_AND_MARKS.fullmatch(x)}
+        new = list(whole.union(word for _, word, _ in ended).difference(self.known))
+        units = [x if x[0] == "\n" else f" {x}" for x in new]
+        found = self.ids("".join(units))
+        ends = np.fromiter((len(x.encode()) for x in units), np.int64, len(units)).cumsum()
+        cuts = np.searchsorted(self.lengths[found].cumsum(), ends) + 1
+        data, last = found.tobytes(), 0
+        for part, cut in zip(new, (cuts * self.kind.itemsize).tolist()):
+            self.known[part] = data[last:cut]
+            last = cut
+        for part, word, marks in ended:
+            if marks not in self.marks:
+                self.marks[marks] = self.ids(marks).tobytes()
+            self.known[part] = self.known[word] + self.marks[marks]
 
     def encode(self, text: str) -> bytes:
         if len(self.known) > KNOWN:
             self.known.clear()
-        head, *rest = text.split(" ")
-        missing = set(rest) - self.known.keys()
-        if rest and (not head or head[-1].isspace() or any(not x or x[0].isspace() or x[-1].isspace() for x in missing)):
-            head, *rest = self.joined([head, *rest])
+        head, *rest = text.replace("\n", " \n").split(" ")
+        missing = set(rest).difference(self.known)
+        if rest and (not head or head[-1].isspace() or any(not x or x[-1].isspace() or x[:2].lstrip("\n")[:1].isspace() or x[:2] == "\n\n" for x in missing)):
+            head, *rest = self.joined(text.split(" "))
             rest = [f" {x}" if " " in x or x[-1].isspace() else x for x in rest]
-            missing = set(rest) - self.known.keys()
-        new = list(missing)
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            self.known.update(zip(part, self.ids([x if x[0] == " " else f" {x}" for x in part])))
-        return (self.ids([head])[0] if head else b"") + b"".join(map(self.known.__getitem__, rest))
+            missing = set(rest).difference(self.known)
+            for part in [x for x in missing if x[0] == " "]:
+                self.known[part] = self.ids(part).tobytes()
+                missing.remove(part)
+        if missing:
+            self.learn(list(missing))
+        return self.ids(head).tobytes() + b"".join(map(self.known.__getitem__, rest))
 
     @staticmethod
     def joined(parts: list[str]) -> list[str]:
-        """Chunks of parts that were cut at every blank, put together again where a blank isn't a boundary."""
+        """Parts that were cut at every blank, put together again where a blank isn't a boundary."""
         chunks = [[parts[0]]]
         for before, part in zip(parts, parts[1:]):
             if before and part and not before[-1].isspace() and not part[0].isspace():
@@ -193,6 +218,12 @@ class Encoder:
         return [" ".join(x) for x in chunks]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, width: int) -> Encoder:
+    """Shared by the tasks of a Python worker, so that what one has learnt serves the next one."""
+    return Encoder(path, width)
+
+
 class Writer:
     """One shard file: ids as they come, boundaries and document ids at its end."""
 
@@ -233,7 +264,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        context, encoder = TaskContext.get(), Encoder(vocabulary, width)
+        context, encoder = TaskContext.get(), encoder_of(vocabulary, width)
         end, out, rows = np.array([end_id], encoder.kind).tobytes(), None, []
 
         def closed() -> None:

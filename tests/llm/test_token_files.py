@@ -53,7 +53,7 @@ def test_elias_fano_random_and_small():
 def test_encoder_equals_whole_texts(monkeypatch):
     tokens = Tokenizer.from_file(token_files.VOCABULARY)
     rng = random.Random(2)
-    alphabet = [" ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "a", "the", "Étion", "don't", "9", "!", "<|endoftext|>", "🙂", "\x00", "ſ"]
+    alphabet = [" ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "a", "the", "Étion", "don't", "9", "!", "<|endoftext|>", "🙂", "\x00", "ſ", ".", "?!", "Über,", "word.", "\nNext", "\n\n"]
     texts = ["", " ", "  ", "a", " a", "a ", "a  b", "foo\n bar", "x foo\n", "x foo\n bar", "\n", " \n ", "a\n"] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(1500)]
     encoder = token_files.Encoder(token_files.VOCABULARY, 2)
     monkeypatch.setattr(token_files, "KNOWN", 50)
