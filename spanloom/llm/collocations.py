@@ -250,9 +250,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest
     words = scratch.table(each.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least))
     listed = semi(each, words, ["lang", "phrase"]).select("shard", "code", F.xxhash64("lang", "phrase").alias("h"))
     together = lambda rows, run, schema: kept.groupBy("shard").cogroup(rows.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(run, schema)
-    pairs = scratch.table(together(listed, pairs_of, PAIRS))
-    often = scratch.table(pairs.groupBy("key").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("key"))
-    found = together(semi(pairs, often, ["key"]).select("shard", "one", "two"), phrases_of(longest), "lang string, phrase string, c long")
+    # a pair has a row for each shard at most; sums beside the rows need no second table of them
+    pairs = together(listed, pairs_of, PAIRS).withColumn("f", F.sum("c").over(Window.partitionBy("key"))).filter(F.col("f") >= least)
+    found = together(pairs.select("shard", "one", "two"), phrases_of(longest), "lang string, phrase string, c long")
     phrases = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
     return scratch.table(words.unionByName(phrases)), totals
 
@@ -289,8 +289,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     score = F.expr("1000 * cast(a as decimal(38, 0)) * cast(n as decimal(20, 0)) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    out = pin(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    # tasks rank their own rows first, so ``top`` rows of each language and task are all that meets
+    ranked = best.select("lang", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    out = pin(ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
     scratch.close()
     return out
 
