@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,8 @@ RANGE, HELD, READERS = 1 << 13, 8 << 20, 50_000
 #: Rows of the files' table that is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_FILES, TILE = 100_000, 1 << 22
 #: Parts of texts whose ids a worker remembers.
-KNOWN = 1_000_000
+KNOWN = 1_200_000
+WORD = re.compile(r"\n[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_MARKS = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 #: Bits of a block of the upper row, and numbers whose lower bits are packed at once.
 BLOCK, PACK = 512, 1 << 16
@@ -191,8 +193,8 @@ class Encoder:
             self.known[part] = self.known[word] + self.marks[marks]
 
     def encode(self, text: str) -> bytes:
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if len(self.known) > KNOWN:  # what came first is the most frequent
+            self.known = dict(islice(self.known.items(), KNOWN // 2))
         head, *rest = text.replace("\n", " \n").split(" ")
         missing = set(rest).difference(self.known)
         if rest and (not head or head[-1].isspace() or any(not x or x[-1].isspace() or x[:2].lstrip("\n")[:1].isspace() or x[:2] == "\n\n" for x in missing)):
@@ -202,9 +204,16 @@ class Encoder:
             for part in [x for x in missing if x[0] == " "]:
                 self.known[part] = self.ids(part).tobytes()
                 missing.remove(part)
+        start = f"\n{head}"  # a word at the start is one after a line feed without this one's id
+        if WORD.fullmatch(start):
+            if start not in self.known:
+                missing.add(start)
+        else:
+            start = None
         if missing:
             self.learn(list(missing))
-        return self.ids(head).tobytes() + b"".join(map(self.known.__getitem__, rest))
+        first = self.known[start][self.kind.itemsize :] if start else self.ids(head).tobytes()
+        return first + b"".join(map(self.known.__getitem__, rest))
 
     @staticmethod
     def joined(parts: list[str]) -> list[str]:
