@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -248,42 +250,37 @@ def diversified_anywhere(rows: DataFrame, key: str, id_col: str, rank: str, scor
     by 0.12 of the penalty, truncated.  Penalties under 35 are given as 0.  Rows without
     source overlap none.
 
-    Rows of equal words, source and signals are one group.  Groups conflict, not their
-    rows: in a round each group is asked for its best undecided row, so copies make no
-    pairs.  At most one row of a group stays, and only rows that stay meet from 35 on.
+    Rows of equal words, source and signals have a place in common, and so have rows of a
+    time: a place is asked for its best undecided row (``greedy.walked``), so neither
+    copies nor a crowded time make pairs.  Only rows that stay meet from 35 on.
     """
     w = F.array_sort(F.array_distinct(text.words(text.folded(F.col("text")))))
-    base = rows.select(key, id_col, F.col(rank).alias("r"), "start", "end", "topic", *signals, w.alias("w"))
+    base = greedy.cut(rows.select(key, id_col, F.col(rank).alias("r"), "start", "end", "topic", *signals, w.alias("w")))
     classes = similarity.jaccard_classes(base, id_col, "w").select(id_col, "class_id")
-    base = base.join(classes, id_col, "left")
+    scope = F.col(key).cast("string")
+    times = F.when(scope.isNotNull() & (F.col("end") > F.col("start")), F.transform(intervals.bins(F.col("start"), F.col("end"), width), lambda b: F.concat(F.lit("time:"), scope, F.lit("\x1f"), b.cast("string"))))
     group = F.when(F.col("class_id").isNotNull(), F.to_json(F.struct("class_id", key, *signals)))
-    base = greedy.cut(base.withColumn("g", group))
-    groups = base.filter("g is not null").select("g", "class_id", key, *signals).distinct()
+    places = F.concat(F.coalesce(times, F.array().cast("array<string>")), F.array_compact(F.array("g")))
+    slim = base.drop("w", "topic").join(classes, id_col, "left").withColumn("g", group).withColumn("places", places)
+    slim = greedy.cut(slim.select(key, id_col, "r", "start", "end", "class_id", "g", *signals, "places"))
+    groups = slim.filter("g is not null").select("g", "class_id", key, *signals).distinct()
     like = similarity.jaccard_pairs(base, id_col, "w", 70 / 80).select("left", "right", "similarity")
     same = groups.select(F.col("class_id").alias("left"), F.col("class_id").alias("right"), F.lit(1.0).alias("similarity")).distinct()
-    both = like.union(like.select("right", "left", "similarity")).union(same)
+    both = greedy.cut(like.union(like.select("right", "left", "similarity")).union(same))
     met = groups.join(both, F.col("class_id") == F.col("left")).drop("class_id").join(_aliased(groups, []), F.col("right") == F.col("o_class_id"))
-    near = greedy.cut(met.filter(_text_penalty(key, signals) >= 70).select("g", F.col("o_g").alias("h")))
-    timed = _timed_pairs(base, key, id_col, signals, width, 70.0).select("left", "right")
-    ranks = base.select(F.col(id_col).alias("i"), "r")
-    ends = timed.join(ranks.toDF("left", "lr"), "left").join(ranks.toDF("right", "rr"), "right")
-    edges = greedy.cut(ends.select(F.when(F.col("lr") < F.col("rr"), F.col("left")).otherwise(F.col("right")).alias("better"), F.when(F.col("lr") < F.col("rr"), F.col("right")).otherwise(F.col("left")).alias("i")))
-
-    rest, stays = base.select(F.col(id_col).alias("i"), "r", "g"), None
-    while rest.limit(1).count():
-        low = near.join(rest.groupBy(F.col("g").alias("h")).agg(F.min("r").alias("m")), "h").groupBy("g").agg(F.min("m").alias("low"))
-        blocked = edges.select("i").distinct()
-        free = greedy.cut(rest.join(low, "g", "left").filter("low is null or r <= low").select("i", "g").join(blocked, "i", "left_anti"))
-        stays = free.select("i") if stays is None else greedy.cut(stays.union(free.select("i")))
-        out = near.join(free.select("g"), "g").select(F.col("h").alias("g")).distinct()
-        gone = edges.join(free.select(F.col("i").alias("better")), "better").select("i").union(free.select("i")).distinct()
-        rest = greedy.cut(rest.join(out, "g", "left_anti").join(gone, "i", "left_anti"))
-        left = rest.select("i")
-        edges = greedy.cut(edges.join(left, "i", "left_semi").join(left.toDF("better"), "better", "left_semi").select("better", "i"))
-    if stays is None:
-        return rows.withColumns({"penalty": F.lit(0.0), score: F.col(score).cast("double")})
-
-    kept = greedy.cut(base.join(stays.toDF(id_col), id_col, "left_semi"))
+    linked = met.filter(_text_penalty(key, signals) >= 70).select(F.col("g").alias("place"), F.col("o_g").alias("other"))
+
+    def timed(kept: DataFrame, rest: DataFrame) -> DataFrame:
+        """Rows that overlap a kept one by 0.70, or by over 0.30 with its words, which then count in full whatever the context."""
+        named = lambda df: df.select(key, id_col, "r", "start", "end", "class_id")
+        pairs = intervals.overlap_join(named(rest), _aliased(named(kept), [key]), [key], ENDS, width).filter("o_r < r")
+        pairs = pairs.withColumn("overlap", intervals.overlap_of_shorter(*map(F.col, ENDS)))
+        worded = pairs.filter("overlap > 0.30").join(both, (F.col("class_id") == F.col("left")) & (F.col("o_class_id") == F.col("right")), "left_semi")
+        return pairs.filter(F.col("overlap") * 100.0 >= 70).select(id_col).union(worded.select(id_col))
+
+    stays = greedy.walked(slim, id_col, "r", "places", linked, timed)
+    stays = greedy.cut(stays)
+    kept = greedy.cut(base.join(slim.select(id_col, "g", "class_id"), id_col).join(stays, id_col, "left_semi"))
     like = similarity.jaccard_pairs(kept, id_col, "w", 35 / 80).select("left", "right", "similarity")
     same = kept.filter("g is not null").select("class_id").distinct()
     same = same.join(kept.groupBy("class_id").agg(F.min(id_col).alias("left")), "class_id").select("left", F.col("left").alias("right"), F.lit(1.0).alias("similarity"))
@@ -294,7 +291,7 @@ def diversified_anywhere(rows: DataFrame, key: str, id_col: str, rank: str, scor
     ends = _timed_pairs(kept, key, id_col, signals, width, 35.0).join(ranks.toDF("left", "lr"), "left").join(ranks.toDF("right", "rr"), "right")
     by_time = ends.select(F.when(F.col("lr") < F.col("rr"), F.col("right")).otherwise(F.col("left")).alias(id_col), "penalty")
     worst = by_text.union(by_time).union(_topic_penalties(kept, key, id_col)).groupBy(id_col).agg(F.max("penalty").alias("penalty")).filter("penalty >= 35")
-    out = rows.join(stays.toDF(id_col), id_col, "left_semi").join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    out = rows.join(stays, id_col, "left_semi").join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
     return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
 
 
@@ -314,6 +311,75 @@ def text_similarity(left: Column, right: Column) -> Column:
     return F.when((a != "") & (b != ""), F.greatest(text.jaccard(F.array_distinct(text.words(a)), F.array_distinct(text.words(b))), sequence_ratio(a, b))).otherwise(0.0)
 
 
+#: Lengths of character grams for texts whose matching blocks are few, fewer, or any number.
+GRAMS = (8, 4, 2)
+
+
+@F.pandas_udf(IntegerType())
+def _seeds(texts: pd.Series) -> pd.Series:
+    """How many blocks a match with this second text can have: one for each character that isn't too frequent, which from 200 characters on begin all blocks."""
+
+    def seeds(value: str) -> int:
+        often = len(value) // 100 + 1 if len(value) >= 200 else len(value)
+        return sum(n for n in Counter(value).values() if n <= often)
+
+    return texts.map(seeds)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def numbered_grams(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Character grams, each with how many of it came before."""
+
+    def grams(value: str, q: int) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for i in range(len(value) - q + 1):
+            gram = value[i : i + q]
+            out.append(f"{gram}{seen[gram]}")
+            seen[gram] += 1
+        return out
+
+    return pd.Series([grams(x, q) for x, q in zip(texts, sizes)])
+
+
+def sequence_pairs(texts: DataFrame, scope: str, key: str, value: str, near: float = 0.90) -> DataFrame:
+    """``first, second`` keys of one scope whose texts have a sequence ratio of ``near`` or more, the second one being matched against.
+
+    ``value`` is a ``plain`` text; ``near`` is 0.9 at least.  The ratio of texts of T
+    characters together has M = 0.45 T matched ones at least, in k blocks.  Neighbouring
+    blocks have an unmatched character between them, so k is at most 0.1 T + 1; and as a
+    block begins with a character that the second text hasn't too often, k is at most their
+    number.  So M - (q - 1) k grams of q characters are common.  That is half of all the
+    grams or more for q = 2, and for a greater q if the second text has as few such
+    characters as ``_seeds`` is asked for: a join of sets at 0.5, in which grams are
+    numbered, misses no pair, and only its pairs are matched.  (Grams are named by 64 bits:
+    two of a text of n grams fall together with a chance of n * n / 2**65.)
+    """
+    if near < 0.90:
+        raise ValueError("candidates are complete from a ratio of 0.9 on")
+    rows = texts.select(F.col(scope).cast("string").alias("s"), F.col(key).alias("i"), F.col(value).alias("p")).filter("p <> ''")
+    n = F.length("p")
+    fits = lambda q: n >= 1.5715 * (q - 1) * (3 * F.col("seeds") - 2)
+    rows = rows.withColumn("seeds", _seeds("p")).withColumn("q", F.when(fits(8), 8).when(fits(4), 4).otherwise(2))
+    # lengths differ by a factor of 9/11 at most, so by one step of this scale
+    rows = greedy.cut(rows.withColumn("step", F.floor(F.log(n.cast("double")) / math.log(11 / 9) + 1e-9)))
+    wanted = rows.select("s", "q", F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1)))).alias("step")).distinct()
+    found = None
+    for q in GRAMS:
+        asked = rows.join(wanted.filter(F.col("q") == q).select("s", "step"), ["s", "step"], "left_semi")
+        grams = F.transform(numbered_grams(F.col("p"), F.lit(q)), lambda g: F.xxhash64("s", g))
+        sets = greedy.cut(asked.select("i", grams.alias("g")))
+        pairs = similarity.jaccard_pairs(sets, "i", "g", 0.5).select("left", "right")
+        # texts of the same grams are one class of the join
+        classes = similarity.jaccard_classes(sets, "i", "g").select("i", "class_id")
+        pairs = pairs.union(pairs.select("right", "left")).union(classes.select("class_id", "class_id").distinct().toDF("left", "right"))
+        both = pairs.join(classes.toDF("first", "left"), "left").join(classes.toDF("second", "right"), "right").filter("first <> second").select("first", "second")
+        found = both.withColumn("q", F.lit(q)) if found is None else found.union(both.withColumn("q", F.lit(q)))
+    found = found.join(rows.select(F.col("i").alias("first"), F.col("p").alias("a")), "first").join(rows.select(F.col("i").alias("second"), F.col("p").alias("b"), "q"), ["second", "q"])
+    long_enough = 2 * F.least(F.length("a"), F.length("b")) >= near * (F.length("a") + F.length("b")) - 1e-9
+    return found.filter(long_enough).filter(sequence_ratio(F.col("a"), F.col("b")) >= near).select("first", "second")
+
+
 def without_previous(clips: DataFrame, previous: DataFrame, keys: list[str], id_col: str, signals: tuple[str, ...], width: float = 60.0) -> DataFrame:
     """Clips that no earlier export repeats: overlap of 0.45, edges within 4 and 6 s, or text of 0.86 within 30 s; unless their context differs."""
     near = clips.withColumns({"__from": F.col("start") - 30.0, "__to": F.col("end") + 30.0})

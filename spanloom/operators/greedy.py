@@ -8,6 +8,7 @@ Rounds are few because chains of conflicts are short.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,39 @@ def greedy_keep(rows: DataFrame, conflicts: DataFrame, key: str, rank: str) -> D
     return rows.join(dropped.select(F.col("worse").alias(key), F.lit(False).alias("__out")), key, "left").withColumn("kept", F.col("__out").isNull()).drop("__out")
 
 
+def walked(rows: DataFrame, key: str, rank: str, places: str, linked: DataFrame, met: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The ``key`` of rows that a walk in rank order keeps, where conflicts are known by places and not by pairs of rows.
+
+    ``rank`` is unique, smaller is better; ``places`` is an array of strings.  ``linked``
+    has ``place, other``: no row at ``place`` stays beside a kept one at ``other``, which
+    can be the same.  ``met(kept, rows)`` gives the ``key`` of those rows that conflict with
+    a better kept one in any other way; two such rows have a place in common.
+
+    In each round a place is asked for its best undecided row.  A row stays once nothing
+    better is undecided at its places and those they are linked to, and drops its
+    conflicts.  So neither copies nor a crowded time make pairs, and a round reads only
+    undecided rows; their best one is always decided, and usually one for each place is.
+    """
+    rest, kept = cut(rows), []
+    linked = cut(linked.distinct())
+    while rest.limit(1).count():
+        asked = rest.select(key, F.col(rank).alias("r"), F.explode(places).alias("place"))
+        best = asked.groupBy("place").agg(F.min("r").alias("best"))
+        low = best.union(linked.join(best.select(F.col("place").alias("other"), "best"), "other").select("place", "best"))
+        low = low.groupBy("place").agg(F.min("best").alias("low"))
+        waiting = asked.join(low, "place").filter("low < r").select(key).distinct()
+        free = cut(rest.join(waiting, key, "left_anti"))
+        kept.append(free.select(key))
+        taken = free.select(F.explode(places).alias("other")).distinct().join(linked, "other").select("place").distinct()
+        gone = asked.join(taken, "place", "left_semi").select(key)
+        gone = gone.union(met(free, rest).select(key)).union(free.select(key)).distinct()
+        rest = cut(rest.join(gone, key, "left_anti"))
+    out = rows.select(key).limit(0)
+    for now in kept:
+        out = out.union(now)
+    return out
+
+
 def greedy_matches(pairs: DataFrame, left: str, right: str, order: list) -> DataFrame:
     """Pairs taken in order where neither side has been used: in each round those that are the first of both their sides."""
     w = lambda side: Window.partitionBy(side).orderBy(*order)

@@ -18,6 +18,12 @@ def _binned(df: DataFrame, start: str, end: str, width: float, name: str, touch:
     return df.withColumn(f"{name}_low", low).withColumn("__bin", F.explode(F.sequence(low, F.greatest(low, high))))
 
 
+def bins(start: Column, end: Column, width: float) -> Column:
+    """Numbers of the bins that an interval touches, its end not included."""
+    low = F.floor(start / width)
+    return F.sequence(low, F.greatest(low, F.ceil(end / width) - 1))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], ends: tuple[str, str, str, str], width: float, touch: bool = False) -> DataFrame:
     """Pairs of equal keys whose intervals overlap; with ``touch`` they may share an end only.
 

@@ -118,29 +118,36 @@ def topped_up(primary: DataFrame, fallback: DataFrame, expected: DataFrame, key:
 def without_overlaps(rows: DataFrame, key: str, rank: str, most: float = 0.30, near: float = 0.90, width: float = 60.0) -> DataFrame:
     """Rows kept by a walk in rank order within each source: none that overlaps a kept one by over ``most`` of the shorter, or has its text.
 
-    ``rows`` has ``id``, unique over all sources; malformed intervals go.  Texts are near
-    by their words or by their sequence; equal ones are one class, so copies make no pairs.
+    ``rows`` has ``id``, unique over all sources; malformed intervals go, and so do rows
+    without source.  Texts are near from a Jaccard of ``near`` of their words on, or from
+    this ratio of their sequences on (``clips.sequence_pairs``), a row's own text against
+    the kept one's.  Rows of a time, of a set of words and of a text have a place each,
+    which is asked for its best undecided row, so copies make no pairs.
     """
-    rows = rows.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")))
-    slim = rows.select(key, "id", "start", "end", F.array_distinct(text.words(clip_ops.plain(F.col("text")))).alias("t"), clip_ops.plain(F.col("text")).alias("p"))
-    other = slim.select(key, *(F.col(c).alias(f"o_{c}") for c in ("id", "start", "end")))
-    timed = intervals.overlap_join(slim.select(key, "id", "start", "end"), other, [key], ENDS, width).filter("id < o_id")
-    timed = timed.filter(intervals.overlap_of_shorter(*map(F.col, ENDS)) > most).select(F.col("id").alias("left"), F.col("o_id").alias("right"))
-    scoped = slim.select("id", "p", F.transform("t", lambda w: F.concat(F.col(key).cast("string"), F.lit("\x1f"), w)).alias("t"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    rows = greedy.cut(rows.filter(F.col(key).isNotNull() & finite("start") & finite("end") & (F.col("start") >= 0) & (F.col("end") > F.col("start"))))
+    slim = rows.select(key, "id", "start", "end", F.col(rank).alias("rank"), clip_ops.plain(F.col("text")).alias("p")).withColumn("t", F.array_distinct(text.words(F.col("p"))))
+    scope = F.concat(F.col(key).cast("string"), F.lit("\x1f"))
+    scoped = greedy.cut(slim.select("id", F.transform("t", lambda w: F.concat(scope, w)).alias("t")))
     classes = similarity.jaccard_classes(scoped, "id", "t").select("id", "class_id")
-    # a sequence ratio of 0.9 leaves words in common, so candidates come from half of them
-    pairs = similarity.jaccard_pairs(scoped, "id", "t", near / 2)
-    texts = scoped.select("id", "p")
-    pairs = pairs.join(texts.toDF("left", "lp"), "left").join(texts.toDF("right", "rp"), "right")
-    alike = F.when(F.col("similarity") >= near, True).otherwise(clip_ops.sequence_ratio(F.col("lp"), F.col("rp")) >= near)
-    pairs = pairs.filter(alike).select("left", "right")
-    own = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    first = Window.partitionBy("class_id").orderBy(rank)
-    one = own.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    # a class is asked by its best row; conflicts by time are between these rows
-    heads = one.select("id", "class_id")
-    timed = timed.join(heads.toDF("left", "l"), "left").join(heads.toDF("right", "r"), "right").select(F.col("l").alias("left"), F.col("r").alias("right"))
-    return greedy.greedy_keep(one, timed.union(pairs), "class_id", rank).filter("kept").drop("kept", "class_id")
+    same = slim.filter("p <> ''").groupBy(key, "p").agg(F.min("id").alias("text_id"))
+    place = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    times = F.transform(intervals.bins(F.col("start"), F.col("end"), width), lambda b: F.concat(F.lit("time:"), scope, b.cast("string")))
+    own = slim.drop("t").join(classes, "id", "left").join(same, [key, "p"], "left")
+    own = own.withColumn("places", F.concat(times, F.array_compact(F.array(place("words:", "class_id"), place("text:", "text_id")))))
+    own = greedy.cut(own.select(key, "id", "start", "end", "rank", "places", "class_id"))
+    words = similarity.jaccard_pairs(scoped, "id", "t", near).select("left", "right")
+    equal = own.filter("class_id is not null").groupBy("class_id").count().filter("count > 1").select(F.col("class_id").alias("left"), F.col("class_id").alias("right"))
+    by_words = words.union(words.select("right", "left")).union(equal).select(place("words:", "left").alias("place"), place("words:", "right").alias("other"))
+    by_text = clip_ops.sequence_pairs(same, key, "text_id", "p", near).select(place("text:", "first").alias("place"), place("text:", "second").alias("other"))
+
+    def met(kept: DataFrame, rest: DataFrame) -> DataFrame:
+        other = kept.select(key, *(F.col(c).alias(f"o_{c}") for c in ("start", "end", "rank")))
+        pairs = intervals.overlap_join(rest.select(key, "id", "start", "end", "rank"), other, [key], ENDS, width)
+        return pairs.filter((F.col("o_rank") < F.col("rank")) & (intervals.overlap_of_shorter(*map(F.col, ENDS)) > most)).select("id")
+
+    kept = greedy.walked(own.drop("class_id"), "id", "rank", "places", by_words.union(by_text), met)
+    return rows.join(kept, "id", "left_semi")
 
 
 def select_and_rank(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import joins
 from .greedy import cut
 
 
@@ -12,7 +13,7 @@ def _sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``key, set, fp`` of rows with tokens: the sorted set, and 128 bits that stand for it."""
     rows = df.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set")).filter(F.size("set") > 0)
     # the count keeps apart what joining could mix up
-    return rows.withColumn("fp", F.unhex(F.md5(F.concat_ws("\x1f", F.size("set").cast("string"), "set"))))
+    return rows.withColumn("fp", F.unhex(F.md5(F.concat_ws("\x1f", F.size("set").cast("string"), F.col("set").cast("array<string>")))))
 
 
 def _self_joined(heads: DataFrame, share: int = 1000, least: int = 1000, parts: int = 32) -> DataFrame:
@@ -22,8 +23,7 @@ def _self_joined(heads: DataFrame, share: int = 1000, least: int = 1000, parts:
     ``share`` of them.
     """
     counts = cut(heads.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > 1))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
-    hot = [r["token"] for r in counts.filter(F.col("c") >= max(least, total // share)).select("token").collect()] if total >= least else []
+    hot = joins.hot_keys(counts, "token", "c", least, share)
     is_hot = F.col("token").isin(hot) if hot else F.lit(False)
     rows = heads.join(counts.select("token"), "token", "left_semi")
     x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "pos", "n"))) for s in "xy")
@@ -43,8 +43,9 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> Dat
     """
     classes = _sets(df, key, tokens).groupBy("fp").agg(F.min(key).alias("id"), F.first("set").alias("set")).select("id", "set")
     long = classes.select("id", F.explode("set").alias("token"))
-    rarity = long.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = long.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
+    rarity = cut(long.groupBy("token").agg(F.count("*").alias("n")))
+    counted = joins.apart(long, rarity, "token", joins.hot_keys(rarity, "token"))
+    ranked = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
     size = F.size("o")
     prefix = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
     heads = cut(ranked.select("id", size.alias("n"), F.posexplode(F.slice("o.token", F.lit(1), prefix)).alias("pos", "token")))

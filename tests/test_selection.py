@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import signals
-from spanloom.operators import greedy, review, selection
+from spanloom.operators import clips, greedy, review, selection
 
 CLIP = "id long, source_id string, start double, end double, text string, potential long, confidence double"
 
@@ -52,16 +52,8 @@ def test_selection_equals_the_stages(spark, seed):
             places = {(r[2], r[3]) for r in own}
             own += [(*r, 1) for r in rest if r[1] == source and (r[2], r[3]) not in places]
         own = sorted((r for r in own if r[2] >= 0 and r[3] > r[2]), key=lambda r: (r[7], -r[5], -r[6], r[3] - r[2], r[0]))
-        # of equal words the best stands for all, before the walk
-        heads, seen = [], set()
-        for r in own:
-            words = frozenset((r[4] or "").split())
-            if words and words in seen:
-                continue
-            seen.add(words)
-            heads.append(r)
         kept = []
-        for r in heads:
+        for r in own:
             if all(overlap(r, k) <= 0.30 and alike(r, k) < 0.90 for k in kept):
                 kept.append(r)
         wanted += [(source, place + 1, r[0], ("primary", "fallback")[r[7]]) for place, r in enumerate(kept[:most])]
@@ -72,6 +64,45 @@ def test_selection_equals_the_stages(spark, seed):
     assert counts["a"] == (sum(w[0] == "a" for w in wanted), "thin_pool")
 
 
+def test_a_dropped_row_stands_for_no_equal_text(spark):
+    rows = [(1, "s", 0.0, 10.0, "first", 90), (2, "s", 1.0, 11.0, "same words Y", 80), (3, "s", 100.0, 110.0, "same words Y", 70), (4, "s", 200.0, float("nan"), "z", 1), (5, None, 0.0, 10.0, "first", 1)]
+    table = spark.createDataFrame(rows, "id long, source_id string, start double, end double, text string, potential int").withColumn("r", F.struct(-F.col("potential"), "id"))
+    assert sorted(r["id"] for r in selection.without_overlaps(table, "source_id", "r").collect()) == [1, 3]
+    assert selection.without_overlaps(table.limit(0), "source_id", "r").count() == 0
+    # no word in common, but 0.92 of the sequence
+    near = [(1, "s", 0.0, 10.0, "abcdefghijkl mnopqrstuvwx", 9), (2, "s", 50.0, 60.0, "abcdefghijklz mnopqrstuvwxz", 8), (3, "t", 50.0, 60.0, "abcdefghijklz mnopqrstuvwxz", 8)]
+    table = spark.createDataFrame(near, "id long, source_id string, start double, end double, text string, potential int").withColumn("r", F.struct(-F.col("potential"), "id"))
+    assert sorted(r["id"] for r in selection.without_overlaps(table, "source_id", "r").collect()) == [1, 3]
+
+
+def changed(rng, value, share):
+    return "".join("" if rng.random() < share / 2 else (c + rng.choice("abcxyz") if rng.random() < share / 2 else c) for c in value)
+
+
+def test_texts_of_any_length_equal_a_walk_over_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh ", k=n)) for n in (5, 12, 20, 40, 90, 190, 230, 400, 900)]
+    base += [" ".join("".join(rng.choices("aeioutnrs", k=rng.randint(2, 7))) for _ in range(n)) for n in (4, 30, 60, 150)]
+    rows = []
+    for i in range(200):
+        value = changed(rng, rng.choice(base), rng.choice((0, 0, 0.02, 0.05, 0.08, 0.1, 0.12, 0.15)))
+        if rng.random() < 0.1:
+            value = " ".join(rng.sample(value.split(" "), value.count(" ") + 1))
+        start = rng.randrange(40) * 25.0
+        rows.append((i, rng.choice("st"), start, start + rng.choice((10.0, 20.0, 40.0)), value if rng.random() < 0.9 else rng.choice(("", None)), rng.random()))
+    kept = []
+    for r in sorted(rows, key=lambda r: r[5]):
+        if all(k[1] != r[1] or overlap(r, k) <= 0.30 and alike(r, k) < 0.90 for k in kept):
+            kept.append(r)
+    table = spark.createDataFrame(rows, CLIP.replace("potential long", "rank double").replace(", confidence double", ""))
+    assert sorted(r["id"] for r in selection.without_overlaps(table, "source_id", "rank").collect()) == sorted(k[0] for k in kept)
+    texts = sorted({(r[1], " ".join(r[4].split(" ")).strip()) for r in rows if r[4]} - {("s", ""), ("t", "")})
+    numbered = [(i, s, t) for i, (s, t) in enumerate(texts)]
+    wanted = {(i, j) for i, s, a in numbered for j, t, b in numbered if s == t and i != j and SequenceMatcher(None, a, b).ratio() >= 0.90}
+    found = clips.sequence_pairs(spark.createDataFrame(numbered, "i long, s string, p string"), "s", "i", "p")
+    assert {tuple(r) for r in found.collect()} == wanted and len(wanted) > 50
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_seeds_equal_the_walk(spark, seed):
     rng = random.Random(seed)
