@@ -35,7 +35,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: A longer phrase drops a candidate that it contains if it has this percentage of its count.
 COVERED = 100
 #: Positions after which a task closes its shards.
-SHARD = 1 << 22
+SHARD = 6 << 20
 #: Bytes of text split at once, and entries of bitmaps extended at once.
 SLICE, BATCH = 1 << 20, 1 << 18
 #: Rows of a table that is sent to every task; a larger one is joined by a shuffle.
@@ -232,11 +232,6 @@ def phrases_of(longest: int):
     return grow
 
 
-def semi(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join to a written table with unique keys, which is sent to every task if it is small."""
-    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on)
-
-
 def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all words and phrases of up to ``longest`` words that occur ``least`` times, and ``lang, n`` of all words.
 
@@ -247,11 +242,13 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest
     kept = scratch.table(shards(docs), **small)
     totals = kept.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
     each = kept.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("shard", "lang", "code", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    words = scratch.table(each.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least))
-    listed = semi(each, words, ["lang", "phrase"]).select("shard", "code", F.xxhash64("lang", "phrase").alias("h"))
+    # a word or pair has a row for each shard at most; sums beside these rows need no join of them
+    summed = lambda rows, *key: rows.withColumn("f", F.sum("c").over(Window.partitionBy(*key))).filter(F.col("f") >= least)
+    often = scratch.table(summed(each, "lang", "phrase"))
+    words = often.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
+    listed = often.select("shard", "code", F.xxhash64("lang", "phrase").alias("h"))
     together = lambda rows, run, schema: kept.groupBy("shard").cogroup(rows.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(run, schema)
-    # a pair has a row for each shard at most; sums beside the rows need no second table of them
-    pairs = together(listed, pairs_of, PAIRS).withColumn("f", F.sum("c").over(Window.partitionBy("key"))).filter(F.col("f") >= least)
+    pairs = summed(together(listed, pairs_of, PAIRS), "key")
     found = together(pairs.select("shard", "one", "two"), phrases_of(longest), "lang string, phrase string, c long")
     phrases = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
     return scratch.table(words.unionByName(phrases)), totals
