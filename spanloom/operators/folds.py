@@ -155,32 +155,42 @@ def _with_next(rows: Iterator[dict]) -> Iterator[tuple[dict, dict | None]]:
         yield held, None
 
 
-def rolling_captions(rows: Iterator[dict]) -> Iterator[dict]:
-    """Captions that repeat the end of the last kept one keep only their new words; they stretch it where nothing is new.
+def rolled(last: dict | None, row: dict) -> tuple[dict | None, dict | None]:
+    """The caption that is done once ``row`` has come, if any, and the open one: ``start, end, words``.
 
-    An overlap is the whole last caption, or three words or more.
+    A caption that repeats the end of the open one keeps only its new words, and stretches
+    that one; if nothing is new, it goes.  An overlap is the whole open caption, or three
+    words or more.
     """
+    words = str(row["text"] or "").split()
+    if not words:
+        return None, last
+    if last is None:
+        return None, {"start": row["start"], "end": row["end"], "words": words}
+    new = words
+    old, low = [w.lower() for w in last["words"]], [w.lower() for w in words]
+    sizes = [len(old)] if low[: len(old)] == old and (len(old) >= 2 or len(low) > 1 or low == old) else []
+    sizes += [n for n in range(min(len(old), len(low)), 2, -1) if old[-n:] == low[:n]]
+    if sizes:
+        new = words[sizes[0] :]
+        if last["end"] is not None and row["end"] is not None:
+            last = last | {"end": max(last["end"], row["end"])}
+    return (last, {"start": row["start"], "end": row["end"], "words": new}) if new else (None, last)
+
+
+def said(caption: dict) -> dict:
+    return {"start": caption["start"], "end": caption["end"], "text": " ".join(caption["words"])}
+
+
+def rolling_captions(rows: Iterator[dict]) -> Iterator[dict]:
+    """Captions without what they repeat of the one before: see ``rolled``."""
     last: dict | None = None
     for r in rows:
-        words = str(r["text"] or "").split()
-        if not words:
-            continue
-        new: list[str] | None = words
-        if last is not None:
-            old, low = [w.lower() for w in last["words"]], [w.lower() for w in words]
-            sizes = [len(old)] if low[: len(old)] == old and (len(old) >= 2 or len(low) > 1 or low == old) else []
-            sizes += [n for n in range(min(len(old), len(low)), 2, -1) if old[-n:] == low[:n]]
-            if sizes:
-                new = words[sizes[0] :]
-                if last["end"] is not None and r["end"] is not None:
-                    last["end"] = max(last["end"], r["end"])
-        if not new:
-            continue
-        if last is not None:
-            yield {"start": last["start"], "end": last["end"], "text": " ".join(last["words"])}
-        last = {"start": r["start"], "end": r["end"], "words": new}
+        done, last = rolled(last, r)
+        if done is not None:
+            yield said(done)
     if last is not None:
-        yield {"start": last["start"], "end": last["end"], "text": " ".join(last["words"])}
+        yield said(last)
 
 
 QA = "start double, end double, question_segment int, n_responses int, speaker_boundary boolean, basis string, confidence double"
