@@ -205,7 +205,23 @@ def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.selection_counts(primary, selection.select_and_rank(primary, fallback, expected, previous), expected)
 
 
-@query()
+@query(f"""WITH {CLIPS},
+b AS (SELECT doc_id, source_id, start, "end", potential AS s, CASE WHEN doc_id % 6 <> 0 THEN context END AS d FROM clips WHERE doc_id % 2 = 0 AND source_id IS NOT NULL AND trim(coalesce(text, '')) <> ''),
+r AS (SELECT CASE WHEN doc_id % 29 <> 0 THEN source_id END AS source_id, start, "end" FROM clips WHERE doc_id % 2 = 1 AND decision = 'approved'),
+free AS MATERIALIZED (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE coalesce(r.source_id, b.source_id) = b.source_id AND r.start < b."end" AND b.start < r."end"
+    AND (least(r."end", b."end") - greatest(r.start, b.start)) / least(r."end" - r.start, b."end" - b.start) >= 0.72)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(s, -1) DESC, coalesce(d, -1) DESC, doc_id) AS rn FROM free),
+near AS MATERIALIZED (
+  SELECT x.source_id, y.rn AS worse, list(x.rn) AS better FROM o x JOIN o y ON x.source_id = y.source_id AND x.rn < y.rn AND x.start < y."end" AND y.start < x."end"
+    AND (least(x."end", y."end") - greatest(x.start, y.start)) / least(x."end" - x.start, y."end" - y.start) >= 0.72 GROUP BY ALL),
+walk AS MATERIALIZED (
+  WITH RECURSIVE w(source_id, n, kept, took) AS (
+    SELECT DISTINCT source_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM o
+    UNION ALL SELECT o.source_id, o.rn, CASE WHEN len(list_intersect(kept, coalesce(better, CAST([] AS BIGINT[])))) = 0 THEN list_append(kept, o.rn) ELSE kept END, len(list_intersect(kept, coalesce(better, CAST([] AS BIGINT[])))) = 0
+    FROM w JOIN o ON o.source_id = w.source_id AND o.rn = w.n + 1 LEFT JOIN near ON near.source_id = o.source_id AND near.worse = o.rn)
+  SELECT source_id, n FROM w WHERE took)
+SELECT o.source_id, row_number() OVER (PARTITION BY o.source_id ORDER BY rn) AS place, doc_id, start, "end" FROM o JOIN walk ON walk.source_id = o.source_id AND walk.n = o.rn QUALIFY place <= 8""")
 def block_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.clips(spark, sf_dir)
     blocks = c.filter("doc_id % 2 = 0").select("doc_id", "source_id", "start", "end", "text", F.col("potential").alias("self_contained"), F.when(doc() % 6 != 0, F.col("context")).alias("density"))

@@ -167,8 +167,8 @@ walk AS MATERIALIZED (
   SELECT n FROM w WHERE took),
 m AS (SELECT worse, max(penalty) AS penalty FROM z JOIN walk ON walk.n = better GROUP BY worse)
 SELECT doc_id, source_id, CASE WHEN coalesce(penalty, 0) >= 35 THEN greatest(0, floor(score - penalty * 0.12)) ELSE score END AS score, round(coalesce(penalty, 0.0), 6) AS penalty FROM o JOIN walk ON walk.n = rn LEFT JOIN m ON worse = rn""")
-def diversity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of a source thinned by overlap and text."""
+def diversity_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of a source thinned by overlap and text alone, against clips of their own time."""
     c = views.clips(spark, sf_dir).withColumn("topic", F.lit(""))
     rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
     rows = rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
@@ -176,13 +176,57 @@ def diversity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.diversified(rows, pairs, "doc_id", "rank", "score").select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
 
 
-@query()
-def diversity_rank_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips thinned by the whole rule: text against all sources, overlap and topic within one."""
+def anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips.topics(views.clips(spark, sf_dir), "doc_id", F.lit("general"))
-    rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
+    start, end = (F.col(c).cast("double").alias(c) for c in ("start", "end"))
+    rows = c.select("doc_id", "source_id", start, end, "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
     rows = rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
-    return clips.diversified_anywhere(rows, "source_id", "doc_id", "rank", "score", ("decision",)).select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
+    out = clips.diversified_anywhere(rows, "source_id", "doc_id", "rank", "score", ("decision",))
+    return out.select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
+
+
+#: Every pair of clips from 35 on: text anywhere, overlap and topic within a source; then a walk in rank order.
+DIVERSITY = f"""WITH {CLIPS},
+o AS MATERIALIZED (
+  SELECT doc_id, source_id, start, "end", CAST(potential AS DOUBLE) AS score, list_distinct({WORDS.format(FOLD)}) AS w, {WORDS.format(FOLD)} AS said,
+    row_number() OVER (ORDER BY potential DESC, doc_id) AS rn
+  FROM clips),
+terms AS (
+  SELECT rn, term, count(*) AS n FROM (SELECT rn, unnest(said) AS term FROM o)
+  WHERE length(term) >= 4 AND NOT regexp_full_match(term, '\d+') GROUP BY ALL),
+topic AS (
+  SELECT rn, list_distinct(list_filter(string_split(array_to_string(list_sort(list(term)), '-'), '-'), lambda t: t <> '')) AS t
+  FROM (SELECT * FROM terms QUALIFY row_number() OVER (PARTITION BY rn ORDER BY n DESC, term) <= 3) GROUP BY rn),
+x AS MATERIALIZED (SELECT o.rn, source_id, start, "end", len(w) AS n, coalesce(t, CAST([] AS VARCHAR[])) AS t FROM o LEFT JOIN topic USING (rn)),
+words AS MATERIALIZED (SELECT rn, unnest(w) AS word FROM o),
+common AS (SELECT a.rn AS better, b.rn AS worse, count(*) AS c FROM words a JOIN words b ON a.word = b.word AND a.rn < b.rn GROUP BY ALL),
+by_text AS (
+  SELECT better, worse, c / (a.n + b.n - c) * 80.0 AS penalty FROM common JOIN x a ON a.rn = better JOIN x b ON b.rn = worse),
+by_time AS (
+  SELECT a.rn AS better, b.rn AS worse, (least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start) * 100.0 AS penalty
+  FROM x a JOIN x b ON a.source_id = b.source_id AND a.rn < b.rn AND a.start < b."end" AND b.start < a."end"),
+shared AS (
+  SELECT a.rn AS better, b.rn AS worse, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s
+  FROM x a JOIN x b ON a.source_id = b.source_id AND a.rn < b.rn AND len(a.t) > 0 AND len(b.t) > 0),
+by_topic AS (SELECT better, worse, least(1.0, s + CASE WHEN s >= 0.34 THEN 0.15 ELSE 0.0 END) * 48.0 AS penalty FROM shared),
+z AS MATERIALIZED (
+  SELECT better, worse, max(penalty) AS penalty FROM (FROM by_text UNION ALL FROM by_time UNION ALL FROM by_topic) WHERE penalty >= 35 GROUP BY ALL),
+r AS MATERIALIZED (
+  SELECT rn, coalesce(near, CAST([] AS BIGINT[])) AS near FROM o LEFT JOIN (SELECT worse, list(better) AS near FROM z WHERE penalty >= 70 GROUP BY worse) ON worse = rn),
+walk AS MATERIALIZED (
+  WITH RECURSIVE w(n, kept, took) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false
+    UNION ALL SELECT rn, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, rn) ELSE kept END, len(list_intersect(kept, near)) = 0 FROM w JOIN r ON rn = w.n + 1)
+  SELECT n FROM w WHERE took),
+m AS (SELECT worse, max(penalty) AS penalty FROM z JOIN walk ON walk.n = better GROUP BY worse)
+SELECT doc_id, source_id, CASE WHEN penalty >= 35 THEN greatest(0, floor(score - penalty * 0.12)) ELSE score END AS score, round(coalesce(penalty, 0.0), 6) AS penalty
+FROM o JOIN walk ON walk.n = rn LEFT JOIN m ON worse = rn"""
+
+
+@query(DIVERSITY)
+def diversity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips thinned by the whole rule: text against all sources, overlap and topic within one."""
+    return anywhere(spark, sf_dir)
 
 
 @query(f"""WITH {CHAPTERS}, s AS (SELECT conv_id, turn, start / 1000 AS a, "end" / 1000 AS b FROM segments WHERE "end" > start),

@@ -65,7 +65,8 @@ class KeyedTable:
     ``order`` decides which of two rows of a key is later; of equal ones the batch's
     stays.  Columns of ``first`` keep the value of the first row that had one, like an id
     or a time of insertion; of two rows in a batch the earlier one's.  With ``partial``,
-    null columns of a change leave the table's value as it is.  A null key is a key.
+    null columns of a change leave the table's value as it is, and a change that comes late
+    fills only what is null.  A null key is a key.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, order: str, buckets: int = 64, first: tuple[str, ...] = (), partial: bool = False, keep: int = 2):
