@@ -196,3 +196,36 @@ def editorial_key(path: Column, start: Column, end: Column, text: Column) -> Col
     """Identity of a passage: 32 hex digits of SHA-256 over its place and text."""
     number = lambda x: F.format_string("%.3f", x.cast("double"))
     return F.substring(F.sha2(F.concat_ws("|", F.lower(path), number(start), number(end), F.lower(collapsed(text))), 256), 1, 32)
+
+
+def balanced_lines(value: Column, most: int = 3, ideal: int = 22, least: int = 11) -> Column:
+    """A title's words in ``most`` lines of like length; three words or fewer are one line, none no line.
+
+    A line wraps before the word that takes it past the target, ``ideal`` characters or a
+    share of the whole and four more, whichever is less.  It doesn't where too few words
+    are left for the lines, and the last line holds all that is left.
+    """
+    most = max(1, most)
+    said = F.split(collapsed(value), " ")
+    share = F.greatest(F.lit(least), F.bround(F.length(collapsed(value)) / most))
+    target = F.greatest(F.lit(least), F.least(F.lit(ideal), share + 4))
+
+    def lines(found: Column) -> Column:
+        words, goal, n = found["words"], found["goal"], F.size(found["words"])
+        begin = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(-1).alias("length"))
+
+        def step(held: Column, word: Column) -> Column:
+            wider = held["length"] + 1 + word["length"]
+            full = (word["at"] > 0) & (wider > goal) & (F.size(held["starts"]) < most) & (n - word["at"] >= most + 1 - F.size(held["starts"]))
+            starts = F.when(full, F.concat(held["starts"], F.array(word["at"]))).otherwise(held["starts"])
+            return F.struct(starts.alias("starts"), F.when(full, word["length"]).otherwise(wider).alias("length"))
+
+        lengths = F.transform(words, lambda w, i: F.struct(F.length(w).alias("length"), i.alias("at")))
+        starts = F.aggregate(lengths, begin, step)["starts"]
+        cut = lambda at: F.transform(at, lambda s, k: F.array_join(F.slice(words, s + 1, F.coalesce(F.get(at, k + 1), n) - s), " "))
+        # held by one element, so that the fold runs once
+        return F.get(F.transform(F.array(starts), cut), F.lit(0))
+
+    held = F.array(F.struct(said.alias("words"), target.alias("goal")))
+    few = F.filter(F.array(collapsed(value)), lambda line: line != "")
+    return F.when(F.size(said) <= 3, few).otherwise(F.get(F.transform(held, lines), F.lit(0)))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import greedy
 from ..sources import snapshots
 from ..sources.keyed import Files, KeyedTable
@@ -83,3 +84,24 @@ def snapshot_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = greedy.cut(snapshots.read_snapshot(spark, path, schema, KIND, VERSION))
     Files(spark, path).delete(path)
     return out.select("editorial_key", "start_seconds", "end_seconds", "score", "action", "reason_code", "source_signature")
+
+
+@query(r"""WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS words FROM documents),
+g AS (SELECT doc_id, words, len(words) AS n, greatest(11, least(22, greatest(11, round_even(length(array_to_string(words, ' ')) / 3, 0)) + 4)) AS goal FROM t),
+w AS MATERIALIZED (SELECT doc_id, n, goal, unnest(range(n)) AS i, length(unnest(words)) AS size FROM g WHERE n > 3),
+f(doc_id, i, starts, size) AS (
+  SELECT doc_id, 0, [0], size FROM w WHERE i = 0
+  UNION ALL
+  SELECT w.doc_id, w.i, CASE WHEN wraps THEN list_append(starts, w.i) ELSE starts END, CASE WHEN wraps THEN w.size ELSE f.size + 1 + w.size END
+  FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1,
+    LATERAL (SELECT f.size + 1 + w.size > goal AND len(starts) < 3 AND n - w.i >= 4 - len(starts) AS wraps)),
+last AS (SELECT f.doc_id, starts FROM f JOIN (SELECT doc_id, n FROM w WHERE i = 0) USING (doc_id) WHERE i = n - 1)
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 3 THEN 1 ELSE len(starts) END AS INTEGER) AS n_lines,
+  sha256(CASE WHEN n <= 3 THEN array_to_string(words, ' ')
+    ELSE array_to_string(list_transform(range(len(starts)), lambda k: array_to_string(words[starts[k + 1] + 1 : coalesce(starts[k + 2], n)], ' ')), chr(10)) END) AS lines_sha
+FROM g LEFT JOIN last USING (doc_id)""")
+def balanced_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents broken into three lines as titles are."""
+    lines = views.table(spark, sf_dir, "documents").select("doc_id", text.balanced_lines(F.col("text")).alias("lines"))
+    return lines.select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha"))
