@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import signals
-from ..operators import clips, review, selection
+from ..operators import archive, clips, review, selection
 from . import views
 from .queries import FOLD, MINUTES, query
 from .views import CLIPS, intervals_sql
@@ -205,9 +205,10 @@ def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.selection_counts(primary, selection.select_and_rank(primary, fallback, expected, previous), expected)
 
 
-@query(f"""WITH {CLIPS},
+#: Blocks of even documents that no approved odd one covers, and no better seed.
+SEEDS = f"""WITH {CLIPS},
 b AS (SELECT doc_id, source_id, start, "end", potential AS s, CASE WHEN doc_id % 6 <> 0 THEN context END AS d FROM clips WHERE doc_id % 2 = 0 AND source_id IS NOT NULL AND trim(coalesce(text, '')) <> ''),
-r AS (SELECT CASE WHEN doc_id % 29 <> 0 THEN source_id END AS source_id, start, "end" FROM clips WHERE doc_id % 2 = 1 AND decision = 'approved'),
+r AS (SELECT doc_id AS id, CASE WHEN doc_id % 29 <> 0 THEN source_id END AS source_id, start, "end" FROM clips WHERE doc_id % 2 = 1 AND decision = 'approved'),
 free AS MATERIALIZED (
   SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE coalesce(r.source_id, b.source_id) = b.source_id AND r.start < b."end" AND b.start < r."end"
     AND (least(r."end", b."end") - greatest(r.start, b.start)) / least(r."end" - r.start, b."end" - b.start) >= 0.72)),
@@ -220,15 +221,50 @@ walk AS MATERIALIZED (
     SELECT DISTINCT source_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM o
     UNION ALL SELECT o.source_id, o.rn, CASE WHEN len(list_intersect(kept, coalesce(better, CAST([] AS BIGINT[])))) = 0 THEN list_append(kept, o.rn) ELSE kept END, len(list_intersect(kept, coalesce(better, CAST([] AS BIGINT[])))) = 0
     FROM w JOIN o ON o.source_id = w.source_id AND o.rn = w.n + 1 LEFT JOIN near ON near.source_id = o.source_id AND near.worse = o.rn)
-  SELECT source_id, n FROM w WHERE took)
-SELECT o.source_id, row_number() OVER (PARTITION BY o.source_id ORDER BY rn) AS place, doc_id, start, "end" FROM o JOIN walk ON walk.source_id = o.source_id AND walk.n = o.rn QUALIFY place <= 8""")
-def block_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+  SELECT source_id, n FROM w WHERE took),
+seeds AS (SELECT o.source_id, row_number() OVER (PARTITION BY o.source_id ORDER BY rn) AS place, doc_id, start, "end" FROM o JOIN walk ON walk.source_id = o.source_id AND walk.n = o.rn QUALIFY place <= 8)"""
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = views.clips(spark, sf_dir)
-    blocks = c.filter("doc_id % 2 = 0").select("doc_id", "source_id", "start", "end", "text", F.col("potential").alias("self_contained"), F.when(doc() % 6 != 0, F.col("context")).alias("density"))
-    rows = c.filter("doc_id % 2 = 1 and decision = 'approved'").select(F.when(doc() % 29 != 0, F.col("source_id")).alias("source_id"), "start", "end")
+    density = F.when(doc() % 6 != 0, F.col("context")).alias("density")
+    blocks = c.filter("doc_id % 2 = 0").select("doc_id", "source_id", "start", "end", "text", F.col("potential").alias("self_contained"), density)
+    own = F.when(doc() % 29 != 0, F.col("source_id")).alias("source_id")
+    return c.filter("doc_id % 2 = 1 and decision = 'approved'").select(own, "start", "end", doc().alias("id"), "text"), blocks
+
+
+@query(f"{SEEDS} SELECT * FROM seeds")
+def block_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, blocks = _archive(spark, sf_dir)
     return selection.block_seeds(rows, blocks, "source_id", "doc_id").select("source_id", "place", "doc_id", "start", "end")
 
 
+@query(f"""{SEEDS}, t AS (SELECT DISTINCT source_id FROM r WHERE source_id IS NOT NULL)
+SELECT coalesce(source_id, '') AS source_id, id, CAST(NULL AS VARCHAR) AS block_id, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", false AS seed FROM r
+UNION ALL SELECT source_id, NULL, CAST(doc_id AS VARCHAR), start, "end", true FROM seeds JOIN t USING (source_id)""")
+def seeded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved clips and the seeds of their sources from an archive of other ones."""
+    rows, blocks = _archive(spark, sf_dir)
+    times = {c: F.col(c).cast("double") for c in ("start", "end")}
+    known = blocks.withColumns(times | {"block_id": doc().cast("string"), "highlights": F.lit(""), "title": F.lit(""), "summary": F.col("text")})
+    out = archive.with_seeds(rows.withColumns(times), known)
+    return out.select(F.coalesce("source_id", F.lit("")).alias("source_id"), "id", "block_id", "start", "end", "seed")
+
+
+@query()
+def archive_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd documents against even ones of their source as blocks of an archive."""
+    c = views.clips(spark, sf_dir).withColumns({"account": F.col("family"), "start": F.col("start").cast("double"), "end": F.col("end").cast("double")})
+    speaking = F.when(doc() % 3 == 0, True).when(doc() % 3 == 1, False)
+    blocks = c.filter("doc_id % 2 = 0").select(
+        "account", doc().cast("int").alias("place"), doc().cast("string").alias("block_id"), "source_id", "start", "end", F.lit("").alias("title"), F.col("text").alias("summary"), F.lit("").alias("highlights"),
+        F.col("context").cast("double").alias("density"), F.col("potential").cast("double").alias("self_contained"), F.when(doc() % 10 != 0, archive.SPEECH).otherwise("").alias("content_class"), speaking.alias("speaking"),
+        (doc() % 11 == 0).alias("needs_context"), F.array().cast("array<string>").alias("warnings"), F.lit("qa").alias("trust_tier"),
+    )
+    rows = c.filter("doc_id % 2 = 1").select("doc_id", "account", "source_id", "start", "end", "text")
+    return archive.aligned(rows, blocks, "doc_id").select("doc_id", "alignment.*")
+
+
 # Review data
 
 
