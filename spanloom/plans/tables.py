@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import greedy
-from ..sources import snapshots
+from ..sources import runs, snapshots
 from ..sources.keyed import Files, KeyedTable
 from . import views
 from .queries import query
@@ -105,3 +105,32 @@ def balanced_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents broken into three lines as titles are."""
     lines = views.table(spark, sf_dir, "documents").select("doc_id", text.balanced_lines(F.col("text")).alias("lines"))
     return lines.select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha"))
+
+
+@query(f"""WITH {CLIPS}, c AS (
+  SELECT *, coalesce(source_id, 'none') AS run, CASE WHEN doc_id % 5 = 0 THEN "end" ELSE start END AS a, CASE WHEN doc_id % 5 = 0 THEN start ELSE "end" END AS b FROM clips)
+SELECT run AS run_id, CASE WHEN doc_id % 7 = 0 THEN 'interval_' || doc_id || '_' || printf('%.3f', CAST(start AS DOUBLE)) || '_' || printf('%.3f', CAST("end" AS DOUBLE)) ELSE 'clip ' || doc_id END AS clip_id,
+  CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", CAST("end" - start AS DOUBLE) AS duration, least(100.0, round(potential * 1.5, 3)) AS score, family AS editorial_family,
+  doc_id % 4 = 0 OR doc_id % 6 = 1 AS review_required, CASE WHEN doc_id % 9 = 0 THEN false ELSE context >= 60 END AS context_gate, CAST(NULL AS VARCHAR) AS reason FROM c
+UNION ALL SELECT run, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 20 = 0 THEN 'corrupt' ELSE 'schema' END FROM c WHERE doc_id % 10 = 0""")
+def run_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each source as a run, written, with lines among them that are cut or of another schema, and read back."""
+    k = F.col("doc_id")
+    c = views.clips(spark, sf_dir).withColumn("run_id", F.coalesce("source_id", F.lit("none")))
+    turned = k % 5 == 0
+    raw = F.to_json(F.struct(
+        F.when(k % 7 != 0, F.concat(F.lit("clip "), k.cast("string"))).alias("clip_id"), F.when(turned, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(turned, F.col("start")).otherwise(F.col("end")).alias("end"),
+        (F.col("potential") * 1.5).alias("total_score"), "family", (k % 4 == 0).alias("review_required"), F.struct(F.when(k % 6 == 1, "weak").otherwise("pass").alias("status"), F.when(k % 9 == 0, False).alias("context_gate")).alias("technical_gate"), F.col("context").alias("context_quality"),
+    ))
+    made = c.select("run_id", "source_id", F.lit("off").alias("mode"), F.lit("local").alias("backend"), F.lit(False).alias("seeds_enabled"), F.lit("2026-01-01").alias("generated_at"), runs.candidate(F.try_parse_json(raw), k).alias("candidate"))
+    path = folder(spark, "runs")
+    runs.write_runs(made, path)
+    cut = F.when(k % 20 == 0, F.substring(raw, 1, 20)).otherwise(raw)
+    c.filter("doc_id % 10 = 0").select(cut.alias("value"), F.col("run_id").alias("run")).write.mode("append").partitionBy("run").text(path)
+    kept, rejected = runs.read_runs(spark, path)
+    names = ("clip_id", "start", "end", "duration", "score", "editorial_family", "review_required", "context_gate")
+    good = kept.select("run_id", *(f"candidate.{n}" for n in names), F.lit(None).cast("string").alias("reason"))
+    bad = rejected.select(F.col("run").alias("run_id"), *(F.lit(None).cast(good.schema[n].dataType).alias(n) for n in names), "reason")
+    out = greedy.cut(good.union(bad))
+    Files(spark, path).delete(path)
+    return out
