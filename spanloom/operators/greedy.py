@@ -102,12 +102,20 @@ def greedy_matches(pairs: DataFrame, left: str, right: str, order: list) -> Data
 def capped_pick(rows: DataFrame, rank: str, source: str, family: str, most: int = 50, per_source: int = 8, per_family: int = 14, target: int = 39) -> DataFrame:
     """Selected rows, in rank order under caps for sources and families; families' overflow comes back if the target is missed.
 
+    ``rank`` is unique: a number, or a struct whose fields are compared one after the other.
+
     The walk needs the next ``most`` rows of what isn't full yet, as often as a source or
     a family gets full: at most ``most / per_source + most / per_family`` times, and in
     the second pass ``most / per_source`` times.  So Spark finds each such batch by a top-k
     over all rows, and the driver never sees more than ``most`` rows at once, however many
     sources and families there are.
     """
+    kind = rows.schema[rank].dataType
+
+    def literal(value) -> Column:
+        """A rank as it was collected, which can be a struct."""
+        return (F.struct(*(F.lit(v).alias(n) for n, v in zip(kind.names, value))) if isinstance(value, tuple) else F.lit(value)).cast(kind)
+
     slim = cut(rows.select(F.col(rank).alias("rank"), F.col(source).alias("source"), F.col(family).alias("family")))
     chosen: list = []
     counts: tuple[dict, dict] = {}, {}
@@ -125,7 +133,7 @@ def capped_pick(rows: DataFrame, rank: str, source: str, family: str, most: int
         while len(chosen) < most:
             rest = pool.filter(~among("source", full(0, per_source)))
             rest = rest.filter(~among("family", full(1, per_family))) if families_capped else rest
-            batch = (rest if last is None else rest.filter(F.col("rank") > F.lit(last))).orderBy("rank").limit(most).collect()
+            batch = (rest if last is None else rest.filter(F.col("rank") > literal(last))).orderBy("rank").limit(most).collect()
             if not batch:
                 return
             for row in batch:
@@ -141,5 +149,5 @@ def capped_pick(rows: DataFrame, rank: str, source: str, family: str, most: int
     walk(slim, True)
     if len(chosen) < min(target, most):
         over = full(1, per_family)
-        walk(slim.filter(among("family", over) & ~F.col("rank").isin(chosen)), False)
-    return rows.filter(F.col(rank).isin(chosen)) if chosen else rows.limit(0)
+        walk(slim.filter(among("family", over) & ~F.col("rank").isin([literal(v) for v in chosen])), False)
+    return rows.filter(F.col(rank).isin([literal(v) for v in chosen])) if chosen else rows.limit(0)

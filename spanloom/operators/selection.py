@@ -73,8 +73,8 @@ def rank_portfolio(
 ) -> DataFrame:
     """The selected clips with ``rank`` from 1: gated, without near repetitions, under caps for sources and families.
 
-    ``clips`` has ``id, source_id, text, potential, context, complete, duration`` (whole
-    numbers; scores 0..100, seconds under 1000) and the family's column.  With
+    ``clips`` has ``id, source_id, text, potential, context, complete, duration`` (scores
+    0..100) and the family's column.  With
     ``favorability``, a struct column of ``available, signal, review``, the potential
     is lifted by 2 points at most before clips are ranked.
     """
@@ -82,10 +82,9 @@ def rank_portfolio(
         signal = F.col(favorability)
         clips = clips.withColumn("potential", signals.selection_score(F.col("potential"), signal["available"], signal["signal"], signal["review"]))
     rows = without_repetitions(gates(clips, least).filter("size(reasons) = 0").drop("reasons"), near)
-    # a rank as one number, in hundredths of a point: decimals keep it exact
-    points = lambda c: F.round((100 - F.col(c)) * 100).cast("decimal(38,0)")
-    rank = ((points("potential") * 10_001 + points("context")) * 1000 + F.col("duration").cast("decimal(38,0)")) * 10**12 + F.col("id").cast("decimal(38,0)")
-    picked = greedy.capped_pick(rows.withColumn("__rank", rank.cast("decimal(38,0)")), "__rank", "source_id", family, most, per_source, per_family, target)
+    points = lambda c: F.round((100 - F.col(c)) * 100).cast("decimal(38,0)").alias(c)  # noqa: E731  hundredths of a point
+    rank = F.struct(points("potential"), points("context"), "duration", "id")
+    picked = greedy.capped_pick(rows.withColumn("__rank", rank), "__rank", "source_id", family, most, per_source, per_family, target)
     return picked.withColumn("rank", F.row_number().over(Window.orderBy("__rank"))).drop("__rank")  # ``most`` rows
 
 

@@ -193,7 +193,7 @@ o AS MATERIALIZED (
   FROM clips),
 terms AS (
   SELECT rn, term, count(*) AS n FROM (SELECT rn, unnest(said) AS term FROM o)
-  WHERE length(term) >= 4 AND NOT regexp_full_match(term, '\d+') GROUP BY ALL),
+  WHERE length(term) >= 4 AND NOT regexp_full_match(term, '\\d+') GROUP BY ALL),
 topic AS (
   SELECT rn, list_distinct(list_filter(string_split(array_to_string(list_sort(list(term)), '-'), '-'), lambda t: t <> '')) AS t
   FROM (SELECT * FROM terms QUALIFY row_number() OVER (PARTITION BY rn ORDER BY n DESC, term) <= 3) GROUP BY rn),

@@ -191,6 +191,13 @@ def test_portfolio_with_favorability(spark):
     assert [out[i][0] for i in (0, 2, 1, 3, 4, 5)] == [1, 2, 3, 4, 5, 6]
 
 
+def test_portfolio_of_large_ids_and_long_clips(spark):
+    rows = [(5 * 10**12, "s", "f", "one text of words", 70, 80, 80, 10), (3, "t", "f", "another one of them", 70, 80, 80, 11), (4, "u", "f", "the third says more", 70, 81, 80, 5000), (2, "v", "g", "fourth has its own", 70, 80, 80, 5000)]
+    table = spark.createDataFrame(rows, "id long, source_id string, family string, text string, potential long, context long, complete long, duration long")
+    out = selection.rank_portfolio(table).orderBy("rank").collect()
+    assert [r["id"] for r in out] == [4, 5 * 10**12, 3, 2]
+
+
 def test_signals_of_odd_values(spark):
     none = F.lit(None)
     assert one(spark, signals.speaker_boundary(none.cast("boolean"), none.cast("double"), none.cast("boolean")), signals.hook_proximity(none.cast("double"), F.lit(1.0)), signals.hook_proximity(F.lit(90.0), F.lit(6.0))) == (50.0, 50.0, 61.0)
