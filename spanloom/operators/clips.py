@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 from pyspark.sql.window import Window
 
 from ..functions import text
-from . import greedy, intervals, similarity
+from . import folds, greedy, intervals, similarity
 
 ENDS = ("start", "end", "o_start", "o_end")
 
@@ -166,6 +166,23 @@ def hook_candidates(segments: DataFrame, key: str, rules: tuple[tuple[str, str],
     return kept.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= most).drop("__n", "kept", "rank")
 
 
+def bridged_chapters(segments: DataFrame, bridges: DataFrame, key: str, id_col: str, width: float = 60.0, **limits: float) -> DataFrame:
+    """Chapters of ``folds.chapters`` that no bridge (``key, start, end``) is cut by, with ``has_qa_bridge`` where one overlaps.
+
+    Which segments begin or end in a bridge, and which chapters have one, are range joins,
+    so the fold reads two flags a row and holds no bridge.
+    """
+    slim = bridges.select(key, "start", "end")
+    ends = segments.select(key, id_col, F.explode(F.array(F.struct(F.lit(True).alias("last"), F.col("end").alias("at")), F.struct(F.lit(False).alias("last"), F.col("start").alias("at")))).alias("p"))
+    points = ends.select(F.col(key), id_col, "p.last", "p.at").filter("at is not null")
+    held = intervals.points_within(slim, points, [key], "at", width).groupBy(key, id_col).agg(F.bool_or("last").alias("end_inside"), F.bool_or(~F.col("last")).alias("start_inside"))
+    rows = segments.join(held, [key, id_col], "left")
+    made = folds.fold(rows, key, ["start", id_col], folds.chapters(**limits), folds.CHAPTER).drop("has_qa_bridge")
+    met = intervals.overlap_join(made.select(key, "index", "start", "end"), _aliased(slim, [key]), [key], ENDS, width)
+    some = met.select(key, "index").distinct().withColumn("has_qa_bridge", F.lit(True))
+    return made.join(some, [key, "index"], "left").withColumn("has_qa_bridge", F.coalesce("has_qa_bridge", F.lit(False)))
+
+
 # Diversity and repetition
 
 

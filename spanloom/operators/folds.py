@@ -117,8 +117,9 @@ def blocks(longest: float = 30.0, shortest: float = 18.0) -> Callable[[Iterator[
 def chapters(target: float = 85.0, longest: float = 180.0, hard_gap: float = 8.0, soft_gap: float = 1.0, most: int | None = None) -> Callable[[Iterator[dict]], Iterator[dict]]:
     """Ends a chapter at a long gap, past the target at a natural end, or at the longest length; never inside a bridge.
 
-    Rows may carry ``bridges``: the (start, end) of question-answer bridges of the source.
-    All chapters are given, or the first ``most``.
+    Rows may say by ``end_inside`` and ``start_inside`` whether their ends lie in a bridge of
+    question and answer (``clips.bridged_chapters`` finds this by joins), or the first one
+    carries all ``bridges`` of the source.  All chapters are given, or the first ``most``.
     """
 
     def step(rows: Iterator[dict]) -> Iterator[dict]:
@@ -130,7 +131,7 @@ def chapters(target: float = 85.0, longest: float = 180.0, hard_gap: float = 8.0
                 bridges = [(b["start"], b["end"]) for b in r["bridges"]]
             start = r["start"] if start is None else start
             ends = after is None
-            if after is not None and not inside(r["end"]) and not inside(after["start"]):
+            if after is not None and not (r.get("end_inside") or after.get("start_inside") or inside(r["end"]) or inside(after["start"])):
                 gap, length = max(0.0, after["start"] - r["end"]), r["end"] - start
                 turn = bool(r.get("speaker")) and bool(after.get("speaker")) and r["speaker"] != after["speaker"]
                 ends = gap >= hard_gap or length >= longest or (length >= target and (_stopped(str(r["text"] or "")) or gap >= soft_gap or turn))

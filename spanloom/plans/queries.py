@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coerce, scoring, text, timecode
-from ..operators import feedback, folds, greedy, intervals, performance, search, selection, similarity
+from ..operators import clips, feedback, folds, greedy, intervals, performance, search, selection, similarity
 from . import views
 from .views import CLIPS, NORMALIZED, SEGMENTS, SNAPSHOTS, intervals_sql
 
@@ -720,6 +720,4 @@ def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {CHAPTERS} SELECT conv_id, index, a AS start, b AS "end", segment_start, segment_end, has_qa_bridge FROM chapters')
 def build_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters that no question-answer bridge is cut by."""
-    bridges = qa_candidates(spark, sf_dir).groupBy("conv_id").agg(F.collect_list(F.struct("start", "end")).alias("bridges"))
-    s = _seconds(spark, sf_dir).join(bridges, "conv_id", "left")
-    return folds.fold(s, "conv_id", ["start", "turn"], folds.chapters(), folds.CHAPTER)
+    return clips.bridged_chapters(_seconds(spark, sf_dir), qa_candidates(spark, sf_dir), "conv_id", "turn")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import coerce, scoring, text, timecode
-from spanloom.operators import feedback, folds, performance, selection, similarity
+from spanloom.operators import clips, feedback, folds, performance, selection, similarity
 from spanloom.plans import queries
 from spanloom.plans import reports  # noqa: F401
 
@@ -122,6 +122,25 @@ def test_folds(spark):
     assert folds.fold(table.limit(0), "id", ["start"], folds.sentences(), folds.SENTENCE).count() == 0
 
 
+def test_chapters_with_bridges_by_joins(spark):
+    rng = random.Random(9)
+    rows, bridges = [], []
+    for s in "abcd":
+        at = 0.0
+        for i in range(60):
+            at += rng.choice((0.0, 0.5, 2.0, 9.0)) if i else 0.0
+            rows.append((s, i, at, at + rng.choice((3.0, 12.0, 40.0)), rng.choice(("Text.", "text")), rng.choice(("x", "y", None))))
+            at = rows[-1][3]
+        bridges += [(s, a, a + rng.choice((5.0, 90.0))) for a in rng.sample([r[2] for r in rows if r[0] == s], 0 if s == "d" else 8)]
+    table = spark.createDataFrame(rows, "s string, i long, start double, end double, text string, speaker string")
+    held = spark.createDataFrame(bridges, "s string, start double, end double")
+    each = held.groupBy("s").agg(F.collect_list(F.struct("start", "end")).alias("bridges"))
+    want = folds.fold(table.join(each, "s", "left"), "s", ["start", "i"], folds.chapters(), folds.CHAPTER)
+    out = clips.bridged_chapters(table, held, "s", "i").select(want.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.filter("has_qa_bridge").count() > 3
+    assert clips.bridged_chapters(table, held.limit(0), "s", "i").filter("has_qa_bridge").count() == 0
+
+
 def test_portfolio_equals_the_walk(spark):
     sf = "/root/testdata/sf0.01"
     rows = selection.gates(queries.views.clips(spark, sf)).filter("size(reasons) = 0").select("doc_id", "source_id", "family", "text", "potential", "context", "duration").collect()
