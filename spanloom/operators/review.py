@@ -57,6 +57,7 @@ def allowed(raw: Column, fields: dict[str, tuple]) -> Column:
     return F.struct(*(value(name, *rule).alias(name) for name, rule in fields.items()))
 
 
+# Names of stored fields, with what they may hold.
 DEDUP_CONTEXT = {
     "question_answer_complete": ("flag",), "payoff_complete": ("flag",), "qa_bridge": ("flag",), "closure_type": ("text", 64), "editorial_type": ("text", 64), "chapter_primary_id": ("whole", 0, 1_000_000),
 }

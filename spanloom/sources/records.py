@@ -13,6 +13,7 @@ REVIEW_COLUMNS = (
     "clip_id", "editorial_key", "label", "decision", "review_status", "action", "duration_sec", "short_duration", "clip_duration", "duration", "format_id", "format", "visual_format", "editorial_family", "family", "hook_family", "hook",
     "headline_sanitized", "headline", "artwork_text", "title", "opening_pattern", "has_qa_bridge", "rejection_reason", "topic",
 )
+# Names under which lists stand in files of others.
 ENVELOPES = ("results", "rows", "items", "mentions", "data")
 PROFILE_LISTS = {"acervo_blocks": "archive_block", "blocks": "archive_block", "acervo_pauta": "agenda", "pauta_candidates": "agenda"}
 
@@ -157,12 +158,13 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_pace(lines: DataFrame, pattern: str = r"\[(\d+):(\d+):(\d+)\].*?(\d+) segments") -> DataFrame:
-    """Seconds for each new segment from log lines ``line, value`` that state the time and a count."""
+    """Seconds for each new segment from log lines ``line, value`` that state the time and a count, in each ``file`` if they have one."""
     part = lambda i: F.regexp_extract("value", pattern, i).cast("long")
-    found = lines.filter(F.col("value").rlike(pattern)).select("line", (part(1) * 3600 + part(2) * 60 + part(3)).alias("at"), part(4).alias("n"))
-    w = Window.orderBy("line")
+    files = [c for c in ("file",) if c in lines.columns]
+    found = lines.filter(F.col("value").rlike(pattern)).select(*files, "line", (part(1) * 3600 + part(2) * 60 + part(3)).alias("at"), part(4).alias("n"))
+    w = Window.partitionBy(*files).orderBy("line")
     steps = found.withColumns({"d_at": F.col("at") - F.lag("at").over(w), "d_n": F.col("n") - F.lag("n").over(w)}).filter("d_n > 0")
-    return steps.select("line", "d_at", "d_n", (F.col("d_at") / F.col("d_n")).alias("pace"))
+    return steps.select(*files, "line", "d_at", "d_n", (F.col("d_at") / F.col("d_n")).alias("pace"))
 
 
 def tolerant_json(raw: Column) -> Column:

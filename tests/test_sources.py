@@ -99,6 +99,8 @@ def test_profile_manifest_catalog_log(spark, tmp_path):
     assert [r["rate"] for r in records.catalog(spark, str(tmp_path / "c.csv")).orderBy("profile").collect()] == [0.1, None]
     log = spark.createDataFrame([(1, "[00:00:10] 5 segments"), (2, "noise"), (3, "[00:00:20] 9 segments")], "line long, value string")
     assert [r["pace"] for r in records.log_pace(log).collect()] == [2.5]
+    both = log.withColumn("file", F.lit("a")).union(log.withColumn("file", F.lit("b")))
+    assert sorted((r["file"], r["pace"]) for r in records.log_pace(both).collect()) == [("a", 2.5), ("b", 2.5)]
     raw = spark.createDataFrame([("```json\n{“a”: [1, 2,],}\n```",), ("nothing",)], "raw string")
     assert [r[0] for r in raw.select(F.to_json(records.tolerant_json(F.col("raw")))).collect()] == ['{"a":[1,2]}', None]
 
