@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -121,10 +121,25 @@ def _parsed(data: bytes) -> tuple:
     return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, number(fields.get("WARC-Refers-To")), size, stated, payload if kind == "response" else None
 
 
-def records_in(stream, start: int, end: int, chunk: int = CHUNK, step: int = 8192) -> Iterator[bytes]:
-    """Decoded records whose member starts in [start, end) of a seekable stream."""
+def _head(data: bytes) -> bytes:
+    """The first bytes that a member decodes to, as far as it can be decoded."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 7)
+    except zlib.error:
+        return b""
+
+
+def records_in(stream, start: int, end: int, chunk: int = CHUNK, step: int = 8192, damaged: Callable[[int], None] | None = None) -> Iterator[bytes]:
+    """Decoded records whose member starts in [start, end) of a seekable stream.
+
+    A member that breaks or ends too early is a lost record if its decoded head is a WARC
+    record's, and so is whatever else follows a record and isn't one: ``damaged`` gets its
+    offset, and without it an error is raised.  Bytes before the first record of a range
+    that look like no head are not taken for one.
+    """
     stream.seek(start)
     held, base, pos = b"", start, 0  # held: bytes from offset ``base`` on; before ``pos`` they are done with
+    after: int | None = None  # where a record has just ended, and so the next one starts
 
     def more() -> bool:
         nonlocal held, base, pos
@@ -132,21 +147,31 @@ def records_in(stream, start: int, end: int, chunk: int = CHUNK, step: int = 819
         held, base, pos = held[pos:] + got, base + pos, 0
         return bool(got)
 
+    def lost(at: int) -> None:
+        if damaged is None:
+            raise ValueError(f"the record at byte {at} is cut or damaged")
+        damaged(at)
+
     while base + pos < end:
         found = held.find(MAGIC, pos)
         if found < 0:
             pos = max(pos, len(held) - len(MAGIC) + 1)
             if not more():
+                if after is not None and base + len(held) > after:
+                    lost(after)
                 return
             continue
         pos = found
+        if after is not None and base + pos > after:
+            lost(after)
+            after = None
         if base + pos >= end:
             return
-        decoder, out, used, head = zlib.decompressobj(31), [], 0, b""
-        whole = True
+        decoder, out, used = zlib.decompressobj(31), [], 0
+        whole, cut = True, False
         while not decoder.eof:
             if pos + used == len(held) and not more():
-                whole = False
+                whole, cut = False, True
                 break
             piece = held[pos + used : pos + used + step]
             try:
@@ -155,23 +180,28 @@ def records_in(stream, start: int, end: int, chunk: int = CHUNK, step: int = 819
                 whole = False
                 break
             used += len(piece)
-            if len(head) < 7:
-                head += out[-1][:7]
-                if not b"WARC/1."[: len(head)] == head[:7]:
-                    whole = False
-                    break
-        if whole and head[:7] == b"WARC/1.":
+            if used == len(piece) and not b"WARC/1.".startswith(out[0][:7]):
+                whole = False
+                break
+        head = b"".join(out[:8])[:7] or _head(held[pos : pos + step])
+        if whole and head == b"WARC/1.":
             yield b"".join(out)
             pos += used - len(decoder.unused_data)
-        else:
-            pos += 1
+            after = base + pos
+            continue
+        # a head that is too short to tell is a record's if the file ends in it
+        if base + pos == after or head == b"WARC/1." or (cut and b"WARC/1.".startswith(head)):
+            lost(base + pos)
+        pos, after = pos + 1, None
 
 
-def read_archives(archives: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, split: int = SPLIT, payload: bool = True, keep_damaged: bool = False) -> DataFrame:
     """The records of ``path, bytes``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     ``payload_bytes`` and the digest are of the full payload for revisits too;
-    their payload is null, as are all without ``payload``.  ``archives`` is read
+    their payload is null, as are all without ``payload``.  A record that is cut or damaged
+    is an error, or with ``keep_damaged`` a row of type ``damaged`` and nulls, whose
+    payload_bytes is its offset; records after it are read.  ``archives`` is read
     twice, first to count the ranges, as a stated number of partitions isn't coalesced:
     each range is a task, up to READERS of them.
     """
@@ -186,14 +216,16 @@ def read_archives(archives: DataFrame, split: int = SPLIT, payload: bool = True)
         for batch in batches:
             for name, start in zip(batch["path"], batch["start"]):
                 fs, path = pafs.FileSystem.from_uri(name)
+                broken: list[int] = []
                 with fs.open_input_file(path) as stream:
-                    for data in records_in(stream, int(start), int(start) + split):
+                    for data in records_in(stream, int(start), int(start) + split, damaged=broken.append if keep_damaged else None):
                         row = _parsed(data)
                         rows.append(row if payload else (*row[:-1], None))
                         held += len(data) if payload else 256
                         if held > 8 << 20:
                             yield frame()
                             rows, held = [], 0
+                rows += [(None, None, "damaged", None, offset, None, None) for offset in broken]
         if rows:
             yield frame()
 

@@ -38,7 +38,31 @@ def test_false_magic_and_cut_members():
     other = zlib.compressobj(6, zlib.DEFLATED, 31)
     noise = other.compress(b"not a record") + other.flush()
     data = warc.MAGIC + b"junk" + noise + good + good[: len(good) // 2]
-    assert [warc._parsed(r)[6] for r in warc.records_in(io.BytesIO(data), 0, len(data))] == [b"hello"]
+    lost: list[int] = []
+    assert [warc._parsed(r)[6] for r in warc.records_in(io.BytesIO(data), 0, len(data), damaged=lost.append)] == [b"hello"]
+    assert lost == [len(data) - len(good) // 2]  # half a record is lost, and neither junk nor noise is one
+    whole = data[: -(len(good) // 2)]
+    assert [warc._parsed(r)[6] for r in warc.records_in(io.BytesIO(whole), 0, len(whole))] == [b"hello"]
+
+
+def test_damaged_records_are_errors_or_rows(spark, tmp_path):
+    each = [warc.record(i, f"http://a/{i}", b"some text " * 50 + bytes([i]), hashlib.sha1(b"some text " * 50 + bytes([i])).hexdigest(), None) for i in range(3)]
+    starts = [0, len(each[0]), len(each[0]) + len(each[1])]
+    whole = b"".join(each)
+    flipped = bytearray(whole)
+    flipped[starts[1] + len(each[1]) // 2] ^= 0xFF
+    for name, data, good, lost in (("whole", whole, [0, 1, 2], []), ("cut", whole[:-20], [0, 1], [starts[2]]), ("early", whole[: starts[2] + 11], [0, 1], [starts[2]]), ("flipped", bytes(flipped), [0, 2], [starts[1]])):
+        path = f"{tmp_path}/{name}.warc.gz"
+        with open(path, "wb") as out:
+            out.write(data)
+        archives = spark.createDataFrame([(f"file://{path}", len(data))], "path string, bytes long")
+        for split in (warc.SPLIT, 61):
+            rows = warc.read_archives(archives, split=split, keep_damaged=True).collect()
+            assert sorted(r["page_id"] for r in rows if r["record_type"] != "damaged") == good, name
+            assert [r["payload_bytes"] for r in rows if r["record_type"] == "damaged"] == lost, name
+        if lost:
+            with pytest.raises(Exception, match="cut or damaged"):
+                warc.read_archives(archives).collect()
 
 
 def test_archives_round_trip(spark):
