@@ -110,7 +110,7 @@ def balanced_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CLIPS}, c AS (
   SELECT *, coalesce(source_id, 'none') AS run, CASE WHEN doc_id % 5 = 0 THEN "end" ELSE start END AS a, CASE WHEN doc_id % 5 = 0 THEN start ELSE "end" END AS b FROM clips)
 SELECT run AS run_id, CASE WHEN doc_id % 7 = 0 THEN 'interval_' || doc_id || '_' || printf('%.3f', CAST(start AS DOUBLE)) || '_' || printf('%.3f', CAST("end" AS DOUBLE)) ELSE 'clip ' || doc_id END AS clip_id,
-  CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", CAST("end" - start AS DOUBLE) AS duration, least(100.0, round(potential * 1.5, 3)) AS score, family AS editorial_family,
+  CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", CAST("end" - start AS DOUBLE) AS duration, CAST(least(100.0, round(potential * 1.5, 3)) AS DOUBLE) AS score, family AS editorial_family,
   doc_id % 4 = 0 OR doc_id % 6 = 1 AS review_required, CASE WHEN doc_id % 9 = 0 THEN false ELSE context >= 60 END AS context_gate, CAST(NULL AS VARCHAR) AS reason FROM c
 UNION ALL SELECT run, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 20 = 0 THEN 'corrupt' ELSE 'schema' END FROM c WHERE doc_id % 10 = 0""")
 def run_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
