@@ -104,6 +104,26 @@ def test_jaccard_pairs_equal_brute_force(spark):
         assert set(found) == expected and len(found) == len(expected)
 
 
+def test_near_sets_meet_by_equal_parts(spark):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(150):  # all have most of their words in common with all others, none a rare one of its own
+        base = set(rng.sample(common, rng.choice((2, 7, 60, 110))))
+        rows.append((10 * i, sorted(base)))
+        for k in range(rng.randrange(4)):
+            rows.append((10 * i + k + 1, sorted((base | {rng.choice(common)}) - set(rng.sample(sorted(base), min(len(base) - 1, k))))))
+    sets = {i: set(t) for i, t in rows}
+    table = spark.createDataFrame(rows, "id long, t array<string>")
+    for threshold in (0.8, 0.86, 0.9):
+        reps = [r["id"] for r in similarity.jaccard_classes(table, "id", "t").filter("id = class_id").collect()]
+        expected = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+        found = [(r["left"], r["right"]) for r in similarity.jaccard_pairs(table, "id", "t", threshold).collect()]
+        assert set(found) == expected and len(found) == len(expected) > 50
+        met = similarity._meeting_by_parts(table, "id", "t", threshold).count()
+        assert met < len(reps) ** 2 / 20  # by a prefix of rare words nearly all of them met
+
+
 def test_folds(spark):
     rows = [("s", 0.0, 4.0, "What is the plan for the city?", "a"), ("s", 4.2, 9.0, "We will build", "b"), ("s", 9.1, 14.0, "many schools in every quarter.", "b"), ("s", 16.0, 30.0, "And then", "b"), ("s", -1.0, 3.0, "bad", "b"), ("s", 30.0, 30.0, "bad", "b")]
     table = spark.createDataFrame(rows, "id string, start double, end double, text string, speaker string")
