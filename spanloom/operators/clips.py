@@ -216,6 +216,57 @@ def diversified(rows: DataFrame, pairs: DataFrame, id_col: str, rank: str, score
     return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
 
 
+def diversified_in_time(rows: DataFrame, key: str, id_col: str, rank: str, score: str, signals: tuple[str, ...], width: float = 60.0) -> DataFrame:
+    """``diversified`` over the ``diversity_pairs`` of rows without topics, whose pairs are those of a time, without making them all.
+
+    Rows of a source's time have a place in common, which is asked for its best undecided
+    row (``greedy.walked``).  Kept rows overlap by less than 0.70, so few share a time;
+    only their pairs are made, and their words are compared where they could outweigh the
+    overlap.
+    """
+    w = F.array_distinct(text.words(text.folded(F.col("text"))))
+    base = rows.filter(F.col(key).isNotNull()).select(key, id_col, F.col(rank).alias("r"), "start", "end", *signals, w.alias("w"))
+    classes = similarity.jaccard_classes(base, id_col, "w").select(id_col, "class_id")
+    scope = F.concat(F.col(key).cast("string"), F.lit("\x1f"))
+    times = F.when(F.col("end") > F.col("start"), F.transform(intervals.bins(F.col("start"), F.col("end"), width), lambda b: F.concat(scope, b.cast("string"))))
+    slim = greedy.cut(base.drop("w").join(classes, id_col, "left").withColumn("places", F.coalesce(times, F.array().cast("array<string>"))))
+    like = similarity.jaccard_pairs(base, id_col, "w", 70 / 80).select("left", "right", "similarity")
+    same = slim.filter("class_id is not null").select(F.col("class_id").alias("left"), F.col("class_id").alias("right"), F.lit(1.0).alias("similarity")).distinct()
+    alike = greedy.cut(like.union(like.select("right", "left", "similarity")).union(same))
+
+    def paired(some: DataFrame, other: DataFrame) -> DataFrame:
+        """Overlapping pairs of a row and a better one, with their overlap."""
+        named = lambda df: df.select(key, id_col, "r", "start", "end", *signals, "class_id")
+        pairs = intervals.overlap_join(named(some), _aliased(named(other), [key]), [key], ENDS, width).filter("o_r < r")
+        return pairs.withColumn("overlap", intervals.overlap_of_shorter(*map(F.col, ENDS)))
+
+    differs = distinct_context(F.col, lambda n: F.col(f"o_{n}"), signals) & (F.col("overlap") <= 0.30)
+
+    def met(kept: DataFrame, rest: DataFrame) -> DataFrame:
+        pairs = paired(rest, kept)
+        worded = pairs.filter(~differs).join(alike.filter(F.col("similarity") * 80.0 >= 70), (F.col("class_id") == F.col("left")) & (F.col("o_class_id") == F.col("right")), "left_semi")
+        return pairs.filter(F.col("overlap") * 100.0 >= 70).select(id_col).union(worded.select(id_col))
+
+    none = rows.sparkSession.createDataFrame([], "place string, other string")
+    stays = greedy.cut(greedy.walked(slim, id_col, "r", "places", none, met))
+    kept = slim.join(stays, id_col, "left_semi")
+    pairs = greedy.cut(paired(kept, kept).select(id_col, F.col(f"o_{id_col}").alias("other"), "overlap", differs.alias("differs")))
+    # hashes stand for words here, in a tenth of the room
+    words = greedy.cut(base.join(stays, id_col, "left_semi").select(F.col(id_col).alias("i"), F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")))
+    worst = pairs.groupBy(id_col).agg(F.max(F.col("overlap") * 100.0).alias("over"))
+    # a Jaccard is at most the smaller size over the greater one, so most pairs go before words are compared
+    sized = pairs.join(worst, id_col).join(words.select(F.col("i").alias(id_col), "n"), id_col).join(words.select(F.col("i").alias("other"), F.col("n").alias("o_n")), "other")
+    bound = F.when((F.col("n") > 0) & (F.col("o_n") > 0), F.least("n", "o_n") / F.greatest("n", "o_n") * 80.0).otherwise(0.0)
+    asked = sized.filter(bound > F.col("over")).select(id_col, "other", "differs")
+    both = asked.join(words.select(F.col("i").alias(id_col), F.col("h").alias("a")), id_col).join(words.select(F.col("i").alias("other"), F.col("h").alias("b")), "other")
+    value = text.jaccard("a", "b") * 80.0
+    by_text = both.select(id_col, F.when(F.col("differs"), F.least(value, F.lit(64.0))).otherwise(value).alias("penalty"))
+    worst = worst.toDF(id_col, "penalty").union(by_text).groupBy(id_col).agg(F.max("penalty").alias("penalty"))
+    single = rows.filter(F.col(key).isNull())
+    out = rows.join(stays, id_col, "left_semi").unionByName(single).join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
+
+
 def topics(rows: DataFrame, id_col: str, kind: Column, least: int = 4, most: int = 3) -> DataFrame:
     """``rows`` with ``topic``: ``kind:a-b-c`` of the most frequent words of ``least`` letters or more, of equally frequent ones the first of the alphabet."""
     said = rows.select(id_col, F.explode(text.words(text.folded(F.col("text")))).alias("term")).filter((F.length("term") >= least) & ~F.col("term").rlike(r"^\d+$"))

@@ -169,11 +169,10 @@ m AS (SELECT worse, max(penalty) AS penalty FROM z JOIN walk ON walk.n = better
 SELECT doc_id, source_id, CASE WHEN coalesce(penalty, 0) >= 35 THEN greatest(0, floor(score - penalty * 0.12)) ELSE score END AS score, round(coalesce(penalty, 0.0), 6) AS penalty FROM o JOIN walk ON walk.n = rn LEFT JOIN m ON worse = rn""")
 def diversity_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of a source thinned by overlap and text alone, against clips of their own time."""
-    c = views.clips(spark, sf_dir).withColumn("topic", F.lit(""))
-    rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "topic", "decision", F.col("potential").cast("double").alias("score"))
+    c = views.clips(spark, sf_dir)
+    rows = c.select("doc_id", "source_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text", "decision", F.col("potential").cast("double").alias("score"))
     rows = rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
-    pairs = clips.diversity_pairs(rows, "source_id", "doc_id", ("decision",), width=60.0)
-    return clips.diversified(rows, pairs, "doc_id", "rank", "score").select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
+    return clips.diversified_in_time(rows, "source_id", "doc_id", "rank", "score", ("decision",)).select("doc_id", "source_id", "score", F.round("penalty", 6).alias("penalty"))
 
 
 def anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,19 @@ def test_empty_tables(spark, empty):
     rows = spark.createDataFrame([], IV)
     assert clips.evaluation(rows, rows, ["k"]).count() == 0
     assert clips.with_chapters(rows, rows.withColumnRenamed("id", "index"), rows, ["k"], "id").count() == 0
+
+
+def test_diversity_in_time_equals_the_walk_over_all_pairs(spark):
+    rng = random.Random(3)
+    said = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice((0, 4, 12)))) for _ in range(12)]
+    rows = []
+    for i in range(220):  # half of the rows share one crowded minute
+        start = rng.choice((rng.randrange(50), rng.randrange(600))) * 1.0
+        rows.append((i, rng.choice(("a", "b", None)), start, start + rng.choice((8, 20, 45)), rng.choice(said) + rng.choice(("", " more")), rng.choice(("x", "y", "")), rng.choice(("m", "n")), float(rng.randrange(40, 101))))
+    table = spark.createDataFrame(rows, "id long, k string, start double, end double, text string, kind string, mode string, score double")
+    table = table.withColumn("rank", F.struct((-F.col("score")).alias("s"), "id"))
+    pairs = clips.diversity_pairs(table.withColumn("topic", F.lit("")), "k", "id", ("kind", "mode"))
+    shown = lambda df: sorted((r["id"], r["score"], round(r["penalty"], 9)) for r in df.collect())
+    want = shown(clips.diversified(table, pairs, "id", "rank", "score"))
+    assert shown(clips.diversified_in_time(table, "k", "id", "rank", "score", ("kind", "mode"))) == want
+    assert 60 < len(want) < 200 and len({p for _, _, p in want}) > 5
