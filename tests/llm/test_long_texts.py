@@ -6,6 +6,7 @@ import time
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import pieces, pii, secrets
 
@@ -59,3 +60,14 @@ def test_a_long_chunk_is_encoded_whole(spark):
     text = random_text(200_000)
     out = pieces.encoded(spark.createDataFrame([(1, text)], "id long, text string"), verify=True).first()
     assert out["round_trip"] and len(out["n_best"]) == pieces.N_BEST
+
+
+def test_the_last_segmentation_is_decoded_beside_the_best(spark):
+    texts = ["", "unbelievable  reconstruction\n\tof it", "▁a b", None, "日本 naïve 😀"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = pieces.encoded(rows, verify=True, verify_last=True)
+    assert all(r["round_trip"] for r in out.collect())
+    last = out.withColumn("back", pieces.decoded(pieces.with_edits(out["token_ids"], out["n_best"][F.size("n_best") - 1]["edits"])))
+    assert {r["id"]: r["back"] for r in last.collect()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+    plan = pieces.op3_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # one Python process for a task
