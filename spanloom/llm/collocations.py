@@ -38,8 +38,8 @@ COVERED = 100
 SHARD = 6 << 20
 #: Bytes of text split at once, and entries of bitmaps extended at once.
 SLICE, BATCH = 1 << 20, 1 << 18
-#: Rows of a table that is sent to every task; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a table that is sent to every task, through the driver; a larger one is joined by a shuffle, over so many shares of a key.
+BROADCAST_ROWS, SHARES = 10_000, 4
 UNKNOWN = "und"
 
 SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n\n")
@@ -280,9 +280,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("length") - 1)))
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", words_of(F.col("phrase"), 1, F.col("k")).alias("head"), words_of(F.col("phrase"), F.col("k") + 1, F.col("length") - F.col("k")).alias("tail"))
     parts = lambda part, count: counted.select("lang", F.col("phrase").alias(part), F.col("f").alias(count))
-    cuts = looked_up(cuts, parts("head", "l"), ["lang", "head"], ["phrase"], BROADCAST_ROWS)
-    cuts = looked_up(cuts, parts("tail", "r"), ["lang", "tail"], ["phrase"], BROADCAST_ROWS)
-    cuts = looked_up(cuts, scratch.table(totals), ["lang"], ["phrase"], BROADCAST_ROWS)
+    cuts = looked_up(cuts, parts("head", "l"), ["lang", "head"], ["phrase"], BROADCAST_ROWS, SHARES)
+    cuts = looked_up(cuts, parts("tail", "r"), ["lang", "tail"], ["phrase"], BROADCAST_ROWS, SHARES)
+    cuts = looked_up(cuts, scratch.table(totals), ["lang"], ["phrase"], BROADCAST_ROWS, SHARES)
     score = F.expr("1000 * cast(a as decimal(38, 0)) * cast(n as decimal(20, 0)) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

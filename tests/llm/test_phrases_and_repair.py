@@ -166,3 +166,11 @@ def test_repaired_rows_and_long_conversations(spark):
     codes = bytes(random.Random(1).choices(range(16), k=20_000))
     cost, audit, roles = repair.repair(codes)
     assert len(roles) == len(audit) and sum(c in "KRD" for c in audit) == len(codes) and re.fullmatch("(s?(ua)+)?", roles.replace(" ", ""))
+
+
+def test_parts_of_phrases_come_by_a_shuffle_too(spark, monkeypatch):
+    docs = spark.createDataFrame([("en" if i % 3 else None, "a b c d. b c d e a b! c d e") for i in range(12)], "lang string, text string")
+    want = sorted(map(tuple, collocations.collocations(docs, least=4).collect()))
+    assert collocations.BROADCAST_ROWS <= 10_000 and want  # what is broadcast is collected on the driver first
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, collocations.collocations(docs, least=4).collect())) == want
