@@ -58,8 +58,8 @@ def walked(rows: DataFrame, key: str, rank: str, places: str, linked: DataFrame,
     """The ``key`` of rows that a walk in rank order keeps, where conflicts are known by places and not by pairs of rows.
 
     ``rank`` is unique, smaller is better; ``places`` is an array of strings.  ``linked``
-    has ``place, other``: no row at ``place`` stays beside a kept one at ``other``, which
-    can be the same.  ``met(kept, rows)`` gives the ``key`` of those rows that conflict with
+    has ``place, other``: no row at ``place`` stays beside a better kept one at ``other``,
+    which can be the same.  ``met(kept, rows)`` gives the ``key`` of those rows that conflict with
     a better kept one in any other way; two such rows have a place in common.
 
     In each round a place is asked for its best undecided row.  A row stays once nothing
@@ -77,8 +77,8 @@ def walked(rows: DataFrame, key: str, rank: str, places: str, linked: DataFrame,
         waiting = asked.join(low, "place").filter("low < r").select(key).distinct()
         free = cut(rest.join(waiting, key, "left_anti"))
         kept.append(free.select(key))
-        taken = free.select(F.explode(places).alias("other")).distinct().join(linked, "other").select("place").distinct()
-        gone = asked.join(taken, "place", "left_semi").select(key)
+        taken = free.select(F.explode(places).alias("other"), F.col(rank).alias("by")).join(linked, "other").groupBy("place").agg(F.min("by").alias("by"))
+        gone = asked.join(taken, "place").filter("by < r").select(key)
         gone = gone.union(met(free, rest).select(key)).union(free.select(key)).distinct()
         rest = cut(rest.join(gone, key, "left_anti"))
     out = rows.select(key).limit(0)
@@ -87,6 +87,25 @@ def walked(rows: DataFrame, key: str, rank: str, places: str, linked: DataFrame,
     return out
 
 
+def settled(walk: Callable[[DataFrame | None], DataFrame], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a walk keeps under all its conflicts, of which some are asked for among kept rows only.
+
+    ``walk(links)`` keeps rows under the conflicts that it knows by itself and under
+    ``links``, none at first; ``near(kept)`` gives those links that two of the kept rows
+    break.  What a walk under some of the conflicts keeps is what it keeps under all of
+    them, once no two kept rows are in conflict: a row that is out conflicts with a better
+    kept one, and so does it under all.  Each walk knows new links, so there is an end;
+    where few rows stay, as those of a time, near texts of the others are never paired.
+    """
+    links = None
+    while True:
+        kept = cut(walk(links))
+        found = cut(near(kept))
+        if not found.limit(1).count():
+            return kept
+        links = found if links is None else links.union(found)
+
+
 def greedy_matches(pairs: DataFrame, left: str, right: str, order: list) -> DataFrame:
     """Pairs taken in order where neither side has been used: in each round those that are the first of both their sides."""
     w = lambda side: Window.partitionBy(side).orderBy(*order)

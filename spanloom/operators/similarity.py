@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,11 +19,17 @@ NEAR = 0.8
 BROADCAST_IDS = 200_000
 
 
+def named(tokens: Column | str) -> Column:
+    """128 bits that stand for a set of tokens, of a sorted array."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    # the count keeps apart what joining could mix up
+    return F.md5(F.concat_ws("\x1f", F.size(tokens).cast("string"), tokens.cast("array<string>")))
+
+
 def _sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``key, set, fp`` of rows with tokens: the sorted set, and 128 bits that stand for it."""
     rows = df.select(F.col(key), F.sort_array(F.array_distinct(tokens)).alias("set")).filter(F.size("set") > 0)
-    # the count keeps apart what joining could mix up
-    return rows.withColumn("fp", F.unhex(F.md5(F.concat_ws("\x1f", F.size("set").cast("string"), F.col("set").cast("array<string>")))))
+    return rows.withColumn("fp", F.unhex(named("set")))
 
 
 def _self_joined(rows: DataFrame, counts: DataFrame, share: int = 1000, least: int = 1000, parts: int = 32) -> DataFrame:

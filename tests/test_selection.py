@@ -252,3 +252,34 @@ def test_selected_blocks(spark):
         (0, 13, 0.0, 180.0, "", 55), (1, 2, 15.0, 45.0, "one", 62), (4, 5, 60.0, 90.0, "", 67), (18, 19, 270.0, 300.0, "", 55),
     ]
     assert next(r["text"] for r in out if r["first"] == 1) == "t1 t2"
+
+
+def test_near_texts_are_looked_for_among_kept_rows_only(spark, monkeypatch):
+    # near copies that crowd one time; before, all their pairs were matched
+    texts = [" ".join([f"word{i}", *(f"same{j}" for j in range(30))]) for i in range(120)]
+    rows = [(i, "s", 10.0 + i / 100, 40.0 + i / 100, x, i) for i, x in enumerate(texts)] + [(500, "s", 900.0, 930.0, texts[7], 900), (501, "s", 990.0, 999.0, "something else", 901)]
+    seen, links = [], clips.text_links
+    monkeypatch.setattr(clips, "text_links", lambda kept, *a: seen.append(kept.count()) or links(kept, *a))
+    table = spark.createDataFrame(rows, "id long, source_id string, start double, end double, text string, rank long")
+    assert sorted(r["id"] for r in selection.without_overlaps(table, "source_id", "rank").collect()) == [0, 501]
+    assert seen == [3, 2]
+
+
+def test_a_walk_drops_only_what_is_worse(spark):
+    rows = spark.createDataFrame([("b", 0, ["x"]), ("r", 1, ["x", "p"]), ("f", 2, ["o"]), ("g", 3, ["p"])], "id string, rank long, places array<string>")
+    linked = spark.createDataFrame([("p", "o")], "place string, other string")
+    kept = greedy.walked(rows, "id", "rank", "places", linked, lambda kept, rest: rest.limit(0))
+    assert sorted(r["id"] for r in kept.collect()) == ["b", "f", "r"]
+
+
+@pytest.mark.parametrize("near", [0.86, 0.9])
+def test_grams_in_common_lose_no_near_text(near):
+    rng = random.Random(3)
+    judged, found = clips.Nearness(near), 0
+    for _ in range(1500):
+        base = "".join(rng.choices(rng.choice(("ab", "abcdefgh ", "aaaaaaaaaab", "xyz")), k=rng.choice((1, 3, 8, 30, 199, 200, 320))))
+        a, b = changed(rng, base, rng.choice((0, 0.03, 0.08, 0.12))), changed(rng, base, rng.choice((0, 0.03, 0.08)))
+        wanted = bool(a and b) and SequenceMatcher(None, a, b).ratio() >= near
+        assert bool(a and b and judged(a, b)) == wanted
+        found += wanted
+    assert 200 < found < 1400
