@@ -111,7 +111,8 @@ UNRESOLVED = ("and", "but", "so", "because", "that is why", "this")
 
 
 def _hits(t: Column, cues: tuple[str, ...]) -> Column:
-    return sum((F.concat(F.lit(" "), t, F.lit(" ")).contains(f" {c} ").cast("int") for c in cues), F.lit(0))
+    """How many of the cues stand in a text with blanks around it."""
+    return sum((t.contains(f" {c} ").cast("int") for c in cues), F.lit(0))
 
 
 def text_signals(text: Column, context: Column, lexicon: dict[str, tuple[str, ...]] = LEXICON, unresolved: tuple[str, ...] = UNRESOLVED) -> Column:
@@ -122,28 +123,42 @@ def text_signals(text: Column, context: Column, lexicon: dict[str, tuple[str, ..
     """
     raw = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.regexp_replace(T.folded(raw), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    wanted = F.array_distinct(F.filter(T.words(T.folded(context)), lambda x: F.length(x) >= 4))
+    on = lambda condition, points: F.when(condition, points).otherwise(0.0)
 
-    def of(w: Column) -> Column:
-        t, n = F.array_join(w, " "), F.size(w)
-        hits = {name: _hits(t, cues) for name, cues in lexicon.items()}
+    def once(value: Column, of) -> Column:
+        """``of(value)``, for which the value is worked out once and not wherever it stands."""
+        return F.get(F.transform(F.array(value), of), F.lit(0))
+
+    def found(w: Column) -> Column:
+        t = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        return once(F.struct(w.alias("w"), t.alias("t"), F.array_join(F.slice(w, 1, 4), " ").alias("opening")), counted)
+
+    def counted(x: Column) -> Column:
+        w, t, opening = x["w"], x["t"], x["opening"]
+        hits = (_hits(t, cues).alias(name) for name, cues in lexicon.items())
+        open_start = sum(((opening == u) | opening.startswith(u + " ")).cast("int") for u in unresolved) > 0
+        share = F.try_divide(F.size(F.array_intersect(wanted, w)), F.size(wanted))
         numbers = F.regexp_count(t, F.lit(r"\b[0-9]+\b"))
-        found = hits | {"evidence": hits["evidence"] + F.least(numbers, F.lit(3))}
-        scores = {name: bounded(start + found[kind] * points) for name, (kind, start, points) in STARTS.items()}
+        return once(F.struct(F.struct(*hits).alias("hits"), F.size(w).alias("n"), numbers.alias("numbers"), open_start.alias("open_start"), share.alias("share")), scored)
+
+    def scored(x: Column) -> Column:
+        numbers, n = x["numbers"], x["n"]
+        hits = {name: x["hits"][name] for name in lexicon}
+        counts = hits | {"evidence": hits["evidence"] + F.least(numbers, F.lit(3))}
+        scores = {name: bounded(start + counts[kind] * points) for name, (kind, start, points) in STARTS.items()}
         full = F.rtrim(raw).rlike(r"[.!?]$")
-        wanted = F.array_distinct(F.filter(T.words(T.folded(context)), lambda x: F.length(x) >= 4))
-        share = F.try_divide(F.size(F.array_intersect(wanted, w)), F.size(wanted))
-        opening = F.array_join(F.slice(w, 1, 4), " ")
-        open_start = sum(((opening == u) | opening.startswith(u + " ")).cast("int") for u in unresolved) > 0
-        on = lambda condition, points: F.when(condition, points).otherwise(0.0)
         scores["specificity"] = bounded(32.0 + F.least(F.lit(35.0), numbers * 12.0) + F.least(F.lit(25.0), hits["topic"] * 5.0) + on(n >= 35, 10.0))
         scores["conclusion"] = bounded(35.0 + on(full, 30.0) + on(F.size(T.sentences(raw)) >= 3, 20.0) + on(n >= 24, 15.0))
-        scores["context_completeness"] = bounded(78.0 - on(open_start, 24.0) - on(n < 14, 12.0) + on(hits["topic"] > 0, 8.0) + on(hits["claim"] + hits["conflict"] > 0, 6.0))
-        scores["context_match"] = F.coalesce(F.least(F.lit(100.0), 20.0 + share * 80.0), F.lit(50.0))
-        rounded = {name: F.round(score, 1) for name, score in scores.items()}
-        fit = sum((scores[name] * weight for name, weight in WEIGHTS.items()), F.lit(0.0))
-        return F.struct(*(c.alias(name) for name, c in rounded.items()), F.round(fit, 1).alias("fit"))
+        scores["context_completeness"] = bounded(78.0 - on(x["open_start"], 24.0) - on(n < 14, 12.0) + on(hits["topic"] > 0, 8.0) + on(hits["claim"] + hits["conflict"] > 0, 6.0))
+        scores["context_match"] = F.coalesce(F.least(F.lit(100.0), 20.0 + x["share"] * 80.0), F.lit(50.0))
+        return once(F.struct(*(score.alias(name) for name, score in scores.items())), weighed)
+
+    def weighed(x: Column) -> Column:
+        fit = sum((x[name] * weight for name, weight in WEIGHTS.items()), F.lit(0.0))
+        return F.struct(*(F.round(x[name], 1).alias(name) for name in (*STARTS, "specificity", "conclusion", "context_completeness", "context_match")), F.round(fit, 1).alias("fit"))
 
-    return F.get(F.transform(F.array(words), of), F.lit(0))
+    return once(words, found)
 
 
 def editorial_type(scores: dict[str, Column], default: str, override: tuple[Column, str] | None = None, least: float = 45.0) -> Column:

@@ -206,3 +206,16 @@ def test_queries_against_sql(spark):
             assert sorted(columns) == sorted(out.columns), name
             expected = [tuple(v for _, v in sorted(zip(columns, r), key=lambda x: x[0])) for r in cur.fetchall()]
             assert near(rows) == near(expected), name
+
+
+def test_signals_work_out_the_words_once(spark):
+    from spanloom.functions import signals
+
+    found = spark.range(1).select(signals.text_signals(F.concat(F.col("id").cast("string"), F.lit(" the river is 12 percent wrong.")), F.lit("the river with")).alias("s"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # before, the text was joined from its words for each of some hundred cues
+    assert plan.count("array_join(") <= 2
+    assert found.first()["s"].asDict() == {
+        "topic_relevance": 37.0, "claim_strength": 43.0, "conflict_or_stakes": 40.0, "proposal_strength": 24.0, "evidence_density": 58.0, "mobilization": 20.0,
+        "specificity": 61.0, "conclusion": 65.0, "context_completeness": 80.0, "context_match": 60.0, "fit": found.first()["s"]["fit"],
+    }
