@@ -75,12 +75,21 @@ def coded(text: str, codes: Codes) -> list[np.ndarray]:
 
 def packed(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences and bitmap entries of each word, and the entries' blocks and bits, word by word."""
+    # word and position in one number, sorted in place: a shard is large, and a copy of each costs as much again
     at = np.flatnonzero(codes >= FIRST)
-    word = codes[at] - FIRST
+    high = codes[at].astype(np.int64)
+    high -= FIRST
+    high <<= 32
+    at |= high
+    del high
+    at.sort()
+    word = (at >> 32).astype(np.int32)
     counts = np.bincount(word, minlength=words)
-    order = np.argsort(word, kind="stable")
-    word, at = word[order], at[order]
-    block, bit = (at >> 3).astype(np.uint32), np.left_shift(1, at & 7).astype(np.uint8)
+    at &= 0xFFFFFFFF
+    bit = np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
+    at >>= 3
+    block = at.astype(np.uint32)
+    del at
     first = np.flatnonzero(np.r_[True, (np.diff(word) != 0) | (np.diff(block) != 0)][: len(word)])
     bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
     return counts, np.bincount(word[first], minlength=words), block[first], bits
@@ -99,14 +108,19 @@ def shards(docs: DataFrame) -> DataFrame:
 
         def closed() -> Iterator[pd.DataFrame]:
             nonlocal total, number
-            for lang, (codes, parts) in held.items():
+            for lang in list(held):
+                codes, parts = held.pop(lang)
                 found = np.concatenate(parts)
+                parts.clear()
                 words = [w.decode() for w in codes][FIRST:]
+                codes.clear()
+                positions = len(found)
                 counts, entries, block, bits = packed(found, len(words))
+                del found
                 planes = np.diff(block, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
-                yield pd.DataFrame({"shard": [number], "lang": [lang], "positions": [len(found)], "words": [words], "counts": [counts.astype(np.int32)], "entries": [entries.astype(np.int32)], "blocks": [planes], "bits": [bits.tobytes()]})
+                yield pd.DataFrame({"shard": [number], "lang": [lang], "positions": [positions], "words": [words], "counts": [counts.astype(np.int32)], "entries": [entries.astype(np.int32)], "blocks": [planes], "bits": [bits.tobytes()]})
+                del words, counts, entries, block, bits, planes
                 number += 1
-            held.clear()
             total = 0
 
         for batch in batches:

@@ -2,9 +2,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,16 @@ def test_parts_of_phrases_come_by_a_shuffle_too(spark, monkeypatch):
     assert collocations.BROADCAST_ROWS <= 10_000 and want  # what is broadcast is collected on the driver first
     monkeypatch.setattr(collocations, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, collocations.collocations(docs, least=4).collect())) == want
+
+
+def test_packing_a_shard_needs_little_more_than_its_bitmaps():
+    codes = np.random.default_rng(1).integers(0, 20_000, 1 << 20).astype(np.int32)
+    tracemalloc.start()
+    counts, entries, block, bits = collocations.packed(codes, 20_000)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 34 << 20  # before, 46 bytes a position
+    at = np.flatnonzero(codes >= collocations.FIRST)
+    assert counts.sum() == len(at) == np.bitwise_count(bits).sum() and entries.sum() == len(block)
+    word = np.repeat(np.arange(20_000), entries)
+    assert set(zip(word.tolist(), block.tolist())) == set(zip((codes[at] - collocations.FIRST).tolist(), (at >> 3).tolist()))
