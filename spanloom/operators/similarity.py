@@ -17,6 +17,8 @@ from .greedy import cut
 NEAR = 0.8
 #: Sets of a candidate pair are picked by a broadcast of their ids up to this number.
 BROADCAST_IDS = 200_000
+#: Meetings of two sets for each part of a set, from which on all of them are not made at once.
+FEW_PAIRS = 4
 
 
 def named(tokens: Column | str) -> Column:
@@ -91,32 +93,96 @@ def _counted(many: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
 
 
-def _meeting_by_parts(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """``id_x, id_y`` of classes that have as many equal parts as near ones must have, id_x < id_y."""
+def written(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``key, fp, n, h`` of rows with tokens, worked out once: 128 bits for the set, its size, and 64 bits for each token."""
+    rows = df.select(F.col(key), F.sort_array(F.array_distinct(tokens)).alias("set"))
+    return cut(rows.select(key, F.unhex(named("set")).alias("fp"), F.size("set").alias("n"), F.transform("set", lambda t: F.xxhash64(t)).alias("h"))).filter("n > 0")
+
+
+def _shared_parts(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``id, n, pos, token, c`` of the parts that ``c`` classes of equal sets have, two or more; ``sets`` as ``written``."""
     parts = Parts(threshold)
-    needs = F.array(*map(F.lit, parts.need.tolist()))
 
     @F.arrow_udf("array<bigint>")
     def signed(sets: pa.Array) -> pa.Array:
         return parts.signed(sets)
 
-    rows = _sets(df, key, tokens).select(key, "fp", F.size("set").alias("n"), F.transform("set", lambda t: F.xxhash64(t)).alias("h"))
-    rows = rows.select(key, "fp", "n", signed("h").alias("sigs"))
-    classes = rows.groupBy("fp").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")).filter("id is not null")
+    classes = sets.groupBy("fp").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("h").alias("h")).filter("id is not null").select("id", "n", signed("h").alias("sigs"))
     ends = F.array(*map(F.lit, parts.ends.tolist()))
     level = F.size(F.filter(ends, lambda e: e <= F.col("n"))) - 1
     classes = classes.withColumn("level", level).withColumn("own", F.get(F.array(*map(F.lit, parts.parts.tolist())), F.col("level")))
     heads = classes.select("id", "n", "level", F.col("own"), F.posexplode("sigs").alias("pos", "token")).select("id", "n", (F.col("level") * 2 + F.when(F.col("pos") < F.col("own"), 0).otherwise(1)).cast("int").alias("pos"), "token")
     # most signatures are of one set only, and go before anything meets
-    some = cut(heads.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
-    met = _self_joined(some, some.select("token", "c").distinct())
+    return cut(heads.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
+
+
+def _fitting(met: DataFrame, threshold: float) -> DataFrame:
+    """``id_x, id_y`` of classes that meet at as many parts as near ones must have in common."""
+    needs = F.array(*map(F.lit, Parts(threshold).need.tolist()))
     at = lambda s: F.shiftright(f"pos_{s}", 1) + F.col(f"pos_{s}") % 2
     group = F.greatest(F.shiftright("pos_x", 1), F.shiftright("pos_y", 1))
-    fits = (F.col("id_x") < F.col("id_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-9)
+    fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-9
     met = met.filter(fits & (at("x") == group) & (at("y") == group)).select("id_x", "id_y", F.get(needs, group).alias("need"))
     return met.groupBy("id_x", "id_y").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("id_x", "id_y")
 
 
+def _meeting(heads: DataFrame, threshold: float) -> DataFrame:
+    """``id_x, id_y``, id_x < id_y, of all classes that can be near."""
+    return _fitting(_self_joined(heads, heads.select("token", "c").distinct()).filter("id_x < id_y"), threshold)
+
+
+def _meeting_by_parts(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
+    return _meeting(_shared_parts(written(df, key, tokens), key, threshold), threshold)
+
+
+def _meeting_best(heads: DataFrame, threshold: float) -> DataFrame:
+    """``id_x, id_y`` of the classes that can be near to the best one, ``id_x``, of one of their parts; ``heads`` with ``r``."""
+    best = cut(heads.groupBy("token").agg(F.min(F.struct("r", "id", "n", "pos")).alias("b"), F.count("*").alias("c")).filter("c > 1"))
+    rows = heads.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos")))
+    met = joins.apart(rows, best.select("token", *(F.col(f"b.{c}").alias(f"{c}_x") for c in ("id", "n", "pos"))), "token", joins.hot_keys(best, "token", "c"))
+    return _fitting(met.filter("id_x <> id_y"), threshold)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``left, right, similarity`` of the pairs ``id_x, id_y`` whose sets are near; sets join only these pairs."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    rows = sets.withColumnRenamed(key, "id").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.first("h").alias("h"))
+    hot = joins.hot_keys(cut(pairs.groupBy("id_x").agg(F.count("*").alias("n"))), "id_x")
+    both = joins.apart(pairs.join(rows.toDF("id_y", "y"), "id_y"), rows.toDF("id_x", "x"), "id_x", hot)
+    common = F.size(F.array_intersect("x", "y"))
+    out = both.withColumn("similarity", common / (F.size("x") + F.size("y") - common))
+    return out.filter(F.col("similarity") >= threshold - 1e-12).select(F.col("id_x").alias("left"), F.col("id_y").alias("right"), "similarity")
+
+
+class Near:
+    """Near pairs of sets, asked for again and again among fewer of them.
+
+    ``sets`` as ``written``.  Classes of equal sets go by their smallest key; ``ranks`` has
+    the unique rank ``r`` of each class ``id``, smaller is better.
+    """
+
+    def __init__(self, sets: DataFrame, key: str, threshold: float, ranks: DataFrame):
+        self.sets, self.key, self.threshold = sets, key, threshold
+        self.heads = cut(_shared_parts(sets, key, threshold).drop("c").join(ranks, "id"))
+
+    def among(self, kept: DataFrame) -> DataFrame:
+        """``left, right, similarity`` of near pairs of ``kept`` classes (``id``): all, or if these could be many, those of a part's best class; none only if none are near.
+
+        Variants of one text are near in nearly all pairs, which so are not made: once the
+        best of them drops the others, few are left to be paired.
+        """
+        some = self.heads.join(kept.select("id"), "id", "left_semi")
+        some = cut(some.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
+        n = some.select(F.sum(F.col("c") - 1) / 2, F.count("*")).first()
+        if n[1] and n[0] > FEW_PAIRS * n[1]:
+            found = cut(_near(_meeting_best(some, self.threshold), self.sets, self.key, self.threshold))
+            if found.limit(1).count():
+                return found
+        return _near(_meeting(some, self.threshold), self.sets, self.key, self.threshold)
+
+
 def _meeting_by_prefixes(classes: DataFrame, threshold: float) -> DataFrame:
     """``id_x, id_y`` of classes that share a rare token and have room for as many common ones as near ones must have."""
     long = classes.select("id", F.explode("set").alias("token"))
@@ -147,17 +213,12 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> Dat
     joined as one class: ``jaccard_classes`` lists them, and their pairs are not expanded
     here.  Empty sets match nothing.  Keys are unique.
     """
-    classes = _sets(df, key, tokens).groupBy("fp").agg(F.min(key).alias("id"), F.first("set").alias("set")).select("id", "set")
     if threshold >= NEAR:
-        pairs = cut(_meeting_by_parts(df, key, tokens, threshold))
-        wanted = cut(pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        rows = _sets(df, key, tokens).withColumnRenamed(key, "id").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-        classes = rows.groupBy("id", "fp").agg(F.first("set").alias("set")).select("id", "set")
-    else:
-        pairs = _meeting_by_prefixes(classes, threshold)
+        sets = written(df, key, tokens)
+        return _near(_meeting(_shared_parts(sets, key, threshold), threshold), sets, key, threshold)
+    classes = _sets(df, key, tokens).groupBy("fp").agg(F.min(key).alias("id"), F.first("set").alias("set")).select("id", "set")
     # sets join only the pairs that are left
-    both = pairs.join(classes.toDF("id_x", "x"), "id_x").join(classes.toDF("id_y", "y"), "id_y")
+    both = _meeting_by_prefixes(classes, threshold).join(classes.toDF("id_x", "x"), "id_x").join(classes.toDF("id_y", "y"), "id_y")
     common = F.size(F.array_intersect("x", "y"))
     out = both.withColumn("similarity", common / (F.size("x") + F.size("y") - common))
     return out.filter(F.col("similarity") >= threshold - 1e-12).select(F.col("id_x").alias("left"), F.col("id_y").alias("right"), "similarity")

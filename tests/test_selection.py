@@ -283,3 +283,26 @@ def test_grams_in_common_lose_no_near_text(near):
         assert bool(a and b and judged(a, b)) == wanted
         found += wanted
     assert 200 < found < 1400
+
+
+def test_variants_of_a_text_are_not_paired_with_each_other(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(3):  # nearly all variants of a text are near to each other, some are not
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts += [" ".join(w for k, w in enumerate(base) if k not in rng.sample(range(80), rng.randrange(14))) for _ in range(100)]
+    texts += [texts[0], texts[5].upper(), "", None, "one", "two"]
+    table = spark.createDataFrame([(i, t, rng.choice((70.0, 80.0, None)), float(rng.randrange(3)), 1.0) for i, t in enumerate(texts)], "id long, text string, potential double, context double, duration double")
+    sets = {i: frozenset((t or "").lower().split()) for i, t in enumerate(texts)}
+    near = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.86
+    kept = []
+    for r in sorted(table.collect(), key=lambda r: (r["potential"] is None, -(r["potential"] or 0), -r["context"], r["id"])):
+        if not any(near(sets[r["id"]], sets[k]) for k in kept):
+            kept.append(r["id"])
+    given = []
+    real = greedy.greedy_keep
+    monkeypatch.setattr(greedy, "greedy_keep", lambda rows, conflicts, *names: (given.append(conflicts.count()), real(rows, conflicts, *names))[1])
+    found = {r["id"]: r["class_id"] for r in selection.without_repetitions(table).collect()}
+    assert found == {i: min((j for j in sets if sets[i] and sets[j] == sets[i]), default=i) for i in kept}
+    pairs = sum(near(sets[a], sets[b]) for a in sets for b in range(a))
+    assert max(given) < pairs / 4 and pairs > 5000
