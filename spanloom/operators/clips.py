@@ -270,11 +270,16 @@ def diversified_in_time(rows: DataFrame, key: str, id_col: str, rank: str, score
 
 def topics(rows: DataFrame, id_col: str, kind: Column, least: int = 4, most: int = 3) -> DataFrame:
     """``rows`` with ``topic``: ``kind:a-b-c`` of the most frequent words of ``least`` letters or more, of equally frequent ones the first of the alphabet."""
-    said = rows.select(id_col, F.explode(text.words(text.folded(F.col("text")))).alias("term")).filter((F.length("term") >= least) & ~F.col("term").rlike(r"^\d+$"))
-    first = Window.partitionBy(id_col).orderBy(F.desc("n"), "term")
-    top = said.groupBy(id_col, "term").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most)
-    terms = top.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list("term")), "-").alias("terms"))
-    return rows.join(terms, id_col, "left").withColumn("topic", F.concat_ws(":", kind, "terms")).drop("terms")
+    said = rows.withColumn("__s", F.sort_array(text.words(text.folded(F.col("text")))))
+    # a word's first place in the sorted words and the next one's tell how often it is said, without a row for each word
+    first = F.filter(F.sequence(F.lit(0), F.size("__s")), lambda i: (i < F.size("__s")) & ((i == 0) | (F.get("__s", i) != F.get("__s", i - 1))))
+    said = said.withColumn("__first", first)
+    count = lambda at, k: F.coalesce(F.get("__first", k + 1), F.size("__s")) - at
+    said = said.withColumn("__terms", F.transform("__first", lambda at, k: F.struct((-count(at, k)).alias("n"), F.get("__s", at).alias("term"))))
+    of = F.filter("__terms", lambda t: (F.length(t["term"]) >= least) & ~t["term"].rlike(r"^\d+$"))
+    said = said.withColumn("__top", F.slice(F.sort_array(of), 1, most)["term"])
+    terms = F.when(F.size("__top") > 0, F.array_join(F.sort_array("__top"), "-"))
+    return said.withColumn("topic", F.concat_ws(":", kind, terms)).drop("__s", "__first", "__terms", "__top")
 
 
 def _text_penalty(key: str, signals: tuple[str, ...]) -> Column:

@@ -170,3 +170,11 @@ def test_diversity_in_time_equals_the_walk_over_all_pairs(spark):
     want = shown(clips.diversified(table, pairs, "id", "rank", "score"))
     assert shown(clips.diversified_in_time(table, "k", "id", "rank", "score", ("kind", "mode"))) == want
     assert 60 < len(want) < 200 and len({p for _, _, p in want}) > 5
+
+
+def test_topics_count_words_within_their_row(spark, capsys):
+    rows = spark.createDataFrame([(1, "Bela bela casa 1234 1234 1234 casa azul dia"), (2, None), (3, "12345 abc")], "id long, text string")
+    out = clips.topics(rows, "id", F.lit("k"))
+    assert {r["id"]: r["topic"] for r in out.collect()} == {1: "k:azul-bela-casa", 2: "k", 3: "k"}
+    out.explain()
+    assert "Exchange" not in capsys.readouterr().out
