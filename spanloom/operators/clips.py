@@ -326,35 +326,69 @@ def diversified_anywhere(rows: DataFrame, key: str, id_col: str, rank: str, scor
 
     Rows of equal words, source and signals have a place in common, and so have rows of a
     time: a place is asked for its best undecided row (``greedy.walked``), so neither
-    copies nor a crowded time make pairs.  Only rows that stay meet from 35 on.
+    copies nor a crowded time make pairs.  Near texts are looked for among rows that stay
+    only, and the walk is repeated with what was found (``greedy.settled``), so near copies
+    make none either.  Only rows that stay meet from 35 on.
     """
-    w = F.array_sort(F.array_distinct(text.words(text.folded(F.col("text")))))
-    base = greedy.cut(rows.select(key, id_col, F.col(rank).alias("r"), "start", "end", "topic", *signals, w.alias("w")))
-    classes = similarity.jaccard_classes(base, id_col, "w").select(id_col, "class_id")
+    w = F.array_distinct(text.words(text.folded(F.col("text"))))
+    base = rows.select(key, id_col, F.col(rank).alias("r"), "start", "end", "topic", *signals, w.alias("w"))
+    # hashes stand for words here, in a tenth of the room
+    base = base.withColumn("w", F.array_sort(F.transform("w", lambda x: F.xxhash64(x))))
+    base = greedy.cut(base.withColumn("fp", F.when(F.size("w") > 0, F.unhex(similarity.named("w")))))
+    ids = base.filter("fp is not null").select(id_col, "fp")
+    classes = ids.join(ids.groupBy("fp").agg(F.min(id_col).alias("class_id")), "fp").select(id_col, "class_id")
     scope = F.col(key).cast("string")
     times = F.when(scope.isNotNull() & (F.col("end") > F.col("start")), F.transform(intervals.bins(F.col("start"), F.col("end"), width), lambda b: F.concat(F.lit("time:"), scope, F.lit("\x1f"), b.cast("string"))))
-    group = F.when(F.col("class_id").isNotNull(), F.to_json(F.struct("class_id", key, *signals)))
-    places = F.concat(F.coalesce(times, F.array().cast("array<string>")), F.array_compact(F.array("g")))
-    slim = base.drop("w", "topic").join(classes, id_col, "left").withColumn("g", group).withColumn("places", places)
+    group = F.when(F.col("class_id").isNotNull(), F.xxhash64(F.to_json(F.struct("class_id", key, *signals))))
+    places = F.concat(F.coalesce(F.transform(times, lambda t: F.xxhash64(t)), F.array().cast("array<long>")), F.array_compact(F.array("g")))
+    slim = base.drop("w", "fp", "topic").join(classes, id_col, "left").withColumn("g", group).withColumn("places", places)
     slim = greedy.cut(slim.select(key, id_col, "r", "start", "end", "class_id", "g", *signals, "places"))
-    groups = slim.filter("g is not null").select("g", "class_id", key, *signals).distinct()
-    like = similarity.jaccard_pairs(base, id_col, "w", 70 / 80).select("left", "right", "similarity")
+    groups = greedy.cut(slim.filter("g is not null").select("g", "class_id", key, *signals).distinct())
     same = groups.select(F.col("class_id").alias("left"), F.col("class_id").alias("right"), F.lit(1.0).alias("similarity")).distinct()
-    both = greedy.cut(like.union(like.select("right", "left", "similarity")).union(same))
-    met = groups.join(both, F.col("class_id") == F.col("left")).drop("class_id").join(_aliased(groups, []), F.col("right") == F.col("o_class_id"))
-    linked = met.filter(_text_penalty(key, signals) >= 70).select(F.col("g").alias("place"), F.col("o_g").alias("other"))
-
-    def timed(kept: DataFrame, rest: DataFrame) -> DataFrame:
-        """Rows that overlap a kept one by 0.70, or by over 0.30 with its words, which then count in full whatever the context."""
-        named = lambda df: df.select(key, id_col, "r", "start", "end", "class_id")
-        pairs = intervals.overlap_join(named(rest), _aliased(named(kept), [key]), [key], ENDS, width).filter("o_r < r")
-        pairs = pairs.withColumn("overlap", intervals.overlap_of_shorter(*map(F.col, ENDS)))
-        worded = pairs.filter("overlap > 0.30").join(both, (F.col("class_id") == F.col("left")) & (F.col("o_class_id") == F.col("right")), "left_semi")
-        return pairs.filter(F.col("overlap") * 100.0 >= 70).select(id_col).union(worded.select(id_col))
 
-    stays = greedy.walked(slim, id_col, "r", "places", linked, timed)
-    stays = greedy.cut(stays)
-    kept = greedy.cut(base.join(slim.select(id_col, "g", "class_id"), id_col).join(stays, id_col, "left_semi"))
+    def walk(links: DataFrame | None) -> DataFrame:
+        both = same if links is None else greedy.cut(same.union(links))
+        met = groups.join(both, F.col("class_id") == F.col("left")).drop("class_id").join(_aliased(groups, []), F.col("right") == F.col("o_class_id"))
+        linked = met.filter(_text_penalty(key, signals) >= 70).select(F.col("g").alias("place"), F.col("o_g").alias("other"))
+
+        def timed(kept: DataFrame, rest: DataFrame) -> DataFrame:
+            """Rows that overlap a kept one by 0.70, or by over 0.30 with its words, which then count in full whatever the context."""
+            named = lambda df: df.select(key, id_col, "r", "start", "end", "class_id")
+            pairs = intervals.overlap_join(named(rest), _aliased(named(kept), [key]), [key], ENDS, width).filter("o_r < r")
+            pairs = pairs.withColumn("overlap", intervals.overlap_of_shorter(*map(F.col, ENDS)))
+            worded = pairs.filter("overlap > 0.30").join(both, (F.col("class_id") == F.col("left")) & (F.col("o_class_id") == F.col("right")), "left_semi")
+            return pairs.filter(F.col("overlap") * 100.0 >= 70).select(id_col).union(worded.select(id_col))
+
+        return greedy.walked(slim, id_col, "r", "places", linked, timed)
+
+    one = slim.filter(F.col(id_col) == F.col("class_id")).select(id_col)
+    sets = greedy.cut(base.join(one, id_col, "left_semi").select(F.col(id_col).alias("id"), "fp", F.size("w").alias("n"), F.col("w").alias("h")))
+    all_parts = greedy.cut(similarity.parts_of(sets, 70 / 80))
+    known: list[DataFrame] = []
+
+    def near_texts(kept: DataFrame) -> DataFrame:
+        """Classes of near words that no walk has known yet: those that two rows which stay have, and all that are near to the better one's.
+
+        What a row drops would else come back one variant at a time.
+        """
+        own = slim.select(id_col, "class_id", "r").join(kept, id_col, "left_semi").filter("class_id is not null")
+        ids = greedy.cut(own.groupBy(F.col("class_id").alias("id")).agg(F.min("r").alias("r")))
+        few = sets.join(F.broadcast(ids.select("id")) if ids.count() <= similarity.BROADCAST_IDS else ids.select("id"), "id", "left_semi")
+        found = greedy.cut(similarity.Near(greedy.cut(few), "id", 70 / 80, ids).among(ids, known[-1] if known else None))
+        if found.limit(1).count():
+            ends = found.join(ids.toDF("left", "lr"), "left").join(ids.toDF("right", "rr"), "right")
+            better, worse = (F.when((F.col("lr") < F.col("rr")) == b, F.col("left")).otherwise(F.col("right")) for b in (True, False))
+            ends = greedy.cut(ends.select(better.alias("better"), worse.alias("worse")))
+            first = ends.select(F.col("better").alias("id")).distinct().join(ends.select(F.col("worse").alias("id")), "id", "left_anti")
+            found = found.union(similarity.near_to(greedy.cut(first), all_parts, sets, 70 / 80))
+        found = greedy.cut(found.union(found.select("right", "left", "similarity")).dropDuplicates(["left", "right"]))
+        known.append(greedy.cut(known[-1].union(found)) if known else found)
+        return found
+
+    stays = greedy.settled(walk, near_texts)
+    few = stays.count() <= similarity.BROADCAST_IDS
+    only = lambda df: df.join(F.broadcast(stays) if few else stays, id_col, "left_semi")
+    kept = greedy.cut(only(base).join(only(slim.select(id_col, "g", "class_id")), id_col))
     like = similarity.jaccard_pairs(kept, id_col, "w", 35 / 80).select("left", "right", "similarity")
     same = kept.filter("g is not null").select("class_id").distinct()
     same = same.join(kept.groupBy("class_id").agg(F.min(id_col).alias("left")), "class_id").select("left", F.col("left").alias("right"), F.lit(1.0).alias("similarity"))
@@ -365,7 +399,7 @@ def diversified_anywhere(rows: DataFrame, key: str, id_col: str, rank: str, scor
     ends = _timed_pairs(kept, key, id_col, signals, width, 35.0).join(ranks.toDF("left", "lr"), "left").join(ranks.toDF("right", "rr"), "right")
     by_time = ends.select(F.when(F.col("lr") < F.col("rr"), F.col("right")).otherwise(F.col("left")).alias(id_col), "penalty")
     worst = by_text.union(by_time).union(_topic_penalties(kept, key, id_col)).groupBy(id_col).agg(F.max("penalty").alias("penalty")).filter("penalty >= 35")
-    out = rows.join(stays, id_col, "left_semi").join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    out = only(rows).join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
     return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
 
 

@@ -99,21 +99,27 @@ def written(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return cut(rows.select(key, F.unhex(named("set")).alias("fp"), F.size("set").alias("n"), F.transform("set", lambda t: F.xxhash64(t)).alias("h"))).filter("n > 0")
 
 
-def _shared_parts(sets: DataFrame, key: str, threshold: float) -> DataFrame:
-    """``id, n, pos, token, c`` of the parts that ``c`` classes of equal sets have, two or more; ``sets`` as ``written``."""
+def parts_of(classes: DataFrame, threshold: float) -> DataFrame:
+    """``id, n, pos, token``: the parts of sets of ``id, n, h``, at their own level and the next."""
     parts = Parts(threshold)
 
     @F.arrow_udf("array<bigint>")
     def signed(sets: pa.Array) -> pa.Array:
         return parts.signed(sets)
 
-    classes = sets.groupBy("fp").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("h").alias("h")).filter("id is not null").select("id", "n", signed("h").alias("sigs"))
     ends = F.array(*map(F.lit, parts.ends.tolist()))
     level = F.size(F.filter(ends, lambda e: e <= F.col("n"))) - 1
-    classes = classes.withColumn("level", level).withColumn("own", F.get(F.array(*map(F.lit, parts.parts.tolist())), F.col("level")))
-    heads = classes.select("id", "n", "level", F.col("own"), F.posexplode("sigs").alias("pos", "token")).select("id", "n", (F.col("level") * 2 + F.when(F.col("pos") < F.col("own"), 0).otherwise(1)).cast("int").alias("pos"), "token")
+    classes = classes.select("id", "n", signed("h").alias("sigs")).withColumn("level", level)
+    classes = classes.withColumn("own", F.get(F.array(*map(F.lit, parts.parts.tolist())), F.col("level")))
+    heads = classes.select("id", "n", "level", F.col("own"), F.posexplode("sigs").alias("pos", "token"))
+    return heads.select("id", "n", (F.col("level") * 2 + F.when(F.col("pos") < F.col("own"), 0).otherwise(1)).cast("int").alias("pos"), "token")
+
+
+def _shared_parts(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``id, n, pos, token, c`` of the parts that ``c`` classes of equal sets have, two or more; ``sets`` as ``written``."""
+    classes = sets.groupBy("fp").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("h").alias("h")).filter("id is not null")
     # most signatures are of one set only, and go before anything meets
-    return cut(heads.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
+    return cut(parts_of(classes, threshold).withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
 
 
 def _fitting(met: DataFrame, threshold: float) -> DataFrame:
@@ -156,6 +162,14 @@ def _near(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> Data
     return out.filter(F.col("similarity") >= threshold - 1e-12).select(F.col("id_x").alias("left"), F.col("id_y").alias("right"), "similarity")
 
 
+def near_to(some: DataFrame, parts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``left, right, similarity`` of the sets near to one of ``some`` (``id``), which is left; ``parts`` as ``parts_of`` all sets."""
+    own = cut(parts.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "id", "left_semi").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos"))))
+    other = parts.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos")))
+    met = other.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, "token").filter("id_x <> id_y")
+    return _near(_fitting(met, threshold), sets, "id", threshold)
+
+
 class Near:
     """Near pairs of sets, asked for again and again among fewer of them.
 
@@ -167,20 +181,24 @@ class Near:
         self.sets, self.key, self.threshold = sets, key, threshold
         self.heads = cut(_shared_parts(sets, key, threshold).drop("c").join(ranks, "id"))
 
-    def among(self, kept: DataFrame) -> DataFrame:
-        """``left, right, similarity`` of near pairs of ``kept`` classes (``id``): all, or if these could be many, those of a part's best class; none only if none are near.
+    def among(self, kept: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """``left, right, similarity`` of near pairs of ``kept`` classes (``id``): all, or if these could be many, those of a part's best class; none only if none are near, or all are ``known`` (``left, right``).
 
         Variants of one text are near in nearly all pairs, which so are not made: once the
         best of them drops the others, few are left to be paired.
         """
+        def new(pairs: DataFrame) -> DataFrame:
+            pairs = pairs if known is None else pairs.join(known.toDF("id_x", "id_y", *known.columns[2:]), ["id_x", "id_y"], "left_anti")
+            return _near(pairs, self.sets, self.key, self.threshold)
+
         some = self.heads.join(kept.select("id"), "id", "left_semi")
         some = cut(some.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1"))
         n = some.select(F.sum(F.col("c") - 1) / 2, F.count("*")).first()
         if n[1] and n[0] > FEW_PAIRS * n[1]:
-            found = cut(_near(_meeting_best(some, self.threshold), self.sets, self.key, self.threshold))
+            found = cut(new(_meeting_best(some, self.threshold)))
             if found.limit(1).count():
                 return found
-        return _near(_meeting(some, self.threshold), self.sets, self.key, self.threshold)
+        return new(_meeting(some, self.threshold))
 
 
 def _meeting_by_prefixes(classes: DataFrame, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.plans.reports import VISUAL_RULES
-from spanloom.operators import clips, folds
+from spanloom.operators import clips, folds, similarity
 
 IV = "k string, id long, start double, end double"
 
@@ -178,3 +178,16 @@ def test_topics_count_words_within_their_row(spark, capsys):
     assert {r["id"]: r["topic"] for r in out.collect()} == {1: "k:azul-bela-casa", 2: "k", 3: "k"}
     out.explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_near_texts_of_rows_that_time_rules_out_are_not_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, f"s{i % 2}", float(i % 7), 100.0 + i % 7, " ".join(w for w in words if w != f"w{rng.randrange(60)}"), "", 50.0) for i in range(160)]
+    rows += [(200, "s3", 0.0, 9.0, " ".join(words), "", 90.0), (201, "s3", 500.0, 509.0, "else", "", 80.0)]
+    table = spark.createDataFrame(rows, "id long, k string, start double, end double, text string, topic string, score double")
+    met = []
+    real = similarity._near
+    monkeypatch.setattr(similarity, "_near", lambda pairs, *rest: (met.append(pairs.count()), real(pairs, *rest))[1])
+    out = clips.diversified_anywhere(table.withColumn("rank", F.struct((-F.col("score")).alias("s"), "id")), "k", "id", "rank", "score", ()).collect()
+    assert {r["id"] for r in out} == {200, 201} and sum(met) < 200  # of 1,770 pairs of near texts, 59 with the best
