@@ -13,6 +13,10 @@ two pieces belongs to no word, so no phrase crosses it.  Counts are sums over sh
 3. phrases: each shard goes depth-first from these pairs, extending a phrase only where
    its last two words are such a pair; sums are exact, by the phrase's text.
 
+Pairs and phrases are dealt into parts by their hash, and what a shard has in a part is
+one row: sorted hashes as differences, or texts on lines, and their counts.  A part is
+added up in one task; parts number as the corpus's positions, so none grows with it.
+
 What a shard needs to know of the other shards comes by a join on words or pairs, so
 nothing that grows with the corpus is broadcast or collected.
 """
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +43,8 @@ COVERED = 100
 SHARD = 6 << 20
 #: Bytes of text split at once, and entries of bitmaps extended at once.
 SLICE, BATCH = 1 << 20, 1 << 18
+#: Positions of the corpus for each part of its pairs and phrases, and the least number of parts.
+PART, PARTS = 2 << 20, 128
 #: Rows of a table that is sent to every task, through the driver; a larger one is joined by a shuffle, over so many shares of a key.
 BROADCAST_ROWS, SHARES = 10_000, 4
 UNKNOWN = "und"
@@ -59,6 +66,15 @@ class Codes(dict):
         return code
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits as four planes of bytes, which compress well where most are small."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
 def coded(text: str, codes: Codes) -> list[np.ndarray]:
     """The text's words and pieces' ends as codes, slice by slice."""
     data, out, start = text.encode().translate(SPLIT).replace(b"\n", b" \n "), [], 0
@@ -98,8 +114,7 @@ def packed(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def shards(docs: DataFrame) -> DataFrame:
     """``lang, text`` as rows of SHARDS, one for each language of a shard; nulls are UNKNOWN and empty.
 
-    ``blocks`` has the differences of the entries' block numbers as four planes of bytes,
-    which compress well as most are small.
+    ``blocks`` has the differences of the entries' block numbers in planes.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +132,9 @@ def shards(docs: DataFrame) -> DataFrame:
                 positions = len(found)
                 counts, entries, block, bits = packed(found, len(words))
                 del found
-                planes = np.diff(block, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
-                yield pd.DataFrame({"shard": [number], "lang": [lang], "positions": [positions], "words": [words], "counts": [counts.astype(np.int32)], "entries": [entries.astype(np.int32)], "blocks": [planes], "bits": [bits.tobytes()]})
-                del words, counts, entries, block, bits, planes
+                blocks = planes(np.diff(block, prepend=np.uint32(0)))
+                yield pd.DataFrame({"shard": [number], "lang": [lang], "positions": [positions], "words": [words], "counts": [counts.astype(np.int32)], "entries": [entries.astype(np.int32)], "blocks": [blocks], "bits": [bits.tobytes()]})
+                del words, counts, entries, block, bits, blocks
                 number += 1
             total = 0
 
@@ -142,8 +157,8 @@ class Bitmaps:
 
     def __init__(self, shard: pa.Table, wanted: np.ndarray):
         entries = shard["entries"][0].values.to_numpy()
-        blocks, bits = (np.frombuffer(shard[c][0].as_py(), np.uint8) for c in ("blocks", "bits"))
-        block = blocks.reshape(4, -1).T.copy().view(np.uint32).ravel().cumsum(dtype=np.uint32).astype(np.int64)
+        bits = np.frombuffer(shard["bits"][0].as_py(), np.uint8)
+        block = unplaned(shard["blocks"][0].as_py()).cumsum(dtype=np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(entries)), entries)
         keep = np.zeros(len(entries), bool)
         keep[wanted] = True
@@ -188,64 +203,149 @@ def batches(first: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-PAIRS = "shard long, key long, one int, two int, c long"
+def empty(schema: str) -> pa.Table:
+    """No rows of a schema of longs, strings and binaries."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.table({name: pa.array([], kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))})
+
+
+def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a phrase by that of all but its last word and that of this."""
+    return left * np.uint64(0x9E3779B97F4A7C15) + right
+
+
+def parted(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of hashes, by their upper 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def keyed(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part and the lower 32 bits in one number."""
+    return parted(hashes, parts) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
 
 
-def pairs_of(shard: pa.Table, listed: pa.Table) -> pa.Table:
-    """Counts of a shard's pairs of listed words, under a hash of the two words' hashes."""
-    names = [x.split()[0] for x in PAIRS.split(", ")]
-    out = []
-    if shard.num_rows and listed.num_rows:
-        codes = listed["code"].to_numpy()
-        maps = Bitmaps(shard, codes)
-        hashes = np.zeros(maps.words, np.uint64)
-        hashes[codes] = listed["h"].to_numpy().view(np.uint64)
-        word, block, bits = maps.by_word
-        first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
-        for a, b in batches(first, len(word)):
-            part = slice(first[a], first[b] if b < len(first) else len(word))
-            _, one, two, counts, _, _ = maps.grouped(*maps.extended(word[part], block[part], bits[part]))
-            key = (hashes[one] * np.uint64(0x9E3779B97F4A7C15) + hashes[two]).view(np.int64)
-            out.append(pa.table([pa.repeat(shard["shard"][0], len(one)), key, one.astype(np.int32), two.astype(np.int32), counts], names))
-    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())], names)
+def cuts_of(parts: np.ndarray) -> list[int]:
+    """Where a part begins in sorted ones, and the end of all."""
+    return [*np.flatnonzero(np.r_[True, np.diff(parts) != 0][: len(parts)]).tolist(), len(parts)]
 
 
-def phrases_of(longest: int):
-    """Counts of a shard's phrases of 2 to ``longest`` words in which each two neighbours are one of its pairs."""
+def hashes_of(words: int, listed: pa.Table) -> np.ndarray:
+    """The hashes of a shard's words, by their codes."""
+    hashes = np.zeros(words, np.uint64)
+    hashes[listed["code"].to_numpy()] = listed["h"].to_numpy().view(np.uint64)
+    return hashes
 
-    def grow(shard: pa.Table, pairs: pa.Table) -> pa.Table:
-        texts, sums, lang = [], [], ""
+
+PAIRS = "shard long, part long, hashes binary, counts binary"
+OFTEN = "of long, part long, hashes binary"
+SUMS = "lang string, part long, phrases string, counts binary"
+
+
+def pairs_of(parts: int):
+    """Counts of a shard's pairs of listed words, a row for each part: the lower 32 bits of the pairs' hashes, sorted, and the counts."""
+
+    def pair(shard: pa.Table, listed: pa.Table) -> pa.Table:
+        keys, sums, names = [], [], [x.split()[0] for x in PAIRS.split(", ")]
+        if shard.num_rows and listed.num_rows:
+            maps = Bitmaps(shard, listed["code"].to_numpy())
+            hashes = hashes_of(maps.words, listed)
+            word, block, bits = maps.by_word
+            first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
+            for a, b in batches(first, len(word)):
+                part = slice(first[a], first[b] if b < len(first) else len(word))
+                _, one, two, counts, _, _ = maps.grouped(*maps.extended(word[part], block[part], bits[part]))
+                keys.append(keyed(joint(hashes[one], hashes[two]), parts))
+                sums.append(counts.astype(np.uint32))
+            del maps, word, block, bits
+        if not sum(map(len, keys)):
+            return empty(PAIRS)
+        keys, sums = np.concatenate(keys), np.concatenate(sums)
+        order = np.argsort(keys)
+        keys, sums = keys[order], sums[order]
+        part, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+        cuts = cuts_of(part)
+        spans = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        rows = [planes(np.diff(low[x], prepend=np.uint32(0))) for x in spans], [planes(sums[x]) for x in spans]
+        return pa.table([pa.repeat(shard["shard"][0], len(spans)), part[cuts[:-1]], *(pa.array(x, pa.binary()) for x in rows)], names)
+
+    return pair
+
+
+def often_of(least: int):
+    """Of a part's pairs those that all shards together have ``least`` times, a row for each shard that has any."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        each = [unplaned(x).cumsum(dtype=np.uint32) for x in rows["hashes"].to_pylist()]
+        counts = np.concatenate([unplaned(x) for x in rows["counts"].to_pylist()])
+        found, at = np.unique(np.concatenate(each), return_inverse=True)
+        often = (np.bincount(at, counts, len(found)) >= least)[at]  # exact: sums are far below 2 ** 53
+        kept = [x[y].tobytes() for x, y in zip(each, np.split(often, np.cumsum([len(x) for x in each])[:-1]))]
+        out = pa.table([rows["shard"], rows["part"], pa.array(kept, pa.binary())], [x.split()[0] for x in OFTEN.split(", ")])
+        return out.filter(np.array([len(x) > 0 for x in kept]))
+
+    return add
+
+
+def phrases_of(longest: int, parts: int):
+    """Counts of a shard's phrases of 2 to ``longest`` words in which each two neighbours are one of its frequent pairs, a row for each part."""
+
+    def grow(shard: pa.Table, known: pa.Table) -> pa.Table:
+        texts, sums, places = [], [], []
+        listed, pairs = known.filter(known["code"].is_valid()), known.filter(known["part"].is_valid())
         if shard.num_rows and pairs.num_rows:
-            lang, words = shard["lang"][0].as_py(), shard["words"][0].values.to_numpy(zero_copy_only=False)
-            one, two = (pairs[c].to_numpy().astype(np.int64) for c in ("one", "two"))
-            maps = Bitmaps(shard, np.unique(np.r_[one, two]))
-            known = np.sort(one * maps.words + two)
+            words = shard["words"][0].values
+            maps = Bitmaps(shard, listed["code"].to_numpy())
+            hashes = hashes_of(maps.words, listed)
+            often = np.sort(np.concatenate([np.frombuffer(x, np.uint32) | np.uint64(part << 32) for part, x in zip(pairs["part"].to_pylist(), pairs["hashes"].to_pylist())]))
             word, block, bits = maps.by_word
             first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
-            stack = [(word[first][:, None], first, block, bits)]  # phrases' words, their first entries, the entries
+            stack = [(word[first][:, None], hashes[word[first]], first, block, bits)]  # phrases' words, their hashes and first entries, the entries
             while stack:
-                phrases, first, block, bits = stack.pop()
+                phrases, hashed, first, block, bits = stack.pop()
                 for a, b in reversed(list(batches(first, len(block)))):
                     low, high = first[a], first[b] if b < len(first) else len(block)
                     node = np.repeat(np.arange(a, b), np.diff(np.r_[first[a:b], high]))
                     if b - a < len(first):  # one batch at a time, the others wait
-                        stack.append((phrases[a:b], first[a:b] - low, block[low:high], bits[low:high]))
+                        stack.append((phrases[a:b], hashed[a:b], first[a:b] - low, block[low:high], bits[low:high]))
                         continue
                     node, word, at, hit = maps.extended(node, block, bits)
-                    pair = phrases[node, -1] * maps.words + word
-                    found = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+                    pair = keyed(joint(hashes[phrases[node, -1]], hashes[word]), parts)
+                    found = often[np.minimum(np.searchsorted(often, pair), len(often) - 1)] == pair
                     first, node, word, counts, at, hit = maps.grouped(node[found], word[found], at[found], hit[found])
-                    longer = np.c_[phrases[node], word]
-                    texts += [" ".join(x) for x in words[longer].tolist()]
-                    sums.append(counts)
+                    longer, hashed = np.c_[phrases[node], word], joint(hashed[node], hashes[word])
+                    texts.append(pc.binary_join_element_wise(*(words.take(pa.array(x)) for x in longer.T), " "))
+                    sums.append(counts.astype(np.uint32))
+                    places.append(parted(hashed, parts))
                     if longer.shape[1] < longest and len(first):
-                        stack.append((longer, first, at, hit))
-        sums = np.concatenate(sums) if sums else np.zeros(0, np.int64)
-        return pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(sums)), pa.array(texts, pa.string()), sums], ["lang", "phrase", "c"])
+                        stack.append((longer, hashed, first, at, hit))
+        if not sum(map(len, sums)):
+            return empty(SUMS)
+        sums, places = np.concatenate(sums), np.concatenate(places).astype(np.int64)
+        order = np.argsort(places, kind="stable")
+        sums, places = sums[order], places[order]
+        cuts = cuts_of(places)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays(texts).take(pa.array(order))), "\n")
+        counts = pa.array([planes(sums[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+        return pa.table([pa.repeat(shard["lang"][0], len(lines)), places[cuts[:-1]], lines, counts], [x.split()[0] for x in SUMS.split(", ")])
 
     return grow
 
 
+def sums_of(least: int):
+    """``lang, phrase, f`` of a part's phrases that all shards together have ``least`` times."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        lines = pc.split_pattern(rows["phrases"], "\n")
+        many = pc.list_value_length(lines).to_numpy()
+        counts = np.concatenate([unplaned(x) for x in rows["counts"].to_pylist()]).astype(np.int64)
+        lang = rows["lang"].take(pa.array(np.repeat(np.arange(len(many)), many)))
+        each = pa.table([lang, pc.list_flatten(lines), counts], ["lang", "phrase", "c"])
+        summed = each.group_by(["lang", "phrase"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["lang", "phrase", "f"])
+        return summed.filter(pc.greater_equal(summed["f"], least))
+
+    return add
+
+
 def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all words and phrases of up to ``longest`` words that occur ``least`` times, and ``lang, n`` of all words.
 
@@ -256,15 +356,15 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest
     kept = scratch.table(shards(docs), **small)
     totals = kept.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
     each = kept.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("shard", "lang", "code", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    # a word or pair has a row for each shard at most; sums beside these rows need no join of them
-    summed = lambda rows, *key: rows.withColumn("f", F.sum("c").over(Window.partitionBy(*key))).filter(F.col("f") >= least)
-    often = scratch.table(summed(each, "lang", "phrase"))
+    # a word has a row for each shard at most; sums beside these rows need no join of them
+    often = scratch.table(each.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "phrase"))).filter(F.col("f") >= least))
     words = often.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-    listed = often.select("shard", "code", F.xxhash64("lang", "phrase").alias("h"))
-    together = lambda rows, run, schema: kept.groupBy("shard").cogroup(rows.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(run, schema)
-    pairs = summed(together(listed, pairs_of, PAIRS), "key")
-    found = together(pairs.select("shard", "one", "two"), phrases_of(longest), "lang string, phrase string, c long")
-    phrases = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+    listed = often.select(F.col("shard").alias("of"), "code", F.xxhash64("lang", "phrase").alias("h"))
+    parts = max(PARTS, (kept.agg(F.sum("positions")).first()[0] or 0) // PART)
+    together = lambda rows, run, schema: kept.groupBy("shard").cogroup(rows.groupBy("of")).applyInArrow(run, schema)
+    pairs = together(listed, pairs_of(parts), PAIRS).groupBy("part").applyInArrow(often_of(least), OFTEN)
+    known = listed.unionByName(pairs, allowMissingColumns=True)
+    phrases = together(known, phrases_of(longest, parts), SUMS).groupBy("part").applyInArrow(sums_of(least), "lang string, phrase string, f long")
     return scratch.table(words.unionByName(phrases)), totals
 
 

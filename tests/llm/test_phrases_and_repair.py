@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,23 @@ def test_packing_a_shard_needs_little_more_than_its_bitmaps():
     assert counts.sum() == len(at) == np.bitwise_count(bits).sum() and entries.sum() == len(block)
     word = np.repeat(np.arange(20_000), entries)
     assert set(zip(word.tolist(), block.tolist())) == set(zip((codes[at] - collocations.FIRST).tolist(), (at >> 3).tolist()))
+
+
+def test_a_shard_gives_a_row_for_each_part_and_not_for_each_pair_or_phrase(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    text = " ".join(rng.choices(words, k=40_000))
+    shard = collocations.shards(spark.createDataFrame([("en", text)], TEXTS).coalesce(1)).toArrow()
+    codes = np.arange(len(shard["words"][0]))
+    listed = pa.table({"code": codes, "h": pa.array(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(codes)))})
+    pairs = collocations.pairs_of(8)(shard, listed)
+    size = sum(len(collocations.unplaned(x)) for x in pairs["hashes"].to_pylist())
+    assert size > 30_000 and pairs.num_rows == 8 and pairs.nbytes < 9 * size  # before, a row and 32 bytes for each pair
+    often = pa.concat_tables(collocations.often_of(2)(pairs.filter(pc.equal(pairs["part"], p))) for p in range(8))
+    known = pa.concat_tables([listed, often.select(["part", "hashes"])], promote_options="default")
+    found = collocations.phrases_of(3, 8)(shard, known)
+    assert found.num_rows == 8  # before, one for each phrase
+    got = {x["phrase"]: x["f"] for p in range(8) for x in collocations.sums_of(2)(found.filter(pc.equal(found["part"], p))).to_pylist()}
+    w = text.split()
+    brute = Counter(" ".join(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1))
+    assert got == {p: c for p, c in brute.items() if c >= 2}
