@@ -42,7 +42,7 @@ COVERED = 100
 #: Positions after which a task closes its shards.
 SHARD = 6 << 20
 #: Bytes of text split at once, and entries of bitmaps extended at once.
-SLICE, BATCH = 1 << 20, 1 << 18
+SLICE, BATCH = 1 << 20, 1 << 16
 #: Positions of the corpus for each part of its pairs and phrases, and the least number of parts.
 PART, PARTS = 2 << 20, 128
 #: Rows of a table that is sent to every task, through the driver; a larger one is joined by a shuffle, over so many shares of a key.
@@ -158,8 +158,8 @@ class Bitmaps:
     def __init__(self, shard: pa.Table, wanted: np.ndarray):
         entries = shard["entries"][0].values.to_numpy()
         bits = np.frombuffer(shard["bits"][0].as_py(), np.uint8)
-        block = unplaned(shard["blocks"][0].as_py()).cumsum(dtype=np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(entries)), entries)
+        block = unplaned(shard["blocks"][0].as_py()).cumsum(dtype=np.uint32).view(np.int32)  # positions have 32 bits, blocks 29
+        word = np.repeat(np.arange(len(entries), dtype=np.int32), entries)
         keep = np.zeros(len(entries), bool)
         keep[wanted] = True
         keep = keep[word]
@@ -186,7 +186,7 @@ class Bitmaps:
 
     def grouped(self, node: np.ndarray, word: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
         """The same entries phrase by phrase: first entry, node, word and popcount of each phrase, and their blocks and bits."""
-        key = node * self.words + word
+        key = node.astype(np.int64) * self.words + word
         order = np.argsort(key, kind="stable")
         key, block, bits = key[order], block[order], bits[order]
         first = np.flatnonzero(np.r_[True, np.diff(key) != 0][: len(key)])
