@@ -220,51 +220,70 @@ def diversified(rows: DataFrame, pairs: DataFrame, id_col: str, rank: str, score
 def diversified_in_time(rows: DataFrame, key: str, id_col: str, rank: str, score: str, signals: tuple[str, ...], width: float = 60.0) -> DataFrame:
     """``diversified`` over the ``diversity_pairs`` of rows without topics, whose pairs are those of a time, without making them all.
 
-    Rows of a source's time have a place in common, which is asked for its best undecided
-    row (``greedy.walked``).  Kept rows overlap by less than 0.70, so few share a time;
-    only their pairs are made, and their words are compared where they could outweigh the
-    overlap.
+    A walk (``greedy.walked_in_time``) goes by times and needs no texts.  Kept rows overlap
+    by less than 0.70, so few share a time; only their texts are read and compared, and the
+    walk is repeated with the near ones found until there are none (``greedy.settled``).  A
+    row that another walk finds near ones of is then held against all rows of its time, so
+    variants of a text don't come back one at a time.
     """
-    w = F.array_distinct(text.words(text.folded(F.col("text"))))
-    base = rows.filter(F.col(key).isNotNull()).select(key, id_col, F.col(rank).alias("r"), "start", "end", *signals, w.alias("w"))
-    classes = similarity.jaccard_classes(base, id_col, "w").select(id_col, "class_id")
-    scope = F.concat(F.col(key).cast("string"), F.lit("\x1f"))
-    times = F.when(F.col("end") > F.col("start"), F.transform(intervals.bins(F.col("start"), F.col("end"), width), lambda b: F.concat(scope, b.cast("string"))))
-    slim = greedy.cut(base.drop("w").join(classes, id_col, "left").withColumn("places", F.coalesce(times, F.array().cast("array<string>"))))
-    like = similarity.jaccard_pairs(base, id_col, "w", 70 / 80).select("left", "right", "similarity")
-    same = slim.filter("class_id is not null").select(F.col("class_id").alias("left"), F.col("class_id").alias("right"), F.lit(1.0).alias("similarity")).distinct()
-    alike = greedy.cut(like.union(like.select("right", "left", "similarity")).union(same))
+    timed = F.col(key).isNotNull() & F.col(id_col).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+    slim = greedy.cut(rows.filter(timed).select(key, id_col, F.col(rank).alias("r"), "start", "end", *signals))
+    overlap = intervals.overlap_of_shorter(*map(F.col, ENDS))
+    differs = distinct_context(F.col, lambda n: F.col(f"o_{n}"), signals) & F.coalesce(F.col("overlap") <= 0.30, F.lit(False))
+    # of the walks so far: rows that were kept with near ones, words of kept rows, penalties
+    named, texts, last = [], [], []
+
+    def only(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(ids) if ids.count() <= similarity.BROADCAST_IDS else ids, id_col, "left_semi")
 
     def paired(some: DataFrame, other: DataFrame) -> DataFrame:
-        """Overlapping pairs of a row and a better one, with their overlap."""
-        named = lambda df: df.select(key, id_col, "r", "start", "end", *signals, "class_id")
-        pairs = intervals.overlap_join(named(some), _aliased(named(other), [key]), [key], ENDS, width).filter("o_r < r")
-        return pairs.withColumn("overlap", intervals.overlap_of_shorter(*map(F.col, ENDS)))
-
-    differs = distinct_context(F.col, lambda n: F.col(f"o_{n}"), signals) & (F.col("overlap") <= 0.30)
-
-    def met(kept: DataFrame, rest: DataFrame) -> DataFrame:
-        pairs = paired(rest, kept)
-        worded = pairs.filter(~differs).join(alike.filter(F.col("similarity") * 80.0 >= 70), (F.col("class_id") == F.col("left")) & (F.col("o_class_id") == F.col("right")), "left_semi")
-        return pairs.filter(F.col("overlap") * 100.0 >= 70).select(id_col).union(worded.select(id_col))
-
-    none = rows.sparkSession.createDataFrame([], "place string, other string")
-    stays = greedy.cut(greedy.walked(slim, id_col, "r", "places", none, met))
-    kept = slim.join(stays, id_col, "left_semi")
-    pairs = greedy.cut(paired(kept, kept).select(id_col, F.col(f"o_{id_col}").alias("other"), "overlap", differs.alias("differs")))
-    # hashes stand for words here, in a tenth of the room
-    words = greedy.cut(base.join(stays, id_col, "left_semi").select(F.col(id_col).alias("i"), F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")))
-    worst = pairs.groupBy(id_col).agg(F.max(F.col("overlap") * 100.0).alias("over"))
-    # a Jaccard is at most the smaller size over the greater one, so most pairs go before words are compared
-    sized = pairs.join(worst, id_col).join(words.select(F.col("i").alias(id_col), "n"), id_col).join(words.select(F.col("i").alias("other"), F.col("n").alias("o_n")), "other")
-    bound = F.when((F.col("n") > 0) & (F.col("o_n") > 0), F.least("n", "o_n") / F.greatest("n", "o_n") * 80.0).otherwise(0.0)
-    asked = sized.filter(bound > F.col("over")).select(id_col, "other", "differs")
-    both = asked.join(words.select(F.col("i").alias(id_col), F.col("h").alias("a")), id_col).join(words.select(F.col("i").alias("other"), F.col("h").alias("b")), "other")
-    value = text.jaccard("a", "b") * 80.0
-    by_text = both.select(id_col, F.when(F.col("differs"), F.least(value, F.lit(64.0))).otherwise(value).alias("penalty"))
-    worst = worst.toDF(id_col, "penalty").union(by_text).groupBy(id_col).agg(F.max("penalty").alias("penalty"))
-    single = rows.filter(F.col(key).isNull())
-    out = rows.join(stays, id_col, "left_semi").unionByName(single).join(worst, id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+        """Overlapping pairs of a row and a better one, with their overlap, and whether their contexts differ."""
+        pairs = intervals.overlap_join(some, _aliased(other, [key]), [key], ENDS, width).filter("o_r < r").withColumn("overlap", overlap)
+        return pairs.select(id_col, F.col(f"o_{id_col}").alias("other"), "overlap", differs.alias("differs"))
+
+    def worded(ids: DataFrame) -> DataFrame:
+        """``id, n, h``: the words of some rows, for which hashes stand, in a tenth of the room."""
+        w = F.transform(F.array_distinct(text.words(text.folded(F.col("text")))), lambda x: F.xxhash64(x))
+        return greedy.cut(only(rows.select(id_col, "text"), ids).select(id_col, w.alias("h")).withColumn("n", F.size("h")))
+
+    def by_text(pairs: DataFrame, one: DataFrame, two: DataFrame, least: Column) -> DataFrame:
+        """``id, other, penalty`` of those pairs whose texts could have a penalty of ``least``; words of both sides."""
+        sized = pairs.join(one, id_col).join(two.select(F.col(id_col).alias("other"), F.col("n").alias("o_n")), "other")
+        # a Jaccard is at most the smaller size over the greater one, so most pairs go before words are compared
+        bound = F.when((F.col("n") > 0) & (F.col("o_n") > 0), F.least("n", "o_n") / F.greatest("n", "o_n") * 80.0).otherwise(0.0)
+        both = sized.filter(bound >= least).join(two.select(F.col(id_col).alias("other"), F.col("h").alias("o_h")), "other")
+        value = text.jaccard("h", "o_h") * 80.0
+        return both.select(id_col, "other", F.when(F.col("differs"), F.least(value, F.lit(64.0))).otherwise(value).alias("penalty"))
+
+    def walk(links: DataFrame | None) -> DataFrame:
+        links = slim.select(id_col, F.col(id_col).alias("other")).limit(0) if links is None else links
+        linked = slim.join(links.groupBy(id_col).agg(F.collect_set("other").alias("near")), id_col, "left")
+        # of equal times the best row drops the others or goes with them, if it has no other conflict
+        plain = F.col("near").isNull() & (F.col("end") > F.col("start"))
+        first = linked.filter(plain).groupBy(key, "start", "end").agg(F.min(F.struct("r", F.col(id_col).alias("id"), "near")).alias("best"))
+        first = first.select(key, F.col("best.id").alias(id_col), "best.r", "start", "end", "best.near")
+        return greedy.walked_in_time(first.union(linked.filter(~plain).select(*first.columns)), key, id_col, "r", "near", width, 70.0)
+
+    def near_texts(kept: DataFrame) -> DataFrame:
+        here = greedy.cut(only(slim, kept))
+        fresh = kept if not texts else greedy.cut(kept.join(texts[-1].select(id_col), id_col, "left_anti"))
+        texts.append(worded(fresh) if not texts else greedy.cut(texts[-1].union(worded(fresh))))
+        pairs = greedy.cut(paired(here, here))
+        worst = pairs.groupBy(id_col).agg(F.max(F.col("overlap") * 100.0).alias("over"))
+        found = greedy.cut(by_text(pairs.join(worst, id_col), texts[-1], texts[-1], F.coalesce("over", F.lit(0.0))))
+        last.append(worst.toDF(id_col, "penalty").union(found.select(id_col, "penalty")).groupBy(id_col).agg(F.max("penalty").alias("penalty")))
+        found = greedy.cut(found.filter("penalty >= 70").select(id_col, "other"))
+        again = greedy.cut(found.select(F.col("other").alias(id_col)).distinct().join(named[-1], id_col, "left_semi")) if named else None
+        if again is not None and again.limit(1).count():
+            pairs = greedy.cut(paired(slim, only(slim, again)).filter(F.coalesce(F.col("overlap") * 100.0 < 70, F.lit(True))))
+            words = worded(greedy.cut(pairs.select(id_col).distinct()))
+            found = greedy.cut(found.union(by_text(pairs, words, only(texts[-1], again), F.lit(70.0)).filter("penalty >= 70").select(id_col, "other")).distinct())
+        betters = found.select(F.col("other").alias(id_col))
+        named.append(greedy.cut((named[-1].union(betters) if named else betters).distinct()))
+        return found
+
+    stays = greedy.settled(walk, near_texts)
+    out = only(rows, stays).unionByName(rows.filter(~timed)).join(last[-1], id_col, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
     return out.withColumn(score, F.when(F.col("penalty") >= 35, F.greatest(F.lit(0), F.floor(F.col(score) - F.col("penalty") * 0.12)).cast("double")).otherwise(F.col(score).cast("double")))
 
 

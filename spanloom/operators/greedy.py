@@ -8,12 +8,23 @@ Rounds are few because chains of conflicts are short.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, StructField, StructType
 from pyspark.sql.window import Window
 
+from . import intervals
+
+#: A span of time that one task walks, in widths of ``walked_in_time``.
+SPAN = 10
+#: What a span says of a row: it goes, it depends on what isn't decided, nothing here keeps it from staying.
+GOES, OPEN, STAYS = 0, 1, 2
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder for tables between jobs; a local session without one gets one of its own."""
@@ -87,6 +98,117 @@ def walked(rows: DataFrame, key: str, rank: str, places: str, linked: DataFrame,
     return out
 
 
+class _Span:
+    """The walk over one key's span of time, whose rows come in rank order, a batch after the other.
+
+    Holds the times of the rows that stay or are open.  A row that only this span has
+    stays or goes here and now, unless its conflict is with an open row; then it is open.
+    A row that other spans have too is open until all of them have been asked.
+    """
+
+    def __init__(self, most: float):
+        self.most = most
+        self.times: dict[int, tuple[list, list]] = {STAYS: ([], []), OPEN: ([], [])}
+        self.ids: dict[int, set] = {STAYS: set(), OPEN: set()}
+
+    def met(self, start, end, other_start, other_end) -> np.ndarray:
+        """Whether the shorter one of two intervals has a share of ``most`` percent or more in the other."""
+        common = np.minimum(end, other_end) - np.maximum(start, other_start)
+        shorter = np.minimum(end - start, other_end - other_start)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (shorter > 0) & (common > 0) & (common / shorter * 100.0 >= self.most)
+
+    def known(self, state: int, start: np.ndarray, end: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+        """Which of the intervals meet one of a state that came in an earlier batch."""
+        others = np.unique(np.array(self.times[state]), axis=1)
+        out = np.zeros(len(start), bool)
+        step = max(1, block // max(1, len(start)))
+        for i in range(0, others.shape[1], step):
+            out |= self.met(start[:, None], end[:, None], *others[:, None, i : i + step]).any(axis=1)
+        return out
+
+    def walk(self, ids: list, start: np.ndarray, end: np.ndarray, near: list, alone: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        """What becomes of each row; ``fixed`` ones are known to stay."""
+        said = np.full(len(ids), GOES, np.int8)
+        there = ~self.known(STAYS, start, end) | fixed
+        left = np.flatnonzero(there)
+        unsure = np.zeros(len(ids), bool)
+        unsure[left] = self.known(OPEN, start[left], end[left])
+        while len(left):
+            i, left = left[0], left[1:]
+            if near[i] and not fixed[i]:
+                if not self.ids[STAYS].isdisjoint(near[i]):
+                    continue
+                unsure[i] |= not self.ids[OPEN].isdisjoint(near[i])
+            said[i] = STAYS if fixed[i] or not unsure[i] else OPEN
+            state = said[i] if alone[i] or fixed[i] else OPEN
+            for held, value in zip(self.times[state], (start[i], end[i])):
+                held.append(value)
+            self.ids[state].add(ids[i])
+            hit = self.met(start[left], end[left], start[i], end[i])
+            if state == STAYS:
+                left = left[~hit | fixed[left]]
+            else:
+                unsure[left[hit]] = True
+        return said
+
+
+def walked_in_time(rows: DataFrame, key: str, id_col: str, rank: str, near: str, width: float, most: float) -> DataFrame:
+    """The ``id_col`` of rows that a walk in rank order keeps, where rows of a key conflict by time, or are named as such.
+
+    ``rank`` is unique, smaller is better.  A row goes if a better kept one has ``most``
+    percent or more of the shorter interval in common with it, or is in its array ``near``,
+    whose rows overlap it.  ``width`` is near the usual length of an interval.
+
+    Time is cut into spans, and a task walks a span of a key as Spark sorts it, with
+    numbers only of what stays or is open.  What the ends of spans leave open is walked
+    again with other ends, so rounds are few, and rows that are decided are read once.
+    """
+    rest = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(rank).alias("r"), F.col("start").cast("double"), F.col("end").cast("double"), F.col(near).alias("near"), F.lit(False).alias("fixed"))
+    span, kept, turn = SPAN * width, [], 0
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = walk = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, spans = batch.column("key"), batch.column("span")
+            differ = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(spans[1:], spans[:-1])).to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
+            start, end = (batch.column(n).to_numpy() for n in ("start", "end"))
+            alone, fixed = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("alone", "fixed"))
+            ids, near_ids = batch.column("id").to_pylist(), batch.column("near").to_pylist()
+            said = []
+            for a, b in zip(ends, ends[1:]):
+                if (at := (keys[a].as_py(), spans[a].as_py())) != last:
+                    last, walk = at, _Span(most)
+                said.append(walk.walk(ids[a:b], start[a:b], end[a:b], near_ids[a:b], alone[a:b], fixed[a:b]))
+            said = np.concatenate(said)
+            out = batch.append_column("said", pa.array(said, pa.int8()))
+            # what goes is told only where another span could think otherwise
+            yield out.filter(pa.array(~fixed & ((said != GOES) | ~alone)))
+
+    while True:
+        spans = intervals.bins(F.col("start") + turn % 2 * span / 2, F.col("end") + turn % 2 * span / 2, span)
+        listed = rest.withColumn("spans", spans).select("*", (F.size("spans") == 1).alias("alone"), F.explode("spans").alias("span")).drop("spans")
+        # numbers are small, but a walk takes its time: the first round is not put together into few tasks
+        many = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if not turn else []
+        dealt = listed.repartition(*many, "key", "span").sortWithinPartitions("key", "span", "r")
+        told = dealt.mapInArrow(judge, StructType([*dealt.schema.fields, StructField("said", ByteType())]))
+        told = told.groupBy("id").agg(F.min("said").alias("said"), F.first(F.struct("key", "r", "start", "end", "near", "alone")).alias("row"))
+        told = cut(told.filter(F.col("said") > GOES).select("id", "said", "row.*"))
+        kept.append(told.filter(F.col("said") == STAYS).select("id"))
+        if not told.filter(F.col("said") == OPEN).limit(1).count():
+            break
+        # a row that several spans had has not yet dropped its conflicts
+        rest = told.filter((F.col("said") == OPEN) | ~F.col("alone")).select("key", "id", "r", "start", "end", "near", (F.col("said") == STAYS).alias("fixed"))
+        turn += 1
+    out = kept[0]
+    for now in kept[1:]:
+        out = out.union(now)
+    return out.select(F.col("id").alias(id_col))
+
+
 def settled(walk: Callable[[DataFrame | None], DataFrame], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that a walk keeps under all its conflicts, of which some are asked for among kept rows only.
 

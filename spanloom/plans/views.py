@@ -47,7 +47,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate clips from documents and labels; times and factors are whole numbers from the text's length and id."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    n = F.length(F.coalesce("text", F.lit("")))
+    # counted before the join, which so moves no texts for queries that need none
+    d, n = d.withColumn("n", F.length(F.coalesce("text", F.lit("")))), F.col("n")
     decision = F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected").otherwise("pending")
     reason = F.when(F.col("quality") == 0, F.when(F.col("toxic") == 1, "no_payoff").otherwise("weak_hook")).when(F.col("toxic") == 1, "good_hook").otherwise("")
     start = (F.col("doc_id") * 37) % 3600

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.plans.reports import VISUAL_RULES
-from spanloom.operators import clips, folds, similarity
+from spanloom.operators import clips, folds, greedy, similarity
 
 IV = "k string, id long, start double, end double"
 
@@ -172,6 +172,35 @@ def test_diversity_in_time_equals_the_walk_over_all_pairs(spark):
     assert 60 < len(want) < 200 and len({p for _, _, p in want}) > 5
 
 
+def test_diversity_in_time_reads_few_texts_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):  # near texts in a crowded time, of which rows of no length or no time are part
+        start = float(rng.randrange(1500)) if i % 50 else None
+        end = None if start is None else start + (rng.choice((9, 30, 95, 700)) if i % 9 else 0)
+        rows.append((i, "a", start, end, " ".join(w for w in words if w != f"w{rng.randrange(60)}"), float(rng.randrange(40, 101))))
+    table = spark.createDataFrame(rows, "id long, k string, start double, end double, text string, score double").withColumn("rank", F.struct((-F.col("score")).alias("s"), "id"))
+    met, cuts = [], []
+    near, cut = similarity._near, greedy.cut
+    monkeypatch.setattr(similarity, "_near", lambda pairs, *rest: (met.append(pairs.count()), near(pairs, *rest))[1])
+    monkeypatch.setattr(greedy, "cut", lambda df: (cuts.append(1), cut(df))[1])
+    out = {r["id"]: r["penalty"] for r in clips.diversified_in_time(table, "k", "id", "rank", "score", ()).collect()}
+    want: dict[int, float] = {}
+    for i, _, start, end, said, score in sorted(rows, key=lambda r: (-r[5], r[0])):
+        worst = 0.0
+        for j in want if start is not None else ():
+            _, _, a, b, other, _ = rows[j]
+            if a is not None and a < end and start < b:
+                x, y = set(said.split()), set(other.split())
+                short = min(end - start, b - a)
+                worst = max(worst, len(x & y) / len(x | y) * 80, (min(end, b) - max(start, a)) / short * 100 if short else 0)
+        if worst < 70:
+            want[i] = worst
+    assert {i: round(p, 9) for i, p in out.items()} == {i: round(p, 9) for i, p in want.items()}
+    assert sum(met) == 0 and len(cuts) < 100 and 20 < len(want) < 100
+
+
 def test_topics_count_words_within_their_row(spark, capsys):
     rows = spark.createDataFrame([(1, "Bela bela casa 1234 1234 1234 casa azul dia"), (2, None), (3, "12345 abc")], "id long, text string")
     out = clips.topics(rows, "id", F.lit("k"))
